@@ -50,8 +50,12 @@ def clip(x: Column, lo, hi) -> Column:
 
 
 def py_strip(text: Column) -> Column:
-    """Python str.strip() on a string column."""
-    return F.regexp_replace(text, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    """Python str.strip() on a string column (character-set trim, no regex)."""
+    return F.trim(text, F.lit(PY_WHITESPACE))
+
+
+def py_rstrip(text: Column) -> Column:
+    return F.rtrim(text, F.lit(PY_WHITESPACE))
 
 
 def remove_whitespace(text: Column) -> Column:
@@ -60,9 +64,7 @@ def remove_whitespace(text: Column) -> Column:
 
 def py_split(text: Column) -> Column:
     """Python str.split() with no argument: whitespace runs, no empty tokens."""
-    stripped = py_strip(text)
-    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(
-        F.split(stripped, f"{WS_CLASS}+"))
+    return F.filter(F.split(text, f"{WS_CLASS}+"), lambda t: t != "")
 
 
 def round_sim(x: Column) -> Column:
