@@ -67,9 +67,10 @@ def _word_gram(tokens: Column, kind: str, n: int):
     return gram
 
 
-def _char_gram(text: Column, kind: str, n: int):
+def _char_gram(chars: Column, kind: str, n: int):
     def gram(i):
-        return F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), text.substr(i, F.lit(n)).alias("g"))
+        return F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"),
+                        F.array_join(F.slice(chars, i, n), "").alias("g"))
     return gram
 
 
@@ -83,13 +84,15 @@ def word_ngrams(tokens: Column, max_n: int, kind: str = "w") -> Column:
     return F.flatten(F.filter(F.array(*parts), lambda a: a.isNotNull()))
 
 
-def char_ngrams(text: Column, max_n: int, kind: str = "c") -> Column:
-    """ARRAY<STRUCT<kind, n, g>> of all character n-grams (code points), n = 1..max_n."""
+def char_ngrams(chars: Column, max_n: int, kind: str = "c") -> Column:
+    """ARRAY<STRUCT<kind, n, g>> of all character n-grams, n = 1..max_n, from an array
+    of single characters (code points). Slicing an array is O(n) per gram, where a
+    code-point substring of the text would walk the string from its start."""
     parts = []
     for n in range(1, max_n + 1):
-        idx = F.sequence(F.lit(1), F.length(text) - F.lit(n - 1))
-        grams = F.transform(idx, _char_gram(text, kind, n))
-        parts.append(F.when(F.length(text) >= n, grams))
+        idx = F.sequence(F.lit(1), F.size(chars) - F.lit(n - 1))
+        grams = F.transform(idx, _char_gram(chars, kind, n))
+        parts.append(F.when(F.size(chars) >= n, grams))
     return F.flatten(F.filter(F.array(*parts), lambda a: a.isNotNull()))
 
 
@@ -201,7 +204,7 @@ CHRFPP_ORDERS = CHRF_ORDERS + [("w", n) for n in range(1, CHRF_WORD_ORDER + 1)]
 
 def _chrf_inputs(ev: DataFrame, words: bool) -> DataFrame:
     def prep(col):
-        chars = F.regexp_replace(col, _ws(), "")
+        chars = F.filter(F.split(F.regexp_replace(col, _ws(), ""), ""), lambda c: c != "")
         toks = _strip_punct_edges(py_split(col)) if words else F.array().cast("array<string>")
         return F.struct(chars.alias("c"), toks.alias("w"))
 

@@ -63,11 +63,11 @@ def stats_cte(src: str, hyp_expr: str, ref_expr: str, kind_grams, name: str) ->
         for side, col in ((0, h), (1, r)):
             if unit == "words":
                 units.append(f"SELECT row_id, {side} AS side, '{kind}' AS kind, unnest({col}) AS u, "
-                             f"unnest(range(len({col}))) AS pos FROM {src}_in")
+                             f"unnest(range(len({col}))) AS pos FROM {name}_in")
             else:
                 units.append(f"SELECT row_id, {side} AS side, '{kind}' AS kind, "
                              f"substring({col}, pos, 1) AS u, pos FROM "
-                             f"(SELECT row_id, {col}, unnest(range(1, length({col}) + 1)) AS pos FROM {src}_in)")
+                             f"(SELECT row_id, {col}, unnest(range(1, length({col}) + 1)) AS pos FROM {name}_in)")
         sep = "' ' || " if unit == "words" else ""
         grams.append((kind, max_n, sep))
     lead_sets = []
@@ -80,7 +80,7 @@ def stats_cte(src: str, hyp_expr: str, ref_expr: str, kind_grams, name: str) ->
             unp.append(f"SELECT row_id, side, '{kind}' AS kind, {n} AS n, g{n} AS g FROM {name}_l_{kind} "
                        f"WHERE g{n} IS NOT NULL")
     return f"""
-{src}_in AS MATERIALIZED (SELECT row_id, {hyp_expr}, {ref_expr} FROM {src}),
+{name}_in AS MATERIALIZED (SELECT row_id, {hyp_expr}, {ref_expr} FROM {src}),
 {name}_u AS ({' UNION ALL '.join(units)}),
 {', '.join(lead_sets)},
 {name}_g AS ({' UNION ALL '.join(unp)}),
@@ -146,7 +146,7 @@ def bleu_ctes(src="ev", name="bs") -> str:
     return stats_cte(src, f"{tok13a('hyp')} AS ht", f"{tok13a('ref')} AS rt",
                      [("w", 4, "words", "ht", "rt")], name) + f""",
 {name}_p AS ({pivot(name, BLEU_ORDERS)}),
-{name}_s AS (SELECT ev.row_id, CASE WHEN {blank(src)} THEN NULL ELSE coalesce({bleu_expr()}, 0.0) END AS bleu
+{name}_s AS (SELECT ev.row_id, CASE WHEN {blank("ev")} THEN NULL ELSE coalesce({bleu_expr()}, 0.0) END AS bleu
              FROM {src} ev LEFT JOIN {name}_p USING (row_id))"""
 
 
@@ -162,7 +162,7 @@ def chrf_ctes(src="ev", name="cs", words=False) -> str:
     col = "chrf_pp" if words else "chrf"
     return stats_cte(src, hyp, ref, kg, name) + f""",
 {name}_p AS ({pivot(name, orders)}),
-{name}_s AS (SELECT ev.row_id, CASE WHEN {blank(src)} THEN NULL ELSE coalesce({chrf_expr(orders)}, 0.0) END AS {col}
+{name}_s AS (SELECT ev.row_id, CASE WHEN {blank("ev")} THEN NULL ELSE coalesce({chrf_expr(orders)}, 0.0) END AS {col}
              FROM {src} ev LEFT JOIN {name}_p USING (row_id))"""
 
 
@@ -180,7 +180,7 @@ mt_c AS (SELECT row_id, count(*) AS matches, sum(brk) AS chunks FROM mt_b GROUP
 mt_l AS (SELECT row_id, sum(CASE WHEN side = 0 THEN len(t) END) AS hl, sum(CASE WHEN side = 1 THEN len(t) END) AS rl
          FROM mt_t GROUP BY row_id),
 mt_s AS (
-  SELECT ev.row_id, CASE WHEN {blank(src)} THEN NULL
+  SELECT ev.row_id, CASE WHEN {blank("ev")} THEN NULL
     WHEN coalesce(c.matches, 0) = 0 THEN 0.0
     ELSE (1.0 - 0.5 * pow(CAST(c.chunks AS DOUBLE) / c.matches, 3.0))
          * ((CAST(c.matches AS DOUBLE) / l.hl) * (CAST(c.matches AS DOUBLE) / l.rl)
