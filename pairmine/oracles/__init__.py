@@ -7,10 +7,8 @@ def all_sql() -> dict[str, str]:
     from pairmine.oracles.mining import sql_mining
 
     out = dict(sql_mining())
-    for mod in ("sweep", "mt", "prep", "io"):
-        try:
-            m = __import__(f"pairmine.oracles.{mod}", fromlist=["SQL"])
-        except ModuleNotFoundError:
-            continue
+    from pairmine.oracles import mt, prep, sweep
+
+    for m in (sweep, mt, prep):
         out.update(m.sql())
     return out

@@ -8,10 +8,8 @@ def all_queries() -> dict:
 
     out = {}
     out.update(mining_queries.QUERIES)
-    for mod in ("sweep_queries", "mt_queries", "prep_queries", "io_queries"):
-        try:
-            m = __import__(f"pairmine.plans.{mod}", fromlist=["QUERIES"])
-        except ModuleNotFoundError:
-            continue
+    from pairmine.plans import io_queries, mt_queries, prep_queries, sweep_queries
+
+    for m in (sweep_queries, mt_queries, prep_queries, io_queries):
         out.update(m.QUERIES)
     return out
