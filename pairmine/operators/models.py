@@ -33,6 +33,8 @@ def hashed_char_embedder(dim: int = 64, n: int = 3) -> Callable[[pd.Series], np.
     def encode(texts: pd.Series) -> np.ndarray:
         out = np.zeros((len(texts), dim), dtype=np.float32)
         for i, t in enumerate(texts.fillna("")):
+            if not t:
+                continue                      # empty text -> zero vector
             s = f" {t} "
             for j in range(max(1, len(s) - n + 1)):
                 h = zlib.crc32(s[j:j + n].encode("utf-8"))

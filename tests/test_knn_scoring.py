@@ -69,9 +69,9 @@ def test_fx2_local_scoring(spark):
 def test_fx3_density(spark):
     tgt = vecs(spark, TGT)
     d = {r.tgt_idx: r for r in SC.density_stats(tgt, 2).collect()}
-    assert d[0].density == pytest.approx(0.15, abs=1e-9)
-    assert d[1].density == pytest.approx(0.02, abs=1e-9)
-    assert d[2].density == pytest.approx(0.01, abs=1e-9) and d[4].density == pytest.approx(0.01, abs=1e-9)
+    assert d[0].density == pytest.approx(0.15, abs=1e-6)
+    assert d[1].density == pytest.approx(0.02, abs=1e-6)
+    assert d[2].density == pytest.approx(0.01, abs=1e-6) and d[4].density == pytest.approx(0.01, abs=1e-6)
     lone = SC.density_stats(vecs(spark, [(7, [1.0, 0.0])]), 20).collect()[0]
     assert lone.density == 0.5 and not lone.has_neighbors
     # Both bonus and penalty
