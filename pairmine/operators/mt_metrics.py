@@ -60,42 +60,6 @@ def tokenize_13a(text: Column) -> Column:
     return py_split(t)
 
 
-def _word_gram(tokens: Column, kind: str, n: int):
-    def gram(i):
-        return F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"),
-                        F.array_join(F.slice(tokens, i + 1, n), " ").alias("g"))
-    return gram
-
-
-def _char_gram(chars: Column, kind: str, n: int):
-    def gram(i):
-        return F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"),
-                        F.array_join(F.slice(chars, i, n), "").alias("g"))
-    return gram
-
-
-def word_ngrams(tokens: Column, max_n: int, kind: str = "w") -> Column:
-    """ARRAY<STRUCT<kind, n, g>> of all word n-grams, n = 1..max_n."""
-    parts = []
-    for n in range(1, max_n + 1):
-        idx = F.sequence(F.lit(0), F.size(tokens) - F.lit(n))
-        grams = F.transform(idx, _word_gram(tokens, kind, n))
-        parts.append(F.when(F.size(tokens) >= n, grams))
-    return F.flatten(F.filter(F.array(*parts), lambda a: a.isNotNull()))
-
-
-def char_ngrams(chars: Column, max_n: int, kind: str = "c") -> Column:
-    """ARRAY<STRUCT<kind, n, g>> of all character n-grams, n = 1..max_n, from an array
-    of single characters (code points). Slicing an array is O(n) per gram, where a
-    code-point substring of the text would walk the string from its start."""
-    parts = []
-    for n in range(1, max_n + 1):
-        idx = F.sequence(F.lit(1), F.size(chars) - F.lit(n - 1))
-        grams = F.transform(idx, _char_gram(chars, kind, n))
-        parts.append(F.when(F.size(chars) >= n, grams))
-    return F.flatten(F.filter(F.array(*parts), lambda a: a.isNotNull()))
-
-
 def _strip_punct_edges(tokens: Column) -> Column:
     """chrF++ word split: a token longer than one character loses one punctuation
     mark from its end, or else from its start, as a separate token."""
@@ -124,17 +88,45 @@ def eval_frame(df: DataFrame, hyp: str = "prediction", ref: str = "reference",
     return out.repartition(n, "row_id")
 
 
-def ngram_stats(ev: DataFrame, hyp_input: Column, ref_input: Column, grams_of) -> DataFrame:
+def _shifted(arr: Column, k: int) -> Column:
+    """arr[k:] (1-based), empty when k is past the end."""
+    return F.slice(arr, k, F.greatest(F.size(arr) - F.lit(k - 1), F.lit(0)))
+
+
+def gram_rows(sides: DataFrame, specs) -> DataFrame:
+    """One row per n-gram occurrence: ``row_id, side, kind, n, g``.
+
+    ``specs`` = [(kind, array column, max_n, separator)]. The arrays shifted by
+    0..max_n-1 are zipped, so one exploded row per position holds every unit an
+    n-gram starting there needs; ``stack`` then emits the n-grams. No per-element
+    lambda is evaluated, and no array is copied per position.
+    """
+    cols, args = [], []
+    for kind, arr, max_n, sep in specs:
+        for k in range(1, max_n + 1):
+            cols.append(_shifted(arr, k).alias(f"{kind}{k}"))
+    zipped = sides.select("row_id", "side", F.explode(F.arrays_zip(*cols)).alias("z"))
+    for kind, _, max_n, sep in specs:
+        for n in range(1, max_n + 1):
+            parts = ", ".join(f"z.{kind}{k}" for k in range(1, n + 1))
+            g = (f"concat({parts})" if sep == "" else
+                 f"CASE WHEN z.{kind}{n} IS NOT NULL THEN concat_ws('{sep}', {parts}) END")
+            args += [f"'{kind}'", str(n), g]
+    stack = f"stack({len(args) // 3}, {', '.join(args)}) AS (kind, n, g)"
+    return zipped.select("row_id", "side", F.expr(stack)).filter(F.col("g").isNotNull())
+
+
+def ngram_stats(ev: DataFrame, hyp_input: Column, ref_input: Column, specs_of) -> DataFrame:
     """Clipped n-gram counts per (row_id, kind, n): ``match, hyp, ref``.
 
-    ``hyp_input``/``ref_input`` (tokens or cleaned text) are generated into a column
-    first, so that ``grams_of`` reads them once per row; a Generate in between keeps
-    the optimizer from inlining the tokenizer into the per-gram lambda.
+    ``hyp_input``/``ref_input`` (tokens or characters) are generated into a column
+    first; a Generate in between keeps the optimizer from inlining the tokenizer
+    into the n-gram expressions. ``specs_of(x)`` gives the ``gram_rows`` specs.
     """
     sides = ev.select("row_id", F.inline(F.array(
         F.struct(F.lit(0).alias("side"), hyp_input.alias("x")),
         F.struct(F.lit(1).alias("side"), ref_input.alias("x")))))
-    grams = sides.select("row_id", "side", F.inline(grams_of(F.col("x"))))
+    grams = gram_rows(sides, specs_of(F.col("x")))
     counts = grams.groupBy("row_id", "kind", "n", "g").agg(
         F.count(F.when(F.col("side") == 0, 1)).alias("p"),
         F.count(F.when(F.col("side") == 1, 1)).alias("r"))
@@ -208,10 +200,10 @@ def _chrf_inputs(ev: DataFrame, words: bool) -> DataFrame:
         toks = _strip_punct_edges(py_split(col)) if words else F.array().cast("array<string>")
         return F.struct(chars.alias("c"), toks.alias("w"))
 
-    def grams_of(x):
-        g = char_ngrams(x["c"], CHRF_CHAR_ORDER)
-        return F.concat(g, word_ngrams(x["w"], CHRF_WORD_ORDER)) if words else g
-    return ngram_stats(ev, prep(F.col("_hyp")), prep(F.col("_ref")), grams_of)
+    def specs_of(x):
+        out = [("c", x["c"], CHRF_CHAR_ORDER, "")]
+        return out + [("w", x["w"], CHRF_WORD_ORDER, " ")] if words else out
+    return ngram_stats(ev, prep(F.col("_hyp")), prep(F.col("_ref")), specs_of)
 
 
 def _ws() -> str:
@@ -223,7 +215,7 @@ def bleu_rows(df: DataFrame, hyp: str = "prediction", ref: str = "reference") ->
     """Per-row BLEU (0-100)."""
     ev = eval_frame(df, hyp, ref)
     stats = ngram_stats(ev, tokenize_13a(F.col("_hyp")), tokenize_13a(F.col("_ref")),
-                        lambda x: word_ngrams(x, BLEU_ORDER))
+                        lambda x: [("w", x, BLEU_ORDER, " ")])
     piv = _pivot_orders(stats, "w", BLEU_ORDER)
     return _guard(ev, piv.select("row_id", bleu_from_counts(piv).alias("bleu")), ["bleu"])
 
@@ -288,7 +280,7 @@ def corpus_bleu(df: DataFrame, hyp: str = "prediction", ref: str = "reference")
     ev = eval_frame(df.filter(F.col(ref).isNotNull() & (py_strip(F.col(ref)) != "") & F.col(hyp).isNotNull()),
                     hyp, ref)
     stats = ngram_stats(ev, tokenize_13a(F.col("_hyp")), tokenize_13a(F.col("_ref")),
-                        lambda x: word_ngrams(x, BLEU_ORDER))
+                        lambda x: [("w", x, BLEU_ORDER, " ")])
     piv = _pivot_orders(stats.withColumn("_all", F.lit(1)), "w", BLEU_ORDER, group=("_all",))
     return piv.select(bleu_from_counts(piv).alias("bleu"))
 

@@ -18,17 +18,23 @@ METRIC_COLS = ["total", "successful", "failed", "success_rate", "weighted_score"
                "avg_selected_margin", "std_selected_margin"]
 
 
-def pair_aggregates(final_pairs: DataFrame, group_keys=()) -> DataFrame:
-    """Sums over the chosen pairs: successes, weights, rank counts, margins."""
+def pair_aggregates(final_pairs: DataFrame, group_keys=(), where: Column | None = None,
+                    extra=()) -> DataFrame:
+    """Sums over the chosen pairs: successes, weights, rank counts, margins.
+
+    ``where`` restricts every aggregate to the chosen rows of a larger table (so the
+    table is scanned once, together with any ``extra`` aggregates)."""
     r = F.col("pre_rank")
+    ok = where if where is not None else F.lit(True)
     return final_pairs.groupBy(*group_keys).agg(
-        F.count(F.lit(1)).alias("successful"),
-        F.sum(rank_weight(r)).alias("total_weighted_score"),
-        F.count(F.when(r == 1, 1)).alias("rank_1_count"),
-        F.count(F.when(r == 2, 1)).alias("rank_2_count"),
-        F.count(F.when(r == 3, 1)).alias("rank_3_count"),
-        F.avg("margin").alias("_avg_margin"),
-        F.stddev_pop("margin").alias("_std_margin"),
+        F.count(F.when(ok, 1)).alias("successful"),
+        F.sum(F.when(ok, rank_weight(r))).alias("total_weighted_score"),
+        F.count(F.when(ok & (r == 1), 1)).alias("rank_1_count"),
+        F.count(F.when(ok & (r == 2), 1)).alias("rank_2_count"),
+        F.count(F.when(ok & (r == 3), 1)).alias("rank_3_count"),
+        F.avg(F.when(ok, F.col("margin"))).alias("_avg_margin"),
+        F.stddev_pop(F.when(ok, F.col("margin"))).alias("_std_margin"),
+        *extra,
     )
 
 

@@ -229,4 +229,13 @@ FROM fp GROUP BY pre_rank"""
             r("density_penalty"), r("final_score"), "pre_rank", r("quality"), r("margin")]
     out["mine_pairs"] = _with(*chain) + f"""
 SELECT {', '.join(cols)} FROM fp"""
+    out["group_by_source"] = _with(base, knn_cte(k), density_cte(DEMO.k_neighbors), ranked_cte(DEMO)) + """
+SELECT src_idx, count(*) AS n_candidates, round(max(final_score), 9) AS best_final_score FROM ranked GROUP BY src_idx"""
+    out["vector_norms"] = """
+WITH v AS (SELECT vec_id AS idx, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+n AS (SELECT idx, vec, sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS nrm FROM v),
+u AS (SELECT idx, vec, list_transform(vec, lambda x: CASE WHEN nrm > 0 THEN CAST(CAST(x / nrm AS FLOAT) AS DOUBLE)
+                                                      ELSE 0.0 END) AS unit FROM n)
+SELECT idx, round(list_inner_product(unit, unit), 9) AS unit_sq_norm, round(list_inner_product(unit, vec), 9) AS dot_raw
+FROM u"""
     return out

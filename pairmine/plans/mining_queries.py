@@ -12,6 +12,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairmine.functions import scalar as S
 from pairmine.operators import quality as Q
 from pairmine.operators import run_metrics as RM
 from pairmine.operators import scoring as SC
@@ -188,6 +189,22 @@ def q_margin_stats(spark, sf_dir):
     return q_run_summary(spark, sf_dir).select("successful", "avg_selected_margin", "std_selected_margin")
 
 
+def q_group_by_source(spark, sf_dir):
+    """A3: candidates per source after top-N, with the best final score."""
+    _, ranked = _ranked(spark, sf_dir)
+    return rounded(SEL.group_by_source(ranked))
+
+
+def q_vector_norms(spark, sf_dir):
+    """F9 + F11: every embedding normalised to unit length (zero stays zero), its
+    squared norm and its inner product with the raw vector."""
+    emb = corpora(spark, sf_dir)
+    vec = emb.src_vec.unionByName(emb.tgt_vec)
+    unit = vec.withColumn("unit", S.l2_normalize(F.col("vec")))
+    return rounded(unit.select("idx", S.dot(F.col("unit"), F.col("unit")).alias("unit_sq_norm"),
+                               S.dot(F.col("unit"), F.col("vec")).alias("dot_raw")))
+
+
 # --- X7 -----------------------------------------------------------------------------
 def q_mine_pairs(spark, sf_dir, materialize: bool = False):
     c = corpora(spark, sf_dir)
@@ -217,4 +234,6 @@ QUERIES = {
     "weighted_rank_score": q_weighted_rank_score,
     "margin_stats": q_margin_stats,
     "mine_pairs": q_mine_pairs,
+    "group_by_source": q_group_by_source,
+    "vector_norms": q_vector_norms,
 }

@@ -208,9 +208,10 @@ def run_sweep(grid: DataFrame, src_vec: DataFrame, tgt_vec: DataFrame, src_attrs
     final_pairs = chosen.filter("is_chosen").drop("is_chosen", "passes")
 
     n_sources = src_vec.count()
-    agg = RM.pair_aggregates(final_pairs, ["experiment_id"])
-    seen = ranked.groupBy("experiment_id").agg(F.count(F.lit(1)).alias("_n_ranked"))
-    res = (g.drop("b_id").join(agg, "experiment_id", "left").join(seen, "experiment_id", "left"))
+    # one pass over the ranked rows: chosen-pair aggregates and whether the config ran
+    agg = RM.pair_aggregates(chosen, ["experiment_id"], where=F.col("is_chosen"),
+                             extra=[F.count(F.lit(1)).alias("_n_ranked")])
+    res = g.drop("b_id").join(F.broadcast(agg), "experiment_id", "left")
     res = RM.finish_metrics(res, F.lit(n_sources))
     res = res.withColumn("status", F.when(F.col("_n_ranked") > 0, F.lit("completed"))
                          .otherwise(F.lit("failed"))).drop("_n_ranked")
