@@ -151,12 +151,22 @@ def density_adjust(df: DataFrame, p: Params, density_col: str = "_density_raw")
             .drop(density_col))
 
 
-def attach_density(df: DataFrame, density: DataFrame | None) -> DataFrame:
+# Largest target corpus whose density table (two 8-byte columns a row) is broadcast.
+DENSITY_BROADCAST_MAX_ROWS = 8_000_000
+
+
+def attach_density(df: DataFrame, density: DataFrame | None, n_targets: int | None = None) -> DataFrame:
     """Look up each candidate's target density; NULL when its corpus has a single row
-    (no neighbour after the first), which density_adjust treats as R16."""
+    (no neighbour after the first), which density_adjust treats as R16.
+
+    With a known target count under DENSITY_BROADCAST_MAX_ROWS the table is
+    broadcast, so a hub target that sits in many candidate lists cannot skew a
+    shuffle; above it the join is left to adaptive execution (skew-join split)."""
     if density is None:
         return df.withColumn("_density_raw", F.lit(None).cast("double"))
     d = density.select("tgt_idx", F.when(F.col("has_neighbors"), F.col("density")).alias("_density_raw"))
+    if n_targets is not None and n_targets <= DENSITY_BROADCAST_MAX_ROWS:
+        d = F.broadcast(d)
     return df.join(d, "tgt_idx", "left")
 
 

@@ -46,13 +46,14 @@ def candidate_table(src_vec: DataFrame, tgt_vec: DataFrame, search_k: int, **kw)
 
 
 def rank_candidates(cands: DataFrame, density: DataFrame | None, p: SC.Params,
-                    group_keys=(), adaptive: bool = True, use_density: bool = True) -> DataFrame:
+                    group_keys=(), adaptive: bool = True, use_density: bool = True,
+                    n_targets: int | None = None) -> DataFrame:
     """J4 -> adaptive -> density -> top-N, for literal or grid parameters."""
     df = SC.rescore_candidates(cands, p)
     df = SC.local_zscore(df, p, group_keys) if adaptive else (
         df.withColumn("z_score", F.lit(0.0)).withColumn("adaptive_score", F.col("score"))
           .withColumn("base_score", F.col("score")))
-    df = SC.attach_density(df, density if use_density else None)
+    df = SC.attach_density(df, density if use_density else None, n_targets)
     df = SC.density_adjust(df, p)
     df = SC.pre_rank(df, p, group_keys)
     return df.select(*group_keys, *SC.RANKED_COLS)
@@ -81,7 +82,8 @@ def mine_pairs(src_vec: DataFrame, tgt_vec: DataFrame, src_attrs: DataFrame, tgt
     cands = candidate_table(src_vec, tgt_vec, cfg.search_k)
     if density_on and density is None:
         density = SC.density_stats(tgt_vec, cfg.k_neighbors)
-    ranked = rank_candidates(cands, density, p, adaptive=adaptive_on, use_density=density_on)
+    ranked = rank_candidates(cands, density, p, adaptive=adaptive_on, use_density=density_on,
+                             n_targets=tgt_vec.count())
     if materialize:
         ranked = ranked.checkpoint(eager=True)
 

@@ -45,7 +45,8 @@ def _ranked(spark, sf_dir, cfg=DEMO) -> tuple:
     density_on = not (cfg.sparse_bonus == 0.0 and cfg.crowded_penalty == 0.0)
     cands = M.candidate_table(c.src_vec, c.tgt_vec, cfg.search_k)
     dens = SC.density_stats(c.tgt_vec, cfg.k_neighbors) if density_on else None
-    ranked = M.rank_candidates(cands, dens, p, adaptive=adaptive_on, use_density=density_on)
+    ranked = M.rank_candidates(cands, dens, p, adaptive=adaptive_on, use_density=density_on,
+                               n_targets=c.tgt_vec.count())
     return c, ranked
 
 

@@ -177,7 +177,7 @@ def run_sweep(grid: DataFrame, src_vec: DataFrame, tgt_vec: DataFrame, src_attrs
                                                             for c in src_attrs.columns if c != "idx"])
     ta = tgt_attrs.select(F.col("idx").alias("tgt_idx"), *[F.col(c).alias("tgt_" + c)
                                                             for c in tgt_attrs.columns if c != "idx"])
-    base = (SC.attach_density(cands, dens)
+    base = (SC.attach_density(cands, dens, tgt_vec.count())
             .join(sa, "src_idx", "left").join(ta, "tgt_idx", "left")
             .withColumn("tgt_text_key", F.xxhash64("tgt_text"))
             .withColumn("cosine_score", F.col("dot")))

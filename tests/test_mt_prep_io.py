@@ -136,3 +136,23 @@ def test_csv_readers_and_sinks(spark, tmp_dir):
     IO.append_results(spark.createDataFrame([(1, "failed")], "experiment_id long, status string"), res)
     IO.append_results(spark.createDataFrame([(1, "completed")], "experiment_id long, status string"), res)
     assert [r.status for r in IO.read_results(spark, res).collect()] == ["completed"]
+
+
+def test_param_grid_csv_and_text_sinks(spark, tmp_dir):
+    from pairmine.plans import sweep as SW
+    g = os.path.join(tmp_dir, "grid.csv")
+    SW.grid_minimal(spark).withColumnRenamed("quality_threshold", "comet_threshold") \
+        .coalesce(1).write.option("header", True).csv(g)
+    got = SW.read_param_grid(spark, g, start_from=5, max_experiments=10).collect()
+    assert [r.experiment_id for r in got] == list(range(5, 15)) and got[0].quality_threshold == 0.7
+    q = os.path.join(tmp_dir, "q")
+    df = spark.createDataFrame([("a \"b\"", "x,y", "r")], "input string, translation string, reference string")
+    IO.write_quoted_csv(df, q)
+    body = "".join(open(os.path.join(q, f)).read() for f in sorted(os.listdir(q)) if f.endswith(".csv"))
+    assert body.splitlines()[0] == '"input","translation","reference"'
+    t = os.path.join(tmp_dir, "t")
+    IO.write_text_corpus(spark.createDataFrame([(" a ",), ("  ",), ("b",)], "s string"), "s", t)
+    assert sorted(r.value for r in spark.read.text(t).collect()) == ["a", "b"]
+    e = os.path.join(tmp_dir, "e")
+    IO.write_eval(spark.createDataFrame([(0, "p", "r", 1.5)], "row_id long, prediction string, reference string, bleu double"), e)
+    assert spark.read.option("header", True).csv(e).collect()[0].bleu == "1.5"
