@@ -64,41 +64,61 @@ def prepare_attrs(attrs: DataFrame) -> DataFrame:
     return attrs.withColumn("text_key", F.xxhash64("text"))
 
 
+# Largest side whose small per-id attributes (label, text key) are broadcast.
+ATTR_BROADCAST_MAX_ROWS = 8_000_000
+
+
+def attach_keys(ranked: DataFrame, src_attrs: DataFrame, tgt_attrs: DataFrame,
+                n_src: int, n_tgt: int) -> DataFrame:
+    """J6, narrow part: every per-id attribute except the text (labels, text keys).
+    Broadcast under a checked row bound, so the top-N table keeps its ``src_idx``
+    partitioning for the selection windows."""
+    def small(attrs, n):
+        a = prepare_attrs(attrs).drop("text")
+        return F.broadcast(a) if n <= ATTR_BROADCAST_MAX_ROWS else a
+    return SEL.attach_text(ranked, small(src_attrs, n_src), small(tgt_attrs, n_tgt))
+
+
+def attach_texts(df: DataFrame, src_attrs: DataFrame, tgt_attrs: DataFrame) -> DataFrame:
+    """J6, wide part: the two texts, joined onto as few rows as possible."""
+    return SEL.attach_text(df, src_attrs.select("idx", "text"), tgt_attrs.select("idx", "text"))
+
+
 def mine_pairs(src_vec: DataFrame, tgt_vec: DataFrame, src_attrs: DataFrame, tgt_attrs: DataFrame,
                cfg: SC.MiningConfig = SC.MiningConfig(), *, quality_expr: QualityExpr | None = None,
                scorer: Q.Scorer | None = None, materialize: bool = True,
                density: DataFrame | None = None) -> MiningResult:
     """Full mining run for one configuration.
 
-    ``quality_expr`` builds the quality column from the ranked table joined with
-    both sides' attributes (a Spark expression); otherwise ``scorer`` is a batch
-    plug-in over (source text, target text). One of them is required.
+    ``quality_expr`` builds the quality column from the ranked table with both
+    sides' narrow attributes (a Spark expression); otherwise ``scorer`` is a batch
+    plug-in over (source text, target text) and the texts of the top-N rows are
+    attached first. One of them is required. Texts reach the final pairs only.
     """
     if quality_expr is None and scorer is None:
         raise ValueError("a quality model (quality_expr or scorer) is required")
     p = SC.Params.literal(cfg)
     adaptive_on = not (cfg.base_weight == 1.0 and cfg.z_weight == 0.0)
     density_on = not (cfg.sparse_bonus == 0.0 and cfg.crowded_penalty == 0.0)
+    n_src, n_tgt = src_vec.count(), tgt_vec.count()
     cands = candidate_table(src_vec, tgt_vec, cfg.search_k)
     if density_on and density is None:
         density = SC.density_stats(tgt_vec, cfg.k_neighbors)
     ranked = rank_candidates(cands, density, p, adaptive=adaptive_on, use_density=density_on,
-                             n_targets=tgt_vec.count())
+                             n_targets=n_tgt)
     if materialize:
         ranked = ranked.checkpoint(eager=True)
 
-    src_a, tgt_a = prepare_attrs(src_attrs), prepare_attrs(tgt_attrs)
-    with_text = SEL.attach_text(ranked, src_a, tgt_a)
+    keyed = attach_keys(ranked, src_attrs, tgt_attrs, n_src, n_tgt)
     if quality_expr is not None:
-        scored = with_text.withColumn("quality", quality_expr(with_text))
+        scored = keyed.withColumn("quality", quality_expr(keyed))
     else:
-        q = Q.score_pairs(with_text, scorer)
-        scored = Q.attach_scores(with_text, q)
+        q = Q.score_pairs(attach_texts(keyed, src_attrs, tgt_attrs), scorer)
+        scored = Q.attach_scores(keyed, q)
     chosen = SEL.choose_best(scored, cfg.quality_threshold)
-    final_pairs = chosen.filter("is_chosen").drop("is_chosen", "passes")
+    final_pairs = attach_texts(chosen.filter("is_chosen").drop("is_chosen", "passes"), src_attrs, tgt_attrs)
 
-    n_sources = src_vec.count()
-    metrics = RM.run_summary(final_pairs, n_sources)
+    metrics = RM.run_summary(final_pairs, n_src)
     return MiningResult(
         candidates=cands, ranked=ranked, scored=scored, final_pairs=final_pairs,
         metrics=metrics, rank_distribution=RM.rank_distribution(final_pairs),

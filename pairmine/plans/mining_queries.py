@@ -52,7 +52,7 @@ def _ranked(spark, sf_dir, cfg=DEMO) -> tuple:
 
 def _scored(spark, sf_dir, cfg=DEMO):
     c, ranked = _ranked(spark, sf_dir, cfg)
-    wt = SEL.attach_text(ranked, M.prepare_attrs(c.src_attrs), M.prepare_attrs(c.tgt_attrs))
+    wt = M.attach_keys(ranked, c.src_attrs, c.tgt_attrs, c.src_vec.count(), c.tgt_vec.count())
     return c, wt.withColumn("quality", _quality_expr(wt))
 
 
