@@ -79,12 +79,16 @@ def eval_frame(df: DataFrame, hyp: str = "prediction", ref: str = "reference",
                num_partitions: int | None = None) -> DataFrame:
     """Keep ``row_id`` and the two texts, hash-partitioned on ``row_id``.
 
-    The partition count is explicit (the session's shuffle partitions by default):
+    The partition count is explicit (the session's shuffle partitions, at least four
+    tasks per core):
     the work grows by the n-gram expansion after this point, so the input size
     must not let adaptive execution coalesce it into a few tasks.
     """
     out = df.select("row_id", F.col(hyp).alias("_hyp"), F.col(ref).alias("_ref"))
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    # rows differ a lot in length: several tasks per core even out the stragglers
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                              4 * spark.sparkContext.defaultParallelism)
     return out.repartition(n, "row_id")
 
 

@@ -171,7 +171,7 @@ def attach_density(df: DataFrame, density: DataFrame | None, n_targets: int | No
 
 
 def pre_rank(df: DataFrame, p: Params, group_keys=()) -> DataFrame:
-    """W3 + T2 (R7): stable order final desc, adaptive desc (only when adaptive scoring
+    """W3 + T2 + W2 (R7): stable order final desc, adaptive desc (W2, only when adaptive scoring
     is on), target id asc; keep the first ``top_after_filtering``; rank 1..N."""
     adaptive_key = F.when(p.adaptive_on(), F.col("adaptive_score")).otherwise(F.lit(0.0))
     w = (Window.partitionBy(*group_keys, "src_idx")
