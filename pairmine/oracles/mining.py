@@ -125,10 +125,10 @@ fp AS (SELECT *, final_score - coalesce(best_other, final_score) AS margin FROM
 
 
 def metrics_cte() -> str:
-    w = ("CASE WHEN pre_rank IS NULL THEN 0.0 WHEN pre_rank = 1 THEN 1.0 WHEN pre_rank = 2 THEN 0.7 "
-         "WHEN pre_rank = 3 THEN 0.5 WHEN pre_rank = 4 THEN 0.3 ELSE 0.1 END")
+    w = ("CAST(CASE WHEN pre_rank IS NULL THEN 0.0 WHEN pre_rank = 1 THEN 1.0 WHEN pre_rank = 2 THEN 0.7 "
+         "WHEN pre_rank = 3 THEN 0.5 WHEN pre_rank = 4 THEN 0.3 ELSE 0.1 END AS DOUBLE)")
     return f"""
-agg AS (SELECT count(*) AS successful, coalesce(sum({w}), 0.0) AS total_weighted_score,
+agg AS (SELECT count(*) AS successful, coalesce(sum({w}), CAST(0.0 AS DOUBLE)) AS total_weighted_score,
                count(*) FILTER (WHERE pre_rank = 1) AS rank_1_count,
                count(*) FILTER (WHERE pre_rank = 2) AS rank_2_count,
                count(*) FILTER (WHERE pre_rank = 3) AS rank_3_count,
@@ -217,8 +217,8 @@ SELECT {', '.join(summary_cols)} FROM summary"""
 SELECT total, {r('total_weighted_score')}, {r('weighted_score')} FROM summary"""
     out["margin_stats"] = _with(*chain, metrics_cte()) + f"""
 SELECT successful, {r('avg_selected_margin')}, {r('std_selected_margin')} FROM summary"""
-    w = ("CASE WHEN pre_rank IS NULL THEN 0.0 WHEN pre_rank = 1 THEN 1.0 WHEN pre_rank = 2 THEN 0.7 "
-         "WHEN pre_rank = 3 THEN 0.5 WHEN pre_rank = 4 THEN 0.3 ELSE 0.1 END")
+    w = ("CAST(CASE WHEN pre_rank IS NULL THEN 0.0 WHEN pre_rank = 1 THEN 1.0 WHEN pre_rank = 2 THEN 0.7 "
+         "WHEN pre_rank = 3 THEN 0.5 WHEN pre_rank = 4 THEN 0.3 ELSE 0.1 END AS DOUBLE)")
     out["rank_distribution"] = _with(*chain) + f"""
 SELECT pre_rank, count(*) AS n,
        round(count(*) * 100.0 / sum(count(*)) OVER (), 9) AS percentage,

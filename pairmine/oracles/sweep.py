@@ -77,8 +77,8 @@ c4 AS (SELECT *, max(CASE WHEN tgt_text <> chosen_text THEN final_score END)
                    OVER (PARTITION BY experiment_id, src_idx) AS best_other FROM c3),
 fp AS (SELECT *, final_score - coalesce(best_other, final_score) AS margin FROM c4 WHERE is_chosen),
 agg AS (SELECT experiment_id, count(*) AS successful,
-               sum(CASE WHEN pre_rank = 1 THEN 1.0 WHEN pre_rank = 2 THEN 0.7 WHEN pre_rank = 3 THEN 0.5
-                        WHEN pre_rank = 4 THEN 0.3 ELSE 0.1 END) AS total_weighted_score,
+               sum(CAST(CASE WHEN pre_rank = 1 THEN 1.0 WHEN pre_rank = 2 THEN 0.7 WHEN pre_rank = 3 THEN 0.5
+                        WHEN pre_rank = 4 THEN 0.3 ELSE 0.1 END AS DOUBLE)) AS total_weighted_score,
                count(*) FILTER (WHERE pre_rank = 1) AS rank_1_count,
                count(*) FILTER (WHERE pre_rank = 2) AS rank_2_count,
                count(*) FILTER (WHERE pre_rank = 3) AS rank_3_count,
@@ -91,8 +91,8 @@ res AS (
          ns.total, coalesce(agg.successful, 0) AS successful,
          ns.total - coalesce(agg.successful, 0) AS failed,
          CASE WHEN ns.total > 0 THEN coalesce(agg.successful, 0) * 100.0 / ns.total ELSE 0.0 END AS success_rate,
-         CASE WHEN ns.total > 0 THEN coalesce(agg.total_weighted_score, 0.0) / ns.total ELSE 0.0 END AS weighted_score,
-         coalesce(agg.total_weighted_score, 0.0) AS total_weighted_score,
+         CASE WHEN ns.total > 0 THEN coalesce(agg.total_weighted_score, CAST(0.0 AS DOUBLE)) / ns.total ELSE 0.0 END AS weighted_score,
+         coalesce(agg.total_weighted_score, CAST(0.0 AS DOUBLE)) AS total_weighted_score,
          coalesce(agg.rank_1_count, 0) AS rank_1_count, coalesce(agg.rank_2_count, 0) AS rank_2_count,
          coalesce(agg.rank_3_count, 0) AS rank_3_count,
          CASE WHEN coalesce(agg.successful, 0) > 0 THEN agg.rank_1_count * 100.0 / agg.successful ELSE 0.0 END AS rank_1_percentage,
