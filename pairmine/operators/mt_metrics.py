@@ -248,7 +248,7 @@ def meteor_rows(df: DataFrame, hyp: str = "prediction", ref: str = "reference")
     """Per-row METEOR, exact-match stage.
 
     The k-th last occurrence of a word in the hypothesis is aligned with its k-th
-    last occurrence in the reference (an equi-join on (row, word, occurrence));
+    last occurrence in the reference (grouped on (row, word, occurrence));
     chunks are runs of matches consecutive on both sides (gaps and islands).
     """
     ev = eval_frame(df, hyp, ref)
@@ -258,9 +258,12 @@ def meteor_rows(df: DataFrame, hyp: str = "prediction", ref: str = "reference")
     pos = toks.select("row_id", "side", F.posexplode("t").alias("pos", "tok"))
     occ = pos.withColumn("occ", F.row_number().over(
         Window.partitionBy("row_id", "side", "tok").orderBy(F.desc("pos"))))
-    h = occ.filter("side = 0").select("row_id", "tok", "occ", F.col("pos").alias("hp"))
-    r = occ.filter("side = 1").select("row_id", "tok", "occ", F.col("pos").alias("rp"))
-    m = h.join(r, ["row_id", "tok", "occ"])
+    # pair the k-th last occurrences of both sides: an aggregation keyed by
+    # (row_id, tok, occ) reuses the row_id partitioning, where a join would reshuffle
+    m = (occ.groupBy("row_id", "tok", "occ")
+            .agg(F.max(F.when(F.col("side") == 0, F.col("pos"))).alias("hp"),
+                 F.max(F.when(F.col("side") == 1, F.col("pos"))).alias("rp"))
+            .filter(F.col("hp").isNotNull() & F.col("rp").isNotNull()))
     w = Window.partitionBy("row_id").orderBy("hp")
     brk = F.when((F.lag("hp").over(w) + 1 == F.col("hp")) & (F.lag("rp").over(w) + 1 == F.col("rp")), 0).otherwise(1)
     per = m.withColumn("_brk", brk).groupBy("row_id").agg(
