@@ -152,7 +152,7 @@ def _explode_rows(df: DataFrame, rows: list, cols: list[str]) -> DataFrame:
 
 def run_sweep(grid: DataFrame, src_vec: DataFrame, tgt_vec: DataFrame, src_attrs: DataFrame,
               tgt_attrs: DataFrame, *, quality_expr=None, scorer=None, k_neighbors: int = 20,
-              materialize: bool = False) -> SweepResult:
+              materialize: bool = True) -> SweepResult:
     """X4 + X5 + J13: every config of ``grid`` over the same corpora, as one job."""
     if quality_expr is None and scorer is None:
         raise ValueError("a quality model (quality_expr or scorer) is required")

@@ -30,7 +30,7 @@ def sweep_grid(spark) -> DataFrame:
 def _sweep(spark, sf_dir, grid=None) -> SW.SweepResult:
     c = corpora(spark, sf_dir)
     return SW.run_sweep(grid if grid is not None else sweep_grid(spark), c.src_vec, c.tgt_vec,
-                        c.src_attrs, c.tgt_attrs, quality_expr=_quality_expr)
+                        c.src_attrs, c.tgt_attrs, quality_expr=_quality_expr, materialize=False)
 
 
 def q_run_sweep(spark, sf_dir):
