@@ -151,8 +151,11 @@ def density_adjust(df: DataFrame, p: Params, density_col: str = "_density_raw")
             .drop(density_col))
 
 
-# Largest target corpus whose density table (two 8-byte columns a row) is broadcast.
-DENSITY_BROADCAST_MAX_ROWS = 8_000_000
+# Largest target corpus whose density table is broadcast by hint. 0 = no hint: the
+# density job is an independent stage, and a hinted broadcast would run it before the
+# main job instead of next to it; adaptive execution still turns the join into a
+# broadcast from the measured size, or splits a skewed partition (hub targets).
+DENSITY_BROADCAST_MAX_ROWS = 0
 
 
 def attach_density(df: DataFrame, density: DataFrame | None, n_targets: int | None = None) -> DataFrame:
@@ -160,8 +163,8 @@ def attach_density(df: DataFrame, density: DataFrame | None, n_targets: int | No
     (no neighbour after the first), which density_adjust treats as R16.
 
     With a known target count under DENSITY_BROADCAST_MAX_ROWS the table is
-    broadcast, so a hub target that sits in many candidate lists cannot skew a
-    shuffle; above it the join is left to adaptive execution (skew-join split)."""
+    broadcast by hint; otherwise adaptive execution picks the join from measured
+    sizes and splits a skewed partition (a hub target in many candidate lists)."""
     if density is None:
         return df.withColumn("_density_raw", F.lit(None).cast("double"))
     d = density.select("tgt_idx", F.when(F.col("has_neighbors"), F.col("density")).alias("_density_raw"))

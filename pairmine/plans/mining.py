@@ -64,8 +64,10 @@ def prepare_attrs(attrs: DataFrame) -> DataFrame:
     return attrs.withColumn("text_key", F.xxhash64("text"))
 
 
-# Largest side whose small per-id attributes (label, text key) are broadcast.
-ATTR_BROADCAST_MAX_ROWS = 8_000_000
+# Largest side whose small per-id attributes (label, text key) are broadcast by hint.
+# 0 = leave it to adaptive execution (measured sizes), which ran faster here because
+# a hinted broadcast is built before the main job starts.
+ATTR_BROADCAST_MAX_ROWS = 0
 
 
 def attach_keys(ranked: DataFrame, src_attrs: DataFrame, tgt_attrs: DataFrame,
