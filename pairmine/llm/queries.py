@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairmine.llm import mixing, simhash
+from pairmine.llm import mixing, packing, simhash, substring
 from pairmine.llm.common import table
 
 
@@ -18,4 +18,13 @@ def op7_mix_sources(spark, sf_dir):
                       (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op7_mix_sources)}
+def op8_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_array_dedup(spark, sf_dir):
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_simhash_near_dedup, op7_mix_sources, op8_best_fit_packing, op10_suffix_array_dedup)}
