@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairmine.llm import licenses, mixing, packing, rules, simhash, substring
+from pairmine.llm import licenses, mixing, packing, quality, rules, simhash, substring, toxicity
 from pairmine.llm.common import table
 
 
@@ -16,10 +16,20 @@ def op2_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_quality_rules(spark, sf_dir):
     return rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("failed_rules")
 
 
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_mix_sources(spark, sf_dir):
     out = mixing.rates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target",
@@ -35,4 +45,5 @@ def op10_suffix_array_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_license_scan, op4_quality_rules, op7_mix_sources, op8_best_fit_packing, op10_suffix_array_dedup)}
+    op1_simhash_near_dedup, op2_license_scan, op3_quality_classifier, op4_quality_rules,
+    op5_toxicity, op7_mix_sources, op8_best_fit_packing, op10_suffix_array_dedup)}
