@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairmine.llm import licenses, mixing, packing, quality, rules, simhash, substring, toxicity
+from pairmine.llm import ann, licenses, mixing, packing, pii, quality, rules, simhash, substring, toxicity
 from pairmine.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_adaptive_scan_ann(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mix_sources(spark, sf_dir):
     out = mixing.rates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target",
@@ -40,10 +44,15 @@ def op8_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_bootstrapped_pii(spark, sf_dir):
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_array_dedup(spark, sf_dir):
     return substring.dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_license_scan, op3_quality_classifier, op4_quality_rules,
-    op5_toxicity, op7_mix_sources, op8_best_fit_packing, op10_suffix_array_dedup)}
+    op5_toxicity, op6_adaptive_scan_ann, op7_mix_sources, op8_best_fit_packing,
+    op9_bootstrapped_pii, op10_suffix_array_dedup)}
