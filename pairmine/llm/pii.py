@@ -227,7 +227,8 @@ def detect(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` (all columns) with every span of the text replaced by [KIND]; a null text
-    stays null. Overlapping spans are replaced as one, under the first one's kind."""
+    stays null, a column n_chars follows the changed texts. Overlapping spans are replaced
+    as one, under the first one's kind."""
     found = staged(_keyed(docs).mapInArrow(_extract, _FOUND), "pii")
     added = checked_broadcast(staged(discover(found, rounds), "added"), MAX_BROADCAST_TEXTS)
     added = added.select(F.col("doc_id").alias("_pii_id"), F.col("key").alias("_pii_key"), F.col("added").alias("_pii_added"))
@@ -252,5 +253,9 @@ def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.withColumn("_pii_text_key", key).join(
         added, F.col("doc_id").cast("long").eqNullSafe(F.col("_pii_id")) & (F.col("_pii_text_key") == F.col("_pii_key")), "left")
-    new = replaced(F.col("text"), F.col("_pii_added"))
-    return rows.select(*[(new.alias(c) if c == "text" else F.col(f"`{c}`")) for c in docs.columns])
+    rows = rows.withColumn("_pii_text", replaced(F.col("text"), F.col("_pii_added")))
+    changed = ~F.col("_pii_text").eqNullSafe(F.col("text"))
+    put = {"text": F.col("_pii_text").alias("text")}
+    if "n_chars" in docs.columns:
+        put["n_chars"] = F.when(changed, F.length("_pii_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return rows.select(*[put.get(c, F.col(f"`{c}`")) for c in docs.columns])
