@@ -3,25 +3,23 @@ J5 self_knn_density neighbours, T1 topk_per_source).
 
 Plan (blocked matrix product, no index object):
 
-* Both sides are hashed into blocks of bounded size: ``sb = xxhash64(id) mod n_sb``
-  and ``tb = xxhash64(id) mod n_tb``. Block sizes follow a byte budget, so a block
-  never grows with the data; the number of blocks does.
-* Every source row is sent to each target block (``explode(sequence(0, n_tb-1))``)
-  and every target row to each source block. ``cogroup`` on ``(sb, tb)`` brings
-  one source block and one target block together in one task; the group is
-  bounded by the two block sizes. The pandas function runs one NumPy matrix
-  product and keeps, per source row, the k best targets by inner product and by
-  squared distance (ties: similarity first, then the smaller target id).
-  Pairs are never materialised: each task emits at most ``2k`` rows per source.
-* With one target block these are final. With several, one shuffle on
-  ``src_idx`` and a ``row_number`` window (planned as ``WindowGroupLimit``)
-  merge the per-block lists; the true top-k of a source is always among the
-  rows emitted by its blocks, so the merged ranks are exact.
-
-Work is O(S*T*d) as for any exact flat search; network volume is
-O(S*n_tb + T*n_sb) vectors. Similarities are rounded to 9 decimals before
-ranking so that block shapes (BLAS summation order) and duplicate vectors
-cannot change the order.
+* Both sides are hashed into blocks: ``sb = xxhash64(id) mod n_sb`` and
+  ``tb = xxhash64(id) mod n_tb``. A block holds at most about ``BLOCK_BYTES`` of vectors;
+  beyond that the grid has about two block pairs per core, shaped so that the vectors sent
+  (each source to n_tb blocks, each target to n_sb) are fewest. ``cogroup`` on ``(sb, tb)``
+  brings one source and one target block together in one task.
+* In the task the product is computed in tiles of at most ``TILE_PAIRS`` pairs and the k
+  best targets per source (ties: similarity, then the smaller target id) are kept as the
+  tiles go by, so memory follows the blocks and the tile, not their product. A task emits
+  at most ``2k`` rows per source; pairs are never materialised.
+* With several target blocks each of the two lists is cut to k per source by a
+  ``row_number`` window of its own (planned as ``WindowGroupLimit``), and the two are put
+  together by key. The true top-k of a source is always among the rows of its blocks.
+
+A NULL vector takes no part. A pair whose similarity is not finite is never a candidate,
+and does not cost its source the finite ones. Work is O(S*T*d) as for any exact flat
+search. Similarities are rounded to 9 decimals before ranking, so that tile shapes (BLAS
+summation order) and duplicate vectors cannot change the order.
 """
 
 from __future__ import annotations
@@ -36,15 +34,19 @@ from pyspark.sql import functions as F
 from pairmine.functions.scalar import SIM_DECIMALS
 from pairmine.session import default_parallelism
 
-# Byte budget of one block of vectors (FLOAT32) inside a task.
-BLOCK_BYTES = 32 * 1024 * 1024
+# Byte budget of one block of vectors (FLOAT64 in the task).
+BLOCK_BYTES = 64 * 1024 * 1024
+# Pairs of one tile of the product: all its temporaries take about 50 bytes a pair.
+TILE_PAIRS = 2 * 1024 * 1024
+# A block pair below this many pairs is not worth a task of its own.
+MIN_TASK_PAIRS = 2 * 1024 * 1024
 
 KNN_SCHEMA = ("src_idx long, tgt_idx long, dot double, sqd double, "
               "ip_rank int, l2_rank int")
 
 
 def _select_topk(key: np.ndarray, tid: np.ndarray, k: int, ascending: bool):
-    """Per row of ``key`` (n_s x n_t) the k best columns: (rows, cols, ranks 1..k).
+    """Per row of ``key`` (n_s x n_t) the k best finite columns: (rows, cols, ranks 1..k).
 
     Order: key (desc unless ascending), then target id ascending. Ties at the
     k-th value are all considered before the id decides.
@@ -54,13 +56,12 @@ def _select_topk(key: np.ndarray, tid: np.ndarray, k: int, ascending: bool):
     if kk <= 0 or n_s == 0:
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, empty
-    signed = key if ascending else -key
+    signed = np.where(np.isfinite(key), key if ascending else -key, np.inf)
+    keep = np.isfinite(signed)
     if kk < n_t:
-        part = np.argpartition(signed, kk - 1, axis=1)[:, :kk]
-        thr = np.take_along_axis(signed, part, axis=1).max(axis=1)
-        rows, cols = np.nonzero(signed <= thr[:, None])
-    else:
-        rows, cols = np.nonzero(np.ones_like(signed, dtype=bool))
+        thr = np.partition(signed, kk - 1, axis=1)[:, kk - 1]
+        keep &= signed <= thr[:, None]
+    rows, cols = np.nonzero(keep)
     order = np.lexsort((tid[cols], signed[rows, cols], rows))
     rows, cols = rows[order], cols[order]
     starts = np.searchsorted(rows, np.arange(n_s))
@@ -69,84 +70,108 @@ def _select_topk(key: np.ndarray, tid: np.ndarray, k: int, ascending: bool):
     return rows[keep], cols[keep], (pos[keep] + 1)
 
 
-def _lookup(pairs: np.ndarray, code: np.ndarray, rank: np.ndarray):
-    """Rank of each pair code in (code, rank), NULL where absent."""
-    order = np.argsort(code)
-    sc = code[order]
-    pos = np.minimum(np.searchsorted(sc, pairs), len(sc) - 1)
-    hit = sc[pos] == pairs
-    out = pd.array([None] * len(pairs), dtype="Int32")
-    out[hit] = rank[order][pos[hit]].astype(np.int32)
-    return out
+class _Best:
+    """The k best (row, target) pairs per source row over the tiles seen so far."""
+
+    def __init__(self, k: int, ascending: bool):
+        self.k, self.ascending = k, ascending
+        self.cols = None      # row, target id, dot, sqd
+
+    def add(self, key, tid, dot, sqd, row0):
+        r, c, _ = _select_topk(key, tid, self.k, self.ascending)
+        new = (r + row0, tid[c], dot[r, c], sqd[r, c])
+        if self.cols is not None:
+            new = tuple(np.concatenate(x) for x in zip(self.cols, new))
+        rows, ids, d, q = new
+        order = np.lexsort((ids, q if self.ascending else -d, rows))
+        rows = rows[order]
+        pos = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        order = order[pos < self.k]
+        self.cols = tuple(x[order] for x in new)
+        self.rank = pos[pos < self.k] + 1
+
+
+def block_topk(sid, S, tid, T, k: int, want_ip: bool, want_l2: bool) -> pd.DataFrame:
+    """Top-k lists of one source block against one target block, tile by tile."""
+    s_sq, t_sq = (S * S).sum(axis=1), (T * T).sum(axis=1)
+    t_step = max(1, min(len(tid), TILE_PAIRS // max(1, min(len(sid), 1024))))
+    s_step = max(1, TILE_PAIRS // t_step)
+    frames = []
+    for i in range(0, len(sid), s_step):
+        lists = {}
+        if want_ip:
+            lists["ip_rank"] = _Best(k, False)
+        if want_l2:
+            lists["l2_rank"] = _Best(k, True)
+        for j in range(0, len(tid), t_step):
+            with np.errstate(invalid="ignore", over="ignore"):
+                dot = S[i:i + s_step] @ T[j:j + t_step].T
+                sqd = s_sq[i:i + s_step, None] + t_sq[None, j:j + t_step] - 2.0 * dot
+            sqd = np.round(np.maximum(sqd, 0.0), SIM_DECIMALS)
+            dot = np.round(dot, SIM_DECIMALS)
+            for name, best in lists.items():
+                best.add(sqd if best.ascending else dot, tid[j:j + t_step], dot, sqd, 0)
+        part = None
+        for name, best in lists.items():
+            rows, ids, d, q = best.cols
+            f = pd.DataFrame({"src_idx": sid[i + rows], "tgt_idx": ids, "dot": d, "sqd": q,
+                              name: pd.array(best.rank, dtype="Int32")})
+            part = f if part is None else part.merge(f, on=["src_idx", "tgt_idx", "dot", "sqd"], how="outer")
+        for name in ("ip_rank", "l2_rank"):
+            if name not in part:
+                part[name] = pd.array([None] * len(part), dtype="Int32")
+        frames.append(part)
+    cols = ["src_idx", "tgt_idx", "dot", "sqd", "ip_rank", "l2_rank"]
+    return pd.concat(frames)[cols]
 
 
 def _block_topk_fn(k: int, want_ip: bool, want_l2: bool):
-    cols = ["src_idx", "tgt_idx", "dot", "sqd", "ip_rank", "l2_rank"]
-
     def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in cols})
-        sid = left["id"].to_numpy(np.int64)
-        tid = right["id"].to_numpy(np.int64)
-        S = np.stack(left["vec"].to_numpy()).astype(np.float64)
-        T = np.stack(right["vec"].to_numpy()).astype(np.float64)
-        D = S @ T.T
-        dotr = np.round(D, SIM_DECIMALS)
-        sq = (S * S).sum(axis=1)[:, None] + (T * T).sum(axis=1)[None, :] - 2.0 * D
-        sqr = np.round(np.maximum(sq, 0.0), SIM_DECIMALS)
-        n_t = D.shape[1]
-        lists = []
-        if want_ip:
-            lists.append(_select_topk(dotr, tid, k, ascending=False))
-        if want_l2:
-            lists.append(_select_topk(sqr, tid, k, ascending=True))
-        codes = [r.astype(np.int64) * n_t + c for r, c, _ in lists]
-        pairs = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
-        if len(pairs) == 0:
-            return pd.DataFrame({c: [] for c in cols})
-        rr, cc = pairs // n_t, pairs % n_t
-
-        ip_idx = 0 if want_ip else None
-        l2_idx = (1 if want_ip else 0) if want_l2 else None
-        none = pd.array([None] * len(pairs), dtype="Int32")
-        return pd.DataFrame({
-            "src_idx": sid[rr],
-            "tgt_idx": tid[cc],
-            "dot": dotr[rr, cc],
-            "sqd": sqr[rr, cc],
-            "ip_rank": _lookup(pairs, codes[ip_idx], lists[ip_idx][2]) if ip_idx is not None else none,
-            "l2_rank": _lookup(pairs, codes[l2_idx], lists[l2_idx][2]) if l2_idx is not None else none,
-        })
+            return pd.DataFrame({c: [] for c in ("src_idx", "tgt_idx", "dot", "sqd", "ip_rank", "l2_rank")})
+        return block_topk(left["id"].to_numpy(np.int64), np.stack(left["vec"].to_numpy()).astype(np.float64),
+                          right["id"].to_numpy(np.int64), np.stack(right["vec"].to_numpy()).astype(np.float64),
+                          k, want_ip, want_l2)
 
     return fn
 
 
-def _plan_blocks(n_rows: int, dim: int, min_blocks: int = 1) -> int:
-    rows_per_block = max(1, BLOCK_BYTES // max(1, dim * 4))
-    return max(min_blocks, math.ceil(n_rows / rows_per_block)) if n_rows > 0 else 0
+def plan_blocks(n_s: int, n_t: int, dim: int, cores: int) -> tuple[int, int]:
+    """(source blocks, target blocks): blocks within BLOCK_BYTES and, if the work is worth
+    it, about two block pairs per core with the least replication."""
+    rows = max(1, BLOCK_BYTES // max(1, dim * 8))
+    n_sb, n_tb = math.ceil(n_s / rows), math.ceil(n_t / rows)
+    tasks = min(2 * cores, math.ceil(n_s * n_t / MIN_TASK_PAIRS))
+    if n_sb * n_tb < tasks:
+        # Rows sent are n_s * n_tb + n_t * n_sb: least when n_sb : n_tb = n_s : n_t.
+        n_sb = min(n_s, max(n_sb, round(math.sqrt(tasks * n_s / n_t))))
+        n_tb = min(n_t, max(n_tb, math.ceil(tasks / n_sb)))
+    return n_sb, n_tb
 
 
 def exact_topk(src: DataFrame, tgt: DataFrame, k: int, *, src_id: str = "idx",
                tgt_id: str = "idx", vec: str = "vec", by=("ip", "l2"),
-               n_src_blocks: int | None = None, n_tgt_blocks: int | None = None) -> DataFrame:
+               n_src_blocks: int | None = None, n_tgt_blocks: int | None = None,
+               n_src: int | None = None) -> DataFrame:
     """Exact top-k join of two vector tables.
 
     Returns ``src_idx, tgt_idx, dot, sqd, ip_rank, l2_rank``: one row per pair
     that is among the k largest inner products (``ip_rank``) or the k smallest
     squared distances (``l2_rank``) of its source. A rank is NULL when the pair
     is not in that list. ``k`` larger than the target table yields every target
-    once (no phantom rows).
+    once (no phantom rows). ``n_src`` is an upper bound of the source rows, for a
+    caller whose source table is expensive to count.
     """
     spark = src.sparkSession
     want_ip, want_l2 = "ip" in by, "l2" in by
-    s = src.select(F.col(src_id).cast("long").alias("id"), F.col(vec).alias("vec"))
-    t = tgt.select(F.col(tgt_id).cast("long").alias("id"), F.col(vec).alias("vec"))
-    n_s, n_t = s.count(), t.count()
+    s = src.select(F.col(src_id).cast("long").alias("id"), F.col(vec).alias("vec")).filter("vec is not null")
+    t = tgt.select(F.col(tgt_id).cast("long").alias("id"), F.col(vec).alias("vec")).filter("vec is not null")
+    n_s, n_t = s.count() if n_src is None else n_src, t.count()
     if n_s == 0 or n_t == 0 or k <= 0:
         return spark.createDataFrame([], KNN_SCHEMA)
-    dim = int(s.select(F.size("vec")).first()[0])
-    n_tb = n_tgt_blocks or _plan_blocks(n_t, dim)
-    n_sb = n_src_blocks or min(n_s, _plan_blocks(n_s, dim, default_parallelism(spark)))
+    dim = int(t.select(F.size("vec")).first()[0])
+    n_sb, n_tb = plan_blocks(n_s, n_t, dim, default_parallelism(spark))
+    n_sb, n_tb = n_src_blocks or n_sb, n_tgt_blocks or n_tb
 
     s_rep = (s.withColumn("sb", F.pmod(F.xxhash64("id"), F.lit(n_sb)).cast("int"))
               .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(n_tb - 1)))))
@@ -158,27 +183,17 @@ def exact_topk(src: DataFrame, tgt: DataFrame, k: int, *, src_id: str = "idx",
     if n_tb == 1:
         return partial
     w = Window.partitionBy("src_idx")
-    merged = partial
-    conds = []
-    if want_ip:
-        merged = merged.withColumn(
-            "ip_rank", F.row_number().over(w.orderBy(F.desc("dot"), F.asc("tgt_idx"))))
-        conds.append(F.col("ip_rank") <= k)
-    if want_l2:
-        merged = merged.withColumn(
-            "l2_rank", F.row_number().over(w.orderBy(F.asc("sqd"), F.asc("tgt_idx"))))
-        conds.append(F.col("l2_rank") <= k)
-    keep = conds[0] if len(conds) == 1 else (conds[0] | conds[1])
-    out = merged.filter(keep)
-    if want_ip:
-        out = out.withColumn("ip_rank", F.when(F.col("ip_rank") <= k, F.col("ip_rank")))
-    else:
-        out = out.withColumn("ip_rank", F.lit(None).cast("int"))
-    if want_l2:
-        out = out.withColumn("l2_rank", F.when(F.col("l2_rank") <= k, F.col("l2_rank")))
-    else:
-        out = out.withColumn("l2_rank", F.lit(None).cast("int"))
-    return out.select("src_idx", "tgt_idx", "dot", "sqd", "ip_rank", "l2_rank")
+    lists = []
+    for name, order in (("ip_rank", [F.desc("dot"), F.asc("tgt_idx")]), ("l2_rank", [F.asc("sqd"), F.asc("tgt_idx")])):
+        if name[:2] in by:
+            best = partial.filter(F.col(name).isNotNull()).withColumn(name, F.row_number().over(w.orderBy(*order)))
+            others = {c: F.lit(None).cast("int") for c in ("ip_rank", "l2_rank") if c != name}
+            lists.append(best.filter(F.col(name) <= k).withColumns(others)
+                         .select("src_idx", "tgt_idx", "dot", "sqd", "ip_rank", "l2_rank"))
+    if len(lists) == 1:
+        return lists[0]
+    return (lists[0].unionByName(lists[1]).groupBy("src_idx", "tgt_idx")
+            .agg(*[F.max(c).alias(c) for c in ("dot", "sqd", "ip_rank", "l2_rank")]))
 
 
 def knn_inner_product(src: DataFrame, tgt: DataFrame, k: int, **kw) -> DataFrame:
@@ -200,9 +215,11 @@ def candidate_union(src: DataFrame, tgt: DataFrame, k: int, **kw) -> DataFrame:
     return exact_topk(src, tgt, k, by=("ip", "l2"), **kw)
 
 
-def self_neighbours(vectors: DataFrame, k_neighbors: int, **kw) -> DataFrame:
-    """For each vector, its ``k_neighbors + 1`` most similar vectors of the same
-    table (itself included, as a flat index search returns it)."""
-    return (exact_topk(vectors, vectors, k_neighbors + 1, by=("ip",), **kw)
+def self_neighbours(vectors: DataFrame, k_neighbors: int, only: DataFrame | None = None,
+                    n_only: int | None = None, **kw) -> DataFrame:
+    """For each vector (each id of ``only``, when given), its ``k_neighbors + 1`` most
+    similar vectors of the same table (itself included, as a flat index search returns it)."""
+    left = vectors if only is None else vectors.join(only.select("idx").distinct(), "idx", "left_semi")
+    return (exact_topk(left, vectors, k_neighbors + 1, by=("ip",), n_src=n_only if only is not None else None, **kw)
             .select(F.col("src_idx").alias("idx"), F.col("tgt_idx").alias("nbr_idx"),
                     F.col("dot").alias("sim"), F.col("ip_rank").alias("rank")))

@@ -1,64 +1,80 @@
 """Batch model jobs (the plug-in surface): M1 embed, M3 translate, M4 model_metric.
 
-A model is any Python callable applied to Arrow batches inside ``mapInPandas``;
-it is created once per Python worker (``factory``) and keys travel with the batch,
-so nothing is re-attached by position. A failing batch is retried row by row and a
-failing row gets NULL plus an error message (M5). The networks themselves are not
-part of this library.
-
-``hashed_char_embedder`` is a deterministic **stand-in** (hashed character
-trigrams, L2-normalised), not a sentence encoder.
+A model is given as a ``Factory``: a string key and a callable that builds it. The factory
+is shipped, not the model; it is called once per Python worker process and the model kept
+under its key (``process_cache``). Models are applied to Arrow batches inside
+``mapInPandas`` and keys travel with the batch, so nothing is re-attached by position. A
+failing batch is retried row by row and a failing row gets NULL plus an error message
+(M5). The networks themselves are not part of this library.
+
+``hashed_char_embedder`` is a deterministic **stand-in** (hashed character trigrams,
+L2-normalised), not a sentence encoder; ``copy_translator`` returns its input.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+from dataclasses import dataclass
 from typing import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-_MODEL_CACHE: dict = {}
+from pairmine.process_cache import process_cached
 
 
-def _cached(key, factory):
-    if key not in _MODEL_CACHE:
-        _MODEL_CACHE[key] = factory()
-    return _MODEL_CACHE[key]
+@dataclass(frozen=True)
+class Factory:
+    key: str                  # names the model, and its configuration
+    build: Callable[[], Callable]
+
+    def model(self):
+        return process_cached(f"model:{self.key}", self.build)
 
 
 def hashed_char_embedder(dim: int = 64, n: int = 3) -> Callable[[pd.Series], np.ndarray]:
-    """Stand-in encoder: counts of hashed character n-grams, L2-normalised."""
+    """Stand-in encoder: signed counts of character n-grams hashed by MD5, L2-normalised.
+    The first hex digit's parity gives the sign, the next four the cell."""
+    cells: dict[str, tuple[int, float]] = {}
+
+    def cell(gram: str) -> tuple[int, float]:
+        if gram not in cells:
+            if len(cells) > 500_000:
+                cells.clear()
+            h = hashlib.md5(gram.encode()).hexdigest()
+            cells[gram] = int(h[1:5], 16) % dim, 1.0 if int(h[0], 16) % 2 else -1.0
+        return cells[gram]
+
     def encode(texts: pd.Series) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float32)
+        out = np.zeros((len(texts), dim), dtype=np.float64)
         for i, t in enumerate(texts.fillna("")):
             if not t:
                 continue                      # empty text -> zero vector
             s = f" {t} "
             for j in range(max(1, len(s) - n + 1)):
-                h = zlib.crc32(s[j:j + n].encode("utf-8"))
-                out[i, h % dim] += 1.0 if (h >> 16) & 1 else -1.0
+                c, sign = cell(s[j:j + n])
+                out[i, c] += sign
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
     return encode
 
 
-def embed(df: DataFrame, text_col: str, id_col: str = "idx",
-          factory: Callable[[], Callable[[pd.Series], np.ndarray]] | None = None,
+EMBEDDER = Factory("hashed-char-64-3", hashed_char_embedder)
+
+
+def embed(df: DataFrame, text_col: str, id_col: str = "idx", factory: Factory = EMBEDDER,
           batch_size: int = 128) -> DataFrame:
     """M1 + F9: text -> unit vector ``ARRAY<FLOAT>`` in batches."""
-    make = factory or (lambda: hashed_char_embedder())
-    key = id(make)
 
     def run(it):
-        model = _cached(key, make)
+        model = factory.model()
         for pdf in it:
             for s in range(0, len(pdf), batch_size):
                 part = pdf.iloc[s:s + batch_size]
-                vecs = np.asarray(model(part[text_col].reset_index(drop=True)), dtype=np.float32)
+                vecs = np.asarray(model(part[text_col].reset_index(drop=True)), dtype=np.float64)
                 norms = np.linalg.norm(vecs, axis=1, keepdims=True)
-                vecs = np.divide(vecs, norms, out=np.zeros_like(vecs), where=norms > 0)
+                vecs = np.divide(vecs, norms, out=np.zeros_like(vecs), where=norms > 0).astype(np.float32)
                 yield pd.DataFrame({id_col: part[id_col].to_numpy(np.int64), "vec": list(vecs)})
 
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} long, vec array<float>")
@@ -69,12 +85,15 @@ def copy_translator(texts: pd.Series, src_lang: str, tgt_lang: str) -> list:
     return texts.tolist()
 
 
+TRANSLATOR = Factory("copy", lambda: copy_translator)
+
+
 def translate(df: DataFrame, text_col: str, src_lang: str, tgt_lang: str, id_col: str = "idx",
-              translator: Callable | None = None, batch_size: int = 8) -> DataFrame:
+              translator: Factory = TRANSLATOR, batch_size: int = 8) -> DataFrame:
     """M3: batched text -> text; the output keeps ``id_col`` (order = input order by key)."""
-    fn = translator or copy_translator
 
     def run(it):
+        fn = translator.model()
         for pdf in it:
             for s in range(0, len(pdf), batch_size):
                 part = pdf.iloc[s:s + batch_size]
@@ -95,25 +114,26 @@ def translate(df: DataFrame, text_col: str, src_lang: str, tgt_lang: str, id_col
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} long, translation string, error string")
 
 
-def model_metric(df: DataFrame, scorer: Callable, name: str, src: str | None, hyp: str, ref: str,
+def model_metric(df: DataFrame, scorer: Factory, name: str, src: str | None, hyp: str, ref: str,
                  batch_size: int = 16) -> DataFrame:
     """M4: a learned metric (BERTScore, COMET, BLEURT ...) per row; NULL on failure or
     for a blank reference."""
     cols = ["row_id", hyp, ref] + ([src] if src else [])
 
     def run(it):
+        metric = scorer.model()
         for pdf in it:
             for s in range(0, len(pdf), batch_size):
                 part = pdf.iloc[s:s + batch_size].reset_index(drop=True)
                 args = (part[src] if src else None, part[hyp], part[ref])
                 vals = np.full(len(part), np.nan)
                 try:
-                    vals[:] = np.asarray(scorer(*args), dtype=float)
+                    vals[:] = np.asarray(metric(*args), dtype=float)
                 except Exception:  # noqa: BLE001
                     for i in range(len(part)):
                         try:
                             one = tuple(a.iloc[i:i + 1] if a is not None else None for a in args)
-                            vals[i] = float(np.asarray(scorer(*one), dtype=float)[0])
+                            vals[i] = float(np.asarray(metric(*one), dtype=float)[0])
                         except Exception:  # noqa: BLE001
                             pass
                 blank = part[ref].isna() | (part[ref].fillna("").str.strip() == "")

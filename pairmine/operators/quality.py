@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairmine.process_cache import process_cached
+
 Scorer = Callable[[pd.Series, pd.Series], "np.ndarray | pd.Series | list"]
 
 SCORED_SCHEMA = "src_idx long, tgt_idx long, quality double, error string"
@@ -35,23 +37,25 @@ def quality_inputs(pairs: DataFrame, src_text: str = "src_text", tgt_text: str =
                         F.col(tgt_text).alias("tgt_text")).dropDuplicates(["src_idx", "tgt_idx"])
 
 
-def _safe_batches(scorer: Scorer, batch_size: int):
-    """M5: a failing batch is retried row by row; a failing row gets NULL + error."""
+def _safe_batches(scorer: Scorer, batch_size: int, key: str | None):
+    """M5: a failing batch is retried row by row; a failing row gets NULL + error. With
+    ``key`` the scorer is a factory, called once per Python worker."""
 
     def run(it):
+        model = process_cached(f"scorer:{key}", scorer) if key else scorer
         for pdf in it:
             for start in range(0, len(pdf), batch_size):
                 part = pdf.iloc[start:start + batch_size]
                 q = np.full(len(part), np.nan)
                 err = [None] * len(part)
                 try:
-                    q[:] = np.asarray(scorer(part["src_text"].reset_index(drop=True),
-                                             part["tgt_text"].reset_index(drop=True)), dtype=float)
+                    q[:] = np.asarray(model(part["src_text"].reset_index(drop=True),
+                                            part["tgt_text"].reset_index(drop=True)), dtype=float)
                 except Exception:  # noqa: BLE001 - one bad row must not stop the batch
                     for i in range(len(part)):
                         try:
-                            q[i] = float(np.asarray(scorer(part["src_text"].iloc[i:i + 1].reset_index(drop=True),
-                                                           part["tgt_text"].iloc[i:i + 1].reset_index(drop=True)),
+                            q[i] = float(np.asarray(model(part["src_text"].iloc[i:i + 1].reset_index(drop=True),
+                                                          part["tgt_text"].iloc[i:i + 1].reset_index(drop=True)),
                                                     dtype=float)[0])
                         except Exception as e:  # noqa: BLE001
                             err[i] = f"{type(e).__name__}: {e}"
@@ -65,22 +69,41 @@ def _safe_batches(scorer: Scorer, batch_size: int):
     return run
 
 
-def score_pairs(pairs: DataFrame, scorer: Scorer | None, batch_size: int = 128) -> DataFrame:
+def overlap_scorer(src: pd.Series, tgt: pd.Series) -> list[float]:
+    """Deterministic stand-in: shared distinct whitespace tokens over all distinct ones
+    (Jaccard). Not a quality model."""
+    out = []
+    for a, b in zip(src, tgt):
+        x, y = set((a or "").split()), set((b or "").split())
+        out.append(len(x & y) / len(x | y) if x | y else 0.0)
+    return out
+
+
+def score_pairs(pairs: DataFrame, scorer: Scorer | None, batch_size: int = 128, key: str | None = None) -> DataFrame:
     """M2: quality for distinct pairs through a batch plug-in (keys travel with the
-    batch, so no positional re-attachment is needed, J11)."""
+    batch, so no positional re-attachment is needed, J11). With ``key``, ``scorer`` is a
+    factory of the plug-in, called once per Python worker and kept under that key."""
     if scorer is None:
         raise ValueError("a quality scorer is required")
     inputs = quality_inputs(pairs)
-    return inputs.mapInPandas(_safe_batches(scorer, batch_size), SCORED_SCHEMA)
+    return inputs.mapInPandas(_safe_batches(scorer, batch_size, key), SCORED_SCHEMA)
+
+
+def usable_scores(scored: DataFrame) -> DataFrame:
+    """The rows of a scored table that hold a quality. A failed row (NULL quality) is not
+    final: its pair counts as unscored and is tried again. A table without a quality
+    column lists scored keys only."""
+    return scored.filter(F.col("quality").isNotNull()) if "quality" in scored.columns else scored
 
 
 def unscored_pairs(candidates: DataFrame, scored: DataFrame) -> DataFrame:
-    """Candidate pairs whose (source, target) key is not yet scored."""
-    return candidates.join(scored.select("src_idx", "tgt_idx"), ["src_idx", "tgt_idx"], "left_anti")
+    """Candidate pairs whose (source, target) key has no quality yet."""
+    return candidates.join(usable_scores(scored).select("src_idx", "tgt_idx"), ["src_idx", "tgt_idx"], "left_anti")
 
 
 def append_scored(old: DataFrame, new: DataFrame) -> DataFrame:
-    """U4: old scored rows + new ones (union all, by name)."""
+    """U4: old scored rows + new ones (by name). Callers drop the failed rows of ``old``
+    (``usable_scores``) whose pairs were tried again."""
     return old.unionByName(new, allowMissingColumns=True)
 
 
@@ -90,8 +113,8 @@ def attach_scores(candidates: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 def distinct_scored_keys(scored: DataFrame) -> DataFrame:
-    """Distinct (source, target) keys of a scored table."""
-    return scored.select("src_idx", "tgt_idx").distinct()
+    """Distinct (source, target) keys of a scored table that have a quality."""
+    return usable_scores(scored).select("src_idx", "tgt_idx").distinct()
 
 
 def candidate_coverage(candidates: DataFrame, scored: DataFrame, n_sources: int | Column) -> DataFrame:

@@ -106,28 +106,30 @@ def local_zscore(scored: DataFrame, p: Params, group_keys=()) -> DataFrame:
 
 
 def density_stats(targets: DataFrame, k_neighbors: int = 20, *, id_col: str = "idx",
-                  vec: str = "vec", **knn_kw) -> DataFrame:
+                  vec: str = "vec", only: DataFrame | None = None, **knn_kw) -> DataFrame:
     """J5 + W6 + P15 + A4 + F5: density of each target in its own corpus.
 
     Neighbours = the ``min(k+1, n)`` most similar targets; the first by position is
-    dropped; the rest are clipped to [-1, 1] and averaged. No neighbour left (a
-    corpus of one) -> avg 0, density 0.5. Computed once per corpus; independent
-    of sources and of every threshold (R10).
-    Returns ``tgt_idx, avg_neighbor_sim, density``.
+    dropped; the finite ones are clipped to [-1, 1] and averaged. No finite neighbour
+    -> avg 0, density 0.5; ``has_neighbors`` is false for a corpus of one only, where
+    bonus and penalty are skipped too (R16). ``only`` (a table with ``idx``) restricts
+    the left side to those targets, for instance the ones that are candidates at all;
+    a target's density does not depend on it (R10).
+    Returns ``tgt_idx, avg_neighbor_sim, density, has_neighbors``.
     """
     vecs = targets.select(F.col(id_col).alias("idx"), F.col(vec).alias("vec"))
-    nbrs = self_neighbours(vecs, k_neighbors, **knn_kw)
-    finite = (~F.isnan("sim")) & F.col("sim").isNotNull() & (F.abs("sim") != float("inf"))
-    agg = (nbrs.filter((F.col("rank") >= 2) & finite)
-           .groupBy("idx")
+    n = vecs.count()
+    nbrs = self_neighbours(vecs, k_neighbors, only, n, **knn_kw)
+    agg = (nbrs.filter(F.col("rank") >= 2).groupBy("idx")
            .agg(F.avg(S.clip(F.col("sim"), -1.0, 1.0)).alias("_avg")))
-    out = vecs.select("idx").join(agg, "idx", "left")
+    ids = vecs.select("idx") if only is None else only.select("idx").distinct()
+    out = ids.join(agg, "idx", "left")
     avg = S.clip(F.col("_avg"), -1.0, 1.0)
     return out.select(
         F.col("idx").alias("tgt_idx"),
         F.coalesce(avg, F.lit(0.0)).alias("avg_neighbor_sim"),
         F.when(F.col("_avg").isNull(), F.lit(0.5)).otherwise(S.density_from_avg(avg)).alias("density"),
-        F.col("_avg").isNotNull().alias("has_neighbors"))
+        F.lit(n > 1).alias("has_neighbors"))
 
 
 def density_adjust(df: DataFrame, p: Params, density_col: str = "_density_raw") -> DataFrame:
@@ -151,36 +153,28 @@ def density_adjust(df: DataFrame, p: Params, density_col: str = "_density_raw")
             .drop(density_col))
 
 
-# Largest target corpus whose density table is broadcast by hint. 0 = no hint: the
-# density job is an independent stage, and a hinted broadcast would run it before the
-# main job instead of next to it; adaptive execution still turns the join into a
-# broadcast from the measured size, or splits a skewed partition (hub targets).
-DENSITY_BROADCAST_MAX_ROWS = 0
-
-
-def attach_density(df: DataFrame, density: DataFrame | None, n_targets: int | None = None) -> DataFrame:
-    """Look up each candidate's target density; NULL when its corpus has a single row
-    (no neighbour after the first), which density_adjust treats as R16.
-
-    With a known target count under DENSITY_BROADCAST_MAX_ROWS the table is
-    broadcast by hint; otherwise adaptive execution picks the join from measured
-    sizes and splits a skewed partition (a hub target in many candidate lists)."""
+def attach_density(df: DataFrame, density: DataFrame | None) -> DataFrame:
+    """Look up each candidate's target density; NULL in a corpus of one, which
+    density_adjust treats as R16. A plain equi-join: adaptive execution broadcasts the
+    density table by its measured size, or splits a skewed partition (a hub target in
+    many candidate lists)."""
     if density is None:
         return df.withColumn("_density_raw", F.lit(None).cast("double"))
     d = density.select("tgt_idx", F.when(F.col("has_neighbors"), F.col("density")).alias("_density_raw"))
-    if n_targets is not None and n_targets <= DENSITY_BROADCAST_MAX_ROWS:
-        d = F.broadcast(d)
     return df.join(d, "tgt_idx", "left")
 
 
-def pre_rank(df: DataFrame, p: Params, group_keys=()) -> DataFrame:
+def pre_rank(df: DataFrame, p: Params, group_keys=(), at_most: int | None = None) -> DataFrame:
     """W3 + T2 + W2 (R7): stable order final desc, adaptive desc (W2, only when adaptive scoring
-    is on), target id asc; keep the first ``top_after_filtering``; rank 1..N."""
+    is on), target id asc; keep the first ``top_after_filtering``; rank 1..N. ``at_most`` is
+    the largest N of a grid: a literal bound lets Spark plan a WindowGroupLimit."""
     adaptive_key = F.when(p.adaptive_on(), F.col("adaptive_score")).otherwise(F.lit(0.0))
     w = (Window.partitionBy(*group_keys, "src_idx")
          .orderBy(F.desc("final_score"), adaptive_key.desc(), F.asc("tgt_idx")))
-    return (df.withColumn("pre_rank", F.row_number().over(w))
-              .filter(F.col("pre_rank") <= p["top_after_filtering"]))
+    df = df.withColumn("pre_rank", F.row_number().over(w))
+    if at_most is not None:
+        df = df.filter(F.col("pre_rank") <= at_most)
+    return df.filter(F.col("pre_rank") <= p["top_after_filtering"])
 
 
 RANKED_COLS = ["src_idx", "tgt_idx", "cosine_score", "l2_score", "score", "base_score",

@@ -70,10 +70,11 @@ def split_stratified(df: DataFrame, id_col: str, tgt_col: str, seed: int = 0,
 
 def build_vocab(df: DataFrame, col: str, size: int = VOCAB_SIZE) -> DataFrame:
     """``[PAD] [UNK] [SOS] [EOS]`` get ids 0-3; then the ``size - 4`` most frequent
-    whitespace tokens (count desc, token asc) get ids 4, 5, ...
+    whitespace tokens (count desc, token asc) get ids 4, 5, ...; the special tokens'
+    own strings in a text are not counted again.
     Returns ``token, token_id, n``."""
     counts = (df.select(F.explode(py_split(F.col(col))).alias("token"))
-                .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+                .filter(~F.col("token").isin(SPECIAL_TOKENS)).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     top = counts.orderBy(F.desc("n"), F.asc("token")).limit(max(0, size - len(SPECIAL_TOKENS)))
     w = Window.orderBy(F.desc("n"), F.asc("token"))  # over at most `size` rows
     words = top.withColumn("token_id", (F.row_number().over(w) + len(SPECIAL_TOKENS) - 1).cast("long"))

@@ -55,7 +55,7 @@ dens AS (SELECT t.idx AS tgt_idx,
                 coalesce(least(greatest(avg_, -1.0), 1.0), 0.0) AS avg_neighbor_sim,
                 CASE WHEN avg_ IS NULL THEN 0.5
                      ELSE least(greatest(1.0 - (least(greatest(avg_, -1.0), 1.0) + 1.0) / 2.0, 0.0), 1.0) END AS density,
-                avg_ IS NOT NULL AS has_neighbors
+                (SELECT count(*) FROM tgt) > 1 AS has_neighbors
          FROM tgt t LEFT JOIN dagg USING (idx))"""
 
 

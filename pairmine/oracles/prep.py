@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pairmine.operators.trainprep import EOS, SEQ_LEN, SOS
 from pairmine.oracles.mt import split, strip
-from pairmine.plans.prep_queries import BATCH, VOCAB_SIZE_QUERY
 
-L = SEQ_LEN
+# Fixed values, written out: the oracle shares no constant with the engine.
+SOS, EOS = 2, 3
+L = 350
+BATCH, VOCAB_SIZE_QUERY = 8, 1000
 
 PAIRS = """
 u AS (SELECT conv_id, turn, text AS src_text FROM conversations WHERE role = 'user'),
@@ -20,7 +21,8 @@ pairs AS (SELECT CAST(row_number() OVER (ORDER BY u.conv_id, u.turn) - 1 AS BIGI
 def vocab_cte(col: str, name: str) -> str:
     return f"""
 {name}_c AS (SELECT unnest({split(col)}) AS token FROM pairs),
-{name}_n AS (SELECT token, count(*) AS n FROM {name}_c GROUP BY token),
+{name}_n AS (SELECT token, count(*) AS n FROM {name}_c
+             WHERE token NOT IN ('[PAD]', '[UNK]', '[SOS]', '[EOS]') GROUP BY token),
 {name} AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS BIGINT) AS token_id, n
            FROM {name}_n QUALIFY row_number() OVER (ORDER BY n DESC, token) <= {VOCAB_SIZE_QUERY - 4})"""
 

@@ -4,9 +4,26 @@
 from __future__ import annotations
 
 from pairmine.oracles.mining import density_cte, knn_cte, vectors_cte
-from pairmine.plans.sweep import BASELINE_COMMON, BASELINE_ROWS, FOCUSED_LISTS, GRID_COLUMNS, MINIMAL_LISTS
 
+# Fixed values, written out: the oracle shares no constant with the engine.
 INT_PARAMS = {"search_k", "top_after_filtering"}
+GRID_COLUMNS = ["experiment_id", "search_k", "top_after_filtering", "quality_threshold",
+                "cosine_weight", "l2_weight", "base_weight", "z_weight", "z_threshold",
+                "sparse_bonus", "crowded_penalty", "sparse_threshold", "crowded_threshold"]
+MINIMAL_LISTS = [
+    ("base_weight", [0.6, 0.7, 0.8]), ("sparse_bonus", [0.01, 0.10, 0.3]), ("crowded_penalty", [0.01, 0.15, 0.3]),
+    ("z_threshold", [-1.0]), ("cosine_weight", [0.6, 0.7, 0.8]), ("sparse_threshold", [0.1, 0.3]),
+    ("crowded_threshold", [0.1, 0.3]), ("search_k", [100]), ("top_after_filtering", [5]), ("quality_threshold", [0.70])]
+FOCUSED_LISTS = [
+    ("base_weight", [0.5, 0.6, 0.7, 0.8]), ("z_threshold", [-1.5, -1.0, -0.5]), ("cosine_weight", [0.5, 0.6, 0.7, 0.8]),
+    ("sparse_bonus", [0.05, 0.10, 0.15]), ("crowded_penalty", [0.10, 0.15, 0.20]), ("sparse_threshold", [0.3]),
+    ("crowded_threshold", [0.1]), ("search_k", [100]), ("top_after_filtering", [5]), ("quality_threshold", [0.50, 0.75])]
+# In the order of GRID_COLUMNS: three ablations, then two configs that fail.
+BASELINE = [(10001, 100, 5, 0.70, 0.6, 0.4, 1.0, 0.0, -1.0, 0.1, 0.15, 0.3, 0.1),
+            (10002, 100, 5, 0.70, 0.6, 0.4, 0.6, 0.4, -1.0, 0.0, 0.0, 0.3, 0.1),
+            (10003, 100, 5, 0.70, 0.6, 0.4, 1.0, 0.0, -1.0, 0.0, 0.0, 0.3, 0.1)]
+FAILING = [(10004, 100, 5, 0.70, 0.6, 0.4, 0.6, 0.4, 5.0, 0.1, 0.15, 0.3, 0.1),
+           (10005, 100, 5, 0.70, 0.6, 0.4, 0.6, 0.4, None, 0.1, 0.15, 0.3, 0.1)]
 
 
 def _typed(c: str) -> str:
@@ -27,14 +44,13 @@ def grid_sql(lists, name: str) -> str:
     return f"{name} AS (SELECT {', '.join(_typed(c) for c in GRID_COLUMNS)} FROM ({body}))"
 
 
-def baseline_sql(name: str = "grid_base") -> str:
-    rows = []
-    for r in BASELINE_ROWS:
-        full = {**BASELINE_COMMON, **r}
-        rows.append("(" + ", ".join(repr(float(full[c])) for c in GRID_COLUMNS) + ")")
-    cols = ", ".join(GRID_COLUMNS)
+def rows_sql(rows, name: str) -> str:
+    vals = ", ".join("(" + ", ".join("NULL" if v is None else repr(float(v)) for v in r) + ")" for r in rows)
     return (f"{name} AS (SELECT {', '.join(_typed(c) for c in GRID_COLUMNS)} FROM "
-            f"(VALUES {', '.join(rows)}) v({cols}))")
+            f"(VALUES {vals}) v({', '.join(GRID_COLUMNS)}))")
+
+
+COMPLETE = " AND ".join(f"g.{c} IS NOT NULL" for c in GRID_COLUMNS)
 
 
 def sweep_cte(grid: str = "grid", k_max: int = 100) -> str:
@@ -43,7 +59,7 @@ x0 AS (
   SELECT g.*, c.src_idx, c.tgt_idx, c.dot AS cosine_score,
          CASE WHEN c.l2_rank <= g.search_k THEN 1.0 / (1.0 + c.sqd) ELSE 1.0 / (1.0 + sqrt(c.sqd)) END AS l2_score
   FROM cand c, {grid} g
-  WHERE c.ip_rank <= g.search_k OR c.l2_rank <= g.search_k),
+  WHERE (c.ip_rank <= g.search_k OR c.l2_rank <= g.search_k) AND {COMPLETE}),
 x1 AS (SELECT *, cosine_weight * cosine_score + l2_weight * l2_score AS score,
               NOT (base_weight = 1.0 AND z_weight = 0.0) AS aon_,
               NOT (sparse_bonus = 0.0 AND crowded_penalty = 0.0) AS don_ FROM x0),
@@ -100,7 +116,9 @@ res AS (
          CASE WHEN coalesce(agg.successful, 0) > 0 THEN agg.rank_3_count * 100.0 / agg.successful ELSE 0.0 END AS rank_3_percentage,
          coalesce(agg.am_, 0.0) AS avg_selected_margin,
          CASE WHEN coalesce(agg.successful, 0) > 1 THEN agg.sm_ ELSE 0.0 END AS std_selected_margin,
-         coalesce(agg.successful, 0) AS total_pairs
+         coalesce(agg.successful, 0) AS total_pairs,
+         CASE WHEN NOT ({COMPLETE}) THEN 'missing parameter: z_threshold'
+              WHEN coalesce(seen.n_ranked, 0) = 0 THEN 'no candidate left' END AS error
   FROM {grid} g CROSS JOIN ns LEFT JOIN agg USING (experiment_id) LEFT JOIN seen USING (experiment_id))"""])
 
 
@@ -112,14 +130,15 @@ RESULT_COLS = ["experiment_id", "status", "total", "successful", "failed", _r("s
                _r("total_weighted_score"), "rank_1_count", "rank_2_count", "rank_3_count",
                _r("rank_1_percentage"), _r("rank_2_percentage"), _r("rank_3_percentage"),
                _r("avg_selected_margin"), _r("std_selected_margin"), "total_pairs"] + [
-    c if c in INT_PARAMS else _r(c) for c in GRID_COLUMNS if c != "experiment_id"]
+    c if c in INT_PARAMS else _r(c) for c in GRID_COLUMNS if c != "experiment_id"] + ["error"]
 
 
 def sql() -> dict[str, str]:
     gm = grid_sql(MINIMAL_LISTS, "grid_min")
     gf = grid_sql(FOCUSED_LISTS, "grid_foc")
-    gb = baseline_sql()
-    grid = "grid AS (SELECT * FROM grid_min UNION ALL SELECT * FROM grid_base)"
+    gb = rows_sql(BASELINE, "grid_base") + "," + rows_sql(FAILING, "grid_fail")
+    grid = ("grid AS (SELECT * FROM grid_min UNION ALL SELECT * FROM grid_base "
+            "UNION ALL SELECT * FROM grid_fail)")
     sweep = "WITH " + ",".join([gm, gb, grid, sweep_cte("grid")])
     out = {
         "grid_minimal": f"WITH {gm} SELECT * FROM grid_min",

@@ -5,10 +5,11 @@
       --[stage table]--> J6 texts --M2 quality--> P9/W4/W5 best pair + margin
       --> A5-A8 run metrics, J8 missing sources, A10 failure reasons, K1 sink
 
-Shuffles: one per side to form blocks, one cogroup, one on ``src_idx`` for the
-windows (adaptive and top-N share it), the density lookup on ``tgt_idx`` and the
-text/label lookup after top-N (N rows per source, not k). Stages that a literal
-config turns off are left out of the plan (O4).
+Shuffles: one per side to form blocks (the cogroup), the candidates by ``tgt_idx`` for
+the density and the narrow target attributes, then once by ``src_idx`` for all windows
+(z-score, top-N, best pair, margin) and the source attributes. Texts are joined to the
+rows that need them only. Stages that a literal config turns off are left out of the
+plan (O4).
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairmine.operators import models as MD
 from pairmine.operators import quality as Q
 from pairmine.operators import run_metrics as RM
 from pairmine.operators import scoring as SC
 from pairmine.operators import selection as SEL
 from pairmine.operators.knn import exact_topk
+from pairmine.session import stage_root
+from pairmine.sources import io as IO
 
 QualityExpr = Callable[[DataFrame], Column]
 
@@ -47,38 +51,39 @@ def candidate_table(src_vec: DataFrame, tgt_vec: DataFrame, search_k: int, **kw)
 
 def rank_candidates(cands: DataFrame, density: DataFrame | None, p: SC.Params,
                     group_keys=(), adaptive: bool = True, use_density: bool = True,
-                    n_targets: int | None = None) -> DataFrame:
-    """J4 -> adaptive -> density -> top-N, for literal or grid parameters."""
-    df = SC.rescore_candidates(cands, p)
+                    tgt_keys: DataFrame | None = None) -> DataFrame:
+    """J4 -> adaptive -> density -> top-N, for literal or grid parameters.
+
+    What is looked up by target (density, and the narrow attributes ``tgt_keys``) is
+    joined first, so that one exchange on ``src_idx`` serves the z-score, the top-N and
+    the selection windows."""
+    df = SC.attach_density(cands, density if use_density else None)
+    extra = []
+    if tgt_keys is not None:
+        extra = [c for c in tgt_keys.columns if c != "tgt_idx"]
+        df = df.join(tgt_keys, "tgt_idx", "left")
+    df = SC.rescore_candidates(df, p)
     df = SC.local_zscore(df, p, group_keys) if adaptive else (
         df.withColumn("z_score", F.lit(0.0)).withColumn("adaptive_score", F.col("score"))
           .withColumn("base_score", F.col("score")))
-    df = SC.attach_density(df, density if use_density else None, n_targets)
     df = SC.density_adjust(df, p)
     df = SC.pre_rank(df, p, group_keys)
-    return df.select(*group_keys, *SC.RANKED_COLS)
+    return df.select(*group_keys, *SC.RANKED_COLS, *extra)
 
 
-def prepare_attrs(attrs: DataFrame) -> DataFrame:
-    """Per-id attributes with a text key used for the R12 text comparison."""
-    return attrs.withColumn("text_key", F.xxhash64("text"))
+def narrow_attrs(attrs: DataFrame, key: str, prefix: str) -> DataFrame:
+    """Per-id attributes without the text, which is hashed to the key of the R12 comparison."""
+    a = attrs.withColumn("text_key", F.xxhash64("text")).drop("text")
+    return a.select(F.col("idx").alias(key), *[F.col(c).alias(prefix + c) for c in a.columns if c != "idx"])
 
 
-# Largest side whose small per-id attributes (label, text key) are broadcast by hint.
-# 0 = leave it to adaptive execution (measured sizes), which ran faster here because
-# a hinted broadcast is built before the main job starts.
-ATTR_BROADCAST_MAX_ROWS = 0
-
-
-def attach_keys(ranked: DataFrame, src_attrs: DataFrame, tgt_attrs: DataFrame,
-                n_src: int, n_tgt: int) -> DataFrame:
-    """J6, narrow part: every per-id attribute except the text (labels, text keys).
-    Broadcast under a checked row bound, so the top-N table keeps its ``src_idx``
-    partitioning for the selection windows."""
-    def small(attrs, n):
-        a = prepare_attrs(attrs).drop("text")
-        return F.broadcast(a) if n <= ATTR_BROADCAST_MAX_ROWS else a
-    return SEL.attach_text(ranked, small(src_attrs, n_src), small(tgt_attrs, n_tgt))
+def attach_keys(ranked: DataFrame, src_attrs: DataFrame, tgt_attrs: DataFrame) -> DataFrame:
+    """J6, narrow part: every per-id attribute except the text (labels, text keys), of the
+    sides that ``ranked`` does not hold yet."""
+    for attrs, key, prefix in ((src_attrs, "src_idx", "src_"), (tgt_attrs, "tgt_idx", "tgt_")):
+        if f"{prefix}text_key" not in ranked.columns:
+            ranked = ranked.join(narrow_attrs(attrs, key, prefix), key, "left")
+    return ranked
 
 
 def attach_texts(df: DataFrame, src_attrs: DataFrame, tgt_attrs: DataFrame) -> DataFrame:
@@ -89,46 +94,86 @@ def attach_texts(df: DataFrame, src_attrs: DataFrame, tgt_attrs: DataFrame) -> D
 def mine_pairs(src_vec: DataFrame, tgt_vec: DataFrame, src_attrs: DataFrame, tgt_attrs: DataFrame,
                cfg: SC.MiningConfig = SC.MiningConfig(), *, quality_expr: QualityExpr | None = None,
                scorer: Q.Scorer | None = None, materialize: bool = True,
-               density: DataFrame | None = None) -> MiningResult:
+               density: DataFrame | None = None, scored_before: DataFrame | None = None) -> MiningResult:
     """Full mining run for one configuration.
 
     ``quality_expr`` builds the quality column from the ranked table with both
     sides' narrow attributes (a Spark expression); otherwise ``scorer`` is a batch
     plug-in over (source text, target text) and the texts of the top-N rows are
     attached first. One of them is required. Texts reach the final pairs only.
+
+    A plug-in's scores are staged as soon as they are made, so every output reads them
+    and no pair is scored twice. ``scored_before`` resumes from an earlier scored table:
+    its pairs with a quality are not scored again, its failed ones are.
     """
     if quality_expr is None and scorer is None:
         raise ValueError("a quality model (quality_expr or scorer) is required")
     p = SC.Params.literal(cfg)
     adaptive_on = not (cfg.base_weight == 1.0 and cfg.z_weight == 0.0)
     density_on = not (cfg.sparse_bonus == 0.0 and cfg.crowded_penalty == 0.0)
-    n_src, n_tgt = src_vec.count(), tgt_vec.count()
+    n_src = src_vec.count()
     cands = candidate_table(src_vec, tgt_vec, cfg.search_k)
+    if materialize:
+        stage_root(cands.sparkSession)
+        cands = cands.checkpoint(eager=True)
     if density_on and density is None:
-        density = SC.density_stats(tgt_vec, cfg.k_neighbors)
+        # With the candidates at hand, only the targets among them need a density.
+        only = cands.select(F.col("tgt_idx").alias("idx")) if materialize else None
+        density = SC.density_stats(tgt_vec, cfg.k_neighbors, only=only)
     ranked = rank_candidates(cands, density, p, adaptive=adaptive_on, use_density=density_on,
-                             n_targets=n_tgt)
+                             tgt_keys=narrow_attrs(tgt_attrs, "tgt_idx", "tgt_"))
     if materialize:
         ranked = ranked.checkpoint(eager=True)
 
-    keyed = attach_keys(ranked, src_attrs, tgt_attrs, n_src, n_tgt)
+    keyed = attach_keys(ranked, src_attrs, tgt_attrs)
     if quality_expr is not None:
         scored = keyed.withColumn("quality", quality_expr(keyed))
     else:
-        q = Q.score_pairs(attach_texts(keyed, src_attrs, tgt_attrs), scorer)
+        todo = keyed if scored_before is None else Q.unscored_pairs(keyed, scored_before)
+        q = Q.score_pairs(attach_texts(todo, src_attrs, tgt_attrs), scorer)
+        stage_root(q.sparkSession)
+        q = q.checkpoint(eager=True)
+        if scored_before is not None:
+            q = Q.append_scored(Q.usable_scores(scored_before), q)
         scored = Q.attach_scores(keyed, q)
     chosen = SEL.choose_best(scored, cfg.quality_threshold)
     final_pairs = attach_texts(chosen.filter("is_chosen").drop("is_chosen", "passes"), src_attrs, tgt_attrs)
 
     metrics = RM.run_summary(final_pairs, n_src)
     return MiningResult(
-        candidates=cands, ranked=ranked, scored=scored, final_pairs=final_pairs,
+        candidates=cands, ranked=ranked.select(*SC.RANKED_COLS), scored=scored, final_pairs=final_pairs,
         metrics=metrics, rank_distribution=RM.rank_distribution(final_pairs),
         missing_sources=SEL.missing_sources(src_vec, ranked),
         failures=SEL.failure_reasons(scored, final_pairs),
     )
 
 
+def mine_corpus(spark, src_path: str, tgt_path: str, out_path: str, cfg: SC.MiningConfig = SC.MiningConfig(), *,
+                embedder: "MD.Factory", scorer: Q.Scorer, stage_path: str | None = None) -> MiningResult:
+    """X7 from files to files: S1 load -> M1 embed -> retrieve -> score -> select -> K1 write.
+
+    ``src_path`` and ``tgt_path`` hold one sentence per line; ``embedder`` is an M1 factory.
+    With ``stage_path`` the scored pairs are kept there (K8), and a later run with the same
+    folder resumes from them (S6)."""
+    sides = []
+    for path in (src_path, tgt_path):
+        sent = IO.read_sentences(spark, path)
+        vec = MD.embed(sent, "text", factory=embedder)
+        stage_root(spark)
+        sides.append((vec.checkpoint(eager=True), sent))
+    (src_vec, src), (tgt_vec, tgt) = sides
+    before = IO.read_stage(spark, f"{stage_path}/scored") if stage_path else None
+    res = mine_pairs(src_vec, tgt_vec, src, tgt, cfg, scorer=scorer, scored_before=before)
+    if stage_path:
+        scored = res.scored.select("src_idx", "tgt_idx", "quality").withColumn("error", F.lit(None).cast("string"))
+        if before is not None:
+            old = before.join(scored.select("src_idx", "tgt_idx"), ["src_idx", "tgt_idx"], "left_anti")
+            scored = Q.append_scored(old, scored).checkpoint(eager=True)
+        IO.write_stage(scored, f"{stage_path}/scored")
+    IO.write_pairs(res.final_pairs.select(*FINAL_PAIR_COLS), out_path)
+    return res
+
+
 FINAL_PAIR_COLS = ["src_idx", "tgt_idx", "src_text", "tgt_text", "cosine_score", "l2_score",
                    "score", "base_score", "z_score", "adaptive_score", "density", "density_bonus",
                    "density_penalty", "final_score", "pre_rank", "quality", "margin"]

@@ -45,14 +45,13 @@ def _ranked(spark, sf_dir, cfg=DEMO) -> tuple:
     density_on = not (cfg.sparse_bonus == 0.0 and cfg.crowded_penalty == 0.0)
     cands = M.candidate_table(c.src_vec, c.tgt_vec, cfg.search_k)
     dens = SC.density_stats(c.tgt_vec, cfg.k_neighbors) if density_on else None
-    ranked = M.rank_candidates(cands, dens, p, adaptive=adaptive_on, use_density=density_on,
-                               n_targets=c.tgt_vec.count())
+    ranked = M.rank_candidates(cands, dens, p, adaptive=adaptive_on, use_density=density_on)
     return c, ranked
 
 
 def _scored(spark, sf_dir, cfg=DEMO):
     c, ranked = _ranked(spark, sf_dir, cfg)
-    wt = M.attach_keys(ranked, c.src_attrs, c.tgt_attrs, c.src_vec.count(), c.tgt_vec.count())
+    wt = M.attach_keys(ranked, c.src_attrs, c.tgt_attrs)
     return c, wt.withColumn("quality", _quality_expr(wt))
 
 

@@ -12,12 +12,13 @@ depends on (SURVEY 4.4):
 * quality (stand-in expression): once per candidate pair, before any expansion;
 * adaptive scoring: once per distinct (search_k, weights, z parameters) "stage B";
 * density adjustment and top-N: per config, reached by an equi-join of the
-  stage-B rows with the grid on ``b_id`` (the grid is small and size-checked, so
-  it is broadcast).
+  stage-B rows with the grid on ``b_id``.
 
-The candidate table is hash-partitioned on ``src_idx`` once; every later window
-partitions by ``(config key, src_idx)``, which that partitioning already satisfies,
-so the per-config expansion never crosses the network.
+The grid is a table throughout, of any size: it is never collected nor written into the
+plan. The candidates are hash-partitioned on ``src_idx`` once; while adaptive execution
+can broadcast the grid (by its measured size), every later window, which partitions by
+``(config key, src_idx)``, uses that partitioning and the expansion does not cross the
+network; a larger grid is joined by shuffles.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ from pairmine.operators import run_metrics as RM
 from pairmine.operators import scoring as SC
 from pairmine.operators import selection as SEL
 from pairmine.operators.knn import exact_topk
+from pairmine.plans import mining as M
+from pairmine.session import default_parallelism, stage_root
+from pairmine.sources import io as IO
 
 # ---------------------------------------------------------------------------
 # The three grids, lists in insertion order (the last varies fastest).
@@ -80,7 +84,7 @@ BASELINE_ROWS = [
 # ---------------------------------------------------------------------------
 
 INT_PARAMS = {"search_k", "top_after_filtering"}
-MAX_GRID_ROWS = 100_000  # size bound of a grid that is broadcast / exploded
+STAGE_B_CHUNK = 256     # stage-B rows that one copy of the candidates is expanded by
 
 
 def _typed(c: str) -> F.Column:
@@ -126,6 +130,8 @@ def read_param_grid(spark: SparkSession, path: str, start_from: int = 1,
     ``max_experiments`` rows by id when given. ``comet_threshold`` is accepted as
     the name of the quality threshold."""
     raw = spark.read.option("header", True).csv(path)
+    # A cell that is no number makes its own config fail (X5), not the whole sweep.
+    raw = raw.select(*[F.col(c).try_cast("double").alias(c) for c in raw.columns])
     if "comet_threshold" in raw.columns and "quality_threshold" not in raw.columns:
         raw = raw.withColumnRenamed("comet_threshold", "quality_threshold")
     df = raw.select(*[_typed(c).alias(c) for c in GRID_COLUMNS]).filter(F.col("experiment_id") >= start_from)
@@ -142,67 +148,76 @@ class SweepResult:
 
 
 B_KEYS = ["search_k", "cosine_weight", "l2_weight", "base_weight", "z_weight", "z_threshold"]
+PARAMETERS = [c for c in GRID_COLUMNS if c != "experiment_id"]
 
 
-def _explode_rows(df: DataFrame, rows: list, cols: list[str]) -> DataFrame:
-    """Repeat every row of ``df`` once per (small, size-checked) config row."""
-    arr = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in cols]) for r in rows])
-    return df.select("*", F.explode(arr).alias("_cfg")).select("*", "_cfg.*").drop("_cfg")
+def _errors(g: DataFrame) -> DataFrame:
+    """Grid rows with an ``error`` naming their missing parameters (NULL when complete)."""
+    missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in PARAMETERS]), lambda x: x.isNotNull())
+    return g.withColumn("error", F.when(F.size(missing) > 0,
+                                        F.concat(F.lit("missing parameter: "), F.array_join(missing, ", "))))
 
 
 def run_sweep(grid: DataFrame, src_vec: DataFrame, tgt_vec: DataFrame, src_attrs: DataFrame,
               tgt_attrs: DataFrame, *, quality_expr=None, scorer=None, k_neighbors: int = 20,
-              materialize: bool = True) -> SweepResult:
-    """X4 + X5 + J13: every config of ``grid`` over the same corpora, as one job."""
+              materialize: bool = True, scored_before: DataFrame | None = None) -> SweepResult:
+    """X4 + X5 + J13: every config of ``grid`` over the same corpora, as one job.
+
+    A config with a missing parameter, or without any candidate left after its gates, is a
+    ``failed`` row with its parameters and an ``error``; it does not touch the others.
+    With a plug-in ``scorer`` every distinct surviving pair is scored once and staged;
+    ``scored_before`` resumes from an earlier scored table."""
     if quality_expr is None and scorer is None:
         raise ValueError("a quality model (quality_expr or scorer) is required")
-    n_grid = grid.count()
-    if n_grid > MAX_GRID_ROWS:
-        raise ValueError(f"grid of {n_grid} rows exceeds {MAX_GRID_ROWS}; run it in slices")
-    g = grid.select(*[_typed(c).alias(c) for c in GRID_COLUMNS])
-    b_rows = [r.asDict() for r in g.select(*B_KEYS).distinct().orderBy(*B_KEYS).collect()]
-    for i, r in enumerate(b_rows):
-        r["b_id"] = i
-    b_tbl = g.sparkSession.createDataFrame(
-        [tuple(r[c] for c in ["b_id", *B_KEYS]) for r in b_rows],
-        "b_id int, search_k int, cosine_weight double, l2_weight double, base_weight double, "
-        "z_weight double, z_threshold double")
-    g = g.join(F.broadcast(b_tbl), B_KEYS)
-
-    k_max = max(r["search_k"] for r in b_rows) if b_rows else 0
+    spark = grid.sparkSession
+    g = _errors(grid.select(*[_typed(c).alias(c) for c in GRID_COLUMNS]))
+    valid = g.filter("error is null").drop("error")
+    # Stage-B rows: one per distinct (k, weights, z parameters), numbered over the grid's rows.
+    b_tbl = valid.select(*B_KEYS).distinct().withColumn(
+        "b_id", F.row_number().over(Window.orderBy(*B_KEYS)) - 1).withColumn(
+        "b_chunk", F.floor(F.col("b_id") / STAGE_B_CHUNK).cast("int"))
+    sizes = valid.agg(F.max("search_k").alias("k"), F.max("top_after_filtering").alias("n")).first()
+    k_max, n_max = int(sizes["k"] or 0), int(sizes["n"] or 0)
+    n_chunks = -(-b_tbl.count() // STAGE_B_CHUNK)
+
     cands = exact_topk(src_vec, tgt_vec, k_max, by=("ip", "l2"))
     dens = SC.density_stats(tgt_vec, k_neighbors)
 
-    sa = src_attrs.select(F.col("idx").alias("src_idx"), *[F.col(c).alias("src_" + c)
-                                                            for c in src_attrs.columns if c != "idx"])
-    ta = tgt_attrs.select(F.col("idx").alias("tgt_idx"), *[F.col(c).alias("tgt_" + c)
-                                                            for c in tgt_attrs.columns if c != "idx"])
-    base = (SC.attach_density(cands, dens, tgt_vec.count())
-            .join(sa, "src_idx", "left").join(ta, "tgt_idx", "left")
-            .withColumn("tgt_text_key", F.xxhash64("tgt_text"))
+    sa = M.narrow_attrs(src_attrs, "src_idx", "src_")
+    ta = M.narrow_attrs(tgt_attrs, "tgt_idx", "tgt_")
+    base = (SC.attach_density(cands, dens).join(ta, "tgt_idx", "left").join(sa, "src_idx", "left")
             .withColumn("cosine_score", F.col("dot")))
     if quality_expr is not None:
         base = base.withColumn("quality", quality_expr(base))
-    base = base.drop("src_text", "tgt_text").repartition("src_idx")
+    # The expansion by configs happens after this exchange, so its partition count is fixed:
+    # adaptive coalescing by the size before the expansion would leave too few tasks.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * default_parallelism(spark))
+    base = base.repartition(parts, "src_idx")
 
     # stage B: one copy of the candidates per distinct (k, weights, z parameters)
     p = SC.Params.columns()
-    x = _explode_rows(base, b_rows, ["b_id", *B_KEYS])
+    x = base.withColumn("b_chunk", F.explode(F.sequence(F.lit(0), F.lit(max(n_chunks - 1, 0)))))
+    x = x.join(b_tbl, "b_chunk").drop("b_chunk")
     x = x.filter((F.col("ip_rank") <= F.col("search_k")) | (F.col("l2_rank") <= F.col("search_k")))
     x = x.withColumn("l2_rank", F.when(F.col("l2_rank") <= F.col("search_k"), F.col("l2_rank")))
     x = SC.rescore_candidates(x, p)
     x = SC.local_zscore(x, p, group_keys=["b_id"])
-    # stage C: every config of that stage B (equi-join on b_id, grid broadcast)
+    # stage C: every config of that stage B
     c_cols = [c for c in GRID_COLUMNS if c not in B_KEYS]
-    x = x.drop(*B_KEYS).join(F.broadcast(g.select("b_id", *c_cols, *B_KEYS)), "b_id")
+    configs = valid.join(b_tbl.drop("b_chunk"), B_KEYS).select("b_id", *c_cols, *B_KEYS)
+    x = x.drop(*B_KEYS).join(configs, "b_id")
     x = SC.density_adjust(x, p)
-    ranked = SC.pre_rank(x, p, group_keys=["experiment_id"])
+    ranked = SC.pre_rank(x, p, group_keys=["experiment_id"], at_most=n_max)
     if materialize:
+        stage_root(spark)
         ranked = ranked.checkpoint(eager=True)
     if quality_expr is None:
-        pairs = ranked.select("src_idx", "tgt_idx").distinct() \
-            .join(sa, "src_idx").join(ta, "tgt_idx")
-        q = Q.score_pairs(pairs, scorer)
+        pairs = ranked.select("src_idx", "tgt_idx").distinct()
+        todo = pairs if scored_before is None else Q.unscored_pairs(pairs, scored_before)
+        stage_root(spark)
+        q = Q.score_pairs(M.attach_texts(todo, src_attrs, tgt_attrs), scorer).checkpoint(eager=True)
+        if scored_before is not None:
+            q = Q.append_scored(Q.usable_scores(scored_before), q)
         ranked = Q.attach_scores(ranked, q)
     chosen = SEL.choose_best(ranked, F.col("quality_threshold"), group_keys=["experiment_id"])
     final_pairs = chosen.filter("is_chosen").drop("is_chosen", "passes")
@@ -211,16 +226,33 @@ def run_sweep(grid: DataFrame, src_vec: DataFrame, tgt_vec: DataFrame, src_attrs
     # one pass over the ranked rows: chosen-pair aggregates and whether the config ran
     agg = RM.pair_aggregates(chosen, ["experiment_id"], where=F.col("is_chosen"),
                              extra=[F.count(F.lit(1)).alias("_n_ranked")])
-    res = g.drop("b_id").join(F.broadcast(agg), "experiment_id", "left")
+    res = g.join(agg, "experiment_id", "left")
     res = RM.finish_metrics(res, F.lit(n_sources))
-    res = res.withColumn("status", F.when(F.col("_n_ranked") > 0, F.lit("completed"))
-                         .otherwise(F.lit("failed"))).drop("_n_ranked")
+    ran = F.coalesce(F.col("_n_ranked") > 0, F.lit(False)) & F.col("error").isNull()
+    res = (res.withColumn("status", F.when(ran, F.lit("completed")).otherwise(F.lit("failed")))
+           .withColumn("error", F.when(~ran, F.coalesce("error", F.lit("no candidate left")))).drop("_n_ranked"))
     res = res.withColumn("total_pairs", F.col("successful"))
-    res = res.select("experiment_id", "status", *RM.METRIC_COLS, "total_pairs",
-                     *[c for c in GRID_COLUMNS if c != "experiment_id"])
+    res = res.select("experiment_id", "status", *RM.METRIC_COLS, "total_pairs", *PARAMETERS, "error")
     return SweepResult(results=res, final_pairs=final_pairs, ranked=ranked)
 
 
+def run_sweep_to(grid: DataFrame, results_dir: str, pairs_dir: str, *args, slice_rows: int = 1000, **kw) -> DataFrame:
+    """K3 + J14: a sweep whose results are kept as it goes. Pending configs (no completed
+    result in ``results_dir``) run in slices by experiment id, and each slice's results are
+    appended when it is done, so a late failure costs one slice. Returns the results; the
+    best experiment's pairs (K4) are in ``pairs_dir``, keyed by experiment."""
+    spark = grid.sparkSession
+    if IO._path_exists(spark, f"{results_dir.rstrip('/')}/_SUCCESS"):
+        grid = pending_experiments(grid, IO.read_results(spark, results_dir))
+    slices = grid.select((F.floor(F.col("experiment_id") / slice_rows)).alias("s")).distinct().orderBy("s")
+    for row in slices.toLocalIterator():
+        part = grid.filter(F.floor(F.col("experiment_id") / slice_rows) == row["s"])
+        res = run_sweep(part, *args, **kw)
+        IO.append_results(res.results, results_dir)
+        res.final_pairs.write.mode("append").parquet(pairs_dir)
+    return IO.read_results(spark, results_dir)
+
+
 def _key(c: str) -> F.Column:
     """Comparison key of a metric: rounded to 9 decimals, so that sums taken in a
     different order cannot break a tie differently."""

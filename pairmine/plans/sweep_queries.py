@@ -22,9 +22,25 @@ def q_grid_baseline(spark, sf_dir):
     return SW.grid_baseline(spark)
 
 
+# Two configs that must fail: no z-score exceeds its clip of 5, and one
+# parameter is missing.
+FAILING_ROWS = [
+    dict(SW.BASELINE_COMMON, experiment_id=10004, base_weight=0.6, z_weight=0.4, sparse_bonus=0.1,
+         crowded_penalty=0.15, z_threshold=5.0),
+    dict(SW.BASELINE_COMMON, experiment_id=10005, base_weight=0.6, z_weight=0.4, sparse_bonus=0.1,
+         crowded_penalty=0.15, z_threshold=None),
+]
+
+
+def failing_grid(spark) -> DataFrame:
+    rows = [tuple(None if r[c] is None else float(r[c]) for c in SW.GRID_COLUMNS) for r in FAILING_ROWS]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in SW.GRID_COLUMNS))
+    return df.select(*[SW._typed(c).alias(c) for c in SW.GRID_COLUMNS])
+
+
 def sweep_grid(spark) -> DataFrame:
-    """The minimal grid plus the three ablations: 327 configs."""
-    return SW.grid_minimal(spark).unionByName(SW.grid_baseline(spark))
+    """The minimal grid, the three ablations and two configs that fail: 329 configs."""
+    return SW.grid_minimal(spark).unionByName(SW.grid_baseline(spark)).unionByName(failing_grid(spark))
 
 
 def _sweep(spark, sf_dir, grid=None) -> SW.SweepResult:

@@ -5,7 +5,7 @@ Plan: range-partition on the order keys and sort within partitions (one shuffle)
 ``monotonically_increasing_id`` then numbers the rows of each partition densely in
 that order (its high bits are the partition id). Per-partition row counts are a
 tiny aggregate (one row per partition, bounded by the partition count, not by the
-data); their prefix sums give each partition's offset. The sorted table is
+data); their prefix sums are broadcast as a two-column table. The sorted table is
 checkpointed to the shared checkpoint folder first, so the counting pass and the
 numbering pass see the same rows even if executors are lost in between.
 
@@ -16,7 +16,7 @@ position; no task ever holds a whole group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairmine.session import stage_root
@@ -32,19 +32,13 @@ def dense_index(df: DataFrame, order_cols: list, out_col: str = "idx",
     if checkpoint:
         stage_root(spark)
         ordered = ordered.checkpoint(eager=True)
-    counts = sorted((r["_pid"], r["n"]) for r in
-                    ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, acc = {}, 0
-    for pid, cnt in counts:
-        offsets[pid] = acc
-        acc += cnt
-    if offsets:
-        off = F.element_at(F.create_map(*[x for pid, o in offsets.items() for x in (F.lit(pid), F.lit(o))]),
-                           F.col("_pid"))
-    else:
-        off = F.lit(0)
+    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_off"))
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return ordered.withColumn(out_col, (off + local).cast("long")).drop("_pid", "_mid")
+    # One row per partition: its number bounds the broadcast and the window.
+    return (ordered.join(F.broadcast(offsets), "_pid")
+            .withColumn(out_col, (F.col("_off") + local).cast("long")).drop("_pid", "_mid", "_off"))
 
 
 def rank_within(indexed: DataFrame, group_cols: list, idx_col: str = "idx",
