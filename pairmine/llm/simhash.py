@@ -227,7 +227,7 @@ def _block_links(radius: int):
 
 
 def links(fps: DataFrame, radius: int = MAX_DISTANCE, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Links (a, b) between representatives of distinct fingerprints (fp, rep): a subset
+    """Links (a, b) between the names ``rep`` of distinct fingerprints (fp, rep): a subset
     of all links within ``radius`` bits that connects everything they connect."""
     spark = fps.sparkSession
     masks = cell_masks(fps.count(), radius)
@@ -258,9 +258,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int =
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text)."""
     fp = staged(fingerprints(docs, shingle), "fp")
     reps = staged(fp.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "reps")
-    roots = components(links(reps, radius))
-    comp = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "fp", F.coalesce("root", "rep").alias("component_id"))
+    # Fingerprints are the nodes; a component is then named after its smallest doc_id.
+    roots = components(links(reps.select("fp", F.col("fp").alias("rep")), radius))
+    rooted = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    comp = rooted.join(names, "root").select("fp", "component_id")
     return fp.join(comp, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
