@@ -98,44 +98,54 @@ def _shifted(arr: Column, k: int) -> Column:
 
 
 def gram_rows(sides: DataFrame, specs) -> DataFrame:
-    """One row per n-gram occurrence: ``row_id, side, kind, n, g``.
+    """One row per n-gram occurrence: ``row_id, side, code, g``.
 
-    ``specs`` = [(kind, array column, max_n, separator)]. The arrays shifted by
-    0..max_n-1 are zipped, so one exploded row per position holds every unit an
-    n-gram starting there needs; ``stack`` then emits the n-grams. No per-element
-    lambda is evaluated, and no array is copied per position.
+    ``specs`` = [(kind, array column, max_n)]; ``code`` numbers the (kind, n) pairs in
+    that order (``gram_codes``). The arrays shifted by 0..max_n-1 are zipped, so one
+    exploded row per position holds every unit an n-gram starting there needs; ``stack``
+    then emits the n-grams, each as the 64-bit hash of its units (grams are only compared
+    within a row). No string is built per n-gram and no per-element lambda is evaluated.
     """
-    cols, args = [], []
-    for kind, arr, max_n, sep in specs:
+    cols, args, code = [], [], 0
+    for kind, arr, max_n in specs:
         for k in range(1, max_n + 1):
             cols.append(_shifted(arr, k).alias(f"{kind}{k}"))
     zipped = sides.select("row_id", "side", F.explode(F.arrays_zip(*cols)).alias("z"))
-    for kind, _, max_n, sep in specs:
+    for kind, _, max_n in specs:
         for n in range(1, max_n + 1):
             parts = ", ".join(f"z.{kind}{k}" for k in range(1, n + 1))
-            g = (f"concat({parts})" if sep == "" else
-                 f"CASE WHEN z.{kind}{n} IS NOT NULL THEN concat_ws('{sep}', {parts}) END")
-            args += [f"'{kind}'", str(n), g]
-    stack = f"stack({len(args) // 3}, {', '.join(args)}) AS (kind, n, g)"
+            args += [f"{code}Y", f"CASE WHEN z.{kind}{n} IS NOT NULL THEN xxhash64({parts}) END"]
+            code += 1
+    stack = f"stack({len(args) // 2}, {', '.join(args)}) AS (code, g)"
     return zipped.select("row_id", "side", F.expr(stack)).filter(F.col("g").isNotNull())
 
 
-def ngram_stats(ev: DataFrame, hyp_input: Column, ref_input: Column, specs_of) -> DataFrame:
-    """Clipped n-gram counts per (row_id, kind, n): ``match, hyp, ref``.
+def gram_codes(specs) -> list[tuple[str, int]]:
+    return [(kind, n) for kind, _, max_n in specs for n in range(1, max_n + 1)]
+
+
+def ngram_stats(ev: DataFrame, hyp_input: Column, ref_input: Column, specs_of, group=("row_id",)) -> DataFrame:
+    """Clipped n-gram counts, one row per ``group``: for every (kind, n) the columns
+    ``<kind>m<n>`` (matches), ``<kind>h<n>`` (hypothesis) and ``<kind>r<n>`` (reference).
 
     ``hyp_input``/``ref_input`` (tokens or characters) are generated into a column
     first; a Generate in between keeps the optimizer from inlining the tokenizer
-    into the n-gram expressions. ``specs_of(x)`` gives the ``gram_rows`` specs.
+    into the n-gram expressions. ``specs_of(x)`` gives the ``gram_rows`` specs. Two
+    aggregates: per gram, then all orders at once.
     """
     sides = ev.select("row_id", F.inline(F.array(
         F.struct(F.lit(0).alias("side"), hyp_input.alias("x")),
         F.struct(F.lit(1).alias("side"), ref_input.alias("x")))))
-    grams = gram_rows(sides, specs_of(F.col("x")))
-    counts = grams.groupBy("row_id", "kind", "n", "g").agg(
+    specs = specs_of(F.col("x"))
+    counts = gram_rows(sides, specs).groupBy("row_id", "code", "g").agg(
         F.count(F.when(F.col("side") == 0, 1)).alias("p"),
         F.count(F.when(F.col("side") == 1, 1)).alias("r"))
-    return counts.groupBy("row_id", "kind", "n").agg(
-        F.sum(F.least("p", "r")).alias("match"), F.sum("p").alias("hyp"), F.sum("r").alias("ref"))
+    aggs = []
+    for code, (kind, n) in enumerate(gram_codes(specs)):
+        here = F.col("code") == F.lit(code).cast("tinyint")
+        for name, value in (("m", F.least("p", "r")), ("h", F.col("p")), ("r", F.col("r"))):
+            aggs.append(F.coalesce(F.sum(F.when(here, value)), F.lit(0)).cast("double").alias(f"{kind}{name}{n}"))
+    return counts.groupBy(*group).agg(*aggs)
 
 
 def _guard(ev: DataFrame, scores: DataFrame, cols: list[str]) -> DataFrame:
@@ -148,20 +158,6 @@ def _guard(ev: DataFrame, scores: DataFrame, cols: list[str]) -> DataFrame:
                                   .otherwise(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in cols])
 
 
-def _pivot_orders(stats: DataFrame, kind: str, max_n: int, group=("row_id",)) -> DataFrame:
-    aggs = []
-    for n in range(1, max_n + 1):
-        sel = (F.col("kind") == kind) & (F.col("n") == n)
-        aggs += [F.sum(F.when(sel, F.col("match"))).alias(f"{kind}m{n}"),
-                 F.sum(F.when(sel, F.col("hyp"))).alias(f"{kind}h{n}"),
-                 F.sum(F.when(sel, F.col("ref"))).alias(f"{kind}r{n}")]
-    df = stats.filter(F.col("kind") == kind).groupBy(*group).agg(*aggs)
-    for n in range(1, max_n + 1):
-        for x in "mhr":
-            df = df.withColumn(f"{kind}{x}{n}", F.coalesce(F.col(f"{kind}{x}{n}"), F.lit(0)).cast("double"))
-    return df
-
-
 def bleu_from_counts(df: DataFrame, kind: str = "w") -> Column:
     """Close BLEU from pivoted counts ``wm1..4`` (matches) and ``wh1..4`` (hyp n-grams);
     ``wh1``/``wr1`` are the hypothesis and reference lengths."""
@@ -198,16 +194,21 @@ CHRF_ORDERS = [("c", n) for n in range(1, CHRF_CHAR_ORDER + 1)]
 CHRFPP_ORDERS = CHRF_ORDERS + [("w", n) for n in range(1, CHRF_WORD_ORDER + 1)]
 
 
-def _chrf_inputs(ev: DataFrame, words: bool) -> DataFrame:
+def _chrf_stats(ev: DataFrame, words: bool, group=("row_id",)) -> DataFrame:
     def prep(col):
         chars = F.filter(F.split(F.regexp_replace(col, _ws(), ""), ""), lambda c: c != "")
         toks = _strip_punct_edges(py_split(col)) if words else F.array().cast("array<string>")
         return F.struct(chars.alias("c"), toks.alias("w"))
 
     def specs_of(x):
-        out = [("c", x["c"], CHRF_CHAR_ORDER, "")]
-        return out + [("w", x["w"], CHRF_WORD_ORDER, " ")] if words else out
-    return ngram_stats(ev, prep(F.col("_hyp")), prep(F.col("_ref")), specs_of)
+        out = [("c", x["c"], CHRF_CHAR_ORDER)]
+        return out + [("w", x["w"], CHRF_WORD_ORDER)] if words else out
+    return ngram_stats(ev, prep(F.col("_hyp")), prep(F.col("_ref")), specs_of, group)
+
+
+def _bleu_stats(ev: DataFrame, group=("row_id",)) -> DataFrame:
+    return ngram_stats(ev, tokenize_13a(F.col("_hyp")), tokenize_13a(F.col("_ref")),
+                       lambda x: [("w", x, BLEU_ORDER)], group)
 
 
 def _ws() -> str:
@@ -218,29 +219,21 @@ def _ws() -> str:
 def bleu_rows(df: DataFrame, hyp: str = "prediction", ref: str = "reference") -> DataFrame:
     """Per-row BLEU (0-100)."""
     ev = eval_frame(df, hyp, ref)
-    stats = ngram_stats(ev, tokenize_13a(F.col("_hyp")), tokenize_13a(F.col("_ref")),
-                        lambda x: [("w", x, BLEU_ORDER, " ")])
-    piv = _pivot_orders(stats, "w", BLEU_ORDER)
+    piv = _bleu_stats(ev)
     return _guard(ev, piv.select("row_id", bleu_from_counts(piv).alias("bleu")), ["bleu"])
 
 
 def chrf_rows(df: DataFrame, hyp: str = "prediction", ref: str = "reference") -> DataFrame:
     """Per-row chrF (0-100)."""
     ev = eval_frame(df, hyp, ref)
-    piv = _pivot_orders(_chrf_inputs(ev, words=False), "c", CHRF_CHAR_ORDER)
+    piv = _chrf_stats(ev, words=False)
     return _guard(ev, piv.select("row_id", chrf_from_counts(CHRF_ORDERS).alias("chrf")), ["chrf"])
 
 
 def chrf_pp_rows(df: DataFrame, hyp: str = "prediction", ref: str = "reference") -> DataFrame:
     """Per-row chrF++ (characters 1..6 and words 1..2)."""
     ev = eval_frame(df, hyp, ref)
-    stats = _chrf_inputs(ev, words=True)
-    pc = _pivot_orders(stats, "c", CHRF_CHAR_ORDER)
-    pw = _pivot_orders(stats, "w", CHRF_WORD_ORDER)
-    piv = pc.join(pw, "row_id", "full")
-    for kind, n in CHRFPP_ORDERS:
-        for x in "mhr":
-            piv = piv.withColumn(f"{kind}{x}{n}", F.coalesce(F.col(f"{kind}{x}{n}"), F.lit(0.0)))
+    piv = _chrf_stats(ev, words=True)
     return _guard(ev, piv.select("row_id", chrf_from_counts(CHRFPP_ORDERS).alias("chrf_pp")), ["chrf_pp"])
 
 
@@ -286,9 +279,7 @@ def corpus_bleu(df: DataFrame, hyp: str = "prediction", ref: str = "reference")
     Rows with a blank reference are left out, as in the per-row evaluation."""
     ev = eval_frame(df.filter(F.col(ref).isNotNull() & (py_strip(F.col(ref)) != "") & F.col(hyp).isNotNull()),
                     hyp, ref)
-    stats = ngram_stats(ev, tokenize_13a(F.col("_hyp")), tokenize_13a(F.col("_ref")),
-                        lambda x: [("w", x, BLEU_ORDER, " ")])
-    piv = _pivot_orders(stats.withColumn("_all", F.lit(1)), "w", BLEU_ORDER, group=("_all",))
+    piv = _bleu_stats(ev, group=())
     return piv.select(bleu_from_counts(piv).alias("bleu"))
 
 
@@ -296,8 +287,7 @@ def corpus_chrf(df: DataFrame, hyp: str = "prediction", ref: str = "reference")
     """E5: corpus chrF from summed character n-gram counts."""
     ev = eval_frame(df.filter(F.col(ref).isNotNull() & (py_strip(F.col(ref)) != "") & F.col(hyp).isNotNull()),
                     hyp, ref)
-    stats = _chrf_inputs(ev, words=False).withColumn("_all", F.lit(1))
-    piv = _pivot_orders(stats, "c", CHRF_CHAR_ORDER, group=("_all",))
+    piv = _chrf_stats(ev, words=False, group=())
     return piv.select(chrf_from_counts(CHRF_ORDERS).alias("chrf"))
 
 
