@@ -15,8 +15,10 @@ at that depth:
   windows it owns: samples of one rank own equal windows. Ranks are taken over the
   corpus, one bucket of samples at a time (``_resolve``), so memory is bounded by a bucket.
 * Ties. Where one gram occurs in several documents with different surroundings (the ends
-  of a shared passage), rank alone does not decide; those few runs are split into their
-  windows and the windows are ranked in a second round of the same kind.
+  of a shared passage), rank alone does not decide. Two such runs share a window only if
+  the bytes on one side of the gram, over half of what a window holds beside it, are
+  equal; hashes of both sides travel with a sample, and the few runs that agree on one
+  are split into their windows, which are ranked in a second round of the same kind.
 
 Copies are pre-aggregated: of the samples of one rank a task sends only those of its
 smallest document, the others are known to repeat it. Grams that a sample of the corpus
@@ -44,11 +46,12 @@ MIN_LEN = 50
 GRAM = 20                  # bytes of a cover sample's string
 SLICE = 1 << 19            # window starts hashed at a time
 FLUSH = 1 << 20            # samples a task holds before it sends them
-SUB_BUCKETS = 8            # buckets per shuffle partition, resolved one at a time
+SUB_BUCKETS = 8            # buckets per shuffle partition in the first round, resolved one at a time
 HOT_SHARE = 0.0005         # a gram with this share of the sampled grams counts as hot
 HOT_SAMPLE_ROWS = 20_000   # about so many documents are sampled to find hot grams
 
-_ITEM = np.dtype([("h", "<u4"), ("h2", "<u2"), ("c", "<u4"), ("c2", "<u2"), ("doc", "<u2"), ("lo", "<u4"), ("n", "u1")])
+_ITEM = np.dtype([("h", "<u4"), ("h2", "<u2"), ("c", "<u4"), ("c2", "<u2"), ("doc", "<u2"),
+                  ("left", "<u2"), ("right", "<u2"), ("lo", "<u4"), ("n", "u1")])
 _M = (1 << 64) - 1
 
 
@@ -100,12 +103,13 @@ class Sampler:
     def __init__(self, min_len: int, gram: int):
         self.min_len, self.gram = min_len, gram
         self.width = min_len - gram + 1
+        self.half = (min_len - gram) // 2
         self.size = SLICE + min_len + 8
         self.first, self.second = _Hasher(11, self.size), _Hasher(23, self.size)
 
     def slices(self, texts: list[bytes]):
-        """(data, doc of each window, its start in the doc, its start in data): whole short
-        texts together, long texts in overlapping parts."""
+        """(data, doc of each window, its start in the doc, its start in data, start and end
+        of its text part in data): whole short texts together, long texts in overlapping parts."""
         part, total = [], 0
         for k, t in enumerate(texts):
             n = len(t)
@@ -129,12 +133,14 @@ class Sampler:
         which = np.repeat(np.arange(len(part)), count)
         inside = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
         doc = np.array([k for k, _, _ in part])[which]
-        return data, doc, np.array([lo for _, lo, _ in part])[which] + inside, starts[which] + inside
+        first = starts[which]
+        return (data, doc, np.array([lo for _, lo, _ in part])[which] + inside, first + inside,
+                first, first + lens[which])
 
     def samples(self, texts: list[bytes]):
-        """(h, c, doc, lo, n, window hashes) per slice: one row per sample, owning the n
-        windows from ``lo`` on."""
-        for data, doc, at, w in self.slices(texts):
+        """(h, c, doc, left, right, lo, n, window hashes) per slice: one row per sample,
+        owning the n windows from ``lo`` on."""
+        for data, doc, at, w, begin, end in self.slices(texts):
             p1 = self.first.prefix(data)
             g = self.first.at(p1, np.arange(len(data) - self.gram + 1), self.gram)
             own = _owners(g, self.width)[w]
@@ -146,7 +152,15 @@ class Sampler:
             o, a, z = own[lo], w[lo], w[hi]
             c = mixed(self.second.at(p2, a, self.min_len) * np.uint64(3) + self.second.at(p2, z, self.min_len)
                       + (o - a).astype(np.uint64) * np.uint64(1000003) + (z - a).astype(np.uint64))
-            yield g[o], c, doc[lo], at[lo], hi - lo + 1, (p1, p2, a)
+            left, right = o - self.half, o + self.gram
+            left = self._side(p2, left, left >= begin[lo])
+            right = self._side(p2, right, right + self.half <= end[lo])
+            yield g[o], c, doc[lo], left, right, at[lo], hi - lo + 1, (p1, p2, a)
+
+    def _side(self, prefix, start, inside):
+        """16-bit hash of the ``half`` bytes from ``start`` on; 0 where the text part ends."""
+        h = self.second.at(prefix, np.where(inside, start, 0), self.half) >> np.uint64(48)
+        return np.where(inside, np.maximum(h, np.uint64(1)), np.uint64(0))
 
     def windows(self, hashes, pick, n):
         """Both hashes, the picked row and the shift of each single window of the rows in ``pick``."""
@@ -178,8 +192,8 @@ class _Outbox:
         self.docs.append((doc_id, key))
         return len(self.docs) - 1
 
-    def add(self, h, c, doc, lo, n):
-        self.parts.append((h, c, doc, lo, n))
+    def add(self, h, c, doc, left, right, lo, n):
+        self.parts.append((h, c, doc, left, right, lo, n))
         self.count += len(h)
 
     def full(self, more: int) -> bool:
@@ -188,13 +202,13 @@ class _Outbox:
     def flush(self):
         if not self.parts:
             return
-        h, c, doc, lo, n = (np.concatenate(x) for x in zip(*self.parts))
+        h, c, doc, left, right, lo, n = (np.concatenate(x) for x in zip(*self.parts))
         docs = np.array(self.docs, dtype=np.int64).reshape(-1, 2)
         self.parts, self.count, self.docs = [], 0, []
         h, c = h >> np.uint64(16), c >> np.uint64(16)
         ids = docs[doc, 0]
         order = np.lexsort((ids, c, h))
-        h, c, doc, lo, n, ids = (x[order] for x in (h, c, doc, lo, n, ids))
+        h, c, doc, left, right, lo, n, ids = (x[order] for x in (h, c, doc, left, right, lo, n, ids))
         new = _runs_of(h, c)
         least = ids[np.nonzero(new)[0]][np.cumsum(new) - 1]
         known = ids > least          # repeats a smaller document of this task
@@ -213,7 +227,7 @@ class _Outbox:
         item = np.empty(len(order), _ITEM)
         item["h"], item["h2"] = h[order] >> np.uint64(16), h[order] & np.uint64(0xFFFF)
         item["c"], item["c2"] = c[order] >> np.uint64(16), c[order] & np.uint64(0xFFFF)
-        item["lo"], item["n"] = lo[order], n[order]
+        item["left"], item["right"], item["lo"], item["n"] = left[order], right[order], lo[order], n[order]
         bucket, doc = bucket[order], doc[order]
         at = np.nonzero(_runs_of(bucket))[0] if len(order) else []
         for a, z in zip(at, np.append(at[1:], len(order))):
@@ -256,16 +270,16 @@ def _send_samples(min_len, gram, buckets, hot):
                 base = len(box.docs)
                 for i, k in zip(ids, keys):
                     box.doc(i, k)
-                for h, c, doc, lo, n, hashes in sampler.samples(texts):
+                for h, c, doc, left, right, lo, n, hashes in sampler.samples(texts):
                     if len(common):
                         is_hot = np.isin(h, common)
                         pick = np.nonzero(is_hot)[0]
                         if pick.size:
                             w1, w2, row, shift = sampler.windows(hashes, pick, n)
-                            box.add(w1, w2, base + doc[row], lo[row] + shift, np.ones(len(row), np.int64))
-                            rest = ~is_hot
-                            h, c, doc, lo, n = h[rest], c[rest], doc[rest], lo[rest], n[rest]
-                    box.add(h, c, base + doc, lo, n)
+                            none = np.zeros(len(row), np.uint64)
+                            box.add(w1, w2, base + doc[row], none, none, lo[row] + shift, np.ones(len(row), np.int64))
+                            h, c, doc, left, right, lo, n = (x[~is_hot] for x in (h, c, doc, left, right, lo, n))
+                    box.add(h, c, base + doc, left, right, lo, n)
         yield from (_batch([r]) for r in box.flush())
 
     return run
@@ -287,7 +301,7 @@ def _send_windows(min_len, gram, buckets):
                     w = np.arange(n)
                     box.add(sampler.first.at(sampler.first.prefix(data), w, min_len),
                             sampler.second.at(sampler.second.prefix(data), w, min_len),
-                            np.full(n, k), lo + w, np.ones(n, np.int64))
+                            np.full(n, k), np.zeros(n, np.uint64), np.zeros(n, np.uint64), lo + w, np.ones(n, np.int64))
         yield from (_batch([r]) for r in box.flush())
 
     return run
@@ -322,14 +336,25 @@ def _resolve(batches):
         if repeat.any():
             d = doc[repeat]
             yield out(1, docs[d, 0], docs[d, 1], x["lo"][repeat], x["n"][repeat])
-        # Grams with several surroundings in several documents: their first runs stay open.
-        gram_new = _runs_of(h)
-        gat = np.nonzero(gram_new)[0]
-        gram = np.cumsum(gram_new) - 1
-        low, high = np.minimum.reduceat(ids, gat), np.maximum.reduceat(ids, gat)
-        several = np.add.reduceat(new.astype(np.int64), gat) > 1
-        open_ = (several & (low < high))[gram] & ~repeat
-        if open_.any():
+        # First runs of a rank stay open if another rank of their gram, in another document,
+        # agrees with them on one side.
+        first = np.nonzero(~repeat)[0]
+        open_ = np.zeros(len(first), bool)
+        for side in ("left", "right"):
+            around = x[side][first]
+            order = np.lexsort((ids[first], group[first], around, h[first]))
+            order = order[around[order] > 0]
+            if not len(order):
+                continue
+            i = first[order]
+            new_side = _runs_of(h[i], around[order])
+            sat = np.nonzero(new_side)[0]
+            which = np.cumsum(new_side) - 1
+            ranks = np.add.reduceat((new_side | _runs_of(group[i])).astype(np.int64), sat)
+            low, high = np.minimum.reduceat(ids[i], sat), np.maximum.reduceat(ids[i], sat)
+            open_[order] |= ((ranks > 1) & (low < high))[which]
+        open_ = first[open_]
+        if open_.size:
             d = doc[open_]
             yield out(2, docs[d, 0], docs[d, 1], x["lo"][open_], x["n"][open_])
 
@@ -388,7 +413,7 @@ def repeated_runs(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM) ->
     open_ = (first.filter("kind = 2").groupBy("doc_id", "key")
              .agg(F.collect_list(F.struct("lo", "n")).alias("runs")))
     again = docs.join(open_, ["doc_id", "key"]).select("doc_id", "key", "data", "runs")
-    second = _ranked(again.mapInArrow(_send_windows(min_len, gram, buckets), _SENT), parts, "ties")
+    second = _ranked(again.mapInArrow(_send_windows(min_len, gram, parts), _SENT), parts, "ties")
     return first.filter("kind = 1").unionByName(second.filter("kind = 1")).select("doc_id", "key", "lo", "n")
 
 
