@@ -33,6 +33,11 @@ class Factory:
         return process_cached(f"model:{self.key}", self.build)
 
 
+def _model(m):
+    """The model of a factory; a plain function is used as it is (and shipped with the task)."""
+    return m.model() if isinstance(m, Factory) else m
+
+
 def hashed_char_embedder(dim: int = 64, n: int = 3) -> Callable[[pd.Series], np.ndarray]:
     """Stand-in encoder: signed counts of character n-grams hashed by MD5, L2-normalised.
     The first hex digit's parity gives the sign, the next four the cell."""
@@ -63,12 +68,12 @@ def hashed_char_embedder(dim: int = 64, n: int = 3) -> Callable[[pd.Series], np.
 EMBEDDER = Factory("hashed-char-64-3", hashed_char_embedder)
 
 
-def embed(df: DataFrame, text_col: str, id_col: str = "idx", factory: Factory = EMBEDDER,
+def embed(df: DataFrame, text_col: str, id_col: str = "idx", factory: Factory | Callable = EMBEDDER,
           batch_size: int = 128) -> DataFrame:
     """M1 + F9: text -> unit vector ``ARRAY<FLOAT>`` in batches."""
 
     def run(it):
-        model = factory.model()
+        model = _model(factory)
         for pdf in it:
             for s in range(0, len(pdf), batch_size):
                 part = pdf.iloc[s:s + batch_size]
@@ -89,11 +94,11 @@ TRANSLATOR = Factory("copy", lambda: copy_translator)
 
 
 def translate(df: DataFrame, text_col: str, src_lang: str, tgt_lang: str, id_col: str = "idx",
-              translator: Factory = TRANSLATOR, batch_size: int = 8) -> DataFrame:
+              translator: Factory | Callable = TRANSLATOR, batch_size: int = 8) -> DataFrame:
     """M3: batched text -> text; the output keeps ``id_col`` (order = input order by key)."""
 
     def run(it):
-        fn = translator.model()
+        fn = _model(translator)
         for pdf in it:
             for s in range(0, len(pdf), batch_size):
                 part = pdf.iloc[s:s + batch_size]
@@ -114,14 +119,14 @@ def translate(df: DataFrame, text_col: str, src_lang: str, tgt_lang: str, id_col
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} long, translation string, error string")
 
 
-def model_metric(df: DataFrame, scorer: Factory, name: str, src: str | None, hyp: str, ref: str,
+def model_metric(df: DataFrame, scorer: Factory | Callable, name: str, src: str | None, hyp: str, ref: str,
                  batch_size: int = 16) -> DataFrame:
     """M4: a learned metric (BERTScore, COMET, BLEURT ...) per row; NULL on failure or
     for a blank reference."""
     cols = ["row_id", hyp, ref] + ([src] if src else [])
 
     def run(it):
-        metric = scorer.model()
+        metric = _model(scorer)
         for pdf in it:
             for s in range(0, len(pdf), batch_size):
                 part = pdf.iloc[s:s + batch_size].reset_index(drop=True)

@@ -26,6 +26,7 @@ SEQ_LEN = 350
 TRAIN_FRACTION = 0.9
 LABEL_IGNORE = -100
 MAX_TOKENS_PER_SIDE = 256
+VOCAB_BROADCAST_ROWS = 200_000
 STRATIFIED_CUTS = (0.98, 0.99)   # train / validation / test = 98 / 1 / 1
 # ---------------------------------------------------------------------------
 
@@ -85,12 +86,14 @@ def build_vocab(df: DataFrame, col: str, size: int = VOCAB_SIZE) -> DataFrame:
 
 
 def encode_tokens(df: DataFrame, id_col: str, col: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
-    """Whitespace tokens -> ids (unknown -> 1), in token order. The vocabulary
-    (bounded by its size) is broadcast; rows are grouped back by ``id_col`` in the
-    partitioning they already have."""
+    """Whitespace tokens -> ids (unknown -> 1), in token order. A vocabulary of at most
+    ``VOCAB_BROADCAST_ROWS`` (counted) is broadcast and rows are grouped back by ``id_col``
+    in the partitioning they already have; a larger one is joined by a shuffle."""
     base = df.select(id_col, col).repartition(id_col)
     toks = base.select(id_col, F.posexplode(py_split(F.col(col))).alias("pos", "token"))
-    v = F.broadcast(vocab.filter(~F.col("token").isin(SPECIAL_TOKENS)).select("token", "token_id"))
+    v = vocab.filter(~F.col("token").isin(SPECIAL_TOKENS)).select("token", "token_id")
+    if v.limit(VOCAB_BROADCAST_ROWS + 1).count() <= VOCAB_BROADCAST_ROWS:
+        v = F.broadcast(v)
     ids = (toks.join(v, "token", "left")
                .withColumn("token_id", F.coalesce(F.col("token_id"), F.lit(UNK).cast("long")))
                .groupBy(id_col)
@@ -154,9 +157,10 @@ def pad_to_longest(df: DataFrame, idx: str, col: str, batch_size: int,
 
 
 def shuffle_order(df: DataFrame, id_col: str, seed: int = 0, epoch: int = 0) -> DataFrame:
-    """A repeatable random order for training batches (no driver round trip)."""
-    key = F.xxhash64(F.col(id_col), F.lit(seed), F.lit(epoch))
-    return df.withColumn("shuffle_key", key)
+    """A repeatable random order for training batches: ``position`` is the dense index
+    by the MD5 of (id, seed, epoch), without a driver round trip or a one-task sort."""
+    text = F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)), F.lit(str(epoch)))
+    return dense_index(df.withColumn("shuffle_key", F.md5(text)), ["shuffle_key", id_col], "position")
 
 
 def zip_by_position(a: DataFrame, b: DataFrame, idx: str = "idx") -> DataFrame:

@@ -7,8 +7,8 @@ def all_sql() -> dict[str, str]:
     from pairmine.oracles.mining import sql_mining
 
     out = dict(sql_mining())
-    from pairmine.oracles import mt, prep, sweep
+    from pairmine.oracles import files, mt, prep, sweep
 
-    for m in (sweep, mt, prep):
+    for m in (sweep, mt, prep, files):
         out.update(m.sql())
     return out

@@ -7,11 +7,38 @@ DOUBLE output to 6 decimals.
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
-from pairmine.operators.scoring import MiningConfig
-from pairmine.plans.mining_queries import DEMO, PRE_RANK_CONFIGS, WIDE_K
-from pairmine.sources.tables import SOURCE_EVERY
+
+# Fixed values, written out: the oracle shares no constant with the engine.
+@dataclass(frozen=True)
+class MiningConfig:
+    search_k: int = 20
+    top_after_filtering: int = 5
+    quality_threshold: float = 0.60
+    cosine_weight: float = 0.6
+    l2_weight: float = 0.4
+    base_weight: float = 0.6
+    z_weight: float = 0.4
+    z_threshold: float = -1.0
+    sparse_bonus: float = 0.1
+    crowded_penalty: float = 0.15
+    sparse_threshold: float = 0.37
+    crowded_threshold: float = 0.36
+    k_neighbors: int = 20
+
+
+SOURCE_EVERY = 5
+WIDE_K = 100
+DEMO = MiningConfig()
+PRE_RANK_CONFIGS = {
+    "pre_rank": DEMO,
+    "pre_rank_no_adaptive": replace(DEMO, base_weight=1.0, z_weight=0.0),
+    "pre_rank_no_density": replace(DEMO, sparse_bonus=0.0, crowded_penalty=0.0),
+    "pre_rank_plain": replace(DEMO, base_weight=1.0, z_weight=0.0, sparse_bonus=0.0, crowded_penalty=0.0),
+    "pre_rank_overlap": replace(DEMO, sparse_threshold=0.36, crowded_threshold=0.37),
+    "pre_rank_default_density": replace(DEMO, search_k=100, sparse_threshold=0.3, crowded_threshold=0.1),
+}
 
 
 def d(x) -> str:

@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
-from pairmine.functions.scalar import PY_WHITESPACE
-from pairmine.operators.mt_metrics import ENTITIES_13A, PUNCTUATION, REGEX_13A
+# Fixed values, written out: the oracle shares no constant with the engine.
+PY_WHITESPACE = [chr(c) for c in (
+    9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200,
+    8201, 8202, 8232, 8233, 8239, 8287, 12288)]
+ENTITIES_13A = [("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
+REGEX_13A = [
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" $1 "),
+    (r"([^0-9])([\.,])", r"$1 $2 "),
+    (r"([\.,])([^0-9])", r" $1 $2"),
+    (r"([0-9])(-)", r"$1 $2 "),
+]
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 WS = "[" + "".join(f"\\x{{{ord(c):04x}}}" for c in PY_WHITESPACE) + "]+"
 

@@ -76,10 +76,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY h, idx) - 1 AS r
              count(*) OVER (PARTITION BY bucket) AS gs FROM st)
 SELECT idx, bucket, CASE WHEN r < floor(CAST(0.98 AS DOUBLE) * gs) THEN 'train'
                          WHEN r < floor(CAST(0.99 AS DOUBLE) * gs) THEN 'validation' ELSE 'test' END AS split FROM r""",
-        "build_vocab": f"""WITH {PAIRS}, {vocab_cte('src_text', 'vs')}
-SELECT token, token_id, n FROM vs
-UNION ALL SELECT * FROM (VALUES ('[PAD]', CAST(0 AS BIGINT), CAST(0 AS BIGINT)), ('[UNK]', 1, 0),
-                                ('[SOS]', 2, 0), ('[EOS]', 3, 0)) v(token, token_id, n)""",
+        "build_vocab": f"""WITH {PAIRS}, {vocab_cte('src_text', 'vs')}, {vocab_cte('tgt_text', 'vt')},
+sp AS (SELECT * FROM (VALUES ('[PAD]', CAST(0 AS BIGINT), CAST(0 AS BIGINT)), ('[UNK]', 1, 0),
+                             ('[SOS]', 2, 0), ('[EOS]', 3, 0)) v(token, token_id, n))
+SELECT token, token_id, n, 'src_text' AS side FROM vs UNION ALL SELECT *, 'src_text' FROM sp
+UNION ALL SELECT token, token_id, n, 'tgt_text' FROM vt UNION ALL SELECT *, 'tgt_text' FROM sp""",
         "encode_tokens": f"WITH {ENCODED} SELECT idx, {j('src_ids')}, {j('tgt_ids')} FROM enc",
         "pack_seq2seq": f"WITH {PACKED} SELECT idx, {j('encoder_input')}, {j('decoder_input')}, {j('label')} FROM packed",
         "masks": f"""WITH {PACKED} SELECT idx,
@@ -89,9 +90,18 @@ FROM packed""",
         "mask_labels": f"""WITH {PACKED} SELECT idx,
   array_to_string(list_transform(label, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END), ' ') AS label FROM packed""",
         "pad_to_longest": f"""WITH {ENCODED},
-b AS (SELECT idx, CAST(floor(idx / {BATCH}) AS BIGINT) AS batch_id, {cut('src_ids', 256)} AS ids FROM enc),
-bl AS (SELECT *, CAST(max(len(ids)) OVER (PARTITION BY batch_id) AS INTEGER) AS batch_len FROM b)
-SELECT idx, batch_id, batch_len, array_to_string({pad('ids', 'batch_len')}, ' ') AS src_ids FROM bl""",
+b AS (SELECT idx, 'src_ids' AS side, CAST(floor(idx / {BATCH}) AS BIGINT) AS batch_id, {cut('src_ids', 256)} AS ids FROM enc
+      UNION ALL SELECT idx, 'tgt_ids', CAST(floor(idx / {BATCH}) AS BIGINT), {cut('tgt_ids', 256)} FROM enc),
+bl AS (SELECT *, CAST(max(len(ids)) OVER (PARTITION BY side, batch_id) AS INTEGER) AS batch_len FROM b)
+SELECT idx, side, batch_id, batch_len, array_to_string({pad('ids', 'batch_len')}, ' ') AS ids FROM bl""",
+        "causal_mask": f"""WITH {ENCODED},
+d AS (SELECT idx, {pad(f"list_concat([CAST({SOS} AS BIGINT)], {cut('tgt_ids', 23)})", 24)} AS dec FROM enc),
+r AS (SELECT idx, dec, unnest(range(24)) AS row FROM d)
+SELECT idx, CAST(row AS INTEGER) AS row,
+       array_to_string(list_transform(range(24), lambda c: CASE WHEN dec[c + 1] <> 0 AND c <= row THEN 1 ELSE 0 END), ' ') AS mask
+FROM r""",
+        "shuffle": f"""WITH {PAIRS}, k AS (SELECT idx, md5(CAST(idx AS VARCHAR) || ':7:1') AS shuffle_key FROM pairs)
+SELECT idx, shuffle_key, CAST(row_number() OVER (ORDER BY shuffle_key, idx) - 1 AS BIGINT) AS position FROM k""",
         "pack_two_files": f"""WITH {ENCODED},
 e2 AS (SELECT idx, {cut(ens.replace('x', 'src_ids'), L - 2)} AS s, {cut(ens.replace('x', 'tgt_ids'), L - 2)} AS t FROM enc)
 SELECT idx,
@@ -99,10 +109,7 @@ SELECT idx,
   array_to_string({pad(f"list_concat([CAST({SOS} AS BIGINT)], t, [CAST({EOS} AS BIGINT)])", L)}, ' ') AS decoder_input,
   array_to_string({pad(f"list_concat(t, [CAST({EOS} AS BIGINT)])", L)}, ' ') AS label
 FROM e2""",
-        "clean_sentences": f"WITH {PAIRS} SELECT {strip('tgt_text')} AS tgt_text FROM pairs WHERE {strip('tgt_text')} <> ''",
-        "read_sentences": f"""WITH l AS (
-  SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line,
-         unnest(range(len(string_split_regex(text, '\\r\\n|\\r|\\n')))) AS line_no FROM documents),
-s AS (SELECT doc_id, line_no, {strip('line')} AS text FROM l)
-SELECT CAST(row_number() OVER (ORDER BY doc_id, line_no) - 1 AS BIGINT) AS idx, text FROM s WHERE text <> ''""",
+        "clean_sentences": f"""WITH {PAIRS}
+SELECT 'src_text' AS side, {strip('src_text')} AS sentence FROM pairs WHERE {strip('src_text')} <> ''
+UNION ALL SELECT 'tgt_text', {strip('tgt_text')} FROM pairs WHERE {strip('tgt_text')} <> ''""",
     }

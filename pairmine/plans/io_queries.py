@@ -1,24 +1,182 @@
-"""Model plug-in queries on the driver's tables (no SQL oracle: rows-only checks)."""
+"""Model plug-ins, sources and sinks on the driver's tables.
+
+The file queries write the tables with the sinks into a folder of their own under the
+shared stage folder, read them back with the sources and return what was read.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pairmine.operators import models as MD
+from pairmine.operators import quality as Q
+from pairmine.operators import scoring as SC
+from pairmine.plans import mining as M
+from pairmine.plans import sweep as SW
+from pairmine.plans.mining_queries import _final, rounded
+from pairmine.plans.mt_queries import eval_rows
 from pairmine.plans.prep_queries import training_pairs
+from pairmine.session import stage_path
+from pairmine.sources import io as IO
 from pairmine.sources.tables import table
 
 
+def _folder(spark) -> str:
+    return stage_path(spark, f"io-{uuid.uuid4().hex}")
+
+
 def q_embed(spark, sf_dir):
-    """M1 with the hashed-trigram stand-in over every document (whole texts)."""
+    """M1 with the hashed-trigram stand-in over every document (whole texts): the
+    components that are not zero."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "text")
-    return MD.embed(docs, "text")
+    vec = MD.embed(docs, "text").select("idx", F.posexplode("vec").alias("cell", "w"))
+    return vec.filter("w <> 0").select("idx", "cell", F.round(F.col("w").cast("double"), 6).alias("w"))
 
 
 def q_translate(spark, sf_dir):
     """M3 with the copy stand-in over both directions of the aligned pairs."""
     pairs = training_pairs(spark, sf_dir)
-    return MD.translate(pairs, "src_text", "user", "assistant")
+    out = [MD.translate(pairs, col, a, b).withColumn("direction", F.lit(f"{a}-{b}"))
+           for col, a, b in (("src_text", "user", "assistant"), ("tgt_text", "assistant", "user"))]
+    return out[0].unionByName(out[1])
+
+
+def _word_pairs(spark, sf_dir):
+    return training_pairs(spark, sf_dir).select(F.col("idx").alias("src_idx"), F.col("idx").alias("tgt_idx"),
+                                                "src_text", "tgt_text")
+
+
+def q_quality_score(spark, sf_dir):
+    """M2 + M5 + J11: the token-overlap stand-in through the batch plug-in, joined back."""
+    pairs = _word_pairs(spark, sf_dir)
+    scored = Q.score_pairs(pairs, lambda: Q.overlap_scorer, key="overlap")
+    return rounded(Q.attach_scores(pairs.select("src_idx", "tgt_idx"), scored))
+
+
+def length_ratio():
+    """Stand-in learned metric: shorter over longer, in characters."""
+    def score(src, hyp, ref):
+        return [min(len(h), len(r)) / max(len(h), len(r), 1) for h, r in zip(hyp.fillna(""), ref.fillna(""))]
+    return score
+
+
+def q_model_metric(spark, sf_dir):
+    """M4 through the plug-in; a blank reference gives NULL."""
+    ev = eval_rows(spark, sf_dir)
+    return rounded(MD.model_metric(ev, MD.Factory("length-ratio", length_ratio), "length_ratio", "source",
+                                   "prediction", "reference"))
+
+
+def q_read_sentences(spark, sf_dir):
+    """K6 -> S1: the documents' lines, written in order and read back with their index."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    path = _folder(spark)
+    IO.write_text_corpus(ordered.select(F.explode(F.split("text", "\r\n|\r|\n")).alias("line")), "line", path)
+    return IO.read_sentences(spark, path)
+
+
+def q_read_pairs_csv(spark, sf_dir):
+    """K1 -> S2: the aligned pairs through a CSV, null markers dropped (some sources are
+    replaced by one to show it)."""
+    pairs = training_pairs(spark, sf_dir).orderBy("idx")
+    pairs = pairs.withColumn("src_text", F.when(F.col("idx") % 7 == 3, F.lit("NA")).otherwise(F.col("src_text")))
+    path = _folder(spark)
+    IO.write_pairs(pairs.select("idx", "src_text", "tgt_text"), path)
+    return IO.read_pairs_csv(spark, path, "src_text", "tgt_text")
+
+
+def q_read_eval_csv(spark, sf_dir):
+    """K2 -> S3 (DV-10): a translation output, every field quoted, read for evaluation."""
+    pairs = training_pairs(spark, sf_dir).orderBy("idx")
+    path = _folder(spark)
+    IO.write_quoted_csv(pairs.select(F.col("src_text").alias("input"), F.col("src_text").alias("translation"),
+                                     F.col("tgt_text").alias("reference")), path)
+    return IO.read_eval_csv(spark, path, **IO.TRANSLATION_COLUMNS)
+
+
+def q_write_eval(spark, sf_dir):
+    """S3 -> E1-E3 -> K7: an evaluated table written and read back."""
+    from pairmine.operators import mt_metrics as MT
+    ev = training_pairs(spark, sf_dir).select(F.col("idx").alias("row_id"), F.col("src_text").alias("prediction"),
+                                              F.col("tgt_text").alias("reference"))
+    path = _folder(spark)
+    IO.write_eval(MT.bleu_rows(ev), path)
+    back = spark.read.option("header", True).schema("row_id long, bleu double").csv(path)
+    return rounded(back)
+
+
+def q_read_aligned_lines(spark, sf_dir):
+    """Two line files of equal length; line breaks inside a text become spaces."""
+    pairs = training_pairs(spark, sf_dir).orderBy("idx")
+    root = _folder(spark)
+    for side in ("src_text", "tgt_text"):
+        line = F.concat(F.lit("> "), F.regexp_replace(side, "[\r\n]", " ")).alias("value")
+        pairs.select(line).write.text(f"{root}/{side}")
+    return IO.read_aligned_lines(spark, f"{root}/src_text", f"{root}/tgt_text")
+
+
+def q_stage_roundtrip(spark, sf_dir):
+    """K8 -> S6: the best pairs as a stage table; an unfinished stage reads as None."""
+    _, _, fp = _final(spark, sf_dir)
+    path = _folder(spark)
+    assert IO.read_stage(spark, path) is None
+    IO.write_stage(fp, path, {"last_step": "best_per_source"})
+    return rounded(IO.read_stage(spark, path).select("src_idx", "tgt_idx", "pre_rank", "quality"))
+
+
+def q_sweep_results_kept(spark, sf_dir):
+    """K3 + J14 + K4: a sweep in slices into a results folder, resumed: the two runs
+    together hold every config once."""
+    from pairmine.plans.mining_queries import _quality_expr
+    from pairmine.plans.sweep_queries import failing_grid
+    from pairmine.sources.tables import corpora
+    c = corpora(spark, sf_dir)
+    root = _folder(spark)
+    args = (f"{root}/results", f"{root}/pairs", c.src_vec, c.tgt_vec, c.src_attrs, c.tgt_attrs)
+    base = SW.grid_baseline(spark)
+    SW.run_sweep_to(base, *args, quality_expr=_quality_expr, materialize=False)
+    grid = base.unionByName(failing_grid(spark))
+    res = SW.run_sweep_to(grid, *args, quality_expr=_quality_expr, materialize=False, slice_rows=2)
+    return rounded(res.select("experiment_id", "status", "successful", "weighted_score", "error"))
+
+
+CORPUS = SC.MiningConfig(search_k=20, top_after_filtering=5, quality_threshold=0.05,
+                         sparse_threshold=0.37, crowded_threshold=0.36)
+
+
+def q_mine_corpus(spark, sf_dir):
+    """X7 from files to files: the benchmark items are the source sentences, the assistant
+    turns the target sentences (line breaks as spaces); the pairs are read back from K1's CSV."""
+    root = _folder(spark)
+    flat = F.regexp_replace("text", "[\r\n]", " ").alias("line")
+    items = table(spark, sf_dir, "benchmark").repartitionByRange(1, "item_id").sortWithinPartitions("item_id")
+    turns = (table(spark, sf_dir, "conversations").filter("role = 'assistant' and text is not null")
+             .repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn"))
+    IO.write_text_corpus(items.select(flat), "line", f"{root}/src")
+    IO.write_text_corpus(turns.select(flat), "line", f"{root}/tgt")
+    M.mine_corpus(spark, f"{root}/src", f"{root}/tgt", f"{root}/pairs", CORPUS, embedder=MD.EMBEDDER,
+                  scorer=Q.overlap_scorer, stage_path=f"{root}/stage")
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{root}/pairs")
+    return rounded(back.select(F.col("src_idx").cast("long").alias("src_idx"), F.col("tgt_idx").cast("long").alias("tgt_idx"),
+                               "src_text", "tgt_text", F.col("final_score").cast("double").alias("final_score"),
+                               F.col("pre_rank").cast("int").alias("pre_rank"),
+                               F.col("quality").cast("double").alias("quality"), F.col("margin").cast("double").alias("margin")), 6)
 
 
-QUERIES = {"embed": q_embed, "translate": q_translate}
+QUERIES = {
+    "embed": q_embed,
+    "translate": q_translate,
+    "quality_score": q_quality_score,
+    "model_metric": q_model_metric,
+    "read_sentences": q_read_sentences,
+    "read_pairs_csv": q_read_pairs_csv,
+    "read_eval_csv": q_read_eval_csv,
+    "write_eval": q_write_eval,
+    "read_aligned_lines": q_read_aligned_lines,
+    "stage_roundtrip": q_stage_roundtrip,
+    "sweep_results_kept": q_sweep_results_kept,
+    "mine_corpus": q_mine_corpus,
+}

@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmine.functions.scalar import py_split, py_strip
 from pairmine.operators import trainprep as TP
 from pairmine.sources.dense_index import dense_index
 from pairmine.sources.tables import table
 
 VOCAB_SIZE_QUERY = 1000   # smaller than the 8000 default, so the cut is exercised
 BATCH = 8
+CAUSAL_LEN = 24
 
 
 def _turns(spark, sf_dir):
@@ -60,7 +60,10 @@ def q_split_stratified(spark, sf_dir):
 
 
 def q_build_vocab(spark, sf_dir):
-    return TP.build_vocab(training_pairs(spark, sf_dir), "src_text", VOCAB_SIZE_QUERY)
+    """D4 for each language column."""
+    pairs = training_pairs(spark, sf_dir)
+    src, tgt = (TP.build_vocab(pairs, c, VOCAB_SIZE_QUERY).withColumn("side", F.lit(c)) for c in ("src_text", "tgt_text"))
+    return src.unionByName(tgt)
 
 
 def _encoded(spark, sf_dir):
@@ -92,16 +95,28 @@ def q_masks(spark, sf_dir):
                     _ids(F.col("decoder_padding_mask")).alias("decoder_padding_mask"))
 
 
+def q_causal_mask(spark, sf_dir):
+    """D7, the whole decoder mask of every pair, one row of it per line; built on ids cut
+    to CAUSAL_LEN, since the mask is quadratic in the length."""
+    p = TP.pack_seq2seq(_encoded(spark, sf_dir), "src_ids", "tgt_ids", CAUSAL_LEN)
+    rows = p.select("idx", F.posexplode(TP.causal_mask(F.col("decoder_input"))).alias("row", "mask"))
+    return rows.select("idx", "row", _ids(F.col("mask")).alias("mask"))
+
+
 def q_mask_labels(spark, sf_dir):
     p = _packed(spark, sf_dir)
     return p.select("idx", _ids(TP.mask_labels(F.col("label"))).alias("label"))
 
 
 def q_pad_to_longest(spark, sf_dir):
+    """D10 for each side of the pairs."""
     e = _encoded(spark, sf_dir)
-    p = TP.pad_to_longest(e, "idx", "src_ids", BATCH)
-    return p.select("idx", "batch_id", F.col("batch_len").cast("int").alias("batch_len"),
-                    _ids(F.col("src_ids")).alias("src_ids"))
+    out = []
+    for side in ("src_ids", "tgt_ids"):
+        p = TP.pad_to_longest(e, "idx", side, BATCH)
+        out.append(p.select("idx", F.lit(side).alias("side"), "batch_id",
+                            F.col("batch_len").cast("int").alias("batch_len"), _ids(F.col(side)).alias("ids")))
+    return out[0].unionByName(out[1])
 
 
 def q_pack_two_files(spark, sf_dir):
@@ -110,21 +125,16 @@ def q_pack_two_files(spark, sf_dir):
 
 
 def q_shuffle(spark, sf_dir):
-    """Repeatable shuffled order (xxhash64 has no DuckDB twin: rows-only check)."""
-    return TP.shuffle_order(training_pairs(spark, sf_dir), "idx", seed=7, epoch=1).select("idx", "shuffle_key")
+    """A repeatable shuffled order."""
+    return TP.shuffle_order(training_pairs(spark, sf_dir), "idx", seed=7, epoch=1).select("idx", "shuffle_key", "position")
 
 
 def q_clean_sentences(spark, sf_dir):
-    return TP.clean_sentences(training_pairs(spark, sf_dir), "tgt_text")
-
-
-def q_read_sentences(spark, sf_dir):
-    """S1 over the documents' lines: split on \\n, \\r, \\r\\n; stripped; blank lines
-    dropped; dense index in (doc_id, line) order."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\r\n|\r|\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "line_no", py_strip(F.col("line")).alias("text")).filter(F.col("text") != "")
-    return dense_index(lines, ["doc_id", "line_no"]).select("idx", "text")
+    """D3 for each language column."""
+    pairs = training_pairs(spark, sf_dir)
+    out = [TP.clean_sentences(pairs, c).select(F.lit(c).alias("side"), F.col(c).alias("sentence"))
+           for c in ("src_text", "tgt_text")]
+    return out[0].unionByName(out[1])
 
 
 QUERIES = {
@@ -141,5 +151,5 @@ QUERIES = {
     "pack_two_files": q_pack_two_files,
     "shuffle": q_shuffle,
     "clean_sentences": q_clean_sentences,
-    "read_sentences": q_read_sentences,
+    "causal_mask": q_causal_mask,
 }

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairmine.functions.scalar import py_strip
+from pairmine.session import stage_root
 from pairmine.sources.dense_index import dense_index
 
 
@@ -61,44 +62,64 @@ def read_aligned_lines(spark: SparkSession, src_path: str, tgt_path: str, first_
     return out
 
 
-def read_pairs_csv(spark: SparkSession, path: str, a: str, b: str) -> DataFrame:
-    """S2 + P2 + P3: two-column CSV with header (quoted multi-line fields allowed);
-    rows with a null in either column dropped; both cast to string; ``idx`` in file
-    order (a multi-line CSV file is read by one task, so its order holds)."""
-    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-           .csv(path))
-    missing = [c for c in (a, b) if c not in raw.columns]
+# The cells that the reference's CSV reader takes for null by default.
+NULL_MARKERS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+# The columns of the translation output (K2), as read for evaluation (DV-10).
+TRANSLATION_COLUMNS = {"source": "input", "prediction": "translation", "reference": "reference"}
+
+
+def has_line_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether quoted fields of a CSV hold line breaks: some line has an odd number of quotes."""
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1
+    return spark.read.text(path).filter(odd).limit(1).count() > 0
+
+
+def _read_csv(spark: SparkSession, path: str, columns, multi_line: bool | None) -> DataFrame:
+    """CSV with header, quotes doubled, a BOM dropped. Read in splits, unless fields hold
+    line breaks (``multi_line``; looked up in the files when None), which makes every file
+    one task."""
+    if multi_line is None:
+        multi_line = has_line_breaks(spark, path)
+    raw = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+           .option("encoding", "UTF-8").csv(path))
+    raw = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
+    missing = [c for c in columns if c not in raw.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; found {raw.columns}")
-    df = _file_ordered(raw.select(a, b)).dropna(subset=[a, b])
+    return raw
+
+
+def _nulled(df: DataFrame, cols, na_values) -> DataFrame:
+    marks = list(na_values)
+    return df.withColumns({c: F.when(~F.col(c).isin(marks), F.col(c)) for c in cols}) if marks else df
+
+
+def read_pairs_csv(spark: SparkSession, path: str, a: str, b: str, na_values=NULL_MARKERS,
+                   multi_line: bool | None = None) -> DataFrame:
+    """S2 + P2 + P3: two-column CSV with header; cells equal to one of ``na_values`` are
+    null; rows with a null in either column dropped; both cast to string; ``idx`` in file
+    order."""
+    raw = _read_csv(spark, path, (a, b), multi_line)
+    df = _nulled(_file_ordered(raw.select(a, b)), (a, b), na_values).dropna(subset=[a, b])
     df = df.withColumn(a, F.col(a).cast("string")).withColumn(b, F.col(b).cast("string"))
     return dense_index(df, ["_fp", "_fb", "_pos"]).select("idx", a, b)
 
 
 def read_eval_csv(spark: SparkSession, path: str, source: str = "text",
                   prediction: str = "translated_text", reference: str = "Reference_text",
-                  na_values: str | None = None) -> DataFrame | None:
+                  na_values=(), multi_line: bool | None = None) -> DataFrame | None:
     """S3: evaluation CSV; a missing file gives None; missing columns raise. A BOM in
-    the header is removed by the reader. Only real nulls / empty fields are null
-    unless ``na_values`` names a marker (DV-6). Columns become
-    ``row_id, source, prediction, reference``."""
+    the header is removed. Only empty fields are null unless ``na_values`` names markers
+    (DV-6). Columns become ``row_id, source, prediction, reference`` beside the input's
+    own; ``**TRANSLATION_COLUMNS`` reads a translation output (DV-10)."""
     if not _path_exists(spark, path):
         return None
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    if na_values is not None:
-        reader = reader.option("nullValue", na_values)
-    raw = reader.csv(path)
-    raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
-    missing = [c for c in (source, prediction, reference) if c not in raw.columns]
-    if missing:
-        raise ValueError(f"missing columns {missing}; found {raw.columns}")
-    df = _file_ordered(raw)
-    idx = dense_index(df, ["_fp", "_fb", "_pos"], "row_id")
-    keep = [c for c in raw.columns]
-    return idx.select("row_id", *keep,
-                      F.col(source).cast("string").alias("source"),
-                      F.col(prediction).cast("string").alias("prediction"),
-                      F.col(reference).cast("string").alias("reference"))
+    raw = _read_csv(spark, path, (source, prediction, reference), multi_line)
+    idx = dense_index(_file_ordered(_nulled(raw, raw.columns, na_values)), ["_fp", "_fb", "_pos"], "row_id")
+    named = {"source": source, "prediction": prediction, "reference": reference}
+    return idx.select("row_id", *[c for c in raw.columns if c not in named],
+                      *[F.col(c).cast("string").alias(n) for n, c in named.items()])
 
 
 def read_stage(spark: SparkSession, path: str) -> DataFrame | None:
@@ -126,7 +147,10 @@ def read_progress(spark: SparkSession, path: str) -> dict | None:
 
 
 def write_pairs(df: DataFrame, path: str, fmt: str = "csv") -> bool:
-    """K1: final pairs with a header, only when there is at least one pair."""
+    """K1: final pairs with a header, only when there is at least one pair. The pairs are
+    staged first, so what makes them runs once."""
+    stage_root(df.sparkSession)
+    df = df.checkpoint(eager=True)
     if df.isEmpty():
         return False
     w = df.write.mode("overwrite")
