@@ -234,6 +234,15 @@ SELECT count(*) AS n_candidates, count(n.src_idx) AS n_scored, count(*) - count(
        round(CASE WHEN (SELECT count(*) FROM src) > 0 THEN count(*) / (SELECT count(*) FROM src) ELSE 0.0 END, 9)
          AS avg_per_source
 FROM wide w LEFT JOIN narrow n ON n.src_idx = w.src_idx AND n.tgt_idx = w.tgt_idx"""
+    wide_cfg = replace(DEMO, search_k=K)
+    wide = (base, knn_cte(K), density_cte(DEMO.k_neighbors), ranked_cte(wide_cfg), scored_cte(wide_cfg))
+    one, other = _with(*chain), _with(*wide)
+    out["covered_sources"] = f"""
+SELECT src_idx FROM ({one} SELECT src_idx FROM fp) UNION SELECT src_idx FROM ({other} SELECT src_idx FROM fp)"""
+    out["append_scored"] = f"""
+WITH a AS ({one} SELECT src_idx, tgt_idx, quality FROM scored), b AS ({other} SELECT src_idx, tgt_idx, quality FROM scored)
+SELECT src_idx, tgt_idx, round(quality, 9) AS quality FROM a
+UNION ALL SELECT src_idx, tgt_idx, round(quality, 9) FROM b ANTI JOIN a USING (src_idx, tgt_idx)"""
     summary_cols = ["total", "successful", "failed", r("success_rate"), r("weighted_score"),
                     r("total_weighted_score"), "rank_1_count", "rank_2_count", "rank_3_count",
                     r("rank_1_percentage"), r("rank_2_percentage"), r("rank_3_percentage"),

@@ -141,9 +141,11 @@ def sql() -> dict[str, str]:
             "UNION ALL SELECT * FROM grid_fail)")
     sweep = "WITH " + ",".join([gm, gb, grid, sweep_cte("grid")])
     out = {
-        "grid_minimal": f"WITH {gm} SELECT * FROM grid_min",
-        "grid_focused": f"WITH {gf} SELECT * FROM grid_foc",
-        "grid_baseline": f"WITH {gb} SELECT * FROM grid_base",
+        **{name: f"""WITH {cte}, {vectors_cte()},
+n AS (SELECT (SELECT count(*) FROM src) AS n_sources, (SELECT count(*) FROM tgt) AS n_targets)
+SELECT g.*, n_sources, n_sources * least(2 * search_k, n_targets) AS max_pairs FROM {t} g, n"""
+           for name, cte, t in (("grid_minimal", gm, "grid_min"), ("grid_focused", gf, "grid_foc"),
+                                ("grid_baseline", gb, "grid_base"))},
         "run_sweep": sweep + f" SELECT {', '.join(RESULT_COLS)} FROM res",
         "sweep_best_pairs": sweep + """,
 best AS (SELECT experiment_id FROM res WHERE status = 'completed' ORDER BY round(weighted_score, 9) DESC, experiment_id LIMIT 1)

@@ -143,6 +143,29 @@ def q_sweep_results_kept(spark, sf_dir):
     return rounded(res.select("experiment_id", "status", "successful", "weighted_score", "error"))
 
 
+def q_restore_order(spark, sf_dir):
+    """T3 -> K1: the best pairs written in source order; their position in the files."""
+    from pairmine.operators import selection as SEL
+    _, _, fp = _final(spark, sf_dir)
+    path = _folder(spark)
+    IO.write_pairs(SEL.restore_order(fp.select("src_idx", "tgt_idx")), path)
+    rows = IO.read_pairs_csv(spark, path, "src_idx", "tgt_idx")
+    return rows.select("idx", F.col("src_idx").cast("long").alias("src_idx"), F.col("tgt_idx").cast("long").alias("tgt_idx"))
+
+
+def q_incremental_scoring(spark, sf_dir):
+    """Resume path as a stream: the aligned pairs land in two files, the second holding the
+    first's pairs as well; every pair is scored once by the token-overlap stand-in."""
+    from pairmine.streaming import incremental as INC
+    root = _folder(spark)
+    pairs = _word_pairs(spark, sf_dir).select("src_idx", "tgt_idx", "src_text", "tgt_text")
+    for part in (pairs.filter("src_idx % 3 = 0"), pairs):
+        part.write.mode("append").parquet(f"{root}/candidates")
+        INC.start_incremental_scoring(spark, f"{root}/candidates", f"{root}/scored", f"{root}/checkpoint",
+                                      Q.overlap_scorer).awaitTermination()
+    return rounded(spark.read.parquet(f"{root}/scored").select("src_idx", "tgt_idx", "quality"))
+
+
 CORPUS = SC.MiningConfig(search_k=20, top_after_filtering=5, quality_threshold=0.05,
                          sparse_threshold=0.37, crowded_threshold=0.36)
 
@@ -179,4 +202,6 @@ QUERIES = {
     "stage_roundtrip": q_stage_roundtrip,
     "sweep_results_kept": q_sweep_results_kept,
     "mine_corpus": q_mine_corpus,
+    "restore_order": q_restore_order,
+    "incremental_scoring": q_incremental_scoring,
 }

@@ -170,6 +170,23 @@ def q_candidate_coverage(spark, sf_dir):
     return rounded(Q.candidate_coverage(wide, narrow, n_src))
 
 
+def q_covered_sources(spark, sf_dir):
+    """Sources with a pair above the gate in the narrow run or in the wide one."""
+    _, _, a = _final(spark, sf_dir)
+    _, _, b = _final(spark, sf_dir, replace(DEMO, search_k=WIDE_K))
+    return SEL.covered_sources(a, b)
+
+
+def q_append_scored(spark, sf_dir):
+    """U4: the scored table of the narrow run, completed by the pairs that only the wide
+    run has."""
+    c, narrow = _scored(spark, sf_dir)
+    _, wide = _scored(spark, sf_dir, replace(DEMO, search_k=WIDE_K))
+    cols = ["src_idx", "tgt_idx", "quality"]
+    new = Q.unscored_pairs(wide.select(*cols), narrow)
+    return rounded(Q.append_scored(Q.usable_scores(narrow.select(*cols)), new))
+
+
 # --- A5-A8 ------------------------------------------------------------------------
 def q_run_summary(spark, sf_dir):
     c, _, fp = _final(spark, sf_dir)
@@ -229,6 +246,8 @@ QUERIES = {
     "failure_reasons": q_failure_reasons,
     "unscored_pairs": q_unscored_pairs,
     "candidate_coverage": q_candidate_coverage,
+    "covered_sources": q_covered_sources,
+    "append_scored": q_append_scored,
     "run_summary": q_run_summary,
     "rank_distribution": q_rank_distribution,
     "weighted_rank_score": q_weighted_rank_score,

@@ -10,16 +10,25 @@ from pairmine.plans.mining_queries import _quality_expr, rounded
 from pairmine.sources.tables import corpora
 
 
+def _sized(spark, sf_dir, grid: DataFrame) -> DataFrame:
+    """A grid with the size of its runs over the given corpora: sources, targets, and the
+    most candidate pairs that a config can score."""
+    c = corpora(spark, sf_dir)
+    n_src, n_tgt = c.src_vec.count(), c.tgt_vec.count()
+    return (grid.withColumn("n_sources", F.lit(n_src).cast("long"))
+            .withColumn("max_pairs", F.lit(n_src).cast("long") * F.least(2 * F.col("search_k"), F.lit(n_tgt))))
+
+
 def q_grid_minimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SW.grid_minimal(spark)
+    return _sized(spark, sf_dir, SW.grid_minimal(spark))
 
 
 def q_grid_focused(spark, sf_dir):
-    return SW.grid_focused(spark)
+    return _sized(spark, sf_dir, SW.grid_focused(spark))
 
 
 def q_grid_baseline(spark, sf_dir):
-    return SW.grid_baseline(spark)
+    return _sized(spark, sf_dir, SW.grid_baseline(spark))
 
 
 # Two configs that must fail: no z-score exceeds its clip of 5, and one
