@@ -2,7 +2,9 @@
 
 Index: centroids from k-means on a bounded sample; every vector is put in the list of
 its nearest centroid, and long lists are cut into blocks of at most ``BLOCK_ROWS``.
-Search: a query goes to the blocks of its ``probes`` nearest lists. Inside a block all
+Search: a query goes to the blocks of its ``probes`` nearest lists, as many as it takes to
+find ``TARGET_RECALL`` of the true neighbours among the sampled vectors (sparser than all
+vectors, so their neighbours lie further apart). Inside a block all
 vectors are rotated by one random orthogonal matrix and scanned in column blocks. After a
 block of d dimensions the partial distance, scaled by D/d, estimates the full one; a
 candidate is abandoned as soon as the hypothesis that it is among the k nearest is
@@ -28,8 +30,9 @@ K = 10
 QUERY_EVERY = 100
 SAMPLE_ROWS = 20_000     # vectors that the centroids are fitted on, at most
 MAX_LISTS = 4096
-PROBE_SHARE = 0.35       # of the lists, for a query
-MIN_PROBES = 32
+TARGET_RECALL = 0.95     # on the sample; sets the number of lists that a query visits
+TUNE_QUERIES = 256       # sampled vectors that it is measured on
+MIN_PROBES = 16
 BLOCK_ROWS = 4096        # vectors of a list scanned by one task at a time
 QUERY_BLOCK = 512        # queries that meet a block of a list at a time
 DIM_BLOCK = 8
@@ -60,6 +63,22 @@ def kmeans(x: np.ndarray, lists: int, rounds: int = 12, seed: int = SEED) -> np.
     return c
 
 
+def tuned_probes(x: np.ndarray, cents: np.ndarray, k: int, target: float = TARGET_RECALL) -> int:
+    """Lists to visit: the smallest number that holds ``target`` of the k nearest of
+    ``TUNE_QUERIES`` sampled vectors, by brute force over the sample."""
+    own = np.concatenate([_sq(x[i:i + 4096], cents).argmin(1) for i in range(0, len(x), 4096)])
+    q = np.linspace(0, len(x) - 1, min(TUNE_QUERIES, len(x))).astype(int)
+    dist = _sq(x[q], x)
+    dist[np.arange(len(q)), q] = np.inf
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return 1
+    near = np.argpartition(dist, k - 1, axis=1)[:, :k]
+    order = _sq(x[q], cents).argsort(axis=1, kind="stable").argsort(axis=1)     # rank of each list
+    places = np.take_along_axis(order, own[near], axis=1).ravel()
+    return int(np.sort(places)[int(np.ceil(target * len(places))) - 1]) + 1
+
+
 def valid_vectors(emb: DataFrame) -> DataFrame:
     """(vec_id, v array<double>) of the vectors that take part, one per id."""
     v = emb.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -92,8 +111,8 @@ def top_in_block(ids, x, x_rot, q, q_rot, own_id, k=K, epsilon=EPSILON, dim_bloc
     return ids[alive][best], dist[best]
 
 
-def search(emb: DataFrame, k: int = K, query_every: int = QUERY_EVERY, probe_share: float = PROBE_SHARE,
-           min_probes: int = MIN_PROBES) -> DataFrame:
+def search(emb: DataFrame, k: int = K, query_every: int = QUERY_EVERY,
+           target_recall: float = TARGET_RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each query row, by Euclidean distance."""
     vecs = valid_vectors(emb)
     vecs = staged(vecs, "vectors")
@@ -105,8 +124,9 @@ def search(emb: DataFrame, k: int = K, query_every: int = QUERY_EVERY, probe_sha
     vecs = vecs.filter(F.size("v") == dim)
     # Bounded by SAMPLE_ROWS.
     some = vecs.orderBy(F.xxhash64("vec_id", F.lit("lists")), "vec_id").limit(SAMPLE_ROWS).select("v").toPandas()
-    cents = kmeans(np.array(some["v"].tolist()), int(min(MAX_LISTS, max(1, np.sqrt(rows)))))
-    probes = int(min(len(cents), max(min_probes, np.ceil(probe_share * len(cents)))))
+    some = np.array(some["v"].tolist())
+    cents = kmeans(some, int(min(MAX_LISTS, max(1, np.sqrt(rows)))))
+    probes = min(len(cents), max(MIN_PROBES, tuned_probes(some, cents, k, target_recall)))
     rot = rotation(dim)
 
     def assign(n):
