@@ -58,19 +58,11 @@ def py_rstrip(text: Column) -> Column:
     return F.rtrim(text, F.lit(PY_WHITESPACE))
 
 
-def remove_whitespace(text: Column) -> Column:
-    return F.regexp_replace(text, f"{WS_CLASS}+", "")
-
-
 def py_split(text: Column) -> Column:
     """Python str.split() with no argument: whitespace runs, no empty tokens."""
     return F.filter(F.split(text, f"{WS_CLASS}+"), lambda t: t != "")
 
 
-def round_sim(x: Column) -> Column:
-    return F.round(x, SIM_DECIMALS)
-
-
 def l2_similarity(dist: Column) -> Column:
     """1 / (1 + d)."""
     return F.lit(1.0) / (F.lit(1.0) + dist)
@@ -130,13 +122,6 @@ def dot(a: Column, b: Column) -> Column:
                        F.lit(0.0).cast("double"), lambda acc, v: acc + v)
 
 
-def sq_dist(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance of two numeric arrays, in DOUBLE."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double"))
-                                  * (x.cast("double") - y.cast("double"))),
-                       F.lit(0.0).cast("double"), lambda acc, v: acc + v)
-
-
 def l2_normalize(v: Column) -> Column:
     """unit length; a zero vector stays zero."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"),
