@@ -33,4 +33,125 @@ SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, sour
   SELECT *, least(floor(rate)::INT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END, 3)::INT AS copies FROM rated)
 """
 
-SQL = {"op7_mix_sources": OP7}
+# Every 50-byte window as 100 hexadecimal digits.
+OP10 = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, hex(coalesce(text, '')) AS hx, strlen(coalesce(text, ''))::BIGINT AS n
+  FROM documents),
+c AS (SELECT rid, doc_id, b, substr(hx, b * 256 + 1, 256 + 98) AS part
+      FROM (SELECT *, unnest(range((n + 127) // 128)) AS b FROM d WHERE doc_id IS NOT NULL)),
+w AS (SELECT rid, doc_id, b * 128 + i AS s, substr(part, 2 * i + 1, 100) AS g
+      FROM (SELECT *, unnest(range(least(128, greatest(len(part) // 2 - 49, 0)))) AS i FROM c)),
+f AS (SELECT g, min(doc_id) AS m FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT w.rid, w.s, lag(w.s) OVER (PARTITION BY w.rid ORDER BY w.s) AS p FROM w JOIN f USING (g) WHERE w.doc_id > f.m),
+q AS (SELECT rid, s, sum(CASE WHEN s - p <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY s) AS run FROM r),
+sp AS (SELECT rid, run, min(s) AS a, max(s) + 50 AS z FROM q GROUP BY rid, run),
+k AS (SELECT rid, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, list(a ORDER BY a) AS aa, list(z ORDER BY a) AS zz
+      FROM sp GROUP BY rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN aa IS NULL THEN hx ELSE array_to_string(list_transform(range(len(aa) + 1), lambda i:
+         substr(hx, (2 * (CASE WHEN i = 0 THEN 0 ELSE zz[i] END) + 1)::BIGINT,
+                (2 * ((CASE WHEN i = len(aa) THEN n ELSE aa[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE zz[i] END)))::BIGINT)),
+         '') END)) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""
+
+# The contract's phrases, written out; the method's own templates are its parameter.
+PHRASES = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
+
+
+def op2_sql() -> str:
+    from pairmine.llm.licenses import TEMPLATES, template_words
+
+    rows = []
+    for t, (exact, label, text) in enumerate([(True, *p) for p in PHRASES] + [(False, *p) for p in TEMPLATES]):
+        w = template_words(text)
+        rows += [f"({t}, '{label}', {exact}, {len(w)}, {len(w) - 1}, {i}, '{w[i]}', '{w[i + 1]}')"
+                 for i in range(len(w) - 1)]
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH g AS (SELECT * FROM (VALUES {", ".join(rows)}) v(t, label, exact, t_words, grams, tpos, a, b)),
+d AS (SELECT row_number() OVER () AS rid, doc_id,
+             list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'),
+                                            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+      FROM documents),
+p AS (SELECT rid, w, unnest(range(greatest(len(w) - 1, 0))) AS pos FROM d),
+h AS (SELECT p.rid, p.pos, g.* FROM p JOIN g ON p.w[p.pos + 1] = g.a AND p.w[p.pos + 2] = g.b),
+v AS (SELECT rid, t, label, exact, t_words, grams, pos - tpos AS diag, list(tpos) AS found, min(pos) AS first_, max(pos) AS last_
+      FROM h GROUP BY ALL HAVING count(*) >= grams * 0.2),
+l AS (SELECT *, CASE WHEN exact OR coalesce(diag - lag(diag) OVER (PARTITION BY rid, t ORDER BY diag) > 3, TRUE)
+                     THEN 1 ELSE 0 END AS apart FROM v),
+c AS (SELECT *, sum(apart) OVER (PARTITION BY rid, t ORDER BY diag) AS cluster FROM l),
+s AS (SELECT rid, t, label, exact, t_words, grams, cluster, len(list_distinct(flatten(list(found)))) AS n_found,
+             min(first_) AS first_, max(last_) + 2 AS end_, min(diag) AS diag
+      FROM c GROUP BY ALL),
+e AS (SELECT *, exact AND n_found = grams AS base, end_ - first_ <= t_words * 2.0 AS straight,
+             n_found::DOUBLE / grams AS coverage FROM s),
+x AS (SELECT *, CASE WHEN exact THEN base ELSE coverage >= 0.7 AND straight END AS accepted,
+             CASE WHEN exact AND NOT base THEN 0.0 WHEN straight THEN coverage END AS part FROM e),
+o AS (SELECT rid, count(*) FILTER (WHERE base) AS n_base, min(diag) FILTER (WHERE base) AS first_word,
+             max(diag) FILTER (WHERE base) AS last_word,
+             array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE base))), ',') AS base_labels,
+             array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE accepted))), ',') AS labels,
+             max(part) AS score
+      FROM x GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN o USING (rid)
+"""
+
+
+# Rules of op4: (name, ratio, cutoffs from the laxest on), the limit and the error probability.
+OP4_RULES = [
+    ("symbols", "n_symbols / greatest(n_words, 1)", [1.0, 0.7, 0.5, 0.35, 0.25, 0.15, 0.1, 0.05]),
+    ("dup_lines", "n_dup_lines / greatest(n_lines, 1)", [0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.1]),
+    ("repeats", "n_repeat_words / greatest(n_words, 1)", [0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15]),
+    ("capitals", "n_capitals / greatest(word_chars, 1)", [0.9, 0.7, 0.5, 0.4, 0.3, 0.2]),
+]
+
+
+def op4_sql() -> str:
+    each = 0.04 / len(OP4_RULES)
+    counts = " UNION ALL ".join(
+        f"SELECT stratum, '{name}' AS rule, {j} AS step, CAST({c} AS DOUBLE) AS cutoff, count(*) AS n, "
+        f"count(*) FILTER (WHERE {ratio} > CAST({c} AS DOUBLE)) AS k FROM good GROUP BY stratum"
+        for name, ratio, grid in OP4_RULES for j, c in enumerate(grid))
+    over = " OR ".join(f"coalesce({ratio} > (SELECT min(cutoff) FROM cut WHERE cut.stratum = f.stratum AND rule = '{name}'), FALSE)"
+                       for name, ratio, _ in OP4_RULES)
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS x FROM documents),
+t AS (SELECT *, list_filter(string_split_regex(x, '[ 	-
+]+'), lambda w: w <> '') AS w,
+             list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^ 	-
+]')) AS l FROM d),
+g AS (SELECT rid, i, [w[i + 1], w[i + 2], w[i + 3]] AS gram
+      FROM (SELECT rid, w, unnest(range(greatest(len(w) - 2, 0))) AS i FROM t)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g) WHERE n > 1),
+cv AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY rid),
+b AS (SELECT t.rid, doc_id, stratum, len(w)::BIGINT AS n_words,
+             coalesce(list_sum(list_transform(w, lambda v: length(v))), 0)::BIGINT AS word_chars,
+             len(regexp_extract_all(x, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(x, '[A-Z]'))::BIGINT AS n_capitals,
+             len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+             coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+      FROM t LEFT JOIN cv USING (rid)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
+good AS (SELECT f.* FROM f WHERE NOT base_failed AND doc_id IN (
+           SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1)),
+cnt AS ({counts}),
+tests AS (SELECT count(DISTINCT stratum) * {len(OP4_RULES)} AS m FROM cnt),
+pv AS (SELECT *, CASE WHEN k < n * {each} THEN list_sum(list_transform(range(k + 1), lambda i:
+               exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({each}) + (n - i) * ln(1 - {each})))) ELSE 1.0 END AS p
+       FROM cnt),
+ok AS (SELECT *, min(CASE WHEN p <= 0.05 / m THEN 1 ELSE 0 END) OVER (PARTITION BY stratum, rule ORDER BY step) AS passed
+       FROM pv, tests),
+cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM ok WHERE passed = 1 GROUP BY stratum, rule)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT ({over}) AS kept
+FROM f
+"""
+
+
+SQL = {"op2_license_scan": op2_sql(), "op4_quality_rules": op4_sql(), "op7_mix_sources": OP7,
+       "op10_suffix_array_dedup": OP10}
