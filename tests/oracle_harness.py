@@ -52,7 +52,10 @@ def compare(spark, sf_dir: str, names=None, verbose=True) -> dict:
     for name in names or sorted(qs):
         t0 = time.time()
         try:
-            sdf = qs[name](spark, sf_dir).toPandas()
+            df = qs[name](spark, sf_dir)
+            # pandas turns whole numbers with nulls into floats, DuckDB does not
+            whole = {f.name: "Int64" for f in df.schema.fields if f.dataType.simpleString() in ("int", "bigint")}
+            sdf = df.toPandas().astype(whole)
         except Exception as e:  # noqa: BLE001
             out[name] = f"SPARK ERROR {type(e).__name__}: {str(e)[:300]}"
             if verbose:
@@ -66,6 +69,7 @@ def compare(spark, sf_dir: str, names=None, verbose=True) -> dict:
             continue
         try:
             ddf = con.execute(sql[name]).df()
+            ddf = ddf.astype({c: "Int64" for c in whole if c in ddf.columns})
         except Exception as e:  # noqa: BLE001
             out[name] = f"SQL ERROR {type(e).__name__}: {str(e)[:300]}"
             if verbose:
