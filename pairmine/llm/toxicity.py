@@ -173,8 +173,15 @@ def learn_lexicon(train: DataFrame) -> list[tuple[str, float]]:
         odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
         top = (counts.filter(F.col("pos") >= MIN_DOCS).withColumn("odds", odds).filter(F.col("odds") >= MIN_LOG_ODDS)
                .orderBy(F.desc("odds"), F.desc(F.length("w")), "w").limit(MAX_ENTRIES).collect())
+        found = {r["w"]: (r["pos"], r["neg"]) for r in top}
+        # Of beginnings that occur in the same documents the longest stands for all: a
+        # shorter one would only reach words that nothing is known about.
+        longer = {(w[:-1], n) for w, n in found.items() if not w.endswith(" ")}
         for r in top:
-            entries[r["w"]] = max(float(r["odds"]), entries.get(r["w"], 0.0))
+            w, n = r["w"], found[r["w"]]
+            if (found.get(w[:-1]) == n) if w.endswith(" ") else ((w, n) in longer):
+                continue
+            entries[w] = max(float(r["odds"]), entries.get(w, 0.0))
     return sorted(entries.items())
 
 
