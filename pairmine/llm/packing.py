@@ -66,6 +66,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        # Bytes that a token stands for: one per character of its byte-level spelling.
+        self.width = np.array([len(self.tok.id_to_token(i) or "") for i in range(self.tok.get_vocab_size())])
         self.cache: dict = {}
         self.cache_chunks = cache_chunks
 
@@ -91,13 +93,34 @@ class ChunkEncoder:
         cache = self.cache
         if len(cache) > self.cache_chunks:
             cache.clear()
-        new = list(set(chain.from_iterable(cut)).difference(cache))
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
+        new = set(chain.from_iterable(cut)).difference(cache)
+        plain = [c for c in new if type(c) is str and c and "<|" not in c and not _NO_CUT.match(c[-1] + " ")]
+        for at in range(0, len(plain), 512):
+            self._encode_joined(plain[at:at + 512])
+        self._encode_each(list(new.difference(plain)))
+        return [b"".join([cache[c] for c in cs]) for cs in cut]
+
+    def _encode_each(self, keys: list) -> None:
+        for at in range(0, len(keys), 4096):
+            part = keys[at:at + 4096]
             strings = [c[0] if type(c) is tuple else " " + c for c in part]
             for c, e in zip(part, self.tok.encode_batch_fast(strings, add_special_tokens=False)):
-                cache[c] = array("I", e.ids).tobytes()
-        return [b"".join([cache[c] for c in cs]) for cs in cut]
+                self.cache[c] = array("I", e.ids).tobytes()
+
+    def _encode_joined(self, keys: list) -> None:
+        """Chunks that may follow each other (see ``chunks``), encoded as one text; the ids
+        are told apart by the bytes they stand for."""
+        strings = [" " + c for c in keys]
+        ids = np.array(self.tok.encode_batch_fast(["".join(strings)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.cumsum([len(x.encode()) for x in strings])
+        seen = np.cumsum(self.width[ids])
+        last = np.searchsorted(seen, ends) + 1
+        if seen[-1] != ends[-1] or (seen[last - 1] != ends).any():
+            return self._encode_each(keys)
+        raw, last, begin = ids.tobytes(), (4 * last).tolist(), 0
+        for c, end in zip(keys, last):
+            self.cache[c] = raw[begin:end]
+            begin = end
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID) -> DataFrame:
