@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -118,10 +120,10 @@ def _patterns(text, start, end):
 def occurrences(text: str, base) -> list[dict]:
     """Seeds (kind set) and candidates (kind null) with the patterns around them."""
     found = [(a, z, KINDS[k]) for a, k, z in base]
-    taken = sorted((a, z) for a, z, _ in found)
+    taken = _Taken((a, z) for a, z, _ in found)
     secrets = [m.span(1) for m in _SECRET.finditer(text)] if "=" in text or ":" in text else []
-    found += [(a, z, "secret") for a, z in secrets if not _overlaps(taken, a, z)]
-    taken = sorted((a, z) for a, z, _ in found)
+    found += [(a, z, "secret") for a, z in secrets if not taken.overlaps(a, z)]
+    taken = _Taken((a, z) for a, z, _ in found)
     at = 0
     while m := _CANDIDATE.search(text, at):
         a, z = m.span()
@@ -130,17 +132,23 @@ def occurrences(text: str, base) -> list[dict]:
         at = z
         while text[z - 1] in "._%+@/-":
             z -= 1
-        if sum(c.isdigit() for c in text[a:z]) >= 4 and not _overlaps(taken, a, z):
+        if sum(c.isdigit() for c in text[a:z]) >= 4 and not taken.overlaps(a, z):
             found.append((a, z, None))
     return [{"kind": k, "start": a, "end": z, "instance": text[a:z], "patterns": _patterns(text, a, z)}
             for a, z, k in found]
 
 
-def _overlaps(spans, a, z) -> bool:
-    from bisect import bisect_left
+class _Taken:
+    """Spans that may overlap each other, asked whether they overlap another one."""
 
-    i = bisect_left(spans, (z, z))      # the spans before i start before z
-    return any(e > a for _, e in spans[max(0, i - 8):i])
+    def __init__(self, spans):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.ends = list(accumulate((z for _, z in spans), max))    # the furthest end so far
+
+    def overlaps(self, a: int, z: int) -> bool:
+        i = bisect_left(self.starts, z)      # the spans before i start before z
+        return i > 0 and self.ends[i - 1] > a
 
 
 _OCC = "array<struct<kind:string,start:int,end:int,instance:string,patterns:array<string>>>"
