@@ -47,7 +47,7 @@ GRAM = 20                  # bytes of a cover sample's string
 SLICE = 1 << 19            # window starts hashed at a time
 FLUSH = 1 << 20            # samples a task holds before it sends them
 SUB_BUCKETS = 8            # buckets per shuffle partition in the first round, resolved one at a time
-HOT_SHARE = 0.0005         # a gram with this share of the sampled grams counts as hot
+HOT_BUCKETS = 2            # a gram that alone would fill so many average buckets counts as hot
 HOT_SAMPLE_ROWS = 20_000   # about so many documents are sampled to find hot grams
 
 _ITEM = np.dtype([("h", "<u4"), ("h2", "<u2"), ("c", "<u4"), ("c2", "<u2"), ("doc", "<u2"),
@@ -379,9 +379,10 @@ def _ranked(sent: DataFrame, parts: int, tag: str) -> DataFrame:
     return staged(dealt.mapInArrow(_resolve, _FOUND), tag)
 
 
-def _hot_grams(docs: DataFrame, min_len: int, gram: int) -> list[int]:
-    """Grams that make up a HOT_SHARE of the samples of a bounded share of the documents.
-    Only decides how a gram is dealt out, never a result; at most 1 / HOT_SHARE values."""
+def _hot_grams(docs: DataFrame, min_len: int, gram: int, buckets: int) -> list[int]:
+    """Grams whose share of the samples, in a bounded share of the documents, is that of
+    HOT_BUCKETS buckets. Only decides how a gram is dealt out, never a result; at most
+    buckets / HOT_BUCKETS values."""
 
     def run(batches):
         sampler = Sampler(min_len, gram)
@@ -398,7 +399,7 @@ def _hot_grams(docs: DataFrame, min_len: int, gram: int) -> list[int]:
     counts = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     counts = staged(counts, "grams")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.filter(F.col("n") >= max(HOT_SHARE * total, 50)).select("h").collect()
+    top = counts.filter(F.col("n") >= max(total * HOT_BUCKETS / buckets, 50)).select("h").collect()
     return [r["h"] & _M for r in top]
 
 
@@ -408,7 +409,7 @@ def repeated_runs(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM) ->
     parts = shuffle_parts(docs.sparkSession)
     buckets = parts * SUB_BUCKETS
     docs = docs.filter("doc_id is not null")
-    hot = _hot_grams(docs, min_len, gram)
+    hot = _hot_grams(docs, min_len, gram, buckets)
     first = _ranked(docs.mapInArrow(_send_samples(min_len, gram, buckets, hot), _SENT), parts, "ranks")
     open_ = (first.filter("kind = 2").groupBy("doc_id", "key")
              .agg(F.collect_list(F.struct("lo", "n")).alias("runs")))

@@ -83,7 +83,7 @@ def test_substring_dedup_of_sliced_and_hot_texts(spark, monkeypatch):
     rows = [(i, t, None, None, None) for i, t in rows]
     monkeypatch.setattr(substring, "SLICE", 64)      # long texts in many slices
     monkeypatch.setattr(substring, "FLUSH", 500)     # many sendings
-    monkeypatch.setattr(substring, "HOT_SHARE", 0.001)
+    monkeypatch.setattr(substring, "HOT_BUCKETS", 0.05)
     out = substring.dedup(util.frame(spark, rows))
     assert util.got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == util.substring_dedup(rows)
 
