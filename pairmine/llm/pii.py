@@ -1,18 +1,22 @@
 """Personal data by bootstrapped contextual extraction.
 
 1. Base detectors find e-mail addresses, IP addresses, card and phone numbers, and
-   quoted secrets; these are the seeds. Every other token with four digits or more is a
-   candidate.
+   quoted secrets; these are the seeds. Candidates are all other tokens with four digits or
+   more, digit groups parted by spaces, brackets, dots or hyphens (4 to 20 digits), and
+   tokens with an @.
 2. Seeds and candidates induce lexical patterns: the word before, the two words before,
-   and the words on both sides, each with the token's shape (digits, letters, separators).
+   and the words on both sides, each with the token's shape (digits, letters, @), once
+   without and once with its separators.
 3. The pattern-instance graph is scored iteratively. A pattern's score for a kind is the
    weight of its instances of that kind over all its distinct instances, once enough of
    them support it; an instance's score is the noisy-or of its patterns' scores.
-4. Candidates whose score and pattern are sure enough become spans of that kind.
+4. Candidates whose score and pattern are sure enough become spans of that kind, and so do
+   all occurrences of a seed's instance in any other context. Separators make no difference
+   to the instance of a number, and runs as long as a secret are looked up as well.
 
 The graph holds distinct (pattern, instance) edges, is aggregated map-side and joined by
 shuffles; nothing but row counts reaches the driver. Base spans always stay, added spans
-never overlap them.
+never overlap them; of added spans that overlap each other the longest stays.
 
 Edge cases: null text is empty; rows are matched by (doc_id, hash of the text), so
 repeated rows get the same spans and null ids work; an empty table gives an empty result.
@@ -52,6 +56,9 @@ _SECRET = re.compile(r"(?:api[_-]?key|secret|token|password|passwd)[\"']?[ \t]?[
                      re.IGNORECASE)
 _CANDIDATE = re.compile(r"[0-9][0-9A-Za-z._%+@/-]{3,}")
 _TOKEN = re.compile(r"[0-9A-Za-z_%+@/-]")
+_GROUPS = re.compile(r"(?<![0-9A-Za-z@_])[+(]{0,2}[0-9]++(?:[ ().-]{1,3}+[0-9]++)+(?![0-9A-Za-z@_])")
+_RUN = re.compile(r"[A-Za-z0-9_/+-]{16,}")      # whatever could be a secret
+_SEPARATORS = str.maketrans("", "", " ()+-")     # dots stay: they are part of an IP address
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -96,11 +103,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _shape(token: str) -> str:
+def _instance(token: str) -> str:
+    """What occurrences of one identifier have in common."""
+    return token if "@" in token or any(c.isalpha() for c in token) else token.translate(_SEPARATORS)
+
+
+def _shapes(token: str) -> list[str]:
+    """The shape without separators and, if there are any, the one with them."""
+    if "@" in token:
+        return ["@"]
     digits = sum(c.isdigit() for c in token)
     size = "4" if digits < 8 else "8" if digits < 12 else "12" if digits < 20 else "20"
+    plain = size + ("a" if any(c.isalpha() for c in token) else "")
     marks = "".join(sorted(set(c for c in token if not c.isalnum())))
-    return size + ("a" if any(c.isalpha() for c in token) else "") + marks
+    return [plain, plain + marks] if marks else [plain]
 
 
 def _patterns(text, start, end):
@@ -108,22 +124,16 @@ def _patterns(text, start, end):
     after = _WORD.search(text, end, end + CONTEXT)
     if not before:
         return []
-    shape, last = _shape(text[start:end]), before[-1].lower()
-    out = [f"{last} _|{shape}"]
+    last = before[-1].lower()
+    out = [f"{last} _"]
     if len(before) == 2:
-        out.append(f"{before[0].lower()} {last} _|{shape}")
+        out.append(f"{before[0].lower()} {last} _")
     if after:
-        out.append(f"{last} _ {after.group().lower()}|{shape}")
-    return out
+        out.append(f"{last} _ {after.group().lower()}")
+    return [f"{words}|{shape}" for shape in _shapes(text[start:end]) for words in out]
 
 
-def occurrences(text: str, base) -> list[dict]:
-    """Seeds (kind set) and candidates (kind null) with the patterns around them."""
-    found = [(a, z, KINDS[k]) for a, k, z in base]
-    taken = _Taken((a, z) for a, z, _ in found)
-    secrets = [m.span(1) for m in _SECRET.finditer(text)] if "=" in text or ":" in text else []
-    found += [(a, z, "secret") for a, z in secrets if not taken.overlaps(a, z)]
-    taken = _Taken((a, z) for a, z, _ in found)
+def _number_tokens(text):
     at = 0
     while m := _CANDIDATE.search(text, at):
         a, z = m.span()
@@ -132,10 +142,71 @@ def occurrences(text: str, base) -> list[dict]:
         at = z
         while text[z - 1] in "._%+@/-":
             z -= 1
-        if sum(c.isdigit() for c in text[a:z]) >= 4 and not taken.overlaps(a, z):
-            found.append((a, z, None))
-    return [{"kind": k, "start": a, "end": z, "instance": text[a:z], "patterns": _patterns(text, a, z)}
-            for a, z, k in found]
+        if sum(c.isdigit() for c in text[a:z]) >= 4:
+            yield a, z
+
+
+def _number_groups(text):
+    for m in _GROUPS.finditer(text):
+        a, z = m.span()
+        if 4 <= sum(c.isdigit() for c in m.group()) <= 20:
+            yield a + (text[a] == "(" and ")" not in m.group()), z
+
+
+def _at_tokens(text):
+    """Each run of word characters and ._%+@/- that holds an @."""
+    at = last = 0
+    while (at := text.find("@", at)) >= 0:
+        a = z = at
+        while a > last and (text[a - 1].isalnum() or text[a - 1] in "._%+-/"):
+            a -= 1
+        while z < len(text) and (text[z].isalnum() or text[z] in "._%+-/@"):
+            z += 1
+        at = last = z
+        while z > a and text[z - 1] in "._%+-/@":
+            z -= 1
+        while a < z and text[a] in "._%+-/":
+            a += 1
+        if "@" in text[a:z]:
+            yield a, z
+
+
+def occurrences(text: str, base) -> list[dict]:
+    """Seeds (kind set) and candidates (kind null) with the patterns around them; runs that
+    are only looked up among the seeds have none."""
+    found = [(a, z, KINDS[k]) for a, k, z in base]
+    taken = _Taken((a, z) for a, z, _ in found)
+    secrets = [m.span(1) for m in _SECRET.finditer(text)] if "=" in text or ":" in text else []
+    found += [(a, z, "secret") for a, z in secrets if not taken.overlaps(a, z)]
+    taken = _Taken((a, z) for a, z, _ in found)
+    spans = {s for f in (_number_tokens, _number_groups, _at_tokens) for s in f(text) if not taken.overlaps(*s)}
+    found += [(a, z, None) for a, z in sorted(spans)]
+    runs = [m.span() for m in _RUN.finditer(text)]
+    return ([{"kind": k, "start": a, "end": z, "instance": _instance(text[a:z]), "patterns": _patterns(text, a, z)}
+             for a, z, k in found]
+            + [{"kind": None, "start": a, "end": z, "instance": _instance(text[a:z]), "patterns": []}
+               for a, z in runs if (a, z) not in spans and not taken.overlaps(a, z)])
+
+
+def _apart(added) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of the added spans; of those that overlap the longest."""
+    out, group, reach = [], [], 0
+
+    def close():
+        taken = []
+        for a, k, z in sorted(group, key=lambda s: (s[0] - s[2], s)):
+            if all(z <= b or y <= a for b, _, y in taken):
+                taken.append((a, k, z))
+        out.extend(sorted(taken))
+        group.clear()
+
+    for a, k, z in sorted((s["start"], SEED_KINDS.index(s["kind"]), s["end"]) for s in (added if added is not None else ())):
+        if a >= reach:
+            close()
+        group.append((a, k, z))
+        reach = max(reach, z)
+    close()
+    return out
 
 
 class _Taken:
@@ -201,8 +272,10 @@ def discover(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     sure = scored.filter(F.col("w") >= SURE).select("instance", F.col("kind").alias("to"))
     new = (occ.filter("kind is null").join(patterns.filter(F.col("score") >= SURE), "pattern")
            .join(sure, ["instance", "to"]).select("doc_id", "key", "start", "end", F.col("to").alias("kind")))
+    known = (occ.filter("kind is null").select("doc_id", "key", "start", "end", "instance").distinct()
+             .join(seeds.select("instance", "kind"), "instance").select("doc_id", "key", "start", "end", "kind"))
     secret = occ.filter("kind = 'secret'").select("doc_id", "key", "start", "end", "kind")
-    return (new.unionByName(secret).groupBy("doc_id", "key")
+    return (new.unionByName(known).unionByName(secret).groupBy("doc_id", "key")
             .agg(F.collect_set(F.struct("start", "kind", "end")).alias("added")))
 
 
@@ -212,7 +285,7 @@ def _spans_columns(batches):
         for base, added in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             spans = [(s["start"], s["kind"], s["end"]) for s in base]
             line = ",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in spans)
-            every = sorted(spans + [(s["start"], SEED_KINDS.index(s["kind"]), s["end"]) for s in added or ()])
+            every = sorted(spans + _apart(added))
             for col, v in zip(cols, (*(sum(k == i for _, k, _ in spans) for i in range(4)),
                                      hashlib.sha256(line.encode()).hexdigest(),
                                      ",".join(f"{SEED_KINDS[k]}:{a}:{z}" for a, k, z in every))):
@@ -249,7 +322,7 @@ def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 out.append(None)
                 continue
             spans = [(a, z, KINDS[k]) for a, k, z in base_spans(text)]
-            spans += [(s["start"], s["end"], s["kind"]) for s in (extra if extra is not None else ())]
+            spans += [(a, z, SEED_KINDS[k]) for a, k, z in _apart(extra)]
             parts, at = [], 0
             for a, z, kind in sorted(spans):
                 if a >= at:

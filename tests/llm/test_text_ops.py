@@ -118,6 +118,32 @@ def test_pii_patterns_discover_unseen_identifiers(spark):
     assert out[102] == "" and "4321" not in out[101]
 
 
+def test_pii_discovers_spaced_numbers_addresses_and_known_instances(spark):
+    texts = [f"please ring me on +1 (2{i}) 555-01{i} tonight" for i in range(10, 20)]
+    texts += [f"write to user{i}@mail.example.com about it" for i in range(10)]
+    n = 4000000000000000
+    while len(texts) < 30:
+        n += 7
+        if pii.luhn(str(n)):
+            texts.append("paid with visa {} {} {} {} today".format(*(str(n)[i:i + 4] for i in range(0, 16, 4))))
+    texts += ['token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "password: correcthorsebatterystaple"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    odd = {100: ("please ring me on (299) 555-0142 tonight", ["phone"], ["(299) 555-0142"]),      # no +
+           101: ("write to carol@intranet about it", ["email"], ["carol@intranet"]),                # no dot, no digit
+           102: ("paid with visa 4000 0000 0000 0001 today", ["card"], ["4000 0000 0000 0001"]),    # fails the check digit
+           103: ("found 24be64439e3e49cf46b2d7c90f3602a3d0b907ff lying around", ["secret"],
+                 ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff"]),
+           104: ("he said correcthorsebatterystaple twice", ["secret"], ["correcthorsebatterystaple"]),
+           105: ("number 1 210 555 0110 is engaged", ["phone"], ["1 210 555 0110"]),              # a seed, other separators
+           106: ("in 2019 2020 and 1234567 there were 12 @ 5", [], [])}
+    rows += [(i, t, "en", "s", 1) for i, (t, *_) in odd.items()]
+    out = {r["doc_id"]: r["spans"] for r in pii.detect(util.frame(spark, rows)).collect()}
+    for i, (text, kinds, parts) in odd.items():
+        spans = [s.split(":") for s in out[i].split(",") if s]
+        assert [k for k, *_ in spans] == kinds, (text, spans)
+        assert [text[int(a):int(z)] for _, a, z in spans] == parts
+
+
 def test_redact_replaces_spans_and_keeps_rows(spark):
     rows = _bootstrap_rows() + util.EDGE + [(200, "mail a@b.co, ip 10.0.0.1!", "en", "s", 25)]
     out = pii.redact(util.frame(spark, rows))
