@@ -6,7 +6,8 @@ offset diagonal ``pos - tpos``; an unbroken occurrence puts all its votes on one
 and inserted or lost words move the rest to a neighbouring one. Votes are counted per
 (text, template, diagonal), neighbouring diagonals are merged, and a merged span is
 accepted when enough distinct template positions were found in a span that is not
-stretched. A phrase (an exact template) counts once per diagonal that holds all its votes.
+stretched, and among them those that tell the licence from its neighbours (``REQUIRED``):
+a notice that differs from another licence's in one word has nearly all its grams. A phrase (an exact template) counts once per diagonal that holds all its votes.
 DataFrame functions only.
 
 The template table is the caller's fixed list (a few hundred rows), so it is broadcast.
@@ -58,6 +59,48 @@ TEMPLATES = [
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
 
+# Common licences whose notices are a word away from those above or from each other.
+NEAR_TEMPLATES = [
+    ("agpl", "This work is licensed under the GNU Affero General Public License"),
+    ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("cc-by", "Licensed under CC BY 4.0"),
+    ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0"),
+    ("cc-by-nc-nd", "licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-sa", "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0"),
+    ("cc-by-nd", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("cc0", "Licensed under CC0 1.0"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("lgpl", "This work is licensed under the GNU Lesser General Public License"),
+    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+]
+
+# Grams that a span needs besides its coverage: (part of a template, its grams). Grams
+# joined by | are alternatives; a template takes the first entry whose part it holds.
+REQUIRED = [
+    ("Apache License, Version 2.0", ["version 2|2 0"]),
+    ("Mozilla Public License, v. 2.0", ["v 2|2 0"]),
+    ("GNU General", ["gnu general"]),
+    ("GNU Affero", ["affero general"]),
+    ("GNU Lesser", ["lesser general"]),
+    ("BY-NC-ND", ["by nc", "nc nd"]),
+    ("BY-NC-SA", ["by nc", "nc sa"]),
+    ("BY-NC", ["by nc", "nc 4"]),
+    ("BY-ND", ["by nd"]),
+    ("BY-SA", ["by sa"]),
+    ("CC BY", ["by 4"]),
+    ("CC0", ["under cc0"]),
+    ("NonCommercial-NoDerivatives", ["attribution noncommercial", "noncommercial noderivatives"]),
+    ("NonCommercial-ShareAlike", ["attribution noncommercial", "noncommercial sharealike"]),
+    ("NonCommercial", ["attribution noncommercial", "noncommercial 4"]),
+    ("NoDerivatives", ["attribution noderivatives"]),
+    ("ShareAlike", ["attribution sharealike"]),
+    ("Attribution", ["attribution 4"]),
+]
+
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"   # what separates words once A-Z is lower case
 
 
@@ -65,6 +108,22 @@ def template_words(text: str) -> list[str]:
     return [w for w in re.split(_GAP, re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
 
 
+def required_positions(text: str, k: int) -> list[list[int]]:
+    """Template positions of the required grams: of each list one must be found."""
+    words = template_words(text)
+    at = {}
+    for i in range(len(words) - k + 1):
+        at.setdefault(" ".join(words[i:i + 2]), []).append(i)
+    needs = next((grams for part, grams in REQUIRED if part in text), [])
+    return [p for p in ([i for g in need.split("|") for i in at.get(g, [])] for need in needs) if p]
+
+
+def template_needs(spark: SparkSession, phrases, templates, k: int) -> DataFrame:
+    """(t, need) of every template that is not a phrase."""
+    rows = [(t, required_positions(text, k)) for t, (_, text) in enumerate(templates, len(phrases))]
+    return spark.createDataFrame(rows, "t int, need array<array<int>>")
+
+
 def template_grams(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES, k: int = K) -> DataFrame:
     """(t, label, exact, t_words, grams, tpos, gram): one row per template position."""
     rows = []
@@ -84,7 +143,7 @@ def lower_ascii(col):
     return F.lower(F.replace(col, F.lit("K"), F.lit("Å")))
 
 
-def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, k: int = K) -> DataFrame:
+def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES + NEAR_TEMPLATES, k: int = K) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans),
     one row per row of ``docs``; spans: array of (label, start, end) in words, end exclusive."""
     text = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
@@ -118,12 +177,15 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, k: int = K) -> D
     cluster = F.sum(F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).over(order)
     spans = (votes.withColumn("cluster", cluster).groupBy("rid", "t", "cluster")
              .agg(*[F.first(c).alias(c) for c in ("doc_id", "n_words", "label", "exact", "t_words", "grams")],
-                  F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("n_found"),
+                  F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"),
                   F.min("first").alias("first"), (F.max("last") + k).alias("end"), F.min("diag").alias("diag")))
+    spans = (spans.withColumn("n_found", F.size("found"))
+             .join(F.broadcast(template_needs(docs.sparkSession, phrases, templates, k)), "t", "left"))
     coverage = F.col("n_found") / F.col("grams")
+    told_apart = F.forall("need", lambda p: F.arrays_overlap(p, F.col("found")))
     straight = F.col("end") - F.col("first") <= F.col("t_words") * F.lit(MAX_STRETCH)
     base = F.col("exact") & (F.col("n_found") == F.col("grams"))
-    accepted = F.when(F.col("exact"), base).otherwise((coverage >= MIN_COVERAGE) & straight)
+    accepted = F.when(F.col("exact"), base).otherwise((coverage >= MIN_COVERAGE) & straight & told_apart)
     spans = spans.withColumns({"base": F.coalesce(base, F.lit(False)), "accepted": F.coalesce(accepted, F.lit(False)),
                                "coverage": F.when(F.col("exact") & ~base, 0.0).when(straight, coverage)})
     names = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")

@@ -37,6 +37,23 @@ def test_license_scan_counts_every_phrase_place(spark):
     assert licenses.scan(util.frame(spark, [])).count() == 0
 
 
+def test_license_scan_tells_near_neighbours_apart(spark):
+    cc = "This text is licensed under a Creative Commons {} 4.0 International License."
+    texts = {cc.format("Attribution"): "cc-by", cc.format("Attribution-NonCommercial"): "cc-by-nc",
+             cc.format("Attribution-ShareAlike"): "cc-by-sa", cc.format("Attribution-NoDerivatives"): "cc-by-nd",
+             cc.format("Attribution-NonCommercial-ShareAlike"): "cc-by-nc-sa",
+             cc.format("Attribution-NonCommercial-NoDerivatives"): "cc-by-nc-nd",
+             "Licensed under the Apache License, Version 1.1": "", "Licensed under the Apache License, Version 2.0": "apache-2.0",
+             "Licensed under CC0 1.0": "cc0",
+             "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa",    # holds the phrase cc by
+             "Licensed under CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa",
+             "This work is licensed under the GNU Lesser General Public License": "gpl,lgpl",           # and these the phrase of gpl
+             "This work is licensed under the GNU Affero General Public License": "agpl,gpl",
+             "This work is licensed under the GNU General Public License": "gpl"}
+    out = licenses.scan(util.frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()
+    assert {t: next(r["labels"] for r in out if r["doc_id"] == i) for i, t in enumerate(texts)} == texts
+
+
 def test_license_scan_is_native(spark):
     plan = licenses.scan(util.frame(spark, util.EDGE))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
