@@ -28,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairmine.llm.common import components, shuffle_parts, staged
@@ -66,17 +66,19 @@ def simhash(data: bytes | None, shingle: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed BIGINT with the same bits."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, extra: tuple = ()) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed BIGINT with the same bits; BIGINT columns
+    ``extra`` are passed through."""
 
     def run(batches):
         for b in batches:
             fps = np.fromiter((simhash(t, shingle) for t in b.column(1).to_pylist()),
                               dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]],
+                                             names=["doc_id", "fp", *extra])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *extra)
+    return src.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *extra)))
 
 
 def segment_counts(fp: np.ndarray) -> np.ndarray:
@@ -254,24 +256,37 @@ def links(fps: DataFrame, radius: int = MAX_DISTANCE, cell_rows: int = CELL_ROWS
     return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = MAX_DISTANCE) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text)."""
-    fp = staged(fingerprints(docs, shingle), "fp")
+def _named(fp: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id): the fingerprints of rows with an id and the name of their component."""
     reps = staged(fp.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "reps")
     # Fingerprints are the nodes; a component is then named after its smallest doc_id.
     roots = components(links(reps.select("fp", F.col("fp").alias("rep")), radius))
     rooted = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    comp = rooted.join(names, "root").select("fp", "component_id")
-    return fp.join(comp, "fp", "left").select(
+    return rooted.join(names, "root").select("fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = MAX_DISTANCE) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text)."""
+    fp = staged(fingerprints(docs, shingle), "fp")
+    return fp.join(_named(fp, radius), "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = MAX_DISTANCE) -> DataFrame:
     """One document of each near-duplicate group (the smallest doc_id), all columns kept.
 
-    Repeated rows of that id are one document: one of them stays. Rows without an id
-    cannot be told apart and stay."""
-    keys = near_duplicates(docs, shingle, radius).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keys, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    Documents are told apart by id and text: a row of the smallest id stays only if its own
+    text is in the group. Of several such texts the one with the smallest hash stays, of rows
+    that repeat id and text the first by their other columns. Groups are known by their
+    smallest id, so unrelated texts that both are the smallest of their group under one id
+    still count as one. Rows without an id cannot be told apart and stay."""
+    keyed = docs.withColumn("_keep_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    fp = staged(fingerprints(keyed, shingle, ("_keep_key",)), "fp")
+    keys = (fp.join(_named(fp, radius), "fp").filter("doc_id = component_id")
+            .groupBy("doc_id").agg(F.min("_keep_key").alias("_keep_key")))
+    others = [F.col(f"`{c}`") for c in sorted(docs.columns, key=lambda c: c == "text") if c != "doc_id"]
+    kept = (keyed.join(keys, ["doc_id", "_keep_key"], "left_semi")
+            .withColumn("_keep_n", F.row_number().over(Window.partitionBy("doc_id", "_keep_key").orderBy(*others)))
+            .filter("_keep_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return kept.unionByName(docs.filter("doc_id is null"))

@@ -60,6 +60,16 @@ def test_manhattan_distance_is_a_lower_bound():
         assert any(m & hit == 0 for m in masks)
 
 
+def test_keep_one_never_keeps_a_copy_for_another_text(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in "abcdefgh"]
+    rows = []
+    for n, t in enumerate(texts):
+        own = " ".join(f"own{n}x{i}" for i in range(60))      # id 100 + n has this text and, before it, a copy of n's
+        rows += [(n, t, "en", "s", 1), (100 + n, t, "en", "s", 1), (100 + n, own, "en", "t", 2), (100 + n, own, "en", "s", 1)]
+    kept = sorted(tuple(r) for r in simhash.keep_one(util.frame(spark, rows)).collect())
+    assert kept == sorted(rows[0::4] + rows[3::4])
+
+
 def test_keep_one_keeps_one_of_each_group(spark):
     rows = util.prose(60, 9) + util.EDGE
     out = simhash.keep_one(util.frame(spark, rows))
