@@ -175,7 +175,7 @@ def q_mine_corpus(spark, sf_dir):
     turns the target sentences (line breaks as spaces); the pairs are read back from K1's CSV."""
     root = _folder(spark)
     flat = F.regexp_replace("text", "[\r\n]", " ").alias("line")
-    items = table(spark, sf_dir, "benchmark").repartitionByRange(1, "item_id").sortWithinPartitions("item_id")
+    items = table(spark, sf_dir, "benchmark").repartitionByRange("item_id").sortWithinPartitions("item_id")
     turns = (table(spark, sf_dir, "conversations").filter("role = 'assistant' and text is not null")
              .repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn"))
     IO.write_text_corpus(items.select(flat), "line", f"{root}/src")

@@ -200,3 +200,19 @@ def test_null_markers_and_broken_grid_cells(spark, tmp_dir):
     cols = SW.GRID_COLUMNS
     pd.DataFrame([[1] + [0.5] * 12, [2, "oops"] + [0.5] * 11], columns=cols).to_csv(g, index=False)
     assert [r.search_k for r in SW.read_param_grid(spark, g).orderBy("experiment_id").collect()] == [0, None]
+
+
+def test_mine_corpus_writes_its_sources_in_parallel(spark, monkeypatch):
+    from pairmine.plans import io_queries as IQ
+
+    class Written(Exception):
+        pass
+
+    def stop(df, *_):
+        raise Written(df._jdf.queryExecution().analyzed().toString())
+
+    monkeypatch.setattr(IQ.IO, "write_text_corpus", stop)
+    with pytest.raises(Written) as plan:
+        IQ.q_mine_corpus(spark, "/root/testdata/sf0.001")
+    assert "RepartitionByExpression [item_id" in str(plan.value)
+    assert not any(line.strip().endswith("], 1") for line in str(plan.value).splitlines() if "RepartitionByExpression" in line)
