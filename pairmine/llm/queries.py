@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairmine.llm import ann, licenses, mixing, packing, pii, quality, rules, simhash, substring, toxicity
+from pairmine.llm import (ann, bpe, licenses, mixing, packing, pii, quality, rules, runs, simhash, substring, toxicity,
+                          vector_codes)
 from pairmine.llm.common import table
 
 
@@ -52,7 +53,19 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return substring.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return runs.digests(runs.find_runs(runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_byte_bpe(spark, sf_dir):
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_license_scan, op3_quality_classifier, op4_quality_rules,
     op5_toxicity, op6_adaptive_scan_ann, op7_mix_sources, op8_best_fit_packing,
-    op9_bootstrapped_pii, op10_suffix_array_dedup)}
+    op9_bootstrapped_pii, op10_suffix_array_dedup, op11_periodic_runs, op12_vector_codes, op13_byte_bpe)}
