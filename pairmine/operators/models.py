@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
-from typing import Callable
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,12 @@ class Factory:
         return process_cached(f"model:{self.key}", self.build)
 
 
-def _model(m):
+def model_key(m) -> str:
+    """Name of a model: a factory's key, or the place of a plain function."""
+    return m.key if isinstance(m, Factory) else f"{getattr(m, '__module__', '')}.{getattr(m, '__qualname__', repr(m))}"
+
+
+def model_of(m):
     """The model of a factory; a plain function is used as it is (and shipped with the task)."""
     return m.model() if isinstance(m, Factory) else m
 
@@ -68,21 +73,58 @@ def hashed_char_embedder(dim: int = 64, n: int = 3) -> Callable[[pd.Series], np.
 EMBEDDER = Factory("hashed-char-64-3", hashed_char_embedder)
 
 
+def safe_batch(call: Callable[..., object], rows: list[pd.Series | None], n: int) -> tuple[list, list]:
+    """M5: (results, errors) of ``call`` on one batch of ``n`` rows. A failing batch, or one
+    that returns another number of results, is retried row by row; a failing row gets None
+    and an error."""
+    try:
+        out = list(call(*rows))
+        if len(out) == n:
+            return out, [None] * n
+    except Exception:  # noqa: BLE001 - one bad row must not stop the batch
+        pass
+    out, err = [None] * n, [None] * n
+    for i in range(n):
+        try:
+            one = list(call(*[r if r is None else r.iloc[i:i + 1].reset_index(drop=True) for r in rows]))
+            if len(one) != 1:
+                raise ValueError(f"{len(one)} results for one row")
+            out[i] = one[0]
+        except Exception as e:  # noqa: BLE001
+            err[i] = f"{type(e).__name__}: {e}"
+    return out, err
+
+
+def unit_vectors(vecs: list) -> list:
+    """each vector divided by its norm (zero vectors stay), as 32-bit floats; None stays."""
+    good = [i for i, v in enumerate(vecs) if v is not None]
+    out: list = [None] * len(vecs)
+    if good:
+        x = np.asarray([vecs[i] for i in good], dtype=np.float64)
+        norms = np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.divide(x, norms, out=np.zeros_like(x), where=norms > 0).astype(np.float32)
+        for i, v in zip(good, x):
+            out[i] = v
+    return out
+
+
 def embed(df: DataFrame, text_col: str, id_col: str = "idx", factory: Factory | Callable = EMBEDDER,
-          batch_size: int = 128) -> DataFrame:
-    """M1 + F9: text -> unit vector ``ARRAY<FLOAT>`` in batches."""
+          batch_size: int = 128, errors: bool = False) -> DataFrame:
+    """M1 + F9 + M5: text -> unit vector ``ARRAY<FLOAT>`` in batches. A text that fails gets a
+    NULL vector (which takes no part in a search); ``errors`` adds the column ``error``."""
 
     def run(it):
-        model = _model(factory)
+        model = model_of(factory)
         for pdf in it:
             for s in range(0, len(pdf), batch_size):
                 part = pdf.iloc[s:s + batch_size]
-                vecs = np.asarray(model(part[text_col].reset_index(drop=True)), dtype=np.float64)
-                norms = np.linalg.norm(vecs, axis=1, keepdims=True)
-                vecs = np.divide(vecs, norms, out=np.zeros_like(vecs), where=norms > 0).astype(np.float32)
-                yield pd.DataFrame({id_col: part[id_col].to_numpy(np.int64), "vec": list(vecs)})
+                vecs, err = safe_batch(model, [part[text_col].reset_index(drop=True)], len(part))
+                out = pd.DataFrame({id_col: part[id_col].to_numpy(np.int64),
+                                    "vec": unit_vectors(vecs)})
+                yield out.assign(error=err) if errors else out
 
-    return df.select(id_col, text_col).mapInPandas(run, f"{id_col} long, vec array<float>")
+    return df.select(id_col, text_col).mapInPandas(
+        run, f"{id_col} long, vec array<float>" + (", error string" if errors else ""))
 
 
 def copy_translator(texts: pd.Series, src_lang: str, tgt_lang: str) -> list:
@@ -98,22 +140,11 @@ def translate(df: DataFrame, text_col: str, src_lang: str, tgt_lang: str, id_col
     """M3: batched text -> text; the output keeps ``id_col`` (order = input order by key)."""
 
     def run(it):
-        fn = _model(translator)
+        fn = model_of(translator)
         for pdf in it:
             for s in range(0, len(pdf), batch_size):
                 part = pdf.iloc[s:s + batch_size]
-                texts = part[text_col].reset_index(drop=True)
-                err = [None] * len(part)
-                try:
-                    out = list(fn(texts, src_lang, tgt_lang))
-                except Exception:  # noqa: BLE001 - retry row by row
-                    out = []
-                    for i in range(len(part)):
-                        try:
-                            out.append(fn(texts.iloc[i:i + 1], src_lang, tgt_lang)[0])
-                        except Exception as e:  # noqa: BLE001
-                            out.append(None)
-                            err[i] = f"{type(e).__name__}: {e}"
+                out, err = safe_batch(lambda x: fn(x, src_lang, tgt_lang), [part[text_col].reset_index(drop=True)], len(part))
                 yield pd.DataFrame({id_col: part[id_col].to_numpy(np.int64), "translation": out, "error": err})
 
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} long, translation string, error string")
@@ -126,21 +157,12 @@ def model_metric(df: DataFrame, scorer: Factory | Callable, name: str, src: str
     cols = ["row_id", hyp, ref] + ([src] if src else [])
 
     def run(it):
-        metric = _model(scorer)
+        metric = model_of(scorer)
         for pdf in it:
             for s in range(0, len(pdf), batch_size):
                 part = pdf.iloc[s:s + batch_size].reset_index(drop=True)
-                args = (part[src] if src else None, part[hyp], part[ref])
-                vals = np.full(len(part), np.nan)
-                try:
-                    vals[:] = np.asarray(metric(*args), dtype=float)
-                except Exception:  # noqa: BLE001
-                    for i in range(len(part)):
-                        try:
-                            one = tuple(a.iloc[i:i + 1] if a is not None else None for a in args)
-                            vals[i] = float(np.asarray(metric(*one), dtype=float)[0])
-                        except Exception:  # noqa: BLE001
-                            pass
+                got, _ = safe_batch(metric, [part[src] if src else None, part[hyp], part[ref]], len(part))
+                vals = np.array([np.nan if v is None else float(v) for v in got])
                 blank = part[ref].isna() | (part[ref].fillna("").str.strip() == "")
                 vals[blank.to_numpy()] = np.nan
                 yield pd.DataFrame({"row_id": part["row_id"].to_numpy(np.int64),

@@ -3,7 +3,8 @@ quality_inputs, J7 unscored_pairs, J11 attach_scores, U4 append_scored,
 A9 candidate_coverage, A16 distinct_scored_keys.
 
 The quality model is a plug-in: any ``scorer(src: pd.Series, tgt: pd.Series) ->
-array of float`` (loaded once per Python worker, called on Arrow batches). Only
+array of float``, or a ``models.Factory`` of one (built once per Python worker), called on
+Arrow batches. Only
 the distinct pairs that survive top-N are scored, and only those not already in
 the scored table. ``stub_quality`` is a deterministic stand-in used by the tests
 and the driver-table queries; it is **not** a quality model.
@@ -18,7 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairmine.process_cache import process_cached
+from pairmine.operators.models import Factory, model_of, safe_batch
+from pairmine.session import stage_root
 
 Scorer = Callable[[pd.Series, pd.Series], "np.ndarray | pd.Series | list"]
 
@@ -37,34 +39,20 @@ def quality_inputs(pairs: DataFrame, src_text: str = "src_text", tgt_text: str =
                         F.col(tgt_text).alias("tgt_text")).dropDuplicates(["src_idx", "tgt_idx"])
 
 
-def _safe_batches(scorer: Scorer, batch_size: int, key: str | None):
-    """M5: a failing batch is retried row by row; a failing row gets NULL + error. With
-    ``key`` the scorer is a factory, called once per Python worker."""
+def _safe_batches(scorer: Factory | Scorer, batch_size: int):
+    """M5 over the batches of a partition; a factory's model is built once per process."""
 
     def run(it):
-        model = process_cached(f"scorer:{key}", scorer) if key else scorer
+        model = model_of(scorer)
         for pdf in it:
             for start in range(0, len(pdf), batch_size):
-                part = pdf.iloc[start:start + batch_size]
-                q = np.full(len(part), np.nan)
-                err = [None] * len(part)
-                try:
-                    q[:] = np.asarray(model(part["src_text"].reset_index(drop=True),
-                                            part["tgt_text"].reset_index(drop=True)), dtype=float)
-                except Exception:  # noqa: BLE001 - one bad row must not stop the batch
-                    for i in range(len(part)):
-                        try:
-                            q[i] = float(np.asarray(model(part["src_text"].iloc[i:i + 1].reset_index(drop=True),
-                                                          part["tgt_text"].iloc[i:i + 1].reset_index(drop=True)),
-                                                    dtype=float)[0])
-                        except Exception as e:  # noqa: BLE001
-                            err[i] = f"{type(e).__name__}: {e}"
-                yield pd.DataFrame({
-                    "src_idx": part["src_idx"].to_numpy(np.int64),
-                    "tgt_idx": part["tgt_idx"].to_numpy(np.int64),
-                    "quality": pd.array([None if np.isnan(v) else float(v) for v in q], dtype="Float64"),
-                    "error": err,
-                })
+                part = pdf.iloc[start:start + batch_size].reset_index(drop=True)
+                got, err = safe_batch(lambda a, b: np.asarray(model(a, b), dtype=float).tolist(),
+                                      [part["src_text"], part["tgt_text"]], len(part))
+                q = [None if v is None or np.isnan(v) else v for v in got]
+                yield pd.DataFrame({"src_idx": part["src_idx"].to_numpy(np.int64),
+                                    "tgt_idx": part["tgt_idx"].to_numpy(np.int64),
+                                    "quality": pd.array(q, dtype="Float64"), "error": err})
 
     return run
 
@@ -79,14 +67,45 @@ def overlap_scorer(src: pd.Series, tgt: pd.Series) -> list[float]:
     return out
 
 
-def score_pairs(pairs: DataFrame, scorer: Scorer | None, batch_size: int = 128, key: str | None = None) -> DataFrame:
+def score_pairs(pairs: DataFrame, scorer: Factory | Scorer | None, batch_size: int = 128) -> DataFrame:
     """M2: quality for distinct pairs through a batch plug-in (keys travel with the
-    batch, so no positional re-attachment is needed, J11). With ``key``, ``scorer`` is a
-    factory of the plug-in, called once per Python worker and kept under that key."""
+    batch, so no positional re-attachment is needed, J11). A ``Factory`` is shipped in place of
+    its model, which is built once per Python worker; a plain function is shipped as it is."""
     if scorer is None:
         raise ValueError("a quality scorer is required")
     inputs = quality_inputs(pairs)
-    return inputs.mapInPandas(_safe_batches(scorer, batch_size, key), SCORED_SCHEMA)
+    return inputs.mapInPandas(_safe_batches(scorer, batch_size), SCORED_SCHEMA)
+
+
+def text_keyed(inputs: DataFrame) -> DataFrame:
+    """Keys of the two texts of each pair (SHA-256): what a quality belongs to, wherever the
+    texts stand in their files."""
+    def key(c):
+        return F.sha2(F.coalesce(F.concat(F.lit("t"), c), F.lit("")), 256)      # a null text is no empty one
+    return inputs.withColumn("src_key", key("src_text")).withColumn("tgt_key", key("tgt_text"))
+
+
+def score_from_store(pairs: DataFrame, store: DataFrame | None, scorer: Factory | Scorer,
+                     batch_size: int = 128) -> tuple[DataFrame, DataFrame]:
+    """J7 + M2 + J11 by text: qualities of ``pairs`` (with texts), taken from ``store``
+    (src_key, tgt_key, quality) where it has them. Returns (scores by src_idx and tgt_idx, new
+    rows for the store). Pairs with equal texts are scored once, failed ones again next time;
+    both results are staged."""
+    keys = ["src_key", "tgt_key"]
+    inputs = text_keyed(quality_inputs(pairs))
+    stage_root(pairs.sparkSession)
+    inputs = inputs.checkpoint(eager=True)
+    todo = inputs if store is None else inputs.join(store.select(*keys), keys, "left_anti")
+    # One pair of positions stands for all with its two texts.
+    one = todo.groupBy(*keys).agg(F.min(F.struct("src_idx", "tgt_idx", "src_text", "tgt_text")).alias("p"))
+    scored = score_pairs(one.select("p.*"), scorer, batch_size).checkpoint(eager=True)
+    new = (scored.join(inputs.select("src_idx", "tgt_idx", *keys), ["src_idx", "tgt_idx"])
+           .select(*keys, "quality", "error"))
+    known = usable_scores(new).select(*keys, "quality")
+    if store is not None:
+        known = store.select(*keys, "quality").unionByName(known)
+    scores = inputs.select("src_idx", "tgt_idx", *keys).join(known, keys).select("src_idx", "tgt_idx", "quality")
+    return scores.checkpoint(eager=True), usable_scores(new).select(*keys, "quality")
 
 
 def usable_scores(scored: DataFrame) -> DataFrame:

@@ -98,6 +98,7 @@ SELECT src_idx, tgt_idx, pre_rank, round(quality, 9) AS quality FROM fp""",
         "sweep_results_kept": "WITH " + ",".join([grid, OS.sweep_cte("grid")]) + """
 SELECT experiment_id, status, successful, round(weighted_score, 9) AS weighted_score, error FROM res""",
         "mine_corpus": mine_corpus_sql(),
+        "mine_corpus_resumed": mine_corpus_sql(),
         "restore_order": "WITH " + ",".join(chain) + """
 SELECT CAST(row_number() OVER (ORDER BY src_idx) - 1 AS BIGINT) AS idx, src_idx, tgt_idx FROM fp""",
         "incremental_scoring": f"""WITH {PAIRS}

@@ -23,6 +23,9 @@ from pairmine.sources import io as IO
 from pairmine.sources.tables import table
 
 
+OVERLAP = MD.Factory("token-overlap", lambda: Q.overlap_scorer)
+
+
 def _folder(spark) -> str:
     return stage_path(spark, f"io-{uuid.uuid4().hex}")
 
@@ -51,7 +54,7 @@ def _word_pairs(spark, sf_dir):
 def q_quality_score(spark, sf_dir):
     """M2 + M5 + J11: the token-overlap stand-in through the batch plug-in, joined back."""
     pairs = _word_pairs(spark, sf_dir)
-    scored = Q.score_pairs(pairs, lambda: Q.overlap_scorer, key="overlap")
+    scored = Q.score_pairs(pairs, OVERLAP)
     return rounded(Q.attach_scores(pairs.select("src_idx", "tgt_idx"), scored))
 
 
@@ -162,7 +165,7 @@ def q_incremental_scoring(spark, sf_dir):
     for part in (pairs.filter("src_idx % 3 = 0"), pairs):
         part.write.mode("append").parquet(f"{root}/candidates")
         INC.start_incremental_scoring(spark, f"{root}/candidates", f"{root}/scored", f"{root}/checkpoint",
-                                      Q.overlap_scorer).awaitTermination()
+                                      OVERLAP).awaitTermination()
     return rounded(spark.read.parquet(f"{root}/scored").select("src_idx", "tgt_idx", "quality"))
 
 
@@ -170,25 +173,55 @@ CORPUS = SC.MiningConfig(search_k=20, top_after_filtering=5, quality_threshold=0
                          sparse_threshold=0.37, crowded_threshold=0.36)
 
 
-def q_mine_corpus(spark, sf_dir):
-    """X7 from files to files: the benchmark items are the source sentences, the assistant
-    turns the target sentences (line breaks as spaces); the pairs are read back from K1's CSV."""
-    root = _folder(spark)
+def _corpus_lines(spark, sf_dir):
+    """The benchmark items and the assistant turns, one line each (line breaks as spaces)."""
     flat = F.regexp_replace("text", "[\r\n]", " ").alias("line")
     items = table(spark, sf_dir, "benchmark").repartitionByRange("item_id").sortWithinPartitions("item_id")
     turns = (table(spark, sf_dir, "conversations").filter("role = 'assistant' and text is not null")
              .repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn"))
-    IO.write_text_corpus(items.select(flat), "line", f"{root}/src")
-    IO.write_text_corpus(turns.select(flat), "line", f"{root}/tgt")
-    M.mine_corpus(spark, f"{root}/src", f"{root}/tgt", f"{root}/pairs", CORPUS, embedder=MD.EMBEDDER,
-                  scorer=Q.overlap_scorer, stage_path=f"{root}/stage")
-    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{root}/pairs")
+    return items.select(flat), turns.select(flat)
+
+
+def _mined(spark, path):
+    """The pairs of K1's CSV."""
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     return rounded(back.select(F.col("src_idx").cast("long").alias("src_idx"), F.col("tgt_idx").cast("long").alias("tgt_idx"),
                                "src_text", "tgt_text", F.col("final_score").cast("double").alias("final_score"),
                                F.col("pre_rank").cast("int").alias("pre_rank"),
                                F.col("quality").cast("double").alias("quality"), F.col("margin").cast("double").alias("margin")), 6)
 
 
+def q_mine_corpus(spark, sf_dir):
+    """X7 from files to files: the benchmark items are the source sentences, the assistant
+    turns the target sentences; the pairs are read back from K1's CSV."""
+    root = _folder(spark)
+    items, turns = _corpus_lines(spark, sf_dir)
+    IO.write_text_corpus(items, "line", f"{root}/src")
+    IO.write_text_corpus(turns, "line", f"{root}/tgt")
+    M.mine_corpus(spark, f"{root}/src", f"{root}/tgt", f"{root}/pairs", CORPUS, embedder=MD.EMBEDDER,
+                  scorer=OVERLAP, stage_path=f"{root}/stage")
+    return _mined(spark, f"{root}/pairs")
+
+
+def q_mine_corpus_resumed(spark, sf_dir):
+    """X7 + S6 + K8, resumed: a first run over the assistant turns the other way round, against
+    which every position differs, and a second one over the turns in order, with the same
+    stage folder. The second run's pairs, and how many qualities came from the first: those of
+    the pairs of texts that both runs had among their candidates."""
+    root = _folder(spark)
+    items, turns = _corpus_lines(spark, sf_dir)
+    IO.write_text_corpus(items, "line", f"{root}/src")
+    back = (table(spark, sf_dir, "conversations").filter("role = 'assistant' and text is not null")
+            .select("conv_id", "turn", F.regexp_replace("text", "[\r\n]", " ").alias("line"))
+            .repartitionByRange(F.desc("conv_id"), F.desc("turn")).sortWithinPartitions(F.desc("conv_id"), F.desc("turn")))
+    IO.write_text_corpus(back, "line", f"{root}/tgt_before")
+    IO.write_text_corpus(turns, "line", f"{root}/tgt")
+    for tgt in ("tgt_before", "tgt"):
+        M.mine_corpus(spark, f"{root}/src", f"{root}/{tgt}", f"{root}/pairs", CORPUS, embedder=MD.EMBEDDER,
+                      scorer=OVERLAP, stage_path=f"{root}/stage")
+    return _mined(spark, f"{root}/pairs")
+
+
 QUERIES = {
     "embed": q_embed,
     "translate": q_translate,
@@ -202,6 +235,7 @@ QUERIES = {
     "stage_roundtrip": q_stage_roundtrip,
     "sweep_results_kept": q_sweep_results_kept,
     "mine_corpus": q_mine_corpus,
+    "mine_corpus_resumed": q_mine_corpus_resumed,
     "restore_order": q_restore_order,
     "incremental_scoring": q_incremental_scoring,
 }

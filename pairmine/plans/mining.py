@@ -14,7 +14,7 @@ plan (O4).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +28,7 @@ from pairmine.operators import selection as SEL
 from pairmine.operators.knn import exact_topk
 from pairmine.session import stage_root
 from pairmine.sources import io as IO
+from pairmine.sources import versions
 
 QualityExpr = Callable[[DataFrame], Column]
 
@@ -42,6 +43,7 @@ class MiningResult:
     rank_distribution: DataFrame
     missing_sources: DataFrame
     failures: DataFrame
+    new_scores: DataFrame | None = None      # src_key, tgt_key, quality: what a score store gains
 
 
 def candidate_table(src_vec: DataFrame, tgt_vec: DataFrame, search_k: int, **kw) -> DataFrame:
@@ -93,8 +95,9 @@ def attach_texts(df: DataFrame, src_attrs: DataFrame, tgt_attrs: DataFrame) -> D
 
 def mine_pairs(src_vec: DataFrame, tgt_vec: DataFrame, src_attrs: DataFrame, tgt_attrs: DataFrame,
                cfg: SC.MiningConfig = SC.MiningConfig(), *, quality_expr: QualityExpr | None = None,
-               scorer: Q.Scorer | None = None, materialize: bool = True,
-               density: DataFrame | None = None, scored_before: DataFrame | None = None) -> MiningResult:
+               scorer: "MD.Factory | Q.Scorer | None" = None, materialize: bool = True,
+               density: DataFrame | None = None, scored_before: DataFrame | None = None,
+               score_store: DataFrame | None = None) -> MiningResult:
     """Full mining run for one configuration.
 
     ``quality_expr`` builds the quality column from the ranked table with both
@@ -103,7 +106,9 @@ def mine_pairs(src_vec: DataFrame, tgt_vec: DataFrame, src_attrs: DataFrame, tgt
     attached first. One of them is required. Texts reach the final pairs only.
 
     A plug-in's scores are staged as soon as they are made, so every output reads them
-    and no pair is scored twice. ``scored_before`` resumes from an earlier scored table:
+    and no two texts are scored twice. ``score_store`` (src_key, tgt_key, quality, as in
+    ``new_scores`` of earlier results) resumes by the texts, wherever they stand now;
+    ``scored_before`` resumes from an earlier scored table by position, for unchanged corpora:
     its pairs with a quality are not scored again, its failed ones are.
     """
     if quality_expr is None and scorer is None:
@@ -126,15 +131,15 @@ def mine_pairs(src_vec: DataFrame, tgt_vec: DataFrame, src_attrs: DataFrame, tgt
         ranked = ranked.checkpoint(eager=True)
 
     keyed = attach_keys(ranked, src_attrs, tgt_attrs)
+    new_scores = None
     if quality_expr is not None:
         scored = keyed.withColumn("quality", quality_expr(keyed))
-    else:
-        todo = keyed if scored_before is None else Q.unscored_pairs(keyed, scored_before)
-        q = Q.score_pairs(attach_texts(todo, src_attrs, tgt_attrs), scorer)
+    elif scored_before is not None:
+        q = Q.score_pairs(attach_texts(Q.unscored_pairs(keyed, scored_before), src_attrs, tgt_attrs), scorer)
         stage_root(q.sparkSession)
-        q = q.checkpoint(eager=True)
-        if scored_before is not None:
-            q = Q.append_scored(Q.usable_scores(scored_before), q)
+        scored = Q.attach_scores(keyed, Q.append_scored(Q.usable_scores(scored_before), q.checkpoint(eager=True)))
+    else:
+        q, new_scores = Q.score_from_store(attach_texts(keyed, src_attrs, tgt_attrs), score_store, scorer)
         scored = Q.attach_scores(keyed, q)
     chosen = SEL.choose_best(scored, cfg.quality_threshold)
     final_pairs = attach_texts(chosen.filter("is_chosen").drop("is_chosen", "passes"), src_attrs, tgt_attrs)
@@ -144,36 +149,51 @@ def mine_pairs(src_vec: DataFrame, tgt_vec: DataFrame, src_attrs: DataFrame, tgt
         candidates=cands, ranked=ranked.select(*SC.RANKED_COLS), scored=scored, final_pairs=final_pairs,
         metrics=metrics, rank_distribution=RM.rank_distribution(final_pairs),
         missing_sources=SEL.missing_sources(src_vec, ranked),
-        failures=SEL.failure_reasons(scored, final_pairs),
+        failures=SEL.failure_reasons(scored, final_pairs), new_scores=new_scores,
     )
 
 
 def mine_corpus(spark, src_path: str, tgt_path: str, out_path: str, cfg: SC.MiningConfig = SC.MiningConfig(), *,
-                embedder: "MD.Factory", scorer: Q.Scorer, stage_path: str | None = None) -> MiningResult:
+                embedder: "MD.Factory", scorer: "MD.Factory | Q.Scorer", stage_path: str | None = None) -> MiningResult:
     """X7 from files to files: S1 load -> M1 embed -> retrieve -> score -> select -> K1 write.
 
     ``src_path`` and ``tgt_path`` hold one sentence per line; ``embedder`` is an M1 factory.
-    With ``stage_path`` the scored pairs are kept there (K8), and a later run with the same
-    folder resumes from them (S6)."""
-    sides = []
-    for path in (src_path, tgt_path):
+    With ``stage_path``, qualities are kept there by the two texts that they belong to
+    (``scores``, one increment a run) and no later run scores those texts again, whatever
+    became of the files: inserted, moved or swapped lines are told apart by what they say.
+    Scores of another quality model are refused (``versions.StageMismatch``). The run's scored
+    pairs are a stage as well (K8, ``scored``), with a manifest of both inputs, the models and
+    the parameters, for readers that want this run's table and no other (S6)."""
+    sides, inputs = [], {}
+    for name, path in (("source", src_path), ("target", tgt_path)):
         sent = IO.read_sentences(spark, path)
         vec = MD.embed(sent, "text", factory=embedder)
         stage_root(spark)
         sides.append((vec.checkpoint(eager=True), sent))
+        if stage_path:
+            inputs[name] = versions.identity(sent, "idx", "text")
     (src_vec, src), (tgt_vec, tgt) = sides
-    before = IO.read_stage(spark, f"{stage_path}/scored") if stage_path else None
-    res = mine_pairs(src_vec, tgt_vec, src, tgt, cfg, scorer=scorer, scored_before=before)
+    store, owner = None, {"scorer": MD.model_key(scorer)}
+    if stage_path:
+        for folder in versions.committed(spark, f"{stage_path}/scores"):
+            versions.check_manifest(versions.read_manifest(spark, folder), owner, folder)
+        store = versions.read_all(spark, f"{stage_path}/scores")
+    res = mine_pairs(src_vec, tgt_vec, src, tgt, cfg, scorer=scorer, score_store=store)
     if stage_path:
-        scored = res.scored.select("src_idx", "tgt_idx", "quality").withColumn("error", F.lit(None).cast("string"))
-        if before is not None:
-            old = before.join(scored.select("src_idx", "tgt_idx"), ["src_idx", "tgt_idx"], "left_anti")
-            scored = Q.append_scored(old, scored).checkpoint(eager=True)
-        IO.write_stage(scored, f"{stage_path}/scored")
+        if not res.new_scores.isEmpty():
+            versions.publish(res.new_scores, f"{stage_path}/scores", owner, keep=None)
+        IO.write_stage(res.scored.select("src_idx", "tgt_idx", "quality"), f"{stage_path}/scored",
+                       manifest=run_manifest(inputs, embedder, scorer, cfg))
     IO.write_pairs(res.final_pairs.select(*FINAL_PAIR_COLS), out_path)
     return res
 
 
+def run_manifest(inputs: dict, embedder, scorer, cfg: SC.MiningConfig) -> dict:
+    """What a run's stage belongs to: both inputs, both models, every parameter."""
+    return {**inputs, "embedder": MD.model_key(embedder), "scorer": MD.model_key(scorer),
+            **{k: str(v) for k, v in asdict(cfg).items()}}
+
+
 FINAL_PAIR_COLS = ["src_idx", "tgt_idx", "src_text", "tgt_text", "cosine_score", "l2_score",
                    "score", "base_score", "z_score", "adaptive_score", "density", "density_bonus",
                    "density_penalty", "final_score", "pre_rank", "quality", "margin"]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pairmine.functions.scalar import py_strip
 from pairmine.session import stage_root
+from pairmine.sources import versions
 from pairmine.sources.dense_index import dense_index
 
 
@@ -122,16 +123,21 @@ def read_eval_csv(spark: SparkSession, path: str, source: str = "text",
                       *[F.col(c).cast("string").alias(n) for n, c in named.items()])
 
 
-def read_stage(spark: SparkSession, path: str) -> DataFrame | None:
-    """A finished stage table, or None when absent / unfinished."""
-    if not _path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+def read_stage(spark: SparkSession, path: str, manifest: dict | None = None) -> DataFrame | None:
+    """The newest finished stage table, or None when there is none. With ``manifest`` a
+    stage of other inputs, models or parameters is refused (``versions.StageMismatch``)."""
+    folder = versions.latest(spark, path)
+    if folder is None:
         return None
-    return spark.read.parquet(path)
+    if manifest is not None:
+        versions.check_manifest(versions.read_manifest(spark, folder), manifest, path)
+    return spark.read.parquet(f"{folder}/{versions.DATA}")
 
 
-def write_stage(df: DataFrame, path: str, progress: dict | None = None) -> None:
-    """K8: save a stage (Parquet, overwrite) and, optionally, a one-row progress table."""
-    df.write.mode("overwrite").parquet(path)
+def write_stage(df: DataFrame, path: str, progress: dict | None = None, manifest: dict | None = None) -> None:
+    """K8: save a stage as a new version (``df`` may read the stage that it replaces) with the
+    manifest of what it belongs to and, optionally, a one-row progress table."""
+    versions.publish(df, path, manifest)
     if progress is not None:
         spark = df.sparkSession
         row = {k: (str(v) if not isinstance(v, (int, float)) else v) for k, v in progress.items()}
@@ -180,9 +186,21 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def write_best_pairs(best_pairs: DataFrame, path: str) -> bool:
-    """K4: the best experiment's pairs replace the best-pairs output."""
-    return write_pairs(best_pairs, path, fmt="parquet")
+def write_best_pairs(best_pairs: DataFrame, path: str, best: dict | None = None) -> bool:
+    """K4: the best experiment's pairs become the newest version of the best-pairs output
+    (``read_best_pairs``); the version before stays for its readers. Nothing is written
+    without a pair. ``best`` (experiment and score) is the version's manifest."""
+    stage_root(best_pairs.sparkSession)
+    best_pairs = best_pairs.checkpoint(eager=True)
+    if best_pairs.isEmpty():
+        return False
+    versions.publish(best_pairs, path, best)
+    return True
+
+
+def read_best_pairs(spark: SparkSession, path: str) -> DataFrame | None:
+    """K4 read side: the pairs of the best experiment so far, None before the first."""
+    return versions.read_latest(spark, path)
 
 
 def write_text_corpus(df: DataFrame, col: str, path: str) -> None:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pairmine.operators import quality as Q
+from pairmine.operators.models import Factory
 from pairmine.session import stage_root
 from pairmine.sources.io import _path_exists
 
@@ -40,7 +41,7 @@ def read_scored(spark: SparkSession, scored_dir: str) -> DataFrame:
     return rows.groupBy("src_idx", "tgt_idx").agg(best).select("src_idx", "tgt_idx", "b.quality", "b.error")
 
 
-def score_new_pairs(batch: DataFrame, scored_dir: str, scorer: Q.Scorer, batch_size: int = 128) -> int:
+def score_new_pairs(batch: DataFrame, scored_dir: str, scorer: Factory | Q.Scorer, batch_size: int = 128) -> int:
     """One step of the resume path: score the pairs of ``batch`` without a quality and
     append them to ``scored_dir``. Returns the number of rows appended."""
     spark = batch.sparkSession
@@ -59,7 +60,7 @@ def score_new_pairs(batch: DataFrame, scored_dir: str, scorer: Q.Scorer, batch_s
 
 
 def start_incremental_scoring(spark: SparkSession, candidates_dir: str, scored_dir: str,
-                              checkpoint_dir: str, scorer: Q.Scorer, available_now: bool = True,
+                              checkpoint_dir: str, scorer: Factory | Q.Scorer, available_now: bool = True,
                               batch_size: int = 128) -> StreamingQuery:
     stream = spark.readStream.schema(CANDIDATE_SCHEMA).parquet(candidates_dir)
     writer = (stream.writeStream
