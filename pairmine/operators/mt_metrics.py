@@ -1,14 +1,15 @@
 """Translation metrics as Spark jobs: E1 bleu_rows, E2 chrf_rows, E4 chrf_pp,
-E3 meteor_rows (exact stage), E5 corpus_bleu / corpus_chrf, A11 metric_means,
-P11 blank_reference_guard, J15 compare_runs.
-
-Plan: the evaluation table is hash-partitioned on ``row_id`` once. Each side's
-n-grams are generated with array functions (``transform`` over ``sequence``),
-exploded once, counted by ``(row_id, kind, n, gram)`` and clipped with
-``least(hyp, ref)``; the per-row formula is closed with conditional aggregation.
-All grouping keys start with ``row_id``, so after the first shuffle no other
-exchange is needed (the count, the per-order sums and the final join all reuse
-that partitioning). A row is never split across tasks, and no row is dropped.
+E3 meteor_rows (exact stage), E5 corpus_bleu / corpus_chrf, E6 evaluate_table,
+A11 metric_means, P11 blank_reference_guard, J15 compare_runs.
+
+Plan: one pass over the texts serves all metrics asked for. Rows of up to ``LONG_CHARS``
+characters are counted where they are: an Arrow pass takes many rows together, gives every n-gram a number that is exact within its row (an n-gram is the pair of its first
+n-1 units' number and its last unit), and returns the match counts of all orders, one narrow
+row per input row, so no n-gram is ever shuffled. A longer row is tokenized by SQL functions and cut into segments of
+``SEGMENT_UNITS`` units, which overlap by the n-gram length; segments are dealt over the tasks,
+their n-grams counted by ``(row_id, order, gram)`` and clipped there, and one narrow aggregate
+closes the row: one text, however long, spreads over the whole cluster. Both ways give the same
+counts. The formulas are SQL expressions over the counts. No row is dropped or cut.
 
 Formulas (public definitions): BLEU (Papineni et al. 2002) with exponential
 smoothing of zero-match orders, brevity penalty, four orders, no effective order,
@@ -21,6 +22,12 @@ tokens (no WordNet or stemming stages).
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +40,12 @@ CHRF_CHAR_ORDER = 6
 CHRF_WORD_ORDER = 2          # chrF++
 CHRF_BETA = 2.0
 METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA = 0.9, 3.0, 0.5
-# 13a tokenizer: escaped entities, then four regex passes.
+# 13a tokenizer: escaped entities, then four regex passes (the space left out of the first
+# class: a space set apart by spaces is still only white space).
+REPLACED_13A = [("<skipped>", ""), ("-\n", ""), ("\n", " ")]
 ENTITIES_13A = [("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
 REGEX_13A = [
-    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" $1 "),
+    (r"([\{-\~\[-\`!-\&\(-\+\:-\@\/])", r" $1 "),
     (r"([^0-9])([\.,])", r"$1 $2 "),
     (r"([\.,])([^0-9])", r" $1 $2"),
     (r"([0-9])(-)", r"$1 $2 "),
@@ -45,14 +54,17 @@ REGEX_13A = [
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # ---------------------------------------------------------------------------
 
+# Units that n-grams are made of: name -> longest n-gram.
+UNITS = {"w": BLEU_ORDER, "c": CHRF_CHAR_ORDER, "p": CHRF_WORD_ORDER}
+LONG_CHARS = 1 << 16         # characters of a row's two texts that one task counts in memory
+SEGMENT_UNITS = 1 << 14      # units of a longer row that one task counts
+BLOCK_BYTES = 1 << 20        # bytes of the short rows' texts counted in one go
+
 
 def tokenize_13a(text: Column) -> Column:
     """The 13a tokenizer as regexp_replace steps; returns ARRAY<STRING>."""
     t = py_rstrip(text)
-    t = F.replace(t, F.lit("<skipped>"), F.lit(""))
-    t = F.replace(t, F.lit("-\n"), F.lit(""))
-    t = F.replace(t, F.lit("\n"), F.lit(" "))
-    for a, b in ENTITIES_13A:
+    for a, b in REPLACED_13A + ENTITIES_13A:
         t = F.replace(t, F.lit(a), F.lit(b))
     t = F.concat(F.lit(" "), t, F.lit(" "))
     for pat, rep in REGEX_13A:
@@ -77,88 +89,280 @@ def _strip_punct_edges(tokens: Column) -> Column:
 
 def eval_frame(df: DataFrame, hyp: str = "prediction", ref: str = "reference",
                num_partitions: int | None = None) -> DataFrame:
-    """Keep ``row_id`` and the two texts, hash-partitioned on ``row_id``.
+    """``row_id``, the two texts, whether the row counts as long, and whether it has no score
+    (P11 + DV-6: a NULL or whitespace-only reference, a NULL prediction), dealt out by ``row_id``.
 
     The partition count is explicit (the session's shuffle partitions, at least four
-    tasks per core):
-    the work grows by the n-gram expansion after this point, so the input size
-    must not let adaptive execution coalesce it into a few tasks.
+    tasks per core): texts differ a lot in length, and the work grows after this point, so
+    the input size must not let adaptive execution coalesce it into a few tasks.
     """
-    out = df.select("row_id", F.col(hyp).alias("_hyp"), F.col(ref).alias("_ref"))
+    size = F.coalesce(F.length(hyp), F.lit(0)) + F.coalesce(F.length(ref), F.lit(0))
+    out = df.select("row_id", F.col(hyp).alias("_hyp"), F.col(ref).alias("_ref"), (size > LONG_CHARS).alias("_long"),
+                    (F.col(ref).isNull() | (py_strip(F.col(ref)) == "") | F.col(hyp).isNull()).alias("_blank"))
     spark = df.sparkSession
-    # rows differ a lot in length: several tasks per core even out the stragglers
     n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                               4 * spark.sparkContext.defaultParallelism)
     return out.repartition(n, "row_id")
 
 
+def _units(kind: str, text: Column) -> Column:
+    """The units of a text: arrays of words, or a string of characters."""
+    if kind == "w":
+        return tokenize_13a(text)
+    if kind == "c":
+        return F.regexp_replace(text, _ws(), "")
+    if kind == "p":
+        return _strip_punct_edges(py_split(text))
+    return py_split(F.lower(text))          # METEOR's words
+
+
 def _shifted(arr: Column, k: int) -> Column:
     """arr[k:] (1-based), empty when k is past the end."""
     return F.slice(arr, k, F.greatest(F.size(arr) - F.lit(k - 1), F.lit(0)))
 
 
-def gram_rows(sides: DataFrame, specs) -> DataFrame:
-    """One row per n-gram occurrence: ``row_id, side, code, g``.
+# ---- short rows: counted in memory, many rows together
 
-    ``specs`` = [(kind, array column, max_n)]; ``code`` numbers the (kind, n) pairs in
-    that order (``gram_codes``). The arrays shifted by 0..max_n-1 are zipped, so one
-    exploded row per position holds every unit an n-gram starting there needs; ``stack``
-    then emits the n-grams, each as the 64-bit hash of its units (grams are only compared
-    within a row). No string is built per n-gram and no per-element lambda is evaluated.
-    """
-    cols, args, code = [], [], 0
-    for kind, arr, max_n in specs:
-        for k in range(1, max_n + 1):
-            cols.append(_shifted(arr, k).alias(f"{kind}{k}"))
-    zipped = sides.select("row_id", "side", F.explode(F.arrays_zip(*cols)).alias("z"))
-    for kind, _, max_n in specs:
-        for n in range(1, max_n + 1):
-            parts = ", ".join(f"z.{kind}{k}" for k in range(1, n + 1))
-            args += [f"{code}Y", f"CASE WHEN z.{kind}{n} IS NOT NULL THEN xxhash64({parts}) END"]
-            code += 1
-    stack = f"stack({len(args) // 2}, {', '.join(args)}) AS (code, g)"
-    return zipped.select("row_id", "side", F.expr(stack)).filter(F.col("g").isNotNull())
-
-
-def gram_codes(specs) -> list[tuple[str, int]]:
-    return [(kind, n) for kind, _, max_n in specs for n in range(1, max_n + 1)]
-
-
-def ngram_stats(ev: DataFrame, hyp_input: Column, ref_input: Column, specs_of, group=("row_id",)) -> DataFrame:
-    """Clipped n-gram counts, one row per ``group``: for every (kind, n) the columns
-    ``<kind>m<n>`` (matches), ``<kind>h<n>`` (hypothesis) and ``<kind>r<n>`` (reference).
-
-    ``hyp_input``/``ref_input`` (tokens or characters) are generated into a column
-    first; a Generate in between keeps the optimizer from inlining the tokenizer
-    into the n-gram expressions. ``specs_of(x)`` gives the ``gram_rows`` specs. Two
-    aggregates: per gram, then all orders at once.
-    """
-    sides = ev.select("row_id", F.inline(F.array(
-        F.struct(F.lit(0).alias("side"), hyp_input.alias("x")),
-        F.struct(F.lit(1).alias("side"), ref_input.alias("x")))))
-    specs = specs_of(F.col("x"))
-    counts = gram_rows(sides, specs).groupBy("row_id", "code", "g").agg(
-        F.count(F.when(F.col("side") == 0, 1)).alias("p"),
-        F.count(F.when(F.col("side") == 1, 1)).alias("r"))
-    aggs = []
-    for code, (kind, n) in enumerate(gram_codes(specs)):
-        here = F.col("code") == F.lit(code).cast("tinyint")
-        for name, value in (("m", F.least("p", "r")), ("h", F.col("p")), ("r", F.col("r"))):
-            aggs.append(F.coalesce(F.sum(F.when(here, value)), F.lit(0)).cast("double").alias(f"{kind}{name}{n}"))
-    return counts.groupBy(*group).agg(*aggs)
-
-
-def _guard(ev: DataFrame, scores: DataFrame, cols: list[str]) -> DataFrame:
-    """P11 + DV-6: a NULL or whitespace-only reference (or NULL prediction) gives NULL
-    metrics; every input row is kept."""
-    blank = F.col("_ref").isNull() | (py_strip(F.col("_ref")) == "") | F.col("_hyp").isNull()
-    base = ev.select("row_id", blank.alias("_blank"))
-    out = base.join(scores, "row_id", "left")
-    return out.select("row_id", *[F.when(F.col("_blank"), F.lit(None).cast("double"))
-                                  .otherwise(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in cols])
-
-
-def bleu_from_counts(df: DataFrame, kind: str = "w") -> Column:
+def _words_13a():
+    """``tokenize_13a`` of one text."""
+    import re
+
+    steps = [(re.compile(p).sub, r.replace("$", "\\")) for p, r in REGEX_13A]
+
+    def split(text):
+        text = text.rstrip()
+        for a, b in REPLACED_13A + ENTITIES_13A:
+            text = text.replace(a, b)
+        text = f" {text} "
+        for sub, r in steps:
+            text = sub(r, text)
+        return text.split()
+    return split
+
+
+def _words_pp(text):
+    """The chrF++ words of one text: one punctuation mark set apart from each word."""
+    out = []
+    for w in text.split():
+        if len(w) > 1 and w[-1] in PUNCTUATION:
+            out += (w[:-1], w[-1])
+        elif len(w) > 1 and w[0] in PUNCTUATION:
+            out += (w[0], w[1:])
+        else:
+            out.append(w)
+    return out
+
+
+def _sides(texts, n: int, kind: str, split):
+    """(unit, row, side, end, (hypothesis sizes, reference sizes)) of ``n`` hypotheses and then
+    ``n`` references: both sides' units as numbers, one text after the other; ``end`` is the end
+    of a unit's own text. str.split() and its white space are those of ``py_split``."""
+    texts = list(map(split, texts))
+    if kind == "c":
+        unit = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    else:
+        number: dict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        unit = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64)
+    size = np.fromiter(map(len, texts), np.int64, 2 * n)
+    row = np.repeat(np.concatenate([np.arange(n), np.arange(n)]), size)
+    side = np.repeat(np.repeat([0, 1], n), size)
+    return unit, row, side, np.repeat(np.cumsum(size), size), (size[:n], size[n:])
+
+
+def count_matches(unit, row, side, end, n_rows: int, max_n: int) -> np.ndarray:
+    """Clipped matches (order, row): for every n-gram of a row the lesser of its two counts.
+
+    An n-gram that one side lacks cannot grow into one that both have, so only the common
+    ones go on to the next order."""
+    out = np.zeros((max_n, n_rows), np.int64)
+    if not len(unit):
+        return out
+    width = int(unit.max()) + 1
+    at, prefix = np.arange(len(unit)), row
+    for n in range(max_n):
+        inside = at + n < end[at]
+        at, prefix = at[inside], prefix[inside]
+        if not len(at):
+            break
+        gram, number = np.unique(prefix * width + unit[at + n], return_inverse=True)
+        counts = np.bincount(2 * number + side[at], minlength=2 * len(gram)).reshape(-1, 2)
+        common = counts.min(axis=1)
+        of = np.empty(len(gram), np.int64)
+        of[number] = row[at]
+        np.add.at(out[n], of, common)
+        keep = common[number] > 0
+        at, prefix = at[keep], number[keep]
+    return out
+
+
+def count_alignment(unit, row, side, end, n_rows: int):
+    """METEOR's exact stage: (matches, chunks) per row. The k-th last occurrence of a word in one
+    text is aligned with its k-th last in the other; a chunk is a run of matches that are
+    neighbours on both sides."""
+    if not len(unit):
+        return np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64)
+    word = np.unique(row * (int(unit.max()) + 1) + unit, return_inverse=True)[1]
+    keys, places = [], []
+    for s in (0, 1):
+        at = np.flatnonzero(side == s)[::-1]           # from the last word on
+        at = at[np.argsort(word[at], kind="stable")]
+        first = np.ones(len(at), bool)
+        first[1:] = word[at[1:]] != word[at[:-1]]
+        begin = np.flatnonzero(first)
+        occurrence = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+        keys.append(word[at] * (len(unit) + 1) + occurrence)
+        places.append(at)
+    _, a, b = np.intersect1d(keys[0], keys[1], assume_unique=True, return_indices=True)
+    h, r = places[0][a], places[1][b]
+    by = np.argsort(h)
+    h, r = h[by], r[by]
+    follows = np.zeros(len(h), bool)
+    follows[1:] = (h[1:] == h[:-1] + 1) & (r[1:] == r[:-1] + 1) & (row[h[1:]] == row[h[:-1]])
+    return np.bincount(row[h], minlength=n_rows), np.bincount(row[h[~follows]], minlength=n_rows)
+
+
+def stat_columns(kinds) -> list[str]:
+    out = []
+    for k in kinds:
+        out += ["t_matches", "t_chunks", "t_hyp", "t_ref"] if k == "t" else [
+            f"{k}{x}{n}" for n in range(1, UNITS[k] + 1) for x in ("m", "h", "r")]
+    return out
+
+
+def _short_stats(ev: DataFrame, kinds) -> DataFrame:
+    names = stat_columns(kinds)
+    lowered = [F.lower(c).alias(f"{c}_low") for c in ("_hyp", "_ref")] if "t" in kinds else []
+    src = ev.select("row_id", "_blank", "_long", "_hyp", "_ref", *lowered)
+    id_type = ev.schema["row_id"].dataType.simpleString()
+
+    def run(batches):
+        split = {"w": _words_13a(), "c": lambda x: "".join(x.split()), "p": _words_pp, "t": str.split}
+        for whole in batches:
+            # Rows are taken together until their texts hold enough bytes.
+            whole = whole.filter(pc.invert(whole.column("_long")))
+            size = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                       for c in whole.columns[3:5])
+            block = np.cumsum(size) // BLOCK_BYTES
+            cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+            for lo, hi in zip(cuts, [*cuts[1:], whole.num_rows]):
+                b, n_rows = whole.slice(int(lo), int(hi - lo)), int(hi - lo)
+                texts = [c.fill_null("").to_pylist() for c in b.columns[3:]]
+                cols = {}
+                for k in kinds:
+                    both = texts[2] + texts[3] if k == "t" else texts[0] + texts[1]
+                    unit, row, side, end, sizes = _sides(both, n_rows, k, split[k])
+                    if k == "t":
+                        cols["t_matches"], cols["t_chunks"] = count_alignment(unit, row, side, end, n_rows)
+                        cols["t_hyp"], cols["t_ref"] = sizes
+                        continue
+                    m = count_matches(unit, row, side, end, n_rows, UNITS[k])
+                    for n in range(1, UNITS[k] + 1):
+                        cols[f"{k}m{n}"] = m[n - 1]
+                        for x, length in zip(("h", "r"), sizes):
+                            cols[f"{k}{x}{n}"] = np.maximum(length - (n - 1), 0)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(cols[c].astype(np.float64)) for c in names]],
+                                                 names=["row_id", "_blank", *names])
+
+    return src.mapInArrow(run, f"row_id {id_type}, _blank boolean, " + ", ".join(f"{c} double" for c in names))
+
+
+# ---- long rows: cut into segments, counted over the cluster
+
+def _only_long(ev: DataFrame) -> DataFrame:
+    """The long rows. Chosen after the exchange of ``eval_frame`` (a filter would be pushed below
+    it), so that what makes the texts, and their exchange, run once for short and long rows."""
+    def run(batches):
+        for b in batches:
+            yield b.filter(b.column("_long"))
+    return ev.mapInArrow(run, ev.schema)
+
+
+def _long_rows(long: DataFrame, kind: str) -> DataFrame:
+    """(row_id, side, x) of the long rows' units."""
+    return long.select("row_id", F.inline(F.array(
+        F.struct(F.lit(0).alias("side"), _units(kind, F.col("_hyp")).alias("x")),
+        F.struct(F.lit(1).alias("side"), _units(kind, F.col("_ref")).alias("x")))))
+
+
+def segment_grams(sides: DataFrame, kind: str, parts: int) -> DataFrame:
+    """One row per n-gram occurrence: ``row_id, side, n, g``.
+
+    A segment carries the units that its last n-grams reach into; the arrays shifted by
+    0..max_n-1 are zipped, so one exploded row per position holds every unit an n-gram
+    starting there needs; ``stack`` then emits the n-grams, each as the 128 bits of two hashes of
+    its units (grams are only compared within a row)."""
+    max_n = UNITS[kind]
+    size = F.length("x") if kind == "c" else F.size("x")
+    last = F.greatest(F.ceil(size / SEGMENT_UNITS).cast("int") - 1, F.lit(0))
+    seg = sides.filter(size > 0).withColumn("seg", F.explode(F.sequence(F.lit(0), last)))
+    start, length = F.col("seg") * SEGMENT_UNITS + 1, F.lit(SEGMENT_UNITS + max_n - 1)
+    piece = F.substring("x", start, length) if kind == "c" else F.slice("x", start, length)
+    seg = seg.select("row_id", "side", "seg", piece.alias("x")).repartition(parts, "row_id", "side", "seg")
+    if kind == "c":
+        seg = seg.withColumn("x", F.filter(F.split("x", ""), lambda c: c != ""))
+    zipped = F.arrays_zip(*[_shifted(F.col("x"), k).alias(f"u{k}") for k in range(1, max_n + 1)])
+    at = seg.select("row_id", "side", F.posexplode(zipped).alias("pos", "z")).filter(F.col("pos") < SEGMENT_UNITS)
+    args = []
+    for n in range(1, max_n + 1):
+        units = ", ".join(f"z.u{k}" for k in range(1, n + 1))
+        args.append(f"{n}, CASE WHEN z.u{n} IS NOT NULL THEN named_struct('a', xxhash64({units}), 'b', xxhash64(1, {units})) END")
+    return (at.select("row_id", "side", F.expr(f"stack({max_n}, {', '.join(args)}) AS (n, g)"))
+            .filter(F.col("g").isNotNull()))
+
+
+def _long_grams(long: DataFrame, kind: str, parts: int) -> DataFrame:
+    counts = segment_grams(_long_rows(long, kind), kind, parts).groupBy("row_id", "n", "g").agg(
+        F.count(F.when(F.col("side") == 0, 1)).alias("h"), F.count(F.when(F.col("side") == 1, 1)).alias("r"))
+    counts = counts.withColumn("m", F.least("h", "r"))
+    return counts.groupBy("row_id").agg(*[
+        F.coalesce(F.sum(F.when(F.col("n") == n, F.col(x))), F.lit(0)).cast("double").alias(f"{kind}{x}{n}")
+        for n in range(1, UNITS[kind] + 1) for x in ("m", "h", "r")])
+
+
+def _long_alignment(long: DataFrame, parts: int) -> DataFrame:
+    """``count_alignment`` by shuffles: occurrences are numbered per (row, side, word), paired by
+    (row, word, occurrence), and a match is a chunk's first unless the pair before it on
+    both sides is a match, too."""
+    sides = _long_rows(long, "t")
+    lens = sides.groupBy("row_id").agg(*[F.sum(F.when(F.col("side") == s, F.size("x"))).cast("double").alias(c)
+                                         for s, c in ((0, "t_hyp"), (1, "t_ref"))])
+    occ = sides.select("row_id", "side", F.posexplode("x").alias("pos", "tok")).withColumn(
+        "occ", F.row_number().over(Window.partitionBy("row_id", "side", "tok").orderBy(F.desc("pos"))))
+    m = (occ.groupBy("row_id", "tok", "occ")
+         .agg(F.max(F.when(F.col("side") == 0, F.col("pos"))).alias("hp"),
+              F.max(F.when(F.col("side") == 1, F.col("pos"))).alias("rp"))
+         .filter(F.col("hp").isNotNull() & F.col("rp").isNotNull()).select("row_id", "hp", "rp"))
+    before = m.select("row_id", (F.col("hp") + 1).alias("hp"), (F.col("rp") + 1).alias("rp"), F.lit(1).alias("goes_on"))
+    per = m.join(before, ["row_id", "hp", "rp"], "left").groupBy("row_id").agg(
+        F.count(F.lit(1)).cast("double").alias("t_matches"),
+        F.count(F.when(F.col("goes_on").isNull(), 1)).cast("double").alias("t_chunks"))
+    return lens.join(per, "row_id", "left").select(
+        "row_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("t_matches", "t_chunks", "t_hyp", "t_ref")])
+
+
+def _long_stats(ev: DataFrame, kinds) -> DataFrame:
+    spark = ev.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    long = _only_long(ev)
+    out = long.select("row_id", "_blank")
+    for k in kinds:
+        out = out.join(_long_alignment(long, parts) if k == "t" else _long_grams(long, k, parts), "row_id", "left")
+    return out.select("row_id", "_blank", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in stat_columns(kinds)])
+
+
+def unit_stats(ev: DataFrame, kinds) -> DataFrame:
+    """One row per ``row_id`` with ``_blank`` and the counts of all ``kinds`` of units: for n-grams ``<kind>m<n>``
+    (matches), ``<kind>h<n>`` (hypothesis) and ``<kind>r<n>`` (reference); for "t" METEOR's
+    matches, chunks and lengths."""
+    return _short_stats(ev, kinds).unionByName(_long_stats(ev, kinds))
+
+
+def _summed(stats: DataFrame) -> DataFrame:
+    return stats.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in stats.columns if c not in ("row_id", "_blank")])
+
+
+def bleu_from_counts(kind: str = "w") -> Column:
     """Close BLEU from pivoted counts ``wm1..4`` (matches) and ``wh1..4`` (hyp n-grams);
     ``wh1``/``wr1`` are the hypothesis and reference lengths."""
     logs, zeros = [], F.lit(0)
@@ -191,104 +395,78 @@ def chrf_from_counts(orders: list[tuple[str, int]], beta: float = CHRF_BETA) ->
 
 
 CHRF_ORDERS = [("c", n) for n in range(1, CHRF_CHAR_ORDER + 1)]
-CHRFPP_ORDERS = CHRF_ORDERS + [("w", n) for n in range(1, CHRF_WORD_ORDER + 1)]
+CHRFPP_ORDERS = CHRF_ORDERS + [("p", n) for n in range(1, CHRF_WORD_ORDER + 1)]
 
 
-def _chrf_stats(ev: DataFrame, words: bool, group=("row_id",)) -> DataFrame:
-    def prep(col):
-        chars = F.filter(F.split(F.regexp_replace(col, _ws(), ""), ""), lambda c: c != "")
-        toks = _strip_punct_edges(py_split(col)) if words else F.array().cast("array<string>")
-        return F.struct(chars.alias("c"), toks.alias("w"))
+def _ws() -> str:
+    from pairmine.functions.scalar import WS_CLASS
+    return f"{WS_CLASS}+"
+
 
-    def specs_of(x):
-        out = [("c", x["c"], CHRF_CHAR_ORDER)]
-        return out + [("w", x["w"], CHRF_WORD_ORDER)] if words else out
-    return ngram_stats(ev, prep(F.col("_hyp")), prep(F.col("_ref")), specs_of, group)
+def meteor_from_counts() -> Column:
+    """Close METEOR from ``t_matches``, ``t_chunks`` and the two lengths."""
+    mt = F.col("t_matches")
+    prec, rec = mt / F.col("t_hyp"), mt / F.col("t_ref")
+    alpha = F.lit(METEOR_ALPHA)
+    fmean = prec * rec / (alpha * prec + (F.lit(1.0) - alpha) * rec)
+    penalty = F.lit(METEOR_GAMMA) * F.pow(F.col("t_chunks") / mt, F.lit(METEOR_BETA))
+    return F.when(mt > 0, (F.lit(1.0) - penalty) * fmean).otherwise(F.lit(0.0))
 
 
-def _bleu_stats(ev: DataFrame, group=("row_id",)) -> DataFrame:
-    return ngram_stats(ev, tokenize_13a(F.col("_hyp")), tokenize_13a(F.col("_ref")),
-                       lambda x: [("w", x, BLEU_ORDER)], group)
+# Metric -> (units that it counts, formula over the counts).
+METRICS = {
+    "bleu": (("w",), bleu_from_counts),
+    "chrf": (("c",), lambda: chrf_from_counts(CHRF_ORDERS)),
+    "chrf_pp": (("c", "p"), lambda: chrf_from_counts(CHRFPP_ORDERS)),
+    "meteor": (("t",), meteor_from_counts),
+}
 
 
-def _ws() -> str:
-    from pairmine.functions.scalar import WS_CLASS
-    return f"{WS_CLASS}+"
+def metric_rows(df: DataFrame, metrics, hyp: str = "prediction", ref: str = "reference") -> DataFrame:
+    """``row_id`` and the named metrics, all of them from one pass over the texts."""
+    ev = eval_frame(df, hyp, ref)
+    kinds = list(dict.fromkeys(k for m in metrics for k in METRICS[m][0]))
+    score = lambda m: F.when(~F.col("_blank"), F.coalesce(METRICS[m][1](), F.lit(0.0))).alias(m)
+    return unit_stats(ev, kinds).select("row_id", *[score(m) for m in metrics])
 
 
 def bleu_rows(df: DataFrame, hyp: str = "prediction", ref: str = "reference") -> DataFrame:
     """Per-row BLEU (0-100)."""
-    ev = eval_frame(df, hyp, ref)
-    piv = _bleu_stats(ev)
-    return _guard(ev, piv.select("row_id", bleu_from_counts(piv).alias("bleu")), ["bleu"])
+    return metric_rows(df, ["bleu"], hyp, ref)
 
 
 def chrf_rows(df: DataFrame, hyp: str = "prediction", ref: str = "reference") -> DataFrame:
     """Per-row chrF (0-100)."""
-    ev = eval_frame(df, hyp, ref)
-    piv = _chrf_stats(ev, words=False)
-    return _guard(ev, piv.select("row_id", chrf_from_counts(CHRF_ORDERS).alias("chrf")), ["chrf"])
+    return metric_rows(df, ["chrf"], hyp, ref)
 
 
 def chrf_pp_rows(df: DataFrame, hyp: str = "prediction", ref: str = "reference") -> DataFrame:
     """Per-row chrF++ (characters 1..6 and words 1..2)."""
-    ev = eval_frame(df, hyp, ref)
-    piv = _chrf_stats(ev, words=True)
-    return _guard(ev, piv.select("row_id", chrf_from_counts(CHRFPP_ORDERS).alias("chrf_pp")), ["chrf_pp"])
+    return metric_rows(df, ["chrf_pp"], hyp, ref)
 
 
 def meteor_rows(df: DataFrame, hyp: str = "prediction", ref: str = "reference") -> DataFrame:
-    """Per-row METEOR, exact-match stage.
-
-    The k-th last occurrence of a word in the hypothesis is aligned with its k-th
-    last occurrence in the reference (grouped on (row, word, occurrence));
-    chunks are runs of matches consecutive on both sides (gaps and islands).
-    """
-    ev = eval_frame(df, hyp, ref)
-    toks = ev.select("row_id", F.inline(F.array(
-        F.struct(F.lit(0).alias("side"), py_split(F.lower(F.col("_hyp"))).alias("t")),
-        F.struct(F.lit(1).alias("side"), py_split(F.lower(F.col("_ref"))).alias("t")))))
-    pos = toks.select("row_id", "side", F.posexplode("t").alias("pos", "tok"))
-    occ = pos.withColumn("occ", F.row_number().over(
-        Window.partitionBy("row_id", "side", "tok").orderBy(F.desc("pos"))))
-    # pair the k-th last occurrences of both sides: an aggregation keyed by
-    # (row_id, tok, occ) reuses the row_id partitioning, where a join would reshuffle
-    m = (occ.groupBy("row_id", "tok", "occ")
-            .agg(F.max(F.when(F.col("side") == 0, F.col("pos"))).alias("hp"),
-                 F.max(F.when(F.col("side") == 1, F.col("pos"))).alias("rp"))
-            .filter(F.col("hp").isNotNull() & F.col("rp").isNotNull()))
-    w = Window.partitionBy("row_id").orderBy("hp")
-    brk = F.when((F.lag("hp").over(w) + 1 == F.col("hp")) & (F.lag("rp").over(w) + 1 == F.col("rp")), 0).otherwise(1)
-    per = m.withColumn("_brk", brk).groupBy("row_id").agg(
-        F.count(F.lit(1)).alias("matches"), F.sum("_brk").alias("chunks"))
-    lens = toks.groupBy("row_id").agg(
-        F.sum(F.when(F.col("side") == 0, F.size("t"))).alias("hyp_len"),
-        F.sum(F.when(F.col("side") == 1, F.size("t"))).alias("ref_len"))
-    x = lens.join(per, "row_id", "left")
-    mt = F.col("matches").cast("double")
-    prec, rec = mt / F.col("hyp_len"), mt / F.col("ref_len")
-    alpha = F.lit(METEOR_ALPHA)
-    fmean = prec * rec / (alpha * prec + (F.lit(1.0) - alpha) * rec)
-    penalty = F.lit(METEOR_GAMMA) * F.pow(F.col("chunks") / mt, F.lit(METEOR_BETA))
-    score = F.when(F.col("matches") > 0, (F.lit(1.0) - penalty) * fmean).otherwise(F.lit(0.0))
-    return _guard(ev, x.select("row_id", score.alias("meteor")), ["meteor"])
+    """Per-row METEOR, exact-match stage."""
+    return metric_rows(df, ["meteor"], hyp, ref)
 
 
-def corpus_bleu(df: DataFrame, hyp: str = "prediction", ref: str = "reference") -> DataFrame:
-    """E5: corpus BLEU: n-gram counts summed over all rows, then the formula.
-    Rows with a blank reference are left out, as in the per-row evaluation."""
+def _corpus(df: DataFrame, metric: str, hyp: str, ref: str) -> DataFrame:
+    """E5: counts summed over all rows, then the formula. Rows with a blank reference are
+    left out, as in the per-row evaluation."""
     ev = eval_frame(df.filter(F.col(ref).isNotNull() & (py_strip(F.col(ref)) != "") & F.col(hyp).isNotNull()),
                     hyp, ref)
-    piv = _bleu_stats(ev, group=())
-    return piv.select(bleu_from_counts(piv).alias("bleu"))
+    kinds, formula = METRICS[metric]
+    return _summed(unit_stats(ev, kinds)).select(formula().alias(metric))
+
+
+def corpus_bleu(df: DataFrame, hyp: str = "prediction", ref: str = "reference") -> DataFrame:
+    """E5: corpus BLEU."""
+    return _corpus(df, "bleu", hyp, ref)
 
 
 def corpus_chrf(df: DataFrame, hyp: str = "prediction", ref: str = "reference") -> DataFrame:
-    """E5: corpus chrF from summed character n-gram counts."""
-    ev = eval_frame(df.filter(F.col(ref).isNotNull() & (py_strip(F.col(ref)) != "") & F.col(hyp).isNotNull()),
-                    hyp, ref)
-    piv = _chrf_stats(ev, words=False, group=())
-    return piv.select(chrf_from_counts(CHRF_ORDERS).alias("chrf"))
+    """E5: corpus chrF."""
+    return _corpus(df, "chrf", hyp, ref)
 
 
 def metric_means(scores: DataFrame, cols: list[str]) -> DataFrame:
@@ -308,9 +486,7 @@ def evaluate_table(df: DataFrame, hyp: str = "prediction", ref: str = "reference
                    model_metrics: dict | None = None, src: str | None = None) -> DataFrame:
     """The input rows with BLEU, chrF and METEOR (and model metrics when plug-ins
     are given: name -> scorer(src, hyp, ref) batch function, M4)."""
-    out = (df.join(bleu_rows(df, hyp, ref), "row_id", "left")
-             .join(chrf_rows(df, hyp, ref), "row_id", "left")
-             .join(meteor_rows(df, hyp, ref), "row_id", "left"))
+    out = df.join(metric_rows(df, ["bleu", "chrf", "meteor"], hyp, ref), "row_id", "left")
     for name, fn in (model_metrics or {}).items():
         from pairmine.operators.models import model_metric
         out = out.join(model_metric(df, fn, name, src, hyp, ref), "row_id", "left")
