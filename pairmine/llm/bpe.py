@@ -1,24 +1,23 @@
-"""Byte-level BPE: corpus-level merge replay, and decoding.
-
-1. Texts are cut into words (the matches of the tokenizer's pattern) once. Documents are
-   gathered in blocks of about ``BLOCK_BYTES``; a block is one row with its distinct words and,
-   per document, the numbers of its words.
-2. The distinct words of the whole corpus (one shuffle of each block's distinct words) are
-   dealt out by hash, and merges are replayed over all words of a partition together: an
-   inverted index leads from each pair of tokens to the word positions where it stands, the
-   pairs present are taken in rank order, and a merge touches its two neighbours only. So
-   every distinct word of the corpus is merged once, however often it occurs.
-3. The words' ids are joined back to the blocks that hold them (one row per block and
-   distinct word), and the documents are read off their blocks.
-
-The merge rule is that of a rank table: of all neighbours in a word, those whose bytes joined have
+"""Byte-level BPE: merge replay over the distinct words of a block of documents, and decoding.
+
+1. Texts are cut into words (the matches of the tokenizer's pattern). The distinct words of a
+   block of about ``BLOCK_CHARS`` characters that the worker has not seen yet are replayed
+   together, ``REPLAY_WORDS`` at a time.
+2. Replay: an inverted index leads from each pair of tokens to the word positions where it
+   stands, over all words together. The pairs present are taken in rank order, each is
+   applied at all its positions, and a merge touches its two neighbours only: their pairs
+   are looked up and entered in the index.
+3. A document's ids are those of its words. Ids of words seen before are remembered, up to
+   ``CACHE_WORDS`` words in a worker; then all are forgotten and learned anew.
+
+The merge rule is that of a rank table: of all neighbours in a word, those whose joined bytes have
 the lowest rank merge first, the leftmost first among equals. Words are independent, so
 replaying by rank over many words is the same as word by word; where a merge makes a pair of a
-lower rank, that pair goes first and the rest of the higher rank waits.
+rank not above its own, that pair goes first and the rest of the rank's positions wait.
 
-A very frequent word is one row per block, a long document is a block of its own, and a very
-long word is one entry of the index (its positions are merged in n log n). Every stage is a
-table in the shared folder.
+Nothing is shuffled and no stage is kept: a lost executor costs the tasks it ran. Memory
+follows one block (or one longer document) and the remembered words. Documents may be as
+long, and words as frequent, as they like; a very long word is merged in n log n.
 
 Edge cases: null and empty texts have no ids; a null doc_id and repeated rows are carried along
 as rows of their own; special tokens' strings are ordinary text; an empty table gives an
@@ -28,24 +27,20 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 from collections import defaultdict
-from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairmine.llm.common import shuffle_parts, staged
 from pairmine.process_cache import process_cached
 
 RANKS = "byte_bpe_50k.tiktoken"
-BLOCK_BYTES = 4 << 20       # UTF-8 bytes of the documents of one block
-BLOCK_DOCS = 8192
-REPLAY_BYTES = 8 << 20      # bytes of the words whose merges are replayed together
+BLOCK_CHARS = 4 << 20       # characters of the documents whose words are replayed together
+REPLAY_WORDS = 20_000       # words of one index; more only make it too large for the processor's cache
+CACHE_WORDS = 500_000       # words whose ids a worker remembers
 
 
 def ranks_path() -> str:
@@ -65,172 +60,150 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+class Merges:
+    """The rank table with what a replay looks up."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        # (left id, right id) -> id of the joined bytes, for every way to cut a token in two.
+        self.pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left << 32 | right] = rank
+        # The same for pairs of single bytes, as a table (-1: no token).
+        self.byte_pairs = np.full(1 << 16, -1, np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.byte_pairs[token[0] << 8 | token[1]] = rank
+
+
+def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
     """ids of each word, by replaying merges in rank order over all words together."""
     out: list = [None] * len(words)
     open_ = []
     for k, w in enumerate(words):
-        whole = ranks.get(w)
+        whole = merges.ranks.get(w)
         if whole is not None or not w:
             out[k] = [whole] if w else []
         else:
             open_.append(k)
     if not open_:
         return out
-    # All open words one after the other; token[i] is empty where position i was merged away.
-    token: list = []
-    begins = []
-    for k in open_:
-        begins.append(len(token))
-        token.extend(words[k][i:i + 1] for i in range(len(words[k])))
-    n = len(token)
-    begins.append(n)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))      # neighbours in the word, -1: none
-    for a, z in zip(begins, begins[1:]):
-        before[a], after[z - 1] = -1, -1
-    index: dict[int, list[int]] = defaultdict(list)     # rank of a pair -> positions of its left token
-    for i in range(n):
-        j = after[i]
-        if j >= 0:
-            r = ranks.get(token[i] + token[j])
-            if r is not None:
-                index[r].append(i)
-    heap = list(index)
-    heapq.heapify(heap)
+    # All open words one after the other; -1 in ``token``: merged away; neighbours end at the
+    # word's edges (-1).
+    size = np.array([len(words[k]) for k in open_])
+    begins = np.concatenate(([0], np.cumsum(size)))
+    raw = np.frombuffer(b"".join([words[k] for k in open_]), np.uint8)
+    n = len(raw)
+    token = merges.byte[raw].tolist()
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    before[begins[:-1]], after[begins[1:] - 1] = -1, -1
+    # The index: rank of a pair -> positions of its left token, from the first on.
+    first = np.append(merges.byte_pairs[raw[:-1].astype(np.int64) << 8 | raw[1:]], -1)
+    first[begins[1:] - 1] = -1
+    at = np.flatnonzero(first >= 0)
+    at = at[np.argsort(first[at], kind="stable")]
+    present, cuts = np.unique(first[at], return_index=True)
+    index = defaultdict(list)
+    index.update((r, p.tolist()) for r, p in zip(present.tolist(), np.split(at, cuts[1:])))
+    after, before = after.tolist(), before.tolist()
+    heap = present.tolist()
+    pair_of = merges.pairs.get
     while heap:
         rank = heapq.heappop(heap)
-        places = sorted(set(index.pop(rank)))
-        for at, i in enumerate(places):
+        places = sorted(index.pop(rank))
+        for done, i in enumerate(places):
             j = after[i]
-            if not token[i] or j < 0:
-                continue
-            joined = token[i] + token[j]
-            if ranks.get(joined) != rank:        # a neighbour took one of the two
-                continue
-            token[i], token[j] = joined, b""
+            if j < 0 or token[i] < 0 or pair_of(token[i] << 32 | token[j]) != rank:
+                continue                 # a neighbour took one of the two
+            token[i], token[j] = rank, -1
             j = after[i] = after[j]
-            lower = False
+            h, lower = before[i], False
             if j >= 0:
                 before[j] = i
-                r = ranks.get(joined + token[j])
+                r = pair_of(rank << 32 | token[j])
                 if r is not None:
                     if r not in index:
                         heapq.heappush(heap, r)
                     index[r].append(i)
                     lower = r <= rank
-            h = before[i]
             if h >= 0:
-                r = ranks.get(token[h] + joined)
+                r = pair_of(token[h] << 32 | rank)
                 if r is not None:
                     if r not in index:
                         heapq.heappush(heap, r)
                     index[r].append(h)
                     lower = lower or r <= rank
-            if lower:      # the new pair goes first
-                rest = places[at + 1:]
+            if lower:                    # the new pair goes first
+                rest = places[done + 1:]
+                if rest and rank not in index:
+                    heapq.heappush(heap, rank)
                 if rest:
-                    if rank not in index:
-                        heapq.heappush(heap, rank)
                     index[rank].extend(rest)
                 break
-    for k, a, z in zip(open_, begins, begins[1:]):
-        out[k] = [ranks[t] for t in token[a:z] if t]
+    left = np.array(token)
+    kept = left >= 0
+    ids = left[kept].tolist()
+    ends = np.concatenate(([0], np.cumsum(kept)))[begins].tolist()
+    for k, a, z in zip(open_, ends, ends[1:]):
+        out[k] = ids[a:z]
     return out
 
 
-def _blocks(pattern: str, block_bytes: int):
-    """One row per block: key, distinct words, documents, each document's word numbers."""
+class Encoder:
+    """ids of texts, block by block, remembering words seen before."""
 
-    def settle(ids, found, key):
-        number = defaultdict()
-        number.default_factory = number.__len__
-        codes = [np.fromiter(map(number.__getitem__, m), np.int32, len(m)).tobytes() for m in found]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([key.hexdigest()], pa.string()), pa.array([list(number)], pa.list_(pa.string())),
-             pa.array([ids], pa.list_(pa.int64())), pa.array([codes], pa.list_(pa.binary()))],
-            names=["block", "words", "docs", "codes"])
-
-    def run(batches):
+    def __init__(self, path: str, pattern: str, cache_words: int = CACHE_WORDS):
         import regex
-        import pyspark
-
-        find = regex.compile(pattern).findall
-        part = pyspark.TaskContext.get().partitionId()
-        ids, found, held, n = [], [], 0, 0
 
-        # A block is known by its place: equal documents elsewhere make another block.
-        def key():
-            return hashlib.md5(f"{part}:{n}".encode())
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids.append(i)
-                found.append(find(t) if t else [])
-                held += len(t or "")
-                if held >= block_bytes or len(ids) >= BLOCK_DOCS:
-                    yield settle(ids, found, key())
-                    ids, found, held, n = [], [], 0, n + 1
-        if ids:
-            yield settle(ids, found, key())
+        self.find = regex.compile(pattern).findall
+        self.merges = Merges(load_ranks(path))
+        self.known: dict[str, bytes] = {}      # word -> its ids as little-endian int32
+        self.cache_words = cache_words
 
-    return run
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        found = [self.find(t) if t else [] for t in texts]
+        if len(self.known) > self.cache_words:
+            self.known.clear()
+        known = self.known
+        new = list(set().union(*found).difference(known))
+        for at in range(0, len(new), REPLAY_WORDS):
+            part = new[at:at + REPLAY_WORDS]
+            known.update(zip(part, (np.array(x, "<i4").tobytes() for x in replay([w.encode() for w in part], self.merges))))
+        return [b"".join(map(known.__getitem__, f)) for f in found]
 
 
-def lexicon(words: DataFrame, path: str | None = None) -> DataFrame:
-    """(word, ids array<int>) for each distinct ``word`` of a table."""
-    path = path or ranks_path()
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
+           block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, ids array<int>) for every row of ``docs`` (doc_id, text)."""
+    path, pattern = path or ranks_path(), pattern or word_pattern()
 
     def run(batches):
-        ranks = process_cached(f"bpe-ranks:{path}", lambda: load_ranks(path))
-
-        def settle(held):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(held, pa.string()), pa.array(replay([w.encode() for w in held], ranks), pa.list_(pa.int32()))],
-                names=["word", "ids"])
-        held, size = [], 0
+        encoder = process_cached(f"bpe:{path}:{pattern}", lambda: Encoder(path, pattern))
+
+        def settle(ids, texts):
+            data = encoder.encode(texts)
+            ends = np.cumsum([0] + [len(d) // 4 for d in data]).astype(np.int32)
+            flat = pa.array(np.frombuffer(b"".join(data), "<i4"))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)],
+                                              names=["doc_id", "ids"])
+        ids, texts, held = [], [], 0
         for b in batches:
-            for w in b.column(0).to_pylist():
-                held.append(w)
-                size += len(w)
-                if size >= REPLAY_BYTES:
-                    yield settle(held)
-                    held, size = [], 0
-        if held:
-            yield settle(held)
-
-    parts = shuffle_parts(words.sparkSession)
-    distinct = words.filter("word is not null").distinct().repartition(parts, "word")
-    return distinct.mapInArrow(run, "word string, ids array<int>")
-
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids.append(i)
+                texts.append(t)
+                held += len(t or "")
+                if held >= block_chars:
+                    yield settle(ids, texts)
+                    ids, texts, held = [], [], 0
+        if ids:
+            yield settle(ids, texts)
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
-           block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, ids array<int>) for every row of ``docs`` (doc_id, text)."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = staged(src.mapInArrow(_blocks(pattern or word_pattern(), block_bytes),
-                                   "block string, words array<string>, docs array<long>, codes array<binary>"), "bpe-blocks")
-    uses = blocks.select("block", F.posexplode("words").alias("k", "word"))
-    lex = staged(lexicon(uses.select("word"), path), "bpe-lexicon")
-    known = uses.join(lex, "word").select(F.col("block").alias("use_block"), "k", "ids")
-
-    def read_off(_, uses: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        ids = list(chain.from_iterable(block["docs"]))
-        codes = list(chain.from_iterable(block["codes"]))
-        uses = uses.sort_values("k")
-        lists = uses["ids"].tolist()
-        size = np.array([len(x) for x in lists] + [0], np.int64)
-        begin = np.concatenate(([0], np.cumsum(size[:-1])))
-        flat = np.concatenate([np.asarray(x, np.int32) for x in lists]) if lists else np.zeros(0, np.int32)
-        out = []
-        for c in codes:
-            c = np.frombuffer(c, np.int32)
-            n = size[c]
-            # Where each id of the document stands in the block's list.
-            at = np.repeat(begin[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append(flat[at])
-        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "ids": out})
-
-    return (known.groupBy("use_block").cogroup(blocks.select("block", "docs", "codes").groupBy("block"))
-            .applyInPandas(read_off, "doc_id long, ids array<int>"))
+    return src.mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -241,7 +214,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         token = process_cached(f"bpe-tokens:{path}", lambda: {r: t for t, r in load_ranks(path).items()})
         for b in batches:
             data = [b"".join(map(token.__getitem__, x)) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.large_binary()).cast(pa.binary())],
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())],
                                              names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

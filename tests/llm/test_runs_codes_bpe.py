@@ -214,7 +214,7 @@ BPE_COLS = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 @pytest.mark.parametrize("rows", [util.EDGE + [(20, "x" * 70_000 + " <|endoftext|> it's  \n  end", "en", "a", 0)],
                                   util.prose(120, 9), []], ids=["edge", "prose", "empty"])
 def test_bpe_matches_the_library(spark, rows):
-    out = bpe.digests(bpe.decode(bpe.encode(util.frame(spark, rows, extra=True), block_bytes=3000)))
+    out = bpe.digests(bpe.decode(bpe.encode(util.frame(spark, rows, extra=True), block_chars=3000)))
     assert order(tuple(str(r[c]) if c == "doc_id" else r[c] for c in BPE_COLS) for r in out.collect()) == plain_bpe(rows)
 
 
@@ -227,7 +227,7 @@ def test_bpe_of_the_documents(spark):
 
 def test_replay_of_odd_words_and_of_ranks_that_fall():
     import regex
-    enc, ranks, find = reference(), bpe.load_ranks(bpe.ranks_path()), regex.compile(bpe.word_pattern()).findall
+    enc, ranks, find = reference(), bpe.Merges(bpe.load_ranks(bpe.ranks_path())), regex.compile(bpe.word_pattern()).findall
     rnd = random.Random(1)
     alpha = list("abcdeehilnorst ABC'.,!?0129\n\t  é ßü中漢😀́​\x1c\x85 ") + ["the", " the", "ing", "'s", "'LL"]
     texts = ["".join(rnd.choice(alpha) for _ in range(rnd.randint(0, 60))) for _ in range(3000)] + ["a" * 5000, "ab" * 3000]
@@ -235,10 +235,13 @@ def test_replay_of_odd_words_and_of_ranks_that_fall():
     flat = iter(bpe.replay([w for f in found for w in f], ranks))
     for t, f in zip(texts, found):
         assert [x for _ in f for x in next(flat)] == enc.encode_ordinary(t)
+    encoder = bpe.Encoder(bpe.ranks_path(), bpe.word_pattern(), cache_words=10)     # forgets all the time
+    for t in texts[:300]:
+        assert np.frombuffer(encoder.encode([t, None])[0], "<i4").tolist() == enc.encode_ordinary(t)
     # A table in which a merge makes a pair of a lower rank than its own.
     import tiktoken
     odd = {bytes([b]): 100 + b for b in range(256)} | {b"bc": 5, b"ab": 4, b"abab": 1, b"aa": 3, b"aab": 2, b"ca": 0}
     plain = tiktoken.Encoding("odd", pat_str=r"[\s\S]+", mergeable_ranks=odd, special_tokens={})
     words = ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 14))) for _ in range(3000)]
-    for w, got in zip(words, bpe.replay([w.encode() for w in words], odd)):
+    for w, got in zip(words, bpe.replay([w.encode() for w in words], bpe.Merges(odd))):
         assert got == plain.encode_ordinary(w)
