@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -38,9 +39,9 @@ from pyspark.sql import functions as F
 from pairmine.process_cache import process_cached
 
 RANKS = "byte_bpe_50k.tiktoken"
-BLOCK_CHARS = 4 << 20       # characters of the documents whose words are replayed together
+BLOCK_CHARS = 1 << 20       # characters of the documents whose words are replayed together
 REPLAY_WORDS = 20_000       # words of one index; more only make it too large for the processor's cache
-CACHE_WORDS = 500_000       # words whose ids a worker remembers
+CACHE_WORDS = 300_000       # words whose ids a worker remembers
 
 
 def ranks_path() -> str:
@@ -161,7 +162,7 @@ class Encoder:
 
         self.find = regex.compile(pattern).findall
         self.merges = Merges(load_ranks(path))
-        self.known: dict[str, bytes] = {}      # word -> its ids as little-endian int32
+        self.known: dict[str, bytes] = {}      # word -> its ids as int32
         self.cache_words = cache_words
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -172,30 +173,44 @@ class Encoder:
         new = list(set().union(*found).difference(known))
         for at in range(0, len(new), REPLAY_WORDS):
             part = new[at:at + REPLAY_WORDS]
-            known.update(zip(part, (np.array(x, "<i4").tobytes() for x in replay([w.encode() for w in part], self.merges))))
+            known.update(zip(part, (array("i", x).tobytes() for x in replay([w.encode() for w in part], self.merges))))
         return [b"".join(map(known.__getitem__, f)) for f in found]
 
 
+class Decoder:
+    """Bytes that ids stand for."""
+
+    def __init__(self, path: str):
+        self.token = {rank: token for token, rank in load_ranks(path).items()}
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.token.__getitem__, ids))
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
-           block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, ids array<int>) for every row of ``docs`` (doc_id, text)."""
+           block_chars: int = BLOCK_CHARS, with_decoded: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>) for every row of ``docs`` (doc_id, text). ``with_decoded`` adds
+    what ``decode`` would, in the same pass."""
     path, pattern = path or ranks_path(), pattern or word_pattern()
 
     def run(batches):
         encoder = process_cached(f"bpe:{path}:{pattern}", lambda: Encoder(path, pattern))
+        decoder = process_cached(f"bpe-tokens:{path}", lambda: Decoder(path)) if with_decoded else None
 
         def settle(ids, texts):
             data = encoder.encode(texts)
             ends = np.cumsum([0] + [len(d) // 4 for d in data]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(data), "<i4"))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)],
-                                              names=["doc_id", "ids"])
+            flat = np.frombuffer(b"".join(data), np.int32)
+            cols = {"doc_id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+            if decoder:
+                cols["decoded"] = pa.array([decoder.decode(flat[a:z].tolist()) for a, z in zip(ends, ends[1:])], pa.binary())
+            return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
         ids, texts, held = [], [], 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids.append(i)
-                texts.append(t)
-                held += len(t or "")
+            for i, t in zip(b.column(0), b.column(1)):
+                ids.append(i.as_py())
+                texts.append(t.as_py())
+                held += len(texts[-1] or "")
                 if held >= block_chars:
                     yield settle(ids, texts)
                     ids, texts, held = [], [], 0
@@ -203,7 +218,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             yield settle(ids, texts)
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return src.mapInArrow(run, "doc_id long, ids array<int>")
+    return src.mapInArrow(run, "doc_id long, ids array<int>" + (", decoded binary" if with_decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -211,11 +226,12 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or ranks_path()
 
     def run(batches):
-        token = process_cached(f"bpe-tokens:{path}", lambda: {r: t for t, r in load_ranks(path).items()})
-        for b in batches:
-            data = [b"".join(map(token.__getitem__, x)) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())],
-                                             names=["doc_id", "ids", "decoded"])
+        decoder = process_cached(f"bpe-tokens:{path}", lambda: Decoder(path))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                data = pa.array([decoder.decode(x.as_py()) for x in b.column(1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), data], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 

@@ -62,7 +62,7 @@ def op12_vector_codes(spark, sf_dir):
 
 
 def op13_byte_bpe(spark, sf_dir):
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), with_decoded=True))
 
 
 QUERIES = {f.__name__: f for f in (
