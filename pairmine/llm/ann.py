@@ -13,7 +13,8 @@ on the original vectors in double precision. Partial results are merged per quer
 
 Vectors that are null, zero, of another length than the most common one, or hold null or
 non-finite components take no part; fewer candidates than k give fewer rows; ties go to
-the smaller id; repeated rows of an id count once; an empty table gives an empty result.
+the smaller id; rows that repeat id and vector count once, and rows that share an id but not
+the vector are rows (queries, candidates) of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -80,17 +81,17 @@ def tuned_probes(x: np.ndarray, cents: np.ndarray, k: int, target: float = TARGE
 
 
 def valid_vectors(emb: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>) of the vectors that take part, one per id."""
+    """(vec_id, v array<double>) of the vectors that take part, repeated rows once."""
     v = emb.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     fine = (F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
             & F.exists("v", lambda x: x != 0))
-    return v.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(fine).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return v.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(fine).distinct()
 
 
-def top_in_block(ids, x, x_rot, q, q_rot, own_id, k=K, epsilon=EPSILON, dim_block=DIM_BLOCK):
+def top_in_block(ids, rows, x, x_rot, q, q_rot, own_row, k=K, epsilon=EPSILON, dim_block=DIM_BLOCK):
     """The k nearest (ids, squared distances) of one query among the rows of a block."""
     dim = x.shape[1]
-    alive = np.nonzero(ids != own_id)[0]
+    alive = np.nonzero(rows != own_row)[0]
     if len(alive) > 4 * k:
         part = np.zeros(len(alive))
         limit = None
@@ -114,8 +115,8 @@ def top_in_block(ids, x, x_rot, q, q_rot, own_id, k=K, epsilon=EPSILON, dim_bloc
 def search(emb: DataFrame, k: int = K, query_every: int = QUERY_EVERY,
            target_recall: float = TARGET_RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each query row, by Euclidean distance."""
-    vecs = valid_vectors(emb)
-    vecs = staged(vecs, "vectors")
+    # A vector is known by its row: ids may repeat.
+    vecs = staged(valid_vectors(emb).withColumn("row", F.monotonically_increasing_id()), "vectors")
     dims = vecs.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if dims is None:
@@ -123,7 +124,7 @@ def search(emb: DataFrame, k: int = K, query_every: int = QUERY_EVERY,
     dim, rows = dims["d"], dims["count"]
     vecs = vecs.filter(F.size("v") == dim)
     # Bounded by SAMPLE_ROWS.
-    some = vecs.orderBy(F.xxhash64("vec_id", F.lit("lists")), "vec_id").limit(SAMPLE_ROWS).select("v").toPandas()
+    some = vecs.orderBy(F.xxhash64("vec_id", F.lit("lists")), "vec_id", "v").limit(SAMPLE_ROWS).select("v").toPandas()
     some = np.array(some["v"].tolist())
     cents = kmeans(some, int(min(MAX_LISTS, max(1, np.sqrt(rows)))))
     probes = min(len(cents), max(MIN_PROBES, tuned_probes(some, cents, k, target_recall)))
@@ -132,43 +133,44 @@ def search(emb: DataFrame, k: int = K, query_every: int = QUERY_EVERY,
     def assign(n):
         def run(batches):
             for b in batches:
-                x = np.array(b.column(1).to_pylist()).reshape(-1, dim)
+                x = np.array(b.column(2).to_pylist()).reshape(-1, dim)
                 d = _sq(x, cents)
                 near = d.argmin(1)[:, None] if n == 1 else np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(cents) \
                     else np.tile(np.arange(len(cents)), (len(x), 1))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32())),
-                     pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "lists", "v"])
+                    [b.column(0), b.column(1), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32())),
+                     pa.array([r.tobytes() for r in x], pa.binary())], names=["row", "id", "lists", "v"])
         return run
 
-    shape = "id long, lists array<int>, v binary"
-    index = staged(vecs.mapInArrow(assign(1), shape).select("id", F.col("lists")[0].alias("list"), "v"), "lists")
+    shape = "row long, id long, lists array<int>, v binary"
+    vecs = vecs.select("row", "vec_id", "v")
+    index = staged(vecs.mapInArrow(assign(1), shape).select("row", "id", F.col("lists")[0].alias("list"), "v"), "lists")
     queries = staged(vecs.filter(F.pmod("vec_id", F.lit(query_every)) == 0).mapInArrow(assign(probes), shape)
-                     .select("id", F.explode("lists").alias("list"), "v"), "queries")
+                     .select("row", "id", F.explode("lists").alias("list"), "v"), "queries")
     # Blocks of each list and of the queries that visit it: one row per list.
     size = (index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
             .join(queries.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("q_blocks")), "list"))
     size = F.broadcast(staged(size, "sizes"))     # at most MAX_LISTS rows
     cells = ["list", "block", "q_block"]
-    left = (index.join(size, "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-            .withColumn("q_block", F.explode(F.expr("sequence(0, q_blocks - 1)"))).select(*cells, "id", "v"))
-    right = (queries.join(size, "list").withColumn("q_block", F.pmod(F.xxhash64("id"), F.col("q_blocks")).cast("int"))
-             .withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select(*cells, "id", "v"))
+    left = (index.join(size, "list").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+            .withColumn("q_block", F.explode(F.expr("sequence(0, q_blocks - 1)"))).select(*cells, "row", "id", "v"))
+    right = (queries.join(size, "list").withColumn("q_block", F.pmod(F.xxhash64("row"), F.col("q_blocks")).cast("int"))
+             .withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).select(*cells, "row", "id", "v"))
 
     def scan(items: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(items) and len(asked):
-            ids = items["id"].to_numpy()
+            ids, rows = items["id"].to_numpy(), items["row"].to_numpy()
             x = np.frombuffer(b"".join(items["v"]), np.float64).reshape(-1, dim)
             x_rot = x @ rot
-            for qid, v in zip(asked["id"], asked["v"]):
+            for own, qid, v in zip(asked["row"], asked["id"], asked["v"]):
                 q = np.frombuffer(v, np.float64)
-                near, dist = top_in_block(ids, x, x_rot, q, q @ rot, qid, k)
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": near, "score": np.sqrt(dist)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                near, dist = top_in_block(ids, rows, x, x_rot, q, q @ rot, own, k)
+                out.append(pd.DataFrame({"query_row": own, "query_id": qid, "vec_id": near, "score": np.sqrt(dist)}))
+        return pd.concat(out) if out else pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []})
 
     parts = left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInPandas(
-        scan, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        scan, "query_row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_row").orderBy("score", "vec_id")
     return (parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
