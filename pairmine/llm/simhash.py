@@ -257,13 +257,14 @@ def links(fps: DataFrame, radius: int = MAX_DISTANCE, cell_rows: int = CELL_ROWS
 
 
 def _named(fp: DataFrame, radius: int) -> DataFrame:
-    """(fp, component_id): the fingerprints of rows with an id and the name of their component."""
+    """(fp, component_id, root): the fingerprints of rows with an id, the smallest doc_id of their
+    component, and the fingerprint that the component is told from others by."""
     reps = staged(fp.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "reps")
     # Fingerprints are the nodes; a component is then named after its smallest doc_id.
     roots = components(links(reps.select("fp", F.col("fp").alias("rep")), radius))
     rooted = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return rooted.join(names, "root").select("fp", "component_id")
+    return rooted.join(names, "root").select("fp", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = MAX_DISTANCE) -> DataFrame:
@@ -274,19 +275,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int =
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = MAX_DISTANCE) -> DataFrame:
-    """One document of each near-duplicate group (the smallest doc_id), all columns kept.
+    """One document of each near-duplicate group, all columns kept.
 
-    Documents are told apart by id and text: a row of the smallest id stays only if its own
-    text is in the group. Of several such texts the one with the smallest hash stays, of rows
-    that repeat id and text the first by their other columns. Groups are known by their
-    smallest id, so unrelated texts that both are the smallest of their group under one id
-    still count as one. Rows without an id cannot be told apart and stay."""
+    The one with the smallest doc_id stays; among texts of the group that share it, the one with the
+    smallest hash, and of rows that repeat id and text the first by their other columns.
+    Groups are told apart by their fingerprints, so unrelated texts under one id each keep a
+    row. Rows without an id cannot be told apart and stay."""
     keyed = docs.withColumn("_keep_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     fp = staged(fingerprints(keyed, shingle, ("_keep_key",)), "fp")
-    keys = (fp.join(_named(fp, radius), "fp").filter("doc_id = component_id")
-            .groupBy("doc_id").agg(F.min("_keep_key").alias("_keep_key")))
+    # One row per group, pre-aggregated; a text belongs to one group only.
+    first = (fp.filter("doc_id is not null").join(_named(fp, radius), "fp")
+             .groupBy("root").agg(F.min(F.struct("doc_id", "_keep_key")).alias("k")).select("k.*"))
     others = [F.col(f"`{c}`") for c in sorted(docs.columns, key=lambda c: c == "text") if c != "doc_id"]
-    kept = (keyed.join(keys, ["doc_id", "_keep_key"], "left_semi")
+    kept = (keyed.join(first, ["doc_id", "_keep_key"], "left_semi")
             .withColumn("_keep_n", F.row_number().over(Window.partitionBy("doc_id", "_keep_key").orderBy(*others)))
             .filter("_keep_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns]))
     return kept.unionByName(docs.filter("doc_id is null"))

@@ -72,11 +72,25 @@ def test_keep_one_never_keeps_a_copy_for_another_text(spark):
 
 def test_keep_one_keeps_one_of_each_group(spark):
     rows = util.prose(60, 9) + util.EDGE
+    # Two unrelated texts under one id, a third one elsewhere, and a near copy of one of them.
+    far = [" ".join(f"{w}{i}" for i in range(60)) for w in "xyz"]
+    rows += [(5000, far[0], "en", "s", 1), (5000, far[1], "en", "s", 1), (5001, far[2], "en", "s", 1), (5002, far[1], "en", "s", 1)]
     out = simhash.keep_one(util.frame(spark, rows))
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    comp = util.simhash_components(rows)
-    expected = sorted({c for i, _, c in comp if i != "None"}) + ["None"]
-    assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(expected)
+    # Plain version: groups of fingerprints, the smallest (id, text hash) of each.
+    fps = [util.simhash(r[1]) for r in rows]
+    with_id = [i for i, r in enumerate(rows) if r[0] is not None]
+    groups = []
+    for i in with_id:
+        near = [g for g in groups if any(bin(fps[i] ^ fps[j]).count("1") <= 4 for j in g)]
+        groups = [g for g in groups if g not in near] + [[i] + [j for g in near for j in g]]
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in out.collect())
+    assert len(got) == len(groups) + sum(r[0] is None for r in rows)
+    for g in groups:
+        low = min(rows[i][0] for i in g)
+        texts = {rows[i][1] or "" for i in g if rows[i][0] == low}
+        assert sum((str(low), t) in got for t in texts) == 1
+    assert {t for i, t in got if i in ("5000", "5001", "5002")} == set(far)
 
 
 @pytest.mark.parametrize("rows", [util.EDGE[:-1], util.prose(150, 2), []], ids=["edge", "prose", "empty"])
