@@ -150,15 +150,16 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES + NEAR_TEMPLATES,
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"),
                        F.filter(F.split(text, _GAP, -1), lambda x: x != "").alias("words"))
     rows = rows.withColumn("n_words", F.size("words"))
+    # A row of its own for each gram, with its k words only: linear in the text.
     parts = ", ".join(f"get(words, i + {j})" for j in range(k))
-    hashes = F.when(F.col("n_words") >= k, F.expr(f"transform(sequence(0, n_words - {k}), i -> xxhash64({parts}))"))
-    rows = rows.select("rid", "doc_id", "n_words", "words", F.posexplode_outer(hashes).alias("pos", "hash"))
+    rolling = F.when(F.col("n_words") >= k, F.expr(f"transform(sequence(0, n_words - {k}), i -> array({parts}))"))
+    rows = rows.select("rid", "doc_id", "n_words", F.posexplode_outer(rolling).alias("pos", "own"))
+    gram_hash = lambda c: F.xxhash64(*[F.get(c, F.lit(j)) for j in range(k)])
+    rows = rows.withColumn("hash", gram_hash("own"))
 
     grams = template_grams(docs.sparkSession, phrases, templates, k)
-    gram_hash = F.xxhash64(*[F.get("gram", F.lit(j)) for j in range(k)])
-    joined = rows.join(F.broadcast(grams.withColumn("hash", gram_hash)), "hash", "left")
-    same = F.slice("words", F.col("pos") + 1, F.lit(k)) == F.col("gram")
-    hit = F.col("t").isNotNull() & same
+    joined = rows.join(F.broadcast(grams.withColumn("hash", gram_hash("gram"))), "hash", "left")
+    hit = F.col("t").isNotNull() & (F.col("own") == F.col("gram"))
     # Hits, and one row per text to carry it through.
     kept = joined.filter(hit | F.col("pos").isNull() | (F.col("pos") == 0)).select(
         "rid", "doc_id", "n_words",

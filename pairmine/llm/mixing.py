@@ -4,11 +4,13 @@ Tokens are aggregated per source, the sources' targets are derived by water-fill
 and every document is emitted ``floor(rate)`` times plus one hash-seeded Bernoulli copy
 with probability equal to the fraction. DataFrame functions only.
 
+The draw hashes the id; a row without one is known by its text. Rows that are alike (same id,
+source and text) would all draw alike, so they draw together: m of them get floor(m x rate)
+copies plus one Bernoulli copy, dealt out evenly.
+
 Edge cases: a null text counts 0 words; a null source is a source of its own (last in
 code-point order); an empty table gives an empty result; a source without words has
-target 0 and no copies; repeated rows draw alike, because the draw hashes the id;
-a null id hashes as the empty string; extra columns are ignored by ``rates`` and
-carried along by ``mix``.
+target 0 and no copies; extra columns are ignored by ``rates`` and carried along by ``mix``.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pairmine.llm.common import WORD, checked_broadcast, staged
 WEIGHTS = (1, 2, 3)       # dealt to the sources in code-point order, repeating
 MAX_REPEAT = 3            # a target stops at this multiple of its source's size
 SEED = "mix"
+REPEAT_CHUNK = 4096       # rows made from one row by one array
 MAX_BROADCAST_SOURCES = 50_000   # rows of the per-source table that may be broadcast
 
 
@@ -52,49 +55,88 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
                       .otherwise(level * F.col("w")).alias("target"))
 
 
-def copies(rate, id_col, seed: str = SEED, max_repeat: int = MAX_REPEAT):
-    """floor(rate) plus one copy when the id's uniform hash falls below the fraction."""
-    text = F.concat_ws(":", F.coalesce(id_col.cast("string"), F.lit("")), F.lit(seed))
-    u = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    whole = F.floor(rate)
-    return F.least(whole + F.when(u < rate - whole, 1).otherwise(0), F.lit(max_repeat)).cast("int")
+def seed_text(id_col, text_col):
+    """What a row's draw hashes: its id, or the MD5 of its text when it has none."""
+    return F.coalesce(id_col.cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text_col, F.lit("")))))
+
+
+def copies(rate, key, rows, seed: str = SEED, max_repeat: int = MAX_REPEAT):
+    """Copies of ``rows`` rows that are alike: floor(rows x rate) plus one when the uniform hash
+    of ``key`` falls below the fraction, at most ``max_repeat`` a row."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", key, F.lit(seed))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    all_ = rows * rate
+    whole = F.floor(all_)
+    return F.least(whole + F.when(u < all_ - whole, 1).otherwise(0), rows * max_repeat).cast("long")
+
+
+def repeated(df: DataFrame, n: str, index: str) -> DataFrame:
+    """Every row ``n`` times (a BIGINT column), numbered from 1 by the column ``index``. Rows are
+    made in chunks, so the longest array is small however often a row is repeated."""
+    df = df.withColumn("_chunk", F.explode(F.expr(f"sequence(0L, ({n} - 1) div {REPEAT_CHUNK})")))
+    inside = f"sequence(_chunk * {REPEAT_CHUNK} + 1, least({n}, (_chunk + 1) * {REPEAT_CHUNK}))"
+    return df.withColumn(index, F.explode(F.expr(inside))).drop("_chunk")
 
 
 def word_count(text_col):
     return F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _narrow(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, key, h, m): one row per group of rows that are alike, m of them."""
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h")
+    one = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+                      seed_text(F.col("doc_id"), F.col("text")).alias("key"), text)
+    return staged(one.groupBy("doc_id", "source", "size", "key", "h").agg(F.count("*").alias("m")), "mix")
+
+
+def _rate(max_repeat: int):
+    return F.when(F.col("source_size") > 0,
+                  F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeat)))).otherwise(F.lit(0.0))
+
+
 def rates(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, copies), one row per document.
 
-    Only narrow rows are shuffled. A hot source costs nothing special: its words are
-    summed map-side, and the per-source table is broadcast after its size is checked
-    (beyond the bound the join shuffles, and adaptive execution splits the hot source).
-    """
-    sized = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix")
-    plan = staged(source_targets(sized, weights, max_repeat), "mixplan")
-    plan = plan.withColumnRenamed("source", "_source")
-    out = sized.join(checked_broadcast(plan, MAX_BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")))
-    rate = F.when(F.col("source_size") > 0,
-                  F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeat)))).otherwise(F.lit(0.0))
-    out = out.withColumn("rate", rate)
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate",
-                      copies(F.col("rate"), F.col("doc_id"), seed, max_repeat).alias("copies"))
+    Only narrow rows are shuffled, pre-aggregated. A hot source costs nothing special: its
+    words are summed map-side, and the per-source table is broadcast after its size is checked
+    (beyond the bound the join shuffles, and adaptive execution splits the hot source)."""
+    groups = _narrow(docs)
+    sized = groups.select("source", (F.col("size") * F.col("m")).alias("size"))
+    plan = staged(source_targets(sized, weights, max_repeat), "mixplan").withColumnRenamed("source", "_source")
+    out = groups.join(checked_broadcast(plan, MAX_BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")))
+    out = out.withColumn("rate", _rate(max_repeat))
+    total = copies(F.col("rate"), F.col("key"), F.col("m"), seed, max_repeat)
+    out = repeated(out.withColumn("total", total), "m", "k")
+    dealt = F.expr("cast(total div m + CASE WHEN k <= total % m THEN 1 ELSE 0 END AS int)")
+    return out.select("doc_id", "source", "size", "source_size", "target", "rate", dealt.alias("copies"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
     """The mixed corpus: every row of ``docs`` (all its columns) repeated ``copies`` times.
 
-    Texts are not shuffled while the per-source table is within the broadcast bound."""
-    sized = staged(docs.select("source", word_count(F.col("text")).alias("size"))
-                   .groupBy("source").agg(F.sum("size").alias("size")), "mix")
+    Texts are not shuffled while the per-source table is within the broadcast bound. Rows of
+    groups that are alike are first counted by all their columns (pre-aggregated)."""
+    groups = _narrow(docs)
+    sized = groups.select("source", (F.col("size") * F.col("m")).alias("size"))
     plan = staged(source_targets(sized, weights, max_repeat), "mixplan")
-    plan = plan.select(F.col("source").alias("_mix_source"),
-                       F.when(F.col("source_size") > 0,
-                              F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeat))))
-                       .otherwise(F.lit(0.0)).alias("_mix_rate"))
-    out = docs.join(checked_broadcast(plan, MAX_BROADCAST_SOURCES),
-                    F.col("source").eqNullSafe(F.col("_mix_source")))
-    out = out.withColumn("_mix_copies", copies(F.col("_mix_rate"), F.col("doc_id"), seed, max_repeat))
-    out = out.filter("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.expr("sequence(1, _mix_copies)")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = checked_broadcast(plan.select(F.col("source").alias("_mix_source"), _rate(max_repeat).alias("_mix_rate")),
+                             MAX_BROADCAST_SOURCES)
+    of_source = F.col("source").eqNullSafe(F.col("_mix_source"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+
+    def emitted(rows, count, key):
+        n = copies(F.col("_mix_rate"), key, count, seed, max_repeat)
+        out = rows.join(plan, of_source).withColumn("_mix_copies", n).filter("_mix_copies > 0")
+        return repeated(out, "_mix_copies", "_mix_copy").select(*columns)
+
+    key = seed_text(F.col("doc_id"), F.col("text"))
+    alike = groups.filter("m > 1").select(F.col("key").alias("_mix_key"), F.col("h").alias("_mix_h")).distinct()
+    if alike.isEmpty():
+        return emitted(docs, F.lit(1), key)
+    keyed = docs.withColumn("_mix_key", key).withColumn("_mix_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    alike = checked_broadcast(staged(alike, "mixalike"), MAX_BROADCAST_SOURCES)
+    single = keyed.join(alike, ["_mix_key", "_mix_h"], "left_anti")
+    many = keyed.join(alike, ["_mix_key", "_mix_h"], "left_semi").groupBy("_mix_key", *columns).agg(F.count("*").alias("_mix_m"))
+    # Rows of one id and text that differ elsewhere draw apart.
+    apart = F.concat_ws(":", "_mix_key", F.xxhash64(*columns).cast("string"))
+    return emitted(single, F.lit(1), F.col("_mix_key")).unionByName(emitted(many, F.col("_mix_m"), apart))

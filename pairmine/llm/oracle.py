@@ -4,7 +4,10 @@ from __future__ import annotations
 
 OP7 = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, ''))) AS key,
+         row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) AS k,
+         count(*) OVER (PARTITION BY doc_id, source, coalesce(text, '')) AS m
   FROM documents),
 per AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -25,12 +28,14 @@ tgt AS (
               ELSE (SELECT level FROM run WHERE NOT level * w > cap ORDER BY pos LIMIT 1) * w END AS target
   FROM run),
 rated AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, s.source,
+  SELECT s.doc_id, s.size, t.source_size, t.target, s.source, s.k, s.m,
          CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0) ELSE 0.0 END AS rate,
-         ('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, '') || ':mix'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
-  FROM sized s JOIN tgt t ON s.source IS NOT DISTINCT FROM t.source)
+         ('0x' || substr(md5(s.key || ':mix'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+  FROM sized s JOIN tgt t ON s.source IS NOT DISTINCT FROM t.source),
+dealt AS (SELECT *, least(floor(m * rate)::BIGINT + CASE WHEN u < m * rate - floor(m * rate) THEN 1 ELSE 0 END, 3 * m) AS total
+          FROM rated)
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, source, copies FROM (
-  SELECT *, least(floor(rate)::INT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END, 3)::INT AS copies FROM rated)
+  SELECT *, (floor(total / m) + CASE WHEN k <= total % m THEN 1 ELSE 0 END)::INT AS copies FROM dealt)
 """
 
 # Every 50-byte window as 100 hexadecimal digits.
@@ -56,21 +61,64 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spa
 FROM d LEFT JOIN k USING (rid)
 """
 
-# The contract's phrases, written out; the method's own templates are its parameter.
+# The contract's phrases and the notices that op2 looks for, written out: (label, words). An
+# exact one counts at every place; of the others, every list of grams needs one that is found.
 PHRASES = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
+CC = "licensed under a creative commons"
+END = "4 0 international license"
+NOTICES = [
+    ("apache-2.0", "licensed under the apache license version 2 0", [["version 2", "2 0"]]),
+    ("apache-2.0", "you may not use this file except in compliance with the license "
+                   "you may obtain a copy of the license at", []),
+    ("bsd", "redistribution and use in source and binary forms with or without modification "
+            "are permitted provided that the following conditions are met", []),
+    ("cc-by-nc", "licensed under cc by nc 4 0", [["by nc"], ["nc 4"]]),
+    ("cc-by-nc", f"{CC} attribution noncommercial {END}", [["attribution noncommercial"], ["noncommercial 4"]]),
+    ("cc-by-sa", f"{CC} attribution sharealike {END}", [["attribution sharealike"]]),
+    ("gpl", "this work is licensed under the gnu general public license", [["gnu general"]]),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license "
+            "as published by the free software foundation", [["gnu general"]]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose "
+            "with or without fee is hereby granted", []),
+    ("mit", "released under the mit license", []),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software "
+            "and associated documentation files", []),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", [["v 2", "2 0"]]),
+    ("agpl", "this work is licensed under the gnu affero general public license", [["affero general"]]),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation",
+     [["affero general"]]),
+    ("cc-by", "licensed under cc by 4 0", [["by 4"]]),
+    ("cc-by", f"{CC} attribution {END}", [["attribution 4"]]),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0", [["by nc"], ["nc nd"]]),
+    ("cc-by-nc-nd", f"{CC} attribution noncommercial noderivatives {END}",
+     [["attribution noncommercial"], ["noncommercial noderivatives"]]),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0", [["by nc"], ["nc sa"]]),
+    ("cc-by-nc-sa", f"{CC} attribution noncommercial sharealike {END}",
+     [["attribution noncommercial"], ["noncommercial sharealike"]]),
+    ("cc-by-nd", "licensed under cc by nd 4 0", [["by nd"]]),
+    ("cc-by-nd", f"{CC} attribution noderivatives {END}", [["attribution noderivatives"]]),
+    ("cc-by-sa", "licensed under cc by sa 4 0", [["by sa"]]),
+    ("cc0", "licensed under cc0 1 0", [["under cc0"]]),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring "
+            "rights to this work", []),
+    ("lgpl", "this work is licensed under the gnu lesser general public license", [["lesser general"]]),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation",
+     [["lesser general"]]),
+]
 
 
 def op2_sql() -> str:
-    from pairmine.llm.licenses import TEMPLATES, template_words
-
-    rows = []
-    for t, (exact, label, text) in enumerate([(True, *p) for p in PHRASES] + [(False, *p) for p in TEMPLATES]):
-        w = template_words(text)
-        rows += [f"({t}, '{label}', {exact}, {len(w)}, {len(w) - 1}, {i}, '{w[i]}', '{w[i + 1]}')"
-                 for i in range(len(w) - 1)]
+    rows, needs = [], []
+    for t, (exact, label, text, need) in enumerate([(True, *p, []) for p in PHRASES] + [(False, *p) for p in NOTICES]):
+        w = text.split(" ")
+        grams = [f"{x} {y}" for x, y in zip(w, w[1:])]
+        rows += [f"({t}, '{label}', {exact}, {len(w)}, {len(grams)}, {i}, '{w[i]}', '{w[i + 1]}')" for i in range(len(grams))]
+        needs += [f"({t}, {n}, {i})" for n, either in enumerate(need) for i, g in enumerate(grams) if g in either]
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return rf"""
 WITH g AS (SELECT * FROM (VALUES {", ".join(rows)}) v(t, label, exact, t_words, grams, tpos, a, b)),
+nd AS (SELECT * FROM (VALUES {", ".join(needs)}) v(t, need, tpos)),
+nc AS (SELECT t, count(DISTINCT need) AS n_needs FROM nd GROUP BY t),
 d AS (SELECT row_number() OVER () AS rid, doc_id,
              list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'),
                                             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
@@ -82,12 +130,15 @@ v AS (SELECT rid, t, label, exact, t_words, grams, pos - tpos AS diag, list(tpos
 l AS (SELECT *, CASE WHEN exact OR coalesce(diag - lag(diag) OVER (PARTITION BY rid, t ORDER BY diag) > 3, TRUE)
                      THEN 1 ELSE 0 END AS apart FROM v),
 c AS (SELECT *, sum(apart) OVER (PARTITION BY rid, t ORDER BY diag) AS cluster FROM l),
-s AS (SELECT rid, t, label, exact, t_words, grams, cluster, len(list_distinct(flatten(list(found)))) AS n_found,
+s AS (SELECT rid, t, label, exact, t_words, grams, cluster, list_distinct(flatten(list(found))) AS found,
              min(first_) AS first_, max(last_) + 2 AS end_, min(diag) AS diag
       FROM c GROUP BY ALL),
-e AS (SELECT *, exact AND n_found = grams AS base, end_ - first_ <= t_words * 2.0 AS straight,
-             n_found::DOUBLE / grams AS coverage FROM s),
-x AS (SELECT *, CASE WHEN exact THEN base ELSE coverage >= 0.7 AND straight END AS accepted,
+m AS (SELECT s.rid, s.t, s.cluster, count(DISTINCT nd.need) AS n_met
+      FROM s JOIN nd ON s.t = nd.t AND list_contains(s.found, nd.tpos) GROUP BY ALL),
+e AS (SELECT s.*, exact AND len(found) = grams AS base, end_ - first_ <= t_words * 2.0 AS straight,
+             len(found)::DOUBLE / grams AS coverage, coalesce(n_met, 0) = coalesce(n_needs, 0) AS told_apart
+      FROM s LEFT JOIN m USING (rid, t, cluster) LEFT JOIN nc USING (t)),
+x AS (SELECT *, CASE WHEN exact THEN base ELSE coverage >= 0.7 AND straight AND told_apart END AS accepted,
              CASE WHEN exact AND NOT base THEN 0.0 WHEN straight THEN coverage END AS part FROM e),
 o AS (SELECT rid, count(*) FILTER (WHERE base) AS n_base, min(diag) FILTER (WHERE base) AS first_word,
              max(diag) FILTER (WHERE base) AS last_word,
@@ -105,20 +156,18 @@ FROM d LEFT JOIN o USING (rid)
 # Rules of op4: (name, ratio, cutoffs from the laxest on), the limit and the error probability.
 OP4_RULES = [
     ("symbols", "n_symbols / greatest(n_words, 1)", [1.0, 0.7, 0.5, 0.35, 0.25, 0.15, 0.1, 0.05]),
-    ("dup_lines", "n_dup_lines / greatest(n_lines, 1)", [0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.1]),
-    ("repeats", "n_repeat_words / greatest(n_words, 1)", [0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15]),
-    ("capitals", "n_capitals / greatest(word_chars, 1)", [0.9, 0.7, 0.5, 0.4, 0.3, 0.2]),
+    ("dup_lines", "n_dup_lines / greatest(n_lines, 1)", [0.9, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1]),
+    ("repeats", "n_repeat_words / greatest(n_words, 1)", [0.45, 0.42, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15]),
+    ("capitals", "n_capitals / greatest(word_chars, 1)", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2]),
 ]
 
 
 def op4_sql() -> str:
-    each = 0.04 / len(OP4_RULES)
-    counts = " UNION ALL ".join(
-        f"SELECT stratum, '{name}' AS rule, {j} AS step, CAST({c} AS DOUBLE) AS cutoff, count(*) AS n, "
-        f"count(*) FILTER (WHERE {ratio} > CAST({c} AS DOUBLE)) AS k FROM good GROUP BY stratum"
-        for name, ratio, grid in OP4_RULES for j, c in enumerate(grid))
-    over = " OR ".join(f"coalesce({ratio} > (SELECT min(cutoff) FROM cut WHERE cut.stratum = f.stratum AND rule = '{name}'), FALSE)"
-                       for name, ratio, _ in OP4_RULES)
+    limit = 0.04
+    over = [" OR ".join(f"{ratio} > CAST({grid[j]} AS DOUBLE)" for _, ratio, grid in OP4_RULES) for j in range(8)]
+    counts = ", ".join(f"count(*) FILTER (WHERE {x}) AS k{j}" for j, x in enumerate(over))
+    long = " UNION ALL ".join(f"SELECT tested, n, {j} AS step, k{j} AS k FROM tst" for j in range(8))
+    rejected = " OR ".join(f"(level = {j} AND ({x}))" for j, x in enumerate(over))
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS x FROM documents),
@@ -139,17 +188,20 @@ b AS (SELECT t.rid, doc_id, stratum, len(w)::BIGINT AS n_words,
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
 good AS (SELECT f.* FROM f WHERE NOT base_failed AND doc_id IN (
            SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1)),
-cnt AS ({counts}),
-tests AS (SELECT count(DISTINCT stratum) * {len(OP4_RULES)} AS m FROM cnt),
-pv AS (SELECT *, CASE WHEN k < n * {each} THEN list_sum(list_transform(range(k + 1), lambda i:
-               exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({each}) + (n - i) * ln(1 - {each})))) ELSE 1.0 END AS p
-       FROM cnt),
-ok AS (SELECT *, min(CASE WHEN p <= 0.05 / m THEN 1 ELSE 0 END) OVER (PARTITION BY stratum, rule ORDER BY step) AS passed
-       FROM pv, tests),
-cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM ok WHERE passed = 1 GROUP BY stratum, rule)
+per AS (SELECT stratum, count(*) AS n, {counts} FROM good GROUP BY stratum),
+mem AS (SELECT *, CASE WHEN pow(1 - {limit}, n) <= 0.05 / (SELECT count(*) FROM per) THEN stratum END AS tested FROM per),
+tst AS (SELECT tested, sum(n)::BIGINT AS n, {", ".join(f"sum(k{j})::BIGINT AS k{j}" for j in range(8))} FROM mem GROUP BY tested),
+lng AS ({long}),
+pv AS (SELECT *, CASE WHEN k < n * {limit} THEN list_sum(list_transform(range(k + 1), lambda i:
+               exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({limit}) + (n - i) * ln(1 - {limit})))) ELSE 1.0 END AS p
+       FROM lng),
+ok AS (SELECT *, min(CASE WHEN p <= 0.05 / (SELECT count(*) FROM tst) THEN 1 ELSE 0 END)
+                   OVER (PARTITION BY tested ORDER BY step) AS passed FROM pv),
+lev AS (SELECT tested, max(step) AS level FROM ok WHERE passed = 1 GROUP BY tested),
+cut AS (SELECT mem.stratum, lev.level FROM mem JOIN lev ON mem.tested IS NOT DISTINCT FROM lev.tested)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT ({over}) AS kept
-FROM f
+       NOT base_failed AND NOT coalesce({rejected}, FALSE) AS kept
+FROM f LEFT JOIN cut USING (stratum)
 """
 
 

@@ -1,18 +1,23 @@
 """Quality rules with risk-controlled thresholds.
 
 Each rule is a ratio that is high for junk (symbols, repeated lines, repeated three-word
-windows, capitals). Its cutoff is not set by hand but chosen per stratum (language) on
-the labelled rows: a cutoff may be used only if an exact binomial test shows that it
-rejects at most ``FALSE_REJECTION`` of the good documents (all rules of a stratum
-together). Cutoffs are tested from the laxest on and testing stops at the first that
-fails (fixed-sequence testing), so the sequence needs no correction; the error
-probability ``DELTA`` is divided by the number of (stratum, rule) tests. The strictest
-cutoff that passes is used; a rule without one is off for that stratum.
-DataFrame functions only.
-
-Edge cases: null text has no words; a null language is a stratum of its own; strata
-without labelled rows keep only the base rules; repeated labels of an id count once (the
-better one); repeated rows each get a verdict; an empty table gives an empty result.
+windows, capitals). The cutoffs are not set by hand but chosen per stratum (language) on the
+labelled rows. The rules are tightened together, in a fixed sequence of levels; a level may be
+used only if an exact binomial test shows that its rules together reject at most
+``FALSE_REJECTION`` of the stratum's good documents. Levels are tested from the laxest on and
+testing stops at the first that fails (fixed-sequence testing), so the sequence needs no
+correction; the error probability ``DELTA`` is divided by the number of strata tested. The
+strictest level that passes is used.
+
+A stratum with too few good documents to pass any test, even without a false rejection, joins
+the pooled stratum, which is tested as one and whose level holds for all that joined (the
+guarantee is then one for their mixture). Whether a stratum joins depends on its number of
+good documents only, never on what the rules reject. If the pool is too small as well, or its
+first level fails, its strata keep the base rules alone. DataFrame functions only.
+
+Edge cases: null text has no words; a null language is a stratum of its own; strata without a
+good labelled document join nothing and keep the base rules; repeated labels of an id count once
+(the better one); repeated rows each get a verdict; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,12 +33,12 @@ FALSE_REJECTION = 0.04     # of the good documents of a stratum, over all rules
 DELTA = 0.05               # probability that any of the guarantees fails
 MAX_BROADCAST_STRATA = 50_000
 
-# Rules: (name, ratio, cutoffs from the laxest to the strictest).
+# Rules: (name, ratio, cutoffs by level, from the laxest to the strictest).
 RULES = [
     ("symbols", "n_symbols / greatest(n_words, 1)", (1.0, 0.7, 0.5, 0.35, 0.25, 0.15, 0.1, 0.05)),
-    ("dup_lines", "n_dup_lines / greatest(n_lines, 1)", (0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.1)),
-    ("repeats", "n_repeat_words / greatest(n_words, 1)", (0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15)),
-    ("capitals", "n_capitals / greatest(word_chars, 1)", (0.9, 0.7, 0.5, 0.4, 0.3, 0.2)),
+    ("dup_lines", "n_dup_lines / greatest(n_lines, 1)", (0.9, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)),
+    ("repeats", "n_repeat_words / greatest(n_words, 1)", (0.45, 0.42, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15)),
+    ("capitals", "n_capitals / greatest(word_chars, 1)", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2)),
 ]
 
 
@@ -87,24 +92,36 @@ def log_binomial_cdf(n, k, p: float):
     return last + F.log(back["s"])
 
 
-def cutoffs(good: DataFrame, rules=RULES, limit: float = FALSE_REJECTION, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff): the strictest certified cutoff of each rule, from the
-    features of documents labelled good that pass the base rules."""
-    counts = good.groupBy("stratum").agg(
-        F.count("*").alias("n"),
-        *[F.count(F.when(F.expr(ratio) > c, 1)).alias(f"{name}_{j}")
-          for name, ratio, grid in rules for j, c in enumerate(grid)])
-    long = counts.select("stratum", "n", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("rule"), F.lit(j).alias("step"), F.lit(float(c)).alias("cutoff"),
-                 F.col(f"{name}_{j}").alias("k"))
-        for name, _, grid in rules for j, c in enumerate(grid)])).alias("x")).select("stratum", "n", "x.*")
-    each = limit / len(rules)
-    tests = F.count(F.when((F.col("rule") == rules[0][0]) & (F.col("step") == 0), 1)).over(Window.partitionBy()) * len(rules)
+def too_few(n, strata, limit: float = FALSE_REJECTION, delta: float = DELTA):
+    """Whether ``n`` good documents could not pass the test of one of ``strata`` strata, even if
+    none of them were rejected: (1 - limit)^n > delta / strata."""
+    return n * F.lit(math.log1p(-limit)) > F.log(F.lit(delta) / strata)
+
+
+def levels(good: DataFrame, rules=RULES, limit: float = FALSE_REJECTION, delta: float = DELTA) -> DataFrame:
+    """(stratum, tested, n, level): the strictest certified level of each stratum with good
+    documents (null: none), from the features of documents labelled good that pass the base
+    rules. ``tested`` is what it was tested as, null for the pool, and ``n`` its good documents."""
+    n_levels = len(rules[0][2])
+    if any(len(grid) != n_levels for _, _, grid in rules):
+        raise ValueError("all rules need a cutoff for every level")
+    over = [F.count(F.when(F.expr(" OR ".join(f"{ratio} > CAST({grid[j]!r} AS DOUBLE)" for _, ratio, grid in rules)), 1))
+            for j in range(n_levels)]
+    # One row per stratum from here on.
+    per = good.groupBy("stratum").agg(F.count("*").alias("n"), *[c.alias(f"k{j}") for j, c in enumerate(over)])
+    per = per.withColumn("strata", F.count("*").over(Window.partitionBy()))
+    per = per.withColumn("tested", F.when(~too_few(F.col("n"), F.col("strata"), limit, delta), F.col("stratum")))
+    members = per.select("stratum", "tested")
+    tested = per.groupBy("tested").agg(F.sum("n").alias("n"), *[F.sum(f"k{j}").alias(f"k{j}") for j in range(n_levels)])
+    tested = tested.withColumn("tests", F.count("*").over(Window.partitionBy()))
+    long = tested.select("tested", "n", "tests", F.posexplode(F.array(*[f"k{j}" for j in range(n_levels)])).alias("level", "k"))
     n, k = F.col("n").cast("double"), F.col("k")
-    passed = F.when(k < n * each, log_binomial_cdf(n, k, each) <= F.log(F.lit(delta) / tests)).otherwise(False)
-    upto = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return (long.withColumn("passed", passed).withColumn("passed", F.min("passed").over(upto)).filter("passed")
-            .groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff")))
+    passed = F.when(k < n * limit, log_binomial_cdf(n, k, limit) <= F.log(F.lit(delta) / F.col("tests"))).otherwise(False)
+    upto = Window.partitionBy("tested").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+    best = (long.withColumn("passed", passed).withColumn("passed", F.min("passed").over(upto))
+            .groupBy("tested", "n").agg(F.max(F.when(F.col("passed"), F.col("level"))).alias("level"))
+            .withColumnRenamed("tested", "_tested"))
+    return members.join(best, F.col("tested").eqNullSafe(F.col("_tested"))).select("stratum", "tested", "n", "level")
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, rules=RULES, limit: float = FALSE_REJECTION,
@@ -114,10 +131,10 @@ def apply_rules(docs: DataFrame, labels: DataFrame, rules=RULES, limit: float =
     f = staged(features(docs).withColumn("base_failed", base_failed()), "rules")
     marked = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     good = f.join(marked.filter("quality = 1"), "doc_id", "left_semi").filter(~F.col("base_failed"))
-    cut = (cutoffs(good, rules, limit, delta).groupBy("stratum")
-           .agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cut")))
+    cut = levels(good, rules, limit, delta).select("stratum", "level")
     cut = checked_broadcast(staged(cut, "cutoffs"), MAX_BROADCAST_STRATA)
-    over = F.filter(F.array(*[F.when(F.expr(ratio) > F.col("cut")[name], F.lit(name)) for name, ratio, _ in rules]),
+    cutoff = lambda grid: F.get(F.array(*[F.lit(float(c)) for c in grid]), F.col("level"))
+    over = F.filter(F.array(*[F.when(F.expr(ratio) > cutoff(grid), F.lit(name)) for name, ratio, grid in rules]),
                     lambda x: x.isNotNull())
     out = f.join(cut, "stratum", "left").withColumn("failed_rules", over)
     kept = ~F.col("base_failed") & (F.size("failed_rules") == 0)

@@ -33,30 +33,64 @@ def plain_targets(sizes, weights=(1, 2, 3), cap=3):
     return target
 
 
-def plain_copies(doc_id, rate):
-    u = int(hashlib.md5(f"{'' if doc_id is None else doc_id}:mix".encode()).hexdigest()[:13], 16) / (1 << 52)
-    return min(math.floor(rate) + (u < rate - math.floor(rate)), 3)
+def plain_copies(doc_id, text, rate, rows=1):
+    """Copies of ``rows`` rows that are alike."""
+    key = f"text {hashlib.md5((text or '').encode()).hexdigest()}" if doc_id is None else str(doc_id)
+    u = int(hashlib.md5(f"{key}:mix".encode()).hexdigest()[:13], 16) / (1 << 52)
+    return min(math.floor(rows * rate) + (u < rows * rate - math.floor(rows * rate)), 3 * rows)
 
 
 @pytest.mark.parametrize("rows", [util.EDGE, util.prose(200, 6), [], [(1, None, "x", "s", 0)],
                                   [(1, "a", None, "s1", 1), (2, "b " * 90, None, "s2", 1), (3, "c", None, "s3", 1)]])
 def test_mixing_matches_the_plain_version(spark, rows):
     out = mixing.rates(util.frame(spark, rows, extra=False)).collect()
-    sizes = {}
-    for _, t, _, s, _ in rows:
+    sizes, alike = {}, {}
+    for i, t, _, s, _ in rows:
         sizes[s] = sizes.get(s, 0) + len(util.words(t))
+        alike[i, s, t or ""] = alike.get((i, s, t or ""), 0) + 1
     target = plain_targets(sizes)
     assert len(out) == len(rows)
     for r in out:
         assert r["source_size"] == sizes[r["source"]]
         assert r["target"] == pytest.approx(target[r["source"]], rel=1e-9, abs=1e-9)
-        rate = target[r["source"]] / sizes[r["source"]] if sizes[r["source"]] else 0
-        assert r["copies"] == plain_copies(r["doc_id"], rate) and r["copies"] <= 3
+        assert 0 <= r["copies"] <= 3
+    expected = []
+    for (i, s, t), m in alike.items():
+        total = plain_copies(i, t, target[s] / sizes[s] if sizes[s] else 0, m)
+        expected += [(str(i), str(s), len(util.words(t)), total // m + (k < total % m)) for k in range(m)]
+    assert sorted((str(r["doc_id"]), str(r["source"]), r["size"], r["copies"]) for r in out) == sorted(expected)
     mixed = mixing.mix(util.frame(spark, rows, extra=True))
     assert mixed.count() == sum(r["copies"] for r in out)
     assert mixed.columns == util.frame(spark, rows, extra=True).columns
 
 
+def test_sources_of_null_ids_and_of_repeated_rows_come_near_their_targets(spark):
+    rows = [(None, f"one two {i}", "en", "a", 1) for i in range(400)]              # no ids at all
+    rows += [(7, "the very same row", "en", "b", 1)] * 400                          # one row again and again
+    rows += [(None, None, "en", "c", 1)] * 3 + [(i, "word " * 30, "en", "d", 1) for i in range(100, 200)]
+    df = util.frame(spark, rows)
+    out = mixing.rates(df).collect()
+    taken, target = {}, {}
+    for r in out:
+        taken[r["source"]] = taken.get(r["source"], 0) + r["size"] * r["copies"]
+        target[r["source"]] = r["target"]
+    assert len(out) == len(rows)
+    assert taken["a"] == pytest.approx(target["a"], rel=0.2) and taken["b"] == pytest.approx(target["b"], abs=4)
+    again = mixing.rates(df.repartition(7)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
+    mixed = {r["source"]: r["n"] for r in mixing.mix(df).groupBy("source").count().withColumnRenamed("count", "n").collect()}
+    assert mixed["a"] == sum(r["copies"] for r in out if r["source"] == "a")
+    assert mixed["b"] * 4 == pytest.approx(target["b"], abs=4)
+    # The DuckDB query of the operator, over the same rows.
+    import duckdb
+    from pairmine.llm.oracle import SQL
+    import pandas as pd
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]).astype({"doc_id": "Int64"})  # noqa: F841
+    sql = duckdb.sql(SQL["op7_mix_sources"]).fetchall()
+    got = sorted((str(r["doc_id"]), r["size"], r["size"] * r["copies"], r["source"], r["copies"]) for r in out)
+    assert got == sorted((str(i), size, took, s, c) for i, size, _, _, took, s, c in sql)
+
+
 def test_mixing_beyond_the_broadcast_bound_is_the_same(spark, monkeypatch):
     df = util.frame(spark, util.prose(80, 8))
     a = sorted(map(str, mixing.rates(df).collect()))
@@ -138,7 +172,7 @@ def test_pipeline_matches_the_plain_version(spark, tmp_dir):
     target = plain_targets(sizes)
     expected = {}
     for i, _, _, s, _ in ok:
-        expected[i] = plain_copies(i, target[s] / sizes[s] if sizes[s] else 0)
+        expected[i] = plain_copies(i, text[i], target[s] / sizes[s] if sizes[s] else 0)
     out = corpus_pipeline.run(spark, sf).collect()
     got = {i: 0 for i in expected}
     for r in out:
