@@ -86,22 +86,24 @@ def build_vocab(df: DataFrame, col: str, size: int = VOCAB_SIZE) -> DataFrame:
 
 
 def encode_tokens(df: DataFrame, id_col: str, col: str, vocab: DataFrame, out: str = "ids") -> DataFrame:
-    """Whitespace tokens -> ids (unknown -> 1), in token order. A vocabulary of at most
-    ``VOCAB_BROADCAST_ROWS`` (counted) is broadcast and rows are grouped back by ``id_col``
-    in the partitioning they already have; a larger one is joined by a shuffle."""
-    base = df.select(id_col, col).repartition(id_col)
-    toks = base.select(id_col, F.posexplode(py_split(F.col(col))).alias("pos", "token"))
+    """Whitespace tokens -> ids (unknown -> 1), in token order. ``id_col`` names a row: rows
+    that share an id, or have none, keep their own tokens (told apart by the text). A vocabulary of at most
+    ``VOCAB_BROADCAST_ROWS`` (counted) is broadcast and rows are grouped back in
+    the partitioning they already have; a larger one is joined by a shuffle."""
+    name = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("none")), F.md5(F.coalesce(F.col(col), F.lit(""))))
+    base = df.select(id_col, col, name.alias("_row")).repartition("_row")
+    toks = base.select("_row", F.posexplode(py_split(F.col(col))).alias("pos", "token"))
     v = vocab.filter(~F.col("token").isin(SPECIAL_TOKENS)).select("token", "token_id")
     if v.limit(VOCAB_BROADCAST_ROWS + 1).count() <= VOCAB_BROADCAST_ROWS:
         v = F.broadcast(v)
+    # A set: rows that repeat id and text bring the same tokens again.
     ids = (toks.join(v, "token", "left")
                .withColumn("token_id", F.coalesce(F.col("token_id"), F.lit(UNK).cast("long")))
-               .groupBy(id_col)
-               .agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_p")))
-    enc = ids.select(id_col, F.transform("_p", lambda s: s["token_id"]).alias(out))
-    return (base.join(enc, id_col, "left")
-                .withColumn(out, F.coalesce(F.col(out), F.array().cast("array<long>")))
-                .drop(col))
+               .groupBy("_row")
+               .agg(F.array_sort(F.collect_set(F.struct("pos", "token_id"))).alias("_p")))
+    enc = ids.select("_row", F.transform("_p", lambda s: s["token_id"]).alias(out))
+    return (base.join(enc, "_row", "left")
+                .select(id_col, F.coalesce(F.col(out), F.array().cast("array<long>")).alias(out)))
 
 
 def pack_seq2seq(df: DataFrame, src_ids: str, tgt_ids: str, seq_len: int = SEQ_LEN) -> DataFrame:

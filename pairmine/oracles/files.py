@@ -9,6 +9,8 @@ from pairmine.oracles.prep import PAIRS
 
 # Fixed values, written out: the oracle shares no constant with the engine.
 DIM, GRAM = 64, 3
+NULL_MARKERS = ("('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', "
+                "'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')")
 CORPUS = OM.MiningConfig(quality_threshold=0.05)
 
 
@@ -84,7 +86,8 @@ FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1""",
 s AS (SELECT doc_id, line_no, {strip('line')} AS text FROM l)
 SELECT CAST(row_number() OVER (ORDER BY doc_id, line_no) - 1 AS BIGINT) AS idx, text FROM s WHERE text <> ''""",
         "read_pairs_csv": f"""WITH {PAIRS}
-SELECT CAST(row_number() OVER (ORDER BY idx) - 1 AS BIGINT) AS idx, src_text, tgt_text FROM pairs WHERE idx % 7 <> 3""",
+SELECT CAST(row_number() OVER (ORDER BY idx) - 1 AS BIGINT) AS idx, src_text, tgt_text FROM pairs
+WHERE src_text NOT IN {NULL_MARKERS} AND tgt_text NOT IN {NULL_MARKERS}""",
         "read_eval_csv": f"""WITH {PAIRS}
 SELECT idx AS row_id, src_text AS source, src_text AS prediction, tgt_text AS reference,
        src_text AS input, src_text AS translation FROM pairs""",
@@ -97,6 +100,15 @@ SELECT idx, {flat('src_text')} AS source, {flat('tgt_text')} AS reference FROM p
 SELECT src_idx, tgt_idx, pre_rank, round(quality, 9) AS quality FROM fp""",
         "sweep_results_kept": "WITH " + ",".join([grid, OS.sweep_cte("grid")]) + """
 SELECT experiment_id, status, successful, round(weighted_score, 9) AS weighted_score, error FROM res""",
+        "sweep_best_so_far": "WITH " + ",".join([OS.rows_sql(OS.BASELINE, "grid"), OS.sweep_cte("grid")]) + """,
+best AS (SELECT experiment_id FROM res WHERE status = 'completed' ORDER BY round(weighted_score, 9) DESC, experiment_id LIMIT 1)
+SELECT experiment_id, src_idx, tgt_idx, CAST(pre_rank AS INTEGER) AS pre_rank, round(final_score, 9) AS final_score,
+       round(quality, 9) AS quality, round(margin, 9) AS margin
+FROM fp WHERE experiment_id IN (SELECT experiment_id FROM best)""",
+        "sweep_isolated": "WITH " + ",".join([OS.rows_sql([(r[0], 20, *r[2:]) for r in OS.BASELINE], "grid"),
+                                              OS.sweep_cte("grid")]) + """
+SELECT experiment_id, status, successful, round(weighted_score, 9) AS weighted_score, error FROM res
+UNION ALL SELECT 10006, 'failed', 0, 0.0, 'USER_RAISED_EXCEPTION: no quality beyond rank 20'""",
         "mine_corpus": mine_corpus_sql(),
         "mine_corpus_resumed": mine_corpus_sql(),
         "restore_order": "WITH " + ",".join(chain) + """

@@ -7,7 +7,7 @@ from pairmine.oracles.mt import split, strip
 # Fixed values, written out: the oracle shares no constant with the engine.
 SOS, EOS = 2, 3
 L = 350
-BATCH, VOCAB_SIZE_QUERY = 8, 1000
+BATCH, VOCAB_SIZE = 8, 8000
 
 PAIRS = """
 u AS (SELECT conv_id, turn, text AS src_text FROM conversations WHERE role = 'user'),
@@ -24,7 +24,7 @@ def vocab_cte(col: str, name: str) -> str:
 {name}_n AS (SELECT token, count(*) AS n FROM {name}_c
              WHERE token NOT IN ('[PAD]', '[UNK]', '[SOS]', '[EOS]') GROUP BY token),
 {name} AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS BIGINT) AS token_id, n
-           FROM {name}_n QUALIFY row_number() OVER (ORDER BY n DESC, token) <= {VOCAB_SIZE_QUERY - 4})"""
+           FROM {name}_n QUALIFY row_number() OVER (ORDER BY n DESC, token) <= {VOCAB_SIZE - 4})"""
 
 
 def enc_cte(col: str, vocab: str, name: str) -> str:
@@ -94,12 +94,11 @@ b AS (SELECT idx, 'src_ids' AS side, CAST(floor(idx / {BATCH}) AS BIGINT) AS bat
       UNION ALL SELECT idx, 'tgt_ids', CAST(floor(idx / {BATCH}) AS BIGINT), {cut('tgt_ids', 256)} FROM enc),
 bl AS (SELECT *, CAST(max(len(ids)) OVER (PARTITION BY side, batch_id) AS INTEGER) AS batch_len FROM b)
 SELECT idx, side, batch_id, batch_len, array_to_string({pad('ids', 'batch_len')}, ' ') AS ids FROM bl""",
-        "causal_mask": f"""WITH {ENCODED},
-d AS (SELECT idx, {pad(f"list_concat([CAST({SOS} AS BIGINT)], {cut('tgt_ids', 23)})", 24)} AS dec FROM enc),
-r AS (SELECT idx, dec, unnest(range(24)) AS row FROM d)
-SELECT idx, CAST(row AS INTEGER) AS row,
-       array_to_string(list_transform(range(24), lambda c: CASE WHEN dec[c + 1] <> 0 AND c <= row THEN 1 ELSE 0 END), ' ') AS mask
-FROM r""",
+        "causal_mask": f"""WITH {PACKED},
+r AS (SELECT idx, decoder_input AS dec, unnest(range({L})) AS row FROM packed),
+m AS (SELECT idx, row, list_transform(range({L}), lambda c: CASE WHEN dec[c + 1] <> 0 AND c <= row THEN 1 ELSE 0 END) AS mask FROM r)
+SELECT idx, CAST(row AS INTEGER) AS row, CAST(list_sum(mask) AS INTEGER) AS ones, md5(array_to_string(mask, ' ')) AS mask_md5
+FROM m""",
         "shuffle": f"""WITH {PAIRS}, k AS (SELECT idx, md5(CAST(idx AS VARCHAR) || ':7:1') AS shuffle_key FROM pairs)
 SELECT idx, shuffle_key, CAST(row_number() OVER (ORDER BY shuffle_key, idx) - 1 AS BIGINT) AS position FROM k""",
         "pack_two_files": f"""WITH {ENCODED},

@@ -82,10 +82,8 @@ def q_read_sentences(spark, sf_dir):
 
 
 def q_read_pairs_csv(spark, sf_dir):
-    """K1 -> S2: the aligned pairs through a CSV, null markers dropped (some sources are
-    replaced by one to show it)."""
+    """K1 -> S2: all aligned pairs through a CSV, read back in file order."""
     pairs = training_pairs(spark, sf_dir).orderBy("idx")
-    pairs = pairs.withColumn("src_text", F.when(F.col("idx") % 7 == 3, F.lit("NA")).otherwise(F.col("src_text")))
     path = _folder(spark)
     IO.write_pairs(pairs.select("idx", "src_text", "tgt_text"), path)
     return IO.read_pairs_csv(spark, path, "src_text", "tgt_text")
@@ -130,19 +128,49 @@ def q_stage_roundtrip(spark, sf_dir):
     return rounded(IO.read_stage(spark, path).select("src_idx", "tgt_idx", "pre_rank", "quality"))
 
 
-def q_sweep_results_kept(spark, sf_dir):
-    """K3 + J14 + K4: a sweep in slices into a results folder, resumed: the two runs
-    together hold every config once."""
+def _kept_sweep(spark, sf_dir, grids, **kw):
+    """Sweeps of several grids, one after the other, into one results folder (and pairs, best)."""
     from pairmine.plans.mining_queries import _quality_expr
-    from pairmine.plans.sweep_queries import failing_grid
     from pairmine.sources.tables import corpora
     c = corpora(spark, sf_dir)
     root = _folder(spark)
-    args = (f"{root}/results", f"{root}/pairs", c.src_vec, c.tgt_vec, c.src_attrs, c.tgt_attrs)
+    kw = {"quality_expr": _quality_expr, **kw}
+    for grid in grids:
+        res = SW.run_sweep_to(grid, f"{root}/results", f"{root}/pairs", c.src_vec, c.tgt_vec, c.src_attrs, c.tgt_attrs,
+                              best_dir=f"{root}/best", **kw)
+    return root, res
+
+
+def q_sweep_results_kept(spark, sf_dir):
+    """K3 + J14: a sweep in slices of one config into a results folder, resumed: the two runs
+    together hold every config once."""
+    from pairmine.plans.sweep_queries import failing_grid
     base = SW.grid_baseline(spark)
-    SW.run_sweep_to(base, *args, quality_expr=_quality_expr, materialize=False)
-    grid = base.unionByName(failing_grid(spark))
-    res = SW.run_sweep_to(grid, *args, quality_expr=_quality_expr, materialize=False, slice_rows=2)
+    _, res = _kept_sweep(spark, sf_dir, [base, base.unionByName(failing_grid(spark))], slice_rows=1)
+    return rounded(res.select("experiment_id", "status", "successful", "weighted_score", "error"))
+
+
+def q_sweep_best_so_far(spark, sf_dir):
+    """K4 + A12: what the best-pairs folder names after a sweep in slices of one config."""
+    root, _ = _kept_sweep(spark, sf_dir, [SW.grid_baseline(spark)], slice_rows=1)
+    cols = ["experiment_id", "src_idx", "tgt_idx", "pre_rank", "final_score", "quality", "margin"]
+    return rounded(IO.read_best_pairs(spark, f"{root}/best").select(*cols))
+
+
+NEAR_RANK = 20      # a quality model that takes no candidate beyond this rank
+
+
+def q_sweep_isolated(spark, sf_dir):
+    """The ablation configs at a smaller search_k, and one whose search reaches candidates that
+    the quality model refuses with an error: that one alone fails."""
+    from pairmine.plans.mining_queries import _quality_expr
+
+    def strict(df):
+        far = F.coalesce(F.least("ip_rank", "l2_rank"), F.lit(0)) > NEAR_RANK
+        return F.when(far, F.raise_error("no quality beyond rank 20").cast("double")).otherwise(_quality_expr(df))
+    near = SW.grid_baseline(spark).withColumn("search_k", F.lit(NEAR_RANK))
+    far = SW.grid_baseline(spark).filter("experiment_id = 10001").withColumn("experiment_id", F.lit(10006).cast("long"))
+    _, res = _kept_sweep(spark, sf_dir, [near.unionByName(far)], quality_expr=strict)
     return rounded(res.select("experiment_id", "status", "successful", "weighted_score", "error"))
 
 
@@ -234,6 +262,8 @@ QUERIES = {
     "read_aligned_lines": q_read_aligned_lines,
     "stage_roundtrip": q_stage_roundtrip,
     "sweep_results_kept": q_sweep_results_kept,
+    "sweep_best_so_far": q_sweep_best_so_far,
+    "sweep_isolated": q_sweep_isolated,
     "mine_corpus": q_mine_corpus,
     "mine_corpus_resumed": q_mine_corpus_resumed,
     "restore_order": q_restore_order,

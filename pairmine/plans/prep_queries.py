@@ -14,9 +14,7 @@ from pairmine.operators import trainprep as TP
 from pairmine.sources.dense_index import dense_index
 from pairmine.sources.tables import table
 
-VOCAB_SIZE_QUERY = 1000   # smaller than the 8000 default, so the cut is exercised
 BATCH = 8
-CAUSAL_LEN = 24
 
 
 def _turns(spark, sf_dir):
@@ -62,14 +60,14 @@ def q_split_stratified(spark, sf_dir):
 def q_build_vocab(spark, sf_dir):
     """D4 for each language column."""
     pairs = training_pairs(spark, sf_dir)
-    src, tgt = (TP.build_vocab(pairs, c, VOCAB_SIZE_QUERY).withColumn("side", F.lit(c)) for c in ("src_text", "tgt_text"))
+    src, tgt = (TP.build_vocab(pairs, c).withColumn("side", F.lit(c)) for c in ("src_text", "tgt_text"))
     return src.unionByName(tgt)
 
 
 def _encoded(spark, sf_dir):
     pairs = training_pairs(spark, sf_dir)
-    vs = TP.build_vocab(pairs, "src_text", VOCAB_SIZE_QUERY)
-    vt = TP.build_vocab(pairs, "tgt_text", VOCAB_SIZE_QUERY)
+    vs = TP.build_vocab(pairs, "src_text")
+    vt = TP.build_vocab(pairs, "tgt_text")
     src = TP.encode_tokens(pairs, "idx", "src_text", vs, "src_ids")
     tgt = TP.encode_tokens(pairs, "idx", "tgt_text", vt, "tgt_ids")
     return src.join(tgt, "idx")
@@ -96,11 +94,11 @@ def q_masks(spark, sf_dir):
 
 
 def q_causal_mask(spark, sf_dir):
-    """D7, the whole decoder mask of every pair, one row of it per line; built on ids cut
-    to CAUSAL_LEN, since the mask is quadratic in the length."""
-    p = TP.pack_seq2seq(_encoded(spark, sf_dir), "src_ids", "tgt_ids", CAUSAL_LEN)
-    rows = p.select("idx", F.posexplode(TP.causal_mask(F.col("decoder_input"))).alias("row", "mask"))
-    return rows.select("idx", "row", _ids(F.col("mask")).alias("mask"))
+    """D7, the whole decoder mask of every pair at the full length: of each of its rows the
+    number of ones and the hash of the row written out."""
+    p = _packed(spark, sf_dir).select("idx", F.posexplode(TP.causal_mask(F.col("decoder_input"))).alias("row", "mask"))
+    ones = F.aggregate("mask", F.lit(0), lambda a, x: a + x)
+    return p.select("idx", "row", ones.alias("ones"), F.md5(_ids(F.col("mask"))).alias("mask_md5"))
 
 
 def q_mask_labels(spark, sf_dir):

@@ -23,7 +23,10 @@ network; a larger grid is joined by shuffles.
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +39,7 @@ from pairmine.operators import selection as SEL
 from pairmine.operators.knn import exact_topk
 from pairmine.plans import mining as M
 from pairmine.session import default_parallelism, stage_root
+from pairmine.sources import versions
 from pairmine.sources import io as IO
 
 # ---------------------------------------------------------------------------
@@ -222,35 +226,110 @@ def run_sweep(grid: DataFrame, src_vec: DataFrame, tgt_vec: DataFrame, src_attrs
     chosen = SEL.choose_best(ranked, F.col("quality_threshold"), group_keys=["experiment_id"])
     final_pairs = chosen.filter("is_chosen").drop("is_chosen", "passes")
 
-    n_sources = src_vec.count()
     # one pass over the ranked rows: chosen-pair aggregates and whether the config ran
     agg = RM.pair_aggregates(chosen, ["experiment_id"], where=F.col("is_chosen"),
                              extra=[F.count(F.lit(1)).alias("_n_ranked")])
-    res = g.join(agg, "experiment_id", "left")
-    res = RM.finish_metrics(res, F.lit(n_sources))
+    return SweepResult(results=_result_rows(g, agg, src_vec.count()), final_pairs=final_pairs, ranked=ranked)
+
+
+def _result_rows(g: DataFrame, agg: DataFrame, n_sources: int) -> DataFrame:
+    """One row per config of ``g`` (with ``error``); configs without a row in ``agg`` failed."""
+    res = RM.finish_metrics(g.join(agg, "experiment_id", "left"), F.lit(n_sources))
     ran = F.coalesce(F.col("_n_ranked") > 0, F.lit(False)) & F.col("error").isNull()
     res = (res.withColumn("status", F.when(ran, F.lit("completed")).otherwise(F.lit("failed")))
            .withColumn("error", F.when(~ran, F.coalesce("error", F.lit("no candidate left")))).drop("_n_ranked"))
     res = res.withColumn("total_pairs", F.col("successful"))
-    res = res.select("experiment_id", "status", *RM.METRIC_COLS, "total_pairs", *PARAMETERS, "error")
-    return SweepResult(results=res, final_pairs=final_pairs, ranked=ranked)
-
-
-def run_sweep_to(grid: DataFrame, results_dir: str, pairs_dir: str, *args, slice_rows: int = 1000, **kw) -> DataFrame:
-    """K3 + J14: a sweep whose results are kept as it goes. Pending configs (no completed
-    result in ``results_dir``) run in slices by experiment id, and each slice's results are
-    appended when it is done, so a late failure costs one slice. Returns the results; the
-    best experiment's pairs (K4) are in ``pairs_dir``, keyed by experiment."""
+    return res.select("experiment_id", "status", *RM.METRIC_COLS, "total_pairs", *PARAMETERS, "error")
+
+
+def failed_rows(configs: DataFrame, error: str, n_sources: int) -> DataFrame:
+    """Result rows of configs that could not be run at all."""
+    g = configs.select(*[_typed(c).alias(c) for c in GRID_COLUMNS]).withColumn("error", F.lit(error))
+    none = RM.pair_aggregates(configs.sparkSession.createDataFrame([], "experiment_id long, pre_rank int, margin double"),
+                              ["experiment_id"], extra=[F.count(F.lit(1)).alias("_n_ranked")])
+    return _result_rows(g, none, n_sources)
+
+
+def error_text(e: BaseException, limit: int = 500) -> str:
+    """What went wrong, without a driver's stack: the message of the innermost error named."""
+    text = str(e)
+    named = re.findall(r"\[([A-Z][A-Z0-9_.]+)\] ([^\n]*)", text)
+    if named:
+        return f"{named[-1][0]}: {re.sub(r' SQLSTATE.*', '', named[-1][1])}"[:limit]
+    causes = [line for line in text.splitlines() if line.startswith(("Caused by:", "pyspark.errors")) or
+              re.match(r"\w*(Error|Exception): ", line)]
+    first = (causes or text.strip().splitlines() or [""])[-1 if causes else 0]
+    return f"{type(e).__name__}: {first}"[:limit]
+
+
+def run_sweep_to(grid: DataFrame, results_dir: str, pairs_dir: str, *args, slice_rows: int = 1000,
+                 best_dir: str | None = None, **kw) -> DataFrame:
+    """K3 + J14 + X5 + K4: a sweep whose results are kept as it goes.
+
+    Pending configs (no completed result in ``results_dir``) run in slices of at most
+    ``slice_rows`` by experiment id, and a slice's pairs and results are appended when it is done
+    (pairs first: what has no result row is not read), so a late failure costs one slice. A
+    slice that fails is cut in two and each half run again, until a config that fails for
+    itself stands alone: it alone becomes a ``failed`` row with its error. With ``best_dir``
+    the pairs of the best experiment so far are published there after each slice that beats
+    it, for ``io.read_best_pairs`` at any time. Returns the results; ``sweep_pairs`` reads
+    all pairs, keyed by experiment."""
     spark = grid.sparkSession
     if IO._path_exists(spark, f"{results_dir.rstrip('/')}/_SUCCESS"):
         grid = pending_experiments(grid, IO.read_results(spark, results_dir))
-    slices = grid.select((F.floor(F.col("experiment_id") / slice_rows)).alias("s")).distinct().orderBy("s")
-    for row in slices.toLocalIterator():
-        part = grid.filter(F.floor(F.col("experiment_id") / slice_rows) == row["s"])
-        res = run_sweep(part, *args, **kw)
-        IO.append_results(res.results, results_dir)
-        res.final_pairs.write.mode("append").parquet(pairs_dir)
-    return IO.read_results(spark, results_dir)
+    stage_root(spark)
+    ids = grid.select("experiment_id").distinct().orderBy("experiment_id").checkpoint(eager=True)
+    n_sources = args[0].count()
+
+    def keep(results: DataFrame, pairs: DataFrame | None) -> None:
+        run = uuid.uuid4().hex
+        if pairs is not None:
+            pairs.withColumn("slice_run", F.lit(run)).write.mode("append").parquet(pairs_dir)
+        IO.append_results(results.withColumn("slice_run", F.lit(run)), results_dir)
+
+    def run(part: list[int]) -> None:
+        configs = grid.filter(F.col("experiment_id").isin(part))
+        try:
+            res = run_sweep(configs, *args, **kw)
+            keep(res.results, res.final_pairs)
+        except Exception as e:  # noqa: BLE001 - one bad config must not stop the others
+            if len(part) == 1:
+                keep(failed_rows(configs, error_text(e), n_sources), None)
+            else:
+                run(part[:len(part) // 2])
+                run(part[len(part) // 2:])
+
+    part: list[int] = []
+    rows = ids.toLocalIterator()          # a slice of ids at a time
+    for row in chain(rows, [None]):
+        if row is not None:
+            part.append(row["experiment_id"])
+        if part and (row is None or len(part) >= slice_rows):
+            run(part)
+            part = []
+            if best_dir:
+                publish_best(spark, results_dir, pairs_dir, best_dir)
+    return IO.read_results(spark, results_dir).drop("slice_run")
+
+
+def sweep_pairs(spark: SparkSession, results_dir: str, pairs_dir: str) -> DataFrame:
+    """The pairs that belong to the results kept so far, keyed by experiment."""
+    runs = IO.read_results(spark, results_dir).filter("status = 'completed'").select("experiment_id", "slice_run")
+    return spark.read.parquet(pairs_dir).join(runs, ["experiment_id", "slice_run"]).drop("slice_run")
+
+
+def publish_best(spark: SparkSession, results_dir: str, pairs_dir: str, best_dir: str) -> bool:
+    """K4 + A12 while a sweep runs: the best experiment's pairs as the newest version of
+    ``best_dir``, if another experiment (or none) is published there."""
+    best = best_experiment(IO.read_results(spark, results_dir)).first()
+    if best is None:
+        return False
+    folder = versions.latest(spark, best_dir)
+    if folder and versions.read_manifest(spark, folder).get("experiment_id") == best["experiment_id"]:
+        return False
+    pairs = sweep_pairs(spark, results_dir, pairs_dir).filter(F.col("experiment_id") == best["experiment_id"])
+    return IO.write_best_pairs(pairs, best_dir, {"experiment_id": best["experiment_id"],
+                                                 "weighted_score": best["weighted_score"]})
 
 
 def _key(c: str) -> F.Column:

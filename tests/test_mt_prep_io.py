@@ -156,3 +156,22 @@ def test_param_grid_csv_and_text_sinks(spark, tmp_dir):
     e = os.path.join(tmp_dir, "e")
     IO.write_eval(spark.createDataFrame([(0, "p", "r", 1.5)], "row_id long, prediction string, reference string, bleu double"), e)
     assert spark.read.option("header", True).csv(e).collect()[0].bleu == "1.5"
+
+
+def test_encoding_keeps_rows_of_one_id_and_of_none_apart(spark):
+    from pairmine.operators import trainprep as TP
+    df = spark.createDataFrame([(1, "a b"), (1, "c"), (None, "a"), (None, ""), (2, "b a b"), (2, "b a b"), (3, None)], "id long, t string")
+    vocab = TP.build_vocab(df, "t")
+    word = {r.token_id: r.token for r in vocab.collect()}
+    got = sorted((str(r.id), " ".join(word[i] for i in r.ids)) for r in TP.encode_tokens(df, "id", "t", vocab).collect())
+    assert got == [("1", "a b"), ("1", "c"), ("2", "b a b"), ("2", "b a b"), ("3", ""), ("None", ""), ("None", "a")]
+
+
+def test_null_markers_are_dropped_from_pairs(spark, tmp_dir):
+    import os
+    path = os.path.join(tmp_dir, "p.csv")
+    with open(path, "w") as f:
+        f.write("idx,s,t\n0,a,b\n1,NA,b\n2,a,nan\n3,n/a,null\n4,NAN,none\n5,,b\n6,\"a,\"\"x\"\"\",b\n")
+    from pairmine.sources import io as IO
+    got = [(r.idx, r.s, r.t) for r in IO.read_pairs_csv(spark, path, "s", "t").orderBy("idx").collect()]
+    assert got == [(0, "a", "b"), (1, "NAN", "none"), (2, 'a,"x"', "b")]

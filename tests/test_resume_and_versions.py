@@ -153,3 +153,63 @@ def test_factories_go_through_sweep_and_stream(spark, tmp_dir):
     batch = spark.createDataFrame([(0, i, "a b", f"b {i}") for i in range(4)], INC.CANDIDATE_SCHEMA)
     assert INC.score_new_pairs(batch, f"{tmp_dir}/scored", scorer) == 4
     assert len(loads()) == len(set(loads())) and len(calls()) == len(set(calls()))
+
+
+# ---- sweeps that are kept as they go
+
+def sweep_into(spark, root, grid, scorer=None, quality=None, **kw):
+    from tests.test_scale_and_resume import _sweep_inputs
+    return SW.run_sweep_to(grid, f"{root}/results", f"{root}/pairs", *_sweep_inputs(spark), scorer=scorer,
+                           quality_expr=quality, best_dir=f"{root}/best", **kw)
+
+
+def refuse(ids):
+    """A quality that some configs never get: those with the given search_k."""
+    def quality(df):
+        return F.when(F.coalesce(F.least("ip_rank", "l2_rank"), F.lit(0)) > 3,
+                      F.raise_error("too far").cast("double")).otherwise(F.lit(0.9))
+    return quality
+
+
+@pytest.mark.parametrize("slice_rows", [1, 3, 100])
+def test_a_failing_config_stands_alone(spark, tmp_dir, slice_rows):
+    from tests.test_scale_and_resume import _grid
+    grid = _grid(spark, 5).withColumn("search_k", F.when(F.col("experiment_id") == 4, 9.0).otherwise(F.col("search_k")))
+    res = {r.experiment_id: r for r in sweep_into(spark, tmp_dir, grid, quality=refuse([4]), slice_rows=slice_rows).collect()}
+    assert {i: r.status for i, r in res.items()} == {1: "completed", 2: "completed", 3: "completed", 4: "failed", 5: "completed"}
+    assert res[4].error == "USER_RAISED_EXCEPTION: too far" and res[4].successful == 0 and res[4].search_k == 9
+    pairs = SW.sweep_pairs(spark, f"{tmp_dir}/results", f"{tmp_dir}/pairs")
+    assert {r.experiment_id: r["count"] for r in pairs.groupBy("experiment_id").count().collect()} == \
+        {i: r.successful for i, r in res.items() if r.successful}
+    assert sorted(r.experiment_id for r in SW.pending_experiments(grid, IO.read_results(spark, f"{tmp_dir}/results")).collect()) == [4]
+
+
+def test_a_killed_sweep_leaves_the_best_of_what_ran(spark, tmp_dir, monkeypatch):
+    from tests.test_scale_and_resume import _grid
+    grid = _grid(spark, 4).withColumn("quality_threshold", F.element_at(F.array(*[F.lit(x) for x in (2.0, 0.1, 0.1, 0.1)]),
+                                                                       F.col("experiment_id").cast("int")))
+    real, done = SW.run_sweep, []
+
+    def killed(*a, **kw):
+        if len(done) == 2:
+            raise KeyboardInterrupt          # not an error of a config: the driver dies
+        done.append(1)
+        return real(*a, **kw)
+    monkeypatch.setattr(SW, "run_sweep", killed)
+    with pytest.raises(KeyboardInterrupt):
+        sweep_into(spark, tmp_dir, grid, quality=lambda d: F.lit(0.9), slice_rows=1)
+    monkeypatch.setattr(SW, "run_sweep", real)
+    best = IO.read_best_pairs(spark, f"{tmp_dir}/best")
+    assert {r.experiment_id for r in best.collect()} == {2}
+    spark.createDataFrame([(3, "x", 0)], "experiment_id long, slice_run string, src_idx long").write.mode("append") \
+        .parquet(f"{tmp_dir}/pairs")         # pairs of a slice that died before its results
+    res = sweep_into(spark, tmp_dir, grid, quality=lambda d: F.lit(0.9), slice_rows=1)
+    assert res.filter("status = 'completed'").count() == 4
+    assert SW.sweep_pairs(spark, f"{tmp_dir}/results", f"{tmp_dir}/pairs").filter("tgt_idx is null").count() == 0
+    assert {r.experiment_id for r in IO.read_best_pairs(spark, f"{tmp_dir}/best").collect()} == {2}   # a tie: the first
+
+
+def test_error_texts_name_the_innermost_error():
+    assert SW.error_text(ValueError("plain")) == "ValueError: plain"
+    long = "An error occurred while calling o1.x.\n: org.x.Y\nCaused by: a.B: [DIVIDE_BY_ZERO] Division by zero. SQLSTATE: 22012\n at z"
+    assert SW.error_text(RuntimeError(long)) == "DIVIDE_BY_ZERO: Division by zero."
