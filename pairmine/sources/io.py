@@ -12,7 +12,7 @@ system on a cluster).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairmine.functions.scalar import py_strip
@@ -72,23 +72,92 @@ TRANSLATION_COLUMNS = {"source": "input", "prediction": "translation", "referenc
 
 def has_line_breaks(spark: SparkSession, path: str) -> bool:
     """Whether quoted fields of a CSV hold line breaks: some line has an odd number of quotes."""
-    odd = (F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1
-    return spark.read.text(path).filter(odd).limit(1).count() > 0
+    return spark.read.text(path).filter(_odd_quotes(F.col("value"))).limit(1).count() > 0
+
+
+def _odd_quotes(line):
+    return (F.length(line) - F.length(F.replace(line, F.lit('"')))) % 2 == 1
+
+
+def _running_state(batches):
+    """For each line of a split, in scan order: whether an odd number of quotes came before it
+    in the split, and how many records had begun up to it if the split began outside (no0) or
+    inside (no1) of quotes. A split is read by one task from its first to its last line."""
+    import numpy as np
+    import pyarrow as pa
+
+    split, inside, no = None, 0, [0, 0]
+    for b in batches:
+        if not b.num_rows:
+            continue
+        odd = b.column(b.schema.get_field_index("odd")).to_numpy(zero_copy_only=False).astype(np.int64)
+        where = list(zip(b.column(b.schema.get_field_index("_fp")).to_pylist(), b.column(b.schema.get_field_index("_fb")).to_pylist()))
+        cuts = [0] + [i for i in range(1, len(where)) if where[i] != where[i - 1]] + [len(where)]
+        before, nos = np.empty(len(odd), np.int64), [np.empty(len(odd), np.int64) for _ in (0, 1)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if where[lo] != split:
+                split, inside, no = where[lo], 0, [0, 0]
+            total = inside + np.cumsum(odd[lo:hi])
+            before[lo:hi] = (total - odd[lo:hi]) % 2
+            for k in (0, 1):
+                nos[k][lo:hi] = no[k] + np.cumsum(before[lo:hi] == k)
+                no[k] = int(nos[k][hi - 1])
+            inside = int(total[-1]) % 2
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before), *map(pa.array, nos)],
+                                         names=[*b.schema.names, "before", "no0", "no1"])
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of CSV files whose quoted fields may hold line breaks, read in splits:
+    ``(_fp, _fb, _pos, record)``, ordered by the first three.
+
+    A line break ends a record where the quotes before it are even (quotes stand around fields
+    and are doubled inside them). Every split counts its own quotes; the parity at its beginning
+    is the sum over the splits before it (one row per split), and so is the record that its first
+    lines may belong to. Lines that are a record by themselves stay where they are; only the
+    lines of longer records are brought together, by record. Text inside quotes stays as it is."""
+    lines = _file_ordered(spark.read.option("lineSep", "\n").text(path)).withColumn("odd", _odd_quotes(F.col("value")))
+    lines = lines.select("value", "_fp", "_fb", "_pos", "odd").mapInArrow(
+        _running_state, "value string, _fp string, _fb long, _pos long, odd boolean, before long, no0 long, no1 long")
+    order = Window.partitionBy("_fp").orderBy("_fb")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("_fp", "_fb").agg(F.sum(F.col("odd").cast("int")).alias("odd"), F.max("no0").alias("n0"), F.max("no1").alias("n1"))
+    splits = splits.withColumn("open", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
+    splits = splits.withColumn("n", F.when(F.col("open") == 0, F.col("n0")).otherwise(F.col("n1")))
+    last = F.last(F.when(F.col("n") > 0, F.struct(F.col("_fb").alias("fb"), F.col("n").alias("n"))), ignorenulls=True)
+    splits = splits.withColumn("carried", last.over(earlier)).select("_fp", "_fb", "open", "carried")
+    x = lines.join(splits, ["_fp", "_fb"])           # one row per split on the right: broadcast by its size
+    no = F.when(F.col("open") == 0, F.col("no0")).otherwise(F.col("no1"))
+    x = x.withColumn("starts", F.col("before") == F.col("open")).withColumn("no", no)
+    whole = x.filter("starts AND NOT odd").select("_fp", "_fb", F.col("no").alias("_pos"), F.col("value").alias("record"))
+    at = F.when(F.col("no") > 0, F.struct(F.col("_fb").alias("fb"), F.col("no").alias("n"))).otherwise(F.col("carried"))
+    parts = x.filter("NOT (starts AND NOT odd)").select("_fp", at.alias("at"), F.struct("_fb", "_pos", "value").alias("line"))
+    joined = parts.groupBy("_fp", "at").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list("line")), lambda v: v["value"]), "\n").alias("record"))
+    joined = joined.select("_fp", F.col("at.fb").alias("_fb"), F.col("at.n").alias("_pos"), "record")
+    return whole.unionByName(joined).withColumn("record", F.regexp_replace("record", "\r$", ""))
 
 
 def _read_csv(spark: SparkSession, path: str, columns, multi_line: bool | None) -> DataFrame:
-    """CSV with header, quotes doubled, a BOM dropped. Read in splits, unless fields hold
-    line breaks (``multi_line``; looked up in the files when None), which makes every file
-    one task."""
-    if multi_line is None:
-        multi_line = has_line_breaks(spark, path)
-    raw = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    """CSV with header, quotes doubled, a BOM dropped; the file-order key beside its columns.
+    Read in splits, by lines or, where quoted fields hold line breaks (looked up in the files),
+    by records. ``multi_line`` True leaves files with line breaks to the whole-file reader (one
+    task a file), for quotes that stand alone inside unquoted fields; False says there are none."""
+    split_records = multi_line is None and has_line_breaks(spark, path)
+    raw = (spark.read.option("header", True).option("multiLine", bool(multi_line)).option("escape", '"')
            .option("encoding", "UTF-8").csv(path))
-    raw = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
-    missing = [c for c in columns if c not in raw.columns]
+    names = [c.lstrip("\ufeff") for c in raw.columns]
+    missing = [c for c in columns if c not in names]
     if missing:
-        raise ValueError(f"missing columns {missing}; found {raw.columns}")
-    return raw
+        raise ValueError(f"missing columns {missing}; found {names}")
+    if not split_records:
+        return _file_ordered(raw).toDF(*names, "_fp", "_fb", "_pos")
+    records = csv_records(spark, path)
+    # The first record of a file is its header.
+    records = records.filter(~((F.col("_fb") == 0) & (F.col("_pos") == 1))).filter("record <> ''")
+    ddl = ", ".join(f"c{i} string" for i in range(len(names)))
+    parsed = records.select("_fp", "_fb", "_pos", F.from_csv("record", ddl, {"escape": '"', "multiLine": "true"}).alias("r"))
+    return parsed.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)], "_fp", "_fb", "_pos")
 
 
 def _nulled(df: DataFrame, cols, na_values) -> DataFrame:
@@ -101,8 +170,8 @@ def read_pairs_csv(spark: SparkSession, path: str, a: str, b: str, na_values=NUL
     """S2 + P2 + P3: two-column CSV with header; cells equal to one of ``na_values`` are
     null; rows with a null in either column dropped; both cast to string; ``idx`` in file
     order."""
-    raw = _read_csv(spark, path, (a, b), multi_line)
-    df = _nulled(_file_ordered(raw.select(a, b)), (a, b), na_values).dropna(subset=[a, b])
+    raw = _read_csv(spark, path, (a, b), multi_line).select(a, b, "_fp", "_fb", "_pos")
+    df = _nulled(raw, (a, b), na_values).dropna(subset=[a, b])
     df = df.withColumn(a, F.col(a).cast("string")).withColumn(b, F.col(b).cast("string"))
     return dense_index(df, ["_fp", "_fb", "_pos"]).select("idx", a, b)
 
@@ -117,9 +186,10 @@ def read_eval_csv(spark: SparkSession, path: str, source: str = "text",
     if not _path_exists(spark, path):
         return None
     raw = _read_csv(spark, path, (source, prediction, reference), multi_line)
-    idx = dense_index(_file_ordered(_nulled(raw, raw.columns, na_values)), ["_fp", "_fb", "_pos"], "row_id")
+    own = [c for c in raw.columns if c not in ("_fp", "_fb", "_pos")]
+    idx = dense_index(_nulled(raw, own, na_values), ["_fp", "_fb", "_pos"], "row_id")
     named = {"source": source, "prediction": prediction, "reference": reference}
-    return idx.select("row_id", *[c for c in raw.columns if c not in named],
+    return idx.select("row_id", *[c for c in own if c not in named],
                       *[F.col(c).cast("string").alias(n) for n, c in named.items()])
 
 
@@ -180,7 +250,6 @@ def append_results(df: DataFrame, path: str) -> None:
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """K3 read side: one row per experiment, the last written one."""
-    from pyspark.sql import Window
     df = spark.read.parquet(path)
     w = Window.partitionBy("experiment_id").orderBy(F.desc("written_at"))
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
