@@ -1,8 +1,10 @@
 """Toxicity by a weighted lexicon matched with Aho-Corasick.
 
-Texts and lexicon are folded alike: lower case, homoglyphs of other scripts to the Latin
-letters they imitate, digit substitutions to letters (0 o, 1 i, 3 e, ...; l counts as i,
-since 1 stands for both), everything else to spaces. The lexicon holds words and word
+Texts and lexicon are folded alike: compatibility forms (mathematical and full-width letters,
+ligatures) to their plain letters, accents and invisible format characters away, lower case,
+homoglyphs of other scripts to the Latin letters they imitate, digit and sign substitutions
+to letters (0 o, 1 i, 3 e, $ s, @ a, ...; l counts as i, since 1 stands for both), single letters
+that are spelled out with dots, dashes or stars between them to a word, other marks to spaces. The lexicon holds words and word
 beginnings with weights: the log odds of their document frequency in toxic against other
 training documents, and a prior list. All entries and the exception phrases are matched
 in one pass; a hit inside an exception phrase does not count. A text's score is a
@@ -20,6 +22,8 @@ coefficients are used; repeated rows are scored alike; an empty table gives an e
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -68,8 +72,22 @@ def _table() -> dict[int, str]:
 _FOLD = _table()
 
 
+# Accents, zero-width and other format characters, which are dropped.
+_DROPPED = {i: None for i in range(0x110000) if unicodedata.category(chr(i)) in ("Mn", "Me", "Cf")}
+# Signs that stand for a letter inside or at the beginning of a word.
+_SIGNS = [(re.compile(r"\$(?=[a-z$])|(?<=[a-z])\$"), "s"), (re.compile(r"@(?=[a-z])"), "a"),
+          (re.compile(r"(?<=[a-z])!(?=[a-z])"), "i")]
+_SPELLED = re.compile(r"(?<![a-z0-9])(?:[a-z0-9$@!][.\-_*]){2,}[a-z0-9$@!](?![a-z0-9])")
+_BETWEEN = re.compile(r"[.\-_*]")
+
+
 def fold(text: str) -> str:
-    return text.lower().translate(_FOLD)
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text).translate(_DROPPED)
+    text = _SPELLED.sub(lambda m: _BETWEEN.sub("", m[0]), text.lower())
+    for sign, letter in _SIGNS:
+        text = sign.sub(letter, text)
+    return text.translate(_FOLD)
 
 
 class Matcher:

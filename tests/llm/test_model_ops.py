@@ -19,6 +19,13 @@ def test_folding_undoes_homoglyphs_and_digits():
     assert m.features("You 1d10ts, а clоwn!") == (5.0, 2.0, 4.0)      # Cyrillic a and o
     assert m.features("class clown in a patriotic clownfish shop")[1] == 0     # exception; whole words; inside words
     assert m.features(None) == (0.0, 0.0, 0.0)
+    # Invisible characters, accents, compatibility letters, spelled-out words, signs.
+    for text in ("you id\u200biot", "you \u00efd\u00efot", "you i\u0301diot", "you \U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d",
+                 "you \uff49\uff44\uff49\uff4f\uff54", "you i.d.i.o.t!", "you i-d-1-0-t", "you id!ot", "you i\u00add\u200di\u2060ot"):
+        assert m.features(text)[:2] == (2.0, 1.0), text
+    assert toxicity.fold("$tupid a$$hole @ss") == toxicity.fold("stupid asshole ass")
+    for text in ("v. 1.2.3.4 e.g. A.B", "costs $5 or 5$", "mail me @ home!", "the id, i.e. otter"):
+        assert m.features(text)[1] == 0, text
 
 
 def _accuracy(spark, out, label):
