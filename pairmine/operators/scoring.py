@@ -127,7 +127,7 @@ def density_stats(targets: DataFrame, k_neighbors: int = 20, *, id_col: str = "i
     avg = S.clip(F.col("_avg"), -1.0, 1.0)
     return out.select(
         F.col("idx").alias("tgt_idx"),
-        F.coalesce(avg, F.lit(0.0)).alias("avg_neighbor_sim"),
+        F.when(F.col("_avg").isNull(), F.lit(0.0)).otherwise(avg).alias("avg_neighbor_sim"),
         F.when(F.col("_avg").isNull(), F.lit(0.5)).otherwise(S.density_from_avg(avg)).alias("density"),
         F.lit(n > 1).alias("has_neighbors"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pairmine.oracles import mining as OM
 from pairmine.oracles import sweep as OS
-from pairmine.oracles.mt import bleu_ctes, split, strip
+from pairmine.oracles.mt import bleu_ctes, ev_cte, meteor_ctes, split, strip
 from pairmine.oracles.prep import PAIRS
 
 # Fixed values, written out: the oracle shares no constant with the engine.
@@ -100,6 +100,16 @@ SELECT idx, {flat('src_text')} AS source, {flat('tgt_text')} AS reference FROM p
 SELECT src_idx, tgt_idx, pre_rank, round(quality, 9) AS quality FROM fp""",
         "sweep_results_kept": "WITH " + ",".join([grid, OS.sweep_cte("grid")]) + """
 SELECT experiment_id, status, successful, round(weighted_score, 9) AS weighted_score, error FROM res""",
+        "sweep_from_file": "WITH " + ",".join([OS.rows_sql(OS.BASELINE[:2], "grid"), OS.sweep_cte("grid")]) + f"""
+SELECT {', '.join(OS.RESULT_COLS)} FROM res""",
+        "aligned_first_n": f"""WITH {PAIRS}
+SELECT idx, {flat('src_text')} AS source, {flat('tgt_text')} AS reference FROM pairs WHERE idx < 100""",
+        "blank_references": "WITH " + ev_cte() + ", " + bleu_ctes() + ", " + meteor_ctes() + """
+SELECT b.row_id, round(bleu, 9) AS bleu, round(meteor, 9) AS meteor FROM bs_s b JOIN mt_s m USING (row_id)
+UNION ALL SELECT -1 - row_id, NULL, NULL FROM ev UNION ALL SELECT -1000000000 - row_id, NULL, NULL FROM ev""",
+        "density_non_finite": "WITH " + OM.vectors_cte() + ", " + OM.density_cte(20) + """
+SELECT tgt_idx, round(avg_neighbor_sim, 9) AS avg_neighbor_sim, round(density, 9) AS density, has_neighbors FROM dens
+UNION ALL SELECT idx + 1000000000, 0.0, 0.5, TRUE FROM tgt UNION ALL SELECT idx + 2000000000, 0.0, 0.5, TRUE FROM tgt""",
         "sweep_best_so_far": "WITH " + ",".join([OS.rows_sql(OS.BASELINE, "grid"), OS.sweep_cte("grid")]) + """,
 best AS (SELECT experiment_id FROM res WHERE status = 'completed' ORDER BY round(weighted_score, 9) DESC, experiment_id LIMIT 1)
 SELECT experiment_id, src_idx, tgt_idx, CAST(pre_rank AS INTEGER) AS pre_rank, round(final_score, 9) AS final_score,

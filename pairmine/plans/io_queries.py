@@ -250,7 +250,55 @@ def q_mine_corpus_resumed(spark, sf_dir):
     return _mined(spark, f"{root}/pairs")
 
 
+def q_sweep_from_file(spark, sf_dir):
+    """S5 + P7 + P8: all grids written as one CSV file, read from experiment 10001 on, the first two
+    of them run over the corpora."""
+    from pairmine.plans.mining_queries import _quality_expr
+    from pairmine.plans.sweep_queries import sweep_grid
+    from pairmine.sources.tables import corpora
+    c = corpora(spark, sf_dir)
+    path = _folder(spark)
+    sweep_grid(spark).withColumnRenamed("quality_threshold", "comet_threshold").write.option("header", True).csv(path)
+    grid = SW.read_param_grid(spark, path, start_from=10001, max_experiments=2)
+    res = SW.run_sweep(grid, c.src_vec, c.tgt_vec, c.src_attrs, c.tgt_attrs, quality_expr=_quality_expr, materialize=False)
+    return rounded(res.results)
+
+
+def q_aligned_first_n(spark, sf_dir):
+    """S4 + P7: the first 100 lines of two aligned files."""
+    pairs = training_pairs(spark, sf_dir).orderBy("idx")
+    root = _folder(spark)
+    for side in ("src_text", "tgt_text"):
+        pairs.select(F.concat(F.lit("> "), F.regexp_replace(side, "[\r\n]", " "))).write.text(f"{root}/{side}")
+    return IO.read_aligned_lines(spark, f"{root}/src_text", f"{root}/tgt_text", first_n=100)
+
+
+def q_blank_references(spark, sf_dir):
+    """Every evaluation row as it is, and again with a blank reference and without a prediction."""
+    from pairmine.operators import mt_metrics as MT
+    ev = eval_rows(spark, sf_dir).select("row_id", "prediction", "reference")
+    blank = ev.select((-1 - F.col("row_id")).alias("row_id"), "prediction", F.lit(" \n\t\u00a0").alias("reference"))
+    none = ev.select((-1_000_000_000 - F.col("row_id")).alias("row_id"), F.lit(None).cast("string").alias("prediction"), "reference")
+    return rounded(MT.metric_rows(ev.unionByName(blank).unionByName(none), ["bleu", "meteor"]))
+
+
+def q_density_non_finite(spark, sf_dir):
+    """The targets' density with a broken copy of every vector among them (one component
+    is no number, or infinite)."""
+    from pairmine.sources.tables import corpora
+    tgt = corpora(spark, sf_dir).tgt_vec
+    broken = tgt.select((F.col("idx") + 1_000_000_000).alias("idx"), F.transform(
+        "vec", lambda x, i: F.when(i > 0, x).otherwise(F.lit(float("nan"))).cast("float")).alias("vec"))
+    endless = tgt.select((F.col("idx") + 2_000_000_000).alias("idx"), F.transform(
+        "vec", lambda x, i: F.when(i > 0, F.lit(0.0)).otherwise(F.lit(float("inf"))).cast("float")).alias("vec"))
+    return rounded(SC.density_stats(tgt.unionByName(broken).unionByName(endless), CORPUS.k_neighbors))
+
+
 QUERIES = {
+    "sweep_from_file": q_sweep_from_file,
+    "aligned_first_n": q_aligned_first_n,
+    "blank_references": q_blank_references,
+    "density_non_finite": q_density_non_finite,
     "embed": q_embed,
     "translate": q_translate,
     "quality_score": q_quality_score,

@@ -62,7 +62,7 @@ def test_block_plan_is_square_and_bounded():
 def test_density_without_finite_neighbours_and_restricted(spark):
     nan = float("nan")
     two = {r.tgt_idx: r for r in SC.density_stats(vecs(spark, [(0, [nan, 0.0]), (1, [1.0, 0.0])]), 5).collect()}
-    assert two[0].density == 0.5 and two[0].has_neighbors          # bonus and penalty still apply (R16)
+    assert two[0].avg_neighbor_sim == 0.0 and two[0].density == 0.5 and two[0].has_neighbors          # bonus and penalty still apply (R16)
     rng = np.random.default_rng(4)
     tgt = vecs(spark, [(i, rng.normal(size=4).astype(float).tolist()) for i in range(40)])
     every = {r.tgt_idx: r.density for r in SC.density_stats(tgt, 5).collect()}
