@@ -10,15 +10,11 @@ depends on (SURVEY 4.4):
   the rows ranked within its k in either list;
 * density: once per target corpus;
 * quality (stand-in expression): once per candidate pair, before any expansion;
-* adaptive scoring: once per distinct (search_k, weights, z parameters) "stage B";
-* density adjustment and top-N: per config, reached by an equi-join of the
-  stage-B rows with the grid on ``b_id``.
+* everything that depends on the config (adaptive scoring, density adjustment, top-N): in one
+  vectorised pass per source over candidates x configs (``top_for_configs``).
 
 The grid is a table throughout, of any size: it is never collected nor written into the
-plan. The candidates are hash-partitioned on ``src_idx`` once; while adaptive execution
-can broadcast the grid (by its measured size), every later window, which partitions by
-``(config key, src_idx)``, uses that partitioning and the expansion does not cross the
-network; a larger grid is joined by shuffles.
+plan, but cut into chunks that meet blocks of sources.
 """
 
 from __future__ import annotations
@@ -28,6 +24,8 @@ import uuid
 from dataclasses import dataclass
 from itertools import chain
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +86,10 @@ BASELINE_ROWS = [
 # ---------------------------------------------------------------------------
 
 INT_PARAMS = {"search_k", "top_after_filtering"}
-STAGE_B_CHUNK = 256     # stage-B rows that one copy of the candidates is expanded by
+BLOCK_SOURCES = 512     # sources of a block, about, so that its candidates fit in a task
+GRID_CHUNK = 1024       # configs that meet a block of sources in one task
+NO_KEY = -(1 << 63)     # stands for a missing 64-bit key where nulls cannot travel
+CELLS = 1 << 20         # (config, candidate) cells computed at a time: about 100 bytes each
 
 
 def _typed(c: str) -> F.Column:
@@ -151,7 +152,6 @@ class SweepResult:
     ranked: DataFrame         # top-N rows of every experiment
 
 
-B_KEYS = ["search_k", "cosine_weight", "l2_weight", "base_weight", "z_weight", "z_threshold"]
 PARAMETERS = [c for c in GRID_COLUMNS if c != "experiment_id"]
 
 
@@ -162,6 +162,108 @@ def _errors(g: DataFrame) -> DataFrame:
                                         F.concat(F.lit("missing parameter: "), F.array_join(missing, ", "))))
 
 
+def score_cells(c: dict, g: dict) -> tuple:
+    """J4, A1, A2, W1, F1-F6 and W3 of one source for many configs at once.
+
+    ``c``: the source's candidates, arrays of n; ``g``: the configs, columns of shape (m, 1).
+    Returns (config, candidate, rank, values): the top ``top_after_filtering`` candidates of each
+    config, in rank order. The formulas are those of ``operators.scoring``."""
+    k = g["search_k"]
+    in_l2 = c["l2_rank"] <= k
+    inside = (c["ip_rank"] <= k) | in_l2
+    l2 = np.where(in_l2, 1.0 / (1.0 + c["sqd"]), 1.0 / (1.0 + np.sqrt(c["sqd"])))
+    score = g["cosine_weight"] * c["dot"] + g["l2_weight"] * l2
+    n = inside.sum(axis=1, keepdims=True)
+    count = np.maximum(n, 1)
+    mean = np.where(inside, score, 0.0).sum(axis=1, keepdims=True) / count
+    std = np.sqrt(np.where(inside, (score - mean) ** 2, 0.0).sum(axis=1, keepdims=True) / count)
+    on = ~((g["base_weight"] == 1.0) & (g["z_weight"] == 0.0))
+    degenerate = (n < 3) | (std < S.Z_EPS)
+    active = on & ~degenerate
+    z = np.where(active, np.clip((score - mean) / (std + S.Z_EPS), -S.Z_CLIP, S.Z_CLIP), 0.0)
+    adaptive = np.where(active, np.clip(g["base_weight"] * score + g["z_weight"] * np.clip(z / 3.0, -1.0, 1.0), 0.0, 1.0), score)
+    keep = inside & (~active | (z > g["z_threshold"]))
+    dense = ~((g["sparse_bonus"] == 0.0) & (g["crowded_penalty"] == 0.0)) & ~np.isnan(c["_density_raw"])
+    density = np.where(dense, c["_density_raw"], 0.5)
+    bonus = np.where(dense & (density > g["sparse_threshold"]), g["sparse_bonus"], 0.0)
+    penalty = np.where(dense & (density < g["crowded_threshold"]), g["crowded_penalty"], 0.0)
+    final = np.where(dense, np.clip(adaptive + bonus - penalty, 0.0, 1.0), adaptive)
+    # The best N by a partition: all that reach the N-th largest, ties included, are ordered.
+    top = np.maximum(g["top_after_filtering"], 0).astype(np.int64)
+    key = np.where(keep, final, -np.inf)
+    most = int(top.max(initial=0))
+    if 0 < most < key.shape[1]:
+        bound = -np.partition(-key, most - 1, axis=1)[:, most - 1:most]
+        keep &= key >= bound
+    config, cand = np.nonzero(keep)
+    second = np.where(on, adaptive, 0.0)[config, cand]
+    by = np.lexsort((c["tgt_idx"][cand], -second, -final[config, cand], config))
+    config, cand = config[by], cand[by]
+    first = np.searchsorted(config, np.arange(len(top)))
+    rank = np.arange(len(config)) - first[config] + 1
+    kept = rank <= top[config, 0]
+    config, cand, rank = config[kept], cand[kept], rank[kept]
+    at = (config, cand)
+    base = np.where(~on | ~degenerate, 1.0, np.nan) * score
+    values = {"cosine_score": c["dot"][cand], "l2_score": l2[at], "score": score[at], "base_score": base[at],
+              "z_score": z[at], "adaptive_score": adaptive[at], "density": density[at], "density_bonus": bonus[at],
+              "density_penalty": penalty[at], "final_score": final[at]}
+    return config, cand, rank, values
+
+
+def top_for_configs(base: DataFrame, valid: DataFrame, blocks: int) -> DataFrame:
+    """J13 + W3: the top-N rows of every config and source.
+
+    Blocks of sources meet chunks of the grid in one task each (a cogroup, as in the top-k
+    join): every candidate is sent once per grid chunk and every config once per source block,
+    and inside a task one vectorised pass over candidates x configs keeps N rows per config.
+    No candidate row is copied per config and nothing is sorted per config. Columns of
+    ``base`` that the formulas do not use are passed on."""
+    n_configs = valid.count()
+    n_chunks = max(1, -(-n_configs // GRID_CHUNK))
+    columns = ["src_idx", "tgt_idx", "dot", "sqd", "ip_rank", "l2_rank", "_density_raw"]
+    extra = [f for f in base.schema.fields if f.name not in columns + ["cosine_score"]]
+    # 64-bit keys with nulls would become floating point in pandas: a null travels as a number.
+    wide = {f.name for f in extra if f.dataType.simpleString() == "bigint"}
+    passed = lambda f: F.coalesce(f.name, F.lit(NO_KEY)).alias(f.name) if f.name in wide else F.col(f.name)
+    left = (base.withColumn("s_block", F.pmod(F.xxhash64("src_idx"), F.lit(blocks)).cast("int"))
+            .withColumn("g_chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+            .select("s_block", "g_chunk", *columns, *[passed(f) for f in extra]))
+    right = (valid.withColumn("chunk", F.pmod(F.xxhash64("experiment_id"), F.lit(n_chunks)).cast("int"))
+             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+    measured = ["cosine_score", "l2_score", "score", "base_score", "z_score", "adaptive_score", "density",
+                "density_bonus", "density_penalty", "final_score"]
+    schema = ("experiment_id long, quality_threshold double, src_idx long, tgt_idx long, " +
+              ", ".join(f"{c} double" for c in measured) + ", pre_rank int" +
+              "".join(f", {f.name} {f.dataType.simpleString()}" for f in extra))
+    names = [part.strip().split(" ")[0] for part in schema.split(", ")]
+
+    def run(cands: pd.DataFrame, grid: pd.DataFrame) -> pd.DataFrame:
+        if not len(cands) or not len(grid):
+            return pd.DataFrame({c: [] for c in names})
+        out = []
+        far = np.iinfo(np.int64).max
+        for _, own in cands.groupby("src_idx", sort=False):
+            own = own.reset_index(drop=True)
+            c = {x: own[x].to_numpy(np.float64) for x in ("dot", "sqd", "_density_raw")}
+            c |= {x: own[x].fillna(far).to_numpy(np.int64) if own[x].isna().any() else own[x].to_numpy(np.int64)
+                  for x in ("ip_rank", "l2_rank", "tgt_idx")}
+            step = max(1, CELLS // len(own))
+            for lo in range(0, len(grid), step):
+                part = grid.iloc[lo:lo + step]
+                g = {x: part[x].to_numpy()[:, None] for x in PARAMETERS}
+                config, cand, rank, values = score_cells(c, g)
+                rows = own.iloc[cand].reset_index(drop=True)
+                out.append(rows.assign(experiment_id=part["experiment_id"].to_numpy()[config],
+                                       quality_threshold=part["quality_threshold"].to_numpy()[config],
+                                       pre_rank=rank.astype(np.int32), **values)[names])
+        out = pd.concat(out)
+        return out.astype({f.name: object for f in extra if f.dataType.simpleString() == "string"})
+
+    out = left.groupBy("s_block", "g_chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(run, schema)
+    return out.withColumns({c: F.nullif(F.col(c), F.lit(NO_KEY)) for c in wide})
+
+
 def run_sweep(grid: DataFrame, src_vec: DataFrame, tgt_vec: DataFrame, src_attrs: DataFrame,
               tgt_attrs: DataFrame, *, quality_expr=None, scorer=None, k_neighbors: int = 20,
               materialize: bool = True, scored_before: DataFrame | None = None) -> SweepResult:
@@ -176,13 +278,7 @@ def run_sweep(grid: DataFrame, src_vec: DataFrame, tgt_vec: DataFrame, src_attrs
     spark = grid.sparkSession
     g = _errors(grid.select(*[_typed(c).alias(c) for c in GRID_COLUMNS]))
     valid = g.filter("error is null").drop("error")
-    # Stage-B rows: one per distinct (k, weights, z parameters), numbered over the grid's rows.
-    b_tbl = valid.select(*B_KEYS).distinct().withColumn(
-        "b_id", F.row_number().over(Window.orderBy(*B_KEYS)) - 1).withColumn(
-        "b_chunk", F.floor(F.col("b_id") / STAGE_B_CHUNK).cast("int"))
-    sizes = valid.agg(F.max("search_k").alias("k"), F.max("top_after_filtering").alias("n")).first()
-    k_max, n_max = int(sizes["k"] or 0), int(sizes["n"] or 0)
-    n_chunks = -(-b_tbl.count() // STAGE_B_CHUNK)
+    k_max = int(valid.agg(F.max("search_k")).first()[0] or 0)
 
     cands = exact_topk(src_vec, tgt_vec, k_max, by=("ip", "l2"))
     dens = SC.density_stats(tgt_vec, k_neighbors)
@@ -193,25 +289,9 @@ def run_sweep(grid: DataFrame, src_vec: DataFrame, tgt_vec: DataFrame, src_attrs
             .withColumn("cosine_score", F.col("dot")))
     if quality_expr is not None:
         base = base.withColumn("quality", quality_expr(base))
-    # The expansion by configs happens after this exchange, so its partition count is fixed:
-    # adaptive coalescing by the size before the expansion would leave too few tasks.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * default_parallelism(spark))
-    base = base.repartition(parts, "src_idx")
-
-    # stage B: one copy of the candidates per distinct (k, weights, z parameters)
-    p = SC.Params.columns()
-    x = base.withColumn("b_chunk", F.explode(F.sequence(F.lit(0), F.lit(max(n_chunks - 1, 0)))))
-    x = x.join(b_tbl, "b_chunk").drop("b_chunk")
-    x = x.filter((F.col("ip_rank") <= F.col("search_k")) | (F.col("l2_rank") <= F.col("search_k")))
-    x = x.withColumn("l2_rank", F.when(F.col("l2_rank") <= F.col("search_k"), F.col("l2_rank")))
-    x = SC.rescore_candidates(x, p)
-    x = SC.local_zscore(x, p, group_keys=["b_id"])
-    # stage C: every config of that stage B
-    c_cols = [c for c in GRID_COLUMNS if c not in B_KEYS]
-    configs = valid.join(b_tbl.drop("b_chunk"), B_KEYS).select("b_id", *c_cols, *B_KEYS)
-    x = x.drop(*B_KEYS).join(configs, "b_id")
-    x = SC.density_adjust(x, p)
-    ranked = SC.pre_rank(x, p, group_keys=["experiment_id"], at_most=n_max)
+    n_sources = src_vec.count()
+    ranked = top_for_configs(base, valid, max(parts, -(-n_sources // BLOCK_SOURCES)))
     if materialize:
         stage_root(spark)
         ranked = ranked.checkpoint(eager=True)
@@ -229,7 +309,7 @@ def run_sweep(grid: DataFrame, src_vec: DataFrame, tgt_vec: DataFrame, src_attrs
     # one pass over the ranked rows: chosen-pair aggregates and whether the config ran
     agg = RM.pair_aggregates(chosen, ["experiment_id"], where=F.col("is_chosen"),
                              extra=[F.count(F.lit(1)).alias("_n_ranked")])
-    return SweepResult(results=_result_rows(g, agg, src_vec.count()), final_pairs=final_pairs, ranked=ranked)
+    return SweepResult(results=_result_rows(g, agg, n_sources), final_pairs=final_pairs, ranked=ranked)
 
 
 def _result_rows(g: DataFrame, agg: DataFrame, n_sources: int) -> DataFrame:

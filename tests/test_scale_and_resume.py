@@ -109,10 +109,36 @@ def test_sweep_takes_a_large_grid(spark):
     assert n == {1: 100_000, 0: 100_000}
 
 
-def test_sweep_plan_has_a_group_limit(spark):
+def test_sweep_plan_sorts_nothing_per_config(spark, monkeypatch):
     src, tgt, sa, ta = _sweep_inputs(spark)
     r = SW.run_sweep(_grid(spark, 2), src, tgt, sa, ta, quality_expr=lambda d: F.lit(1.0), materialize=False).ranked
-    assert "WindowGroupLimit" in r._jdf.queryExecution().toString()
+    plan = r._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "experiment_id" not in "".join(
+        line for line in plan.splitlines() if "Window" in line)
+    # Chunks of the grid and of the cells make no difference.
+    grid = _grid(spark, 7).withColumn("base_weight", F.col("experiment_id") / 10).withColumn("search_k", F.col("experiment_id") + 1.0)
+    runs = []
+    for chunk, cells in ((1024, 1 << 20), (2, 10)):
+        monkeypatch.setattr(SW, "GRID_CHUNK", chunk)
+        monkeypatch.setattr(SW, "CELLS", cells)
+        out = SW.run_sweep(grid, src, tgt, sa, ta, quality_expr=lambda d: F.lit(1.0), materialize=False).ranked
+        runs.append(sorted(tuple(x) for x in out.select("experiment_id", "src_idx", "pre_rank", "tgt_idx", "final_score", "tgt_text_key").collect()))
+    assert runs[0] == runs[1] and len(runs[0]) > 20
+
+
+def test_sweep_equals_single_runs(spark):
+    src, tgt, sa, ta = _sweep_inputs(spark)
+    grid = _grid(spark, 6).withColumn("base_weight", F.when(F.col("experiment_id") == 1, 1.0).otherwise(0.5))
+    grid = grid.withColumn("z_weight", F.when(F.col("experiment_id") == 1, 0.0).otherwise(0.5))
+    grid = grid.withColumn("search_k", F.element_at(F.array(*[F.lit(float(k)) for k in (3, 2, 5, 8, 12, 1)]), F.col("experiment_id").cast("int")))
+    grid = grid.withColumn("top_after_filtering", F.col("experiment_id").cast("double"))
+    ranked = SW.run_sweep(grid, src, tgt, sa, ta, quality_expr=lambda d: F.lit(1.0), materialize=False).ranked
+    for r in grid.collect():
+        cfg = SC.MiningConfig(**{c: (int(r[c]) if c in SW.INT_PARAMS else r[c]) for c in SW.PARAMETERS})
+        one = M.mine_pairs(src, tgt, sa, ta, cfg, quality_expr=lambda d: F.lit(1.0), materialize=False).ranked
+        a, b = ([tuple(None if v is None else round(v, 9) for v in x) for x in df.select(*SC.RANKED_COLS).orderBy("src_idx", "pre_rank").collect()]
+                for df in (ranked.filter(F.col("experiment_id") == r["experiment_id"]), one))
+        assert a == b and a
 
 
 def test_every_pair_is_scored_once_over_all_outputs(spark, tmp_dir):
