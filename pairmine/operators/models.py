@@ -7,6 +7,10 @@ under its key (``process_cache``). Models are applied to Arrow batches inside
 failing batch is retried row by row and a failing row gets NULL plus an error message
 (M5). The networks themselves are not part of this library.
 
+A network pads every batch to its longest text. The rows of an Arrow batch are therefore
+taken in the order of their length, and a model batch holds at most ``batch_size`` rows and,
+padded, at most ``TOKEN_BUDGET`` tokens (white-space words; a longer text is a batch of its own).
+
 ``hashed_char_embedder`` is a deterministic **stand-in** (hashed character trigrams,
 L2-normalised), not a sentence encoder; ``copy_translator`` returns its input.
 """
@@ -43,6 +47,41 @@ def model_of(m):
     return m.model() if isinstance(m, Factory) else m
 
 
+TOKEN_BUDGET = 16_384      # tokens of a padded batch
+
+
+def token_counts(pdf: pd.DataFrame, cols) -> np.ndarray:
+    """White-space words of each row, of its longest column; a null has none."""
+    counts = [np.fromiter((len(t.split()) if isinstance(t, str) else 0 for t in pdf[c]), np.int64, len(pdf)) for c in cols]
+    return np.max(counts, axis=0) if counts else np.zeros(len(pdf), np.int64)
+
+
+def length_batches(tokens: np.ndarray, batch_size: int, budget: int | None = TOKEN_BUDGET) -> list[np.ndarray]:
+    """Row numbers of the model batches: rows by length, the longest first, up to ``batch_size``
+    rows and ``budget`` padded tokens. Without a budget the rows in their own order."""
+    if budget is None:
+        return [np.arange(s, min(s + batch_size, len(tokens))) for s in range(0, len(tokens), batch_size)]
+    order = np.argsort(-tokens, kind="stable")
+    out, at = [], 0
+    while at < len(order):
+        n = max(1, min(batch_size, budget // max(1, int(tokens[order[at]]))))
+        out.append(order[at:at + n])
+        at += n
+    return out
+
+
+def padding(tokens: np.ndarray, batches) -> int:
+    """Tokens that only pad: what the batches hold beyond their texts."""
+    return int(sum(len(b) * tokens[b].max() - tokens[b].sum() for b in batches if len(b)))
+
+
+def model_batches(it, cols, batch_size: int, budget: int | None = TOKEN_BUDGET):
+    """The model batches of a partition, data frames with a new index."""
+    for pdf in it:
+        for rows in length_batches(token_counts(pdf, cols), batch_size, budget):
+            yield pdf.iloc[rows].reset_index(drop=True)
+
+
 def hashed_char_embedder(dim: int = 64, n: int = 3) -> Callable[[pd.Series], np.ndarray]:
     """Stand-in encoder: signed counts of character n-grams hashed by MD5, L2-normalised.
     The first hex digit's parity gives the sign, the next four the cell."""
@@ -115,13 +154,10 @@ def embed(df: DataFrame, text_col: str, id_col: str = "idx", factory: Factory |
 
     def run(it):
         model = model_of(factory)
-        for pdf in it:
-            for s in range(0, len(pdf), batch_size):
-                part = pdf.iloc[s:s + batch_size]
-                vecs, err = safe_batch(model, [part[text_col].reset_index(drop=True)], len(part))
-                out = pd.DataFrame({id_col: part[id_col].to_numpy(np.int64),
-                                    "vec": unit_vectors(vecs)})
-                yield out.assign(error=err) if errors else out
+        for part in model_batches(it, [text_col], batch_size):
+            vecs, err = safe_batch(model, [part[text_col]], len(part))
+            out = pd.DataFrame({id_col: part[id_col].to_numpy(np.int64), "vec": unit_vectors(vecs)})
+            yield out.assign(error=err) if errors else out
 
     return df.select(id_col, text_col).mapInPandas(
         run, f"{id_col} long, vec array<float>" + (", error string" if errors else ""))
@@ -141,11 +177,9 @@ def translate(df: DataFrame, text_col: str, src_lang: str, tgt_lang: str, id_col
 
     def run(it):
         fn = model_of(translator)
-        for pdf in it:
-            for s in range(0, len(pdf), batch_size):
-                part = pdf.iloc[s:s + batch_size]
-                out, err = safe_batch(lambda x: fn(x, src_lang, tgt_lang), [part[text_col].reset_index(drop=True)], len(part))
-                yield pd.DataFrame({id_col: part[id_col].to_numpy(np.int64), "translation": out, "error": err})
+        for part in model_batches(it, [text_col], batch_size):
+            out, err = safe_batch(lambda x: fn(x, src_lang, tgt_lang), [part[text_col]], len(part))
+            yield pd.DataFrame({id_col: part[id_col].to_numpy(np.int64), "translation": out, "error": err})
 
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} long, translation string, error string")
 
@@ -158,15 +192,13 @@ def model_metric(df: DataFrame, scorer: Factory | Callable, name: str, src: str
 
     def run(it):
         metric = model_of(scorer)
-        for pdf in it:
-            for s in range(0, len(pdf), batch_size):
-                part = pdf.iloc[s:s + batch_size].reset_index(drop=True)
-                got, _ = safe_batch(metric, [part[src] if src else None, part[hyp], part[ref]], len(part))
-                vals = np.array([np.nan if v is None else float(v) for v in got])
-                blank = part[ref].isna() | (part[ref].fillna("").str.strip() == "")
-                vals[blank.to_numpy()] = np.nan
-                yield pd.DataFrame({"row_id": part["row_id"].to_numpy(np.int64),
-                                    name: pd.array([None if np.isnan(v) else v for v in vals], dtype="Float64")})
+        for part in model_batches(it, cols[1:], batch_size):
+            got, _ = safe_batch(metric, [part[src] if src else None, part[hyp], part[ref]], len(part))
+            vals = np.array([np.nan if v is None else float(v) for v in got])
+            blank = part[ref].isna() | (part[ref].fillna("").str.strip() == "")
+            vals[blank.to_numpy()] = np.nan
+            yield pd.DataFrame({"row_id": part["row_id"].to_numpy(np.int64),
+                                name: pd.array([None if np.isnan(v) else v for v in vals], dtype="Float64")})
 
     return df.select(*cols).mapInPandas(run, f"row_id long, {name} double")
 

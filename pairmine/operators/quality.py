@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairmine.operators.models import Factory, model_of, safe_batch
+from pairmine.operators.models import Factory, model_batches, model_of, safe_batch
 from pairmine.session import stage_root
 
 Scorer = Callable[[pd.Series, pd.Series], "np.ndarray | pd.Series | list"]
@@ -44,15 +44,12 @@ def _safe_batches(scorer: Factory | Scorer, batch_size: int):
 
     def run(it):
         model = model_of(scorer)
-        for pdf in it:
-            for start in range(0, len(pdf), batch_size):
-                part = pdf.iloc[start:start + batch_size].reset_index(drop=True)
-                got, err = safe_batch(lambda a, b: np.asarray(model(a, b), dtype=float).tolist(),
-                                      [part["src_text"], part["tgt_text"]], len(part))
-                q = [None if v is None or np.isnan(v) else v for v in got]
-                yield pd.DataFrame({"src_idx": part["src_idx"].to_numpy(np.int64),
-                                    "tgt_idx": part["tgt_idx"].to_numpy(np.int64),
-                                    "quality": pd.array(q, dtype="Float64"), "error": err})
+        for part in model_batches(it, ["src_text", "tgt_text"], batch_size):
+            got, err = safe_batch(lambda a, b: np.asarray(model(a, b), dtype=float).tolist(),
+                                  [part["src_text"], part["tgt_text"]], len(part))
+            q = [None if v is None or np.isnan(v) else v for v in got]
+            yield pd.DataFrame({"src_idx": part["src_idx"].to_numpy(np.int64), "tgt_idx": part["tgt_idx"].to_numpy(np.int64),
+                                "quality": pd.array(q, dtype="Float64"), "error": err})
 
     return run
 

@@ -213,3 +213,22 @@ def test_error_texts_name_the_innermost_error():
     assert SW.error_text(ValueError("plain")) == "ValueError: plain"
     long = "An error occurred while calling o1.x.\n: org.x.Y\nCaused by: a.B: [DIVIDE_BY_ZERO] Division by zero. SQLSTATE: 22012\n at z"
     assert SW.error_text(RuntimeError(long)) == "DIVIDE_BY_ZERO: Division by zero."
+
+
+def test_model_batches_by_length_waste_less_and_lose_nothing(spark):
+    import random
+
+    import numpy as np
+    rnd = random.Random(3)
+    texts = [None, ""] + [" ".join("w" * rnd.randint(1, 5) for _ in range(int(rnd.paretovariate(0.9)) % 3000)) for _ in range(2000)]
+    tokens = np.array([len((t or "").split()) for t in texts])
+    plain, sorted_ = (MD.length_batches(tokens, 32, b) for b in (None, 4096))
+    for batches in (plain, sorted_):
+        assert sorted(np.concatenate(batches).tolist()) == list(range(len(texts))) and max(map(len, batches)) <= 32
+    assert all(len(b) * tokens[b].max() <= 4096 or len(b) == 1 for b in sorted_)
+    before, after = MD.padding(tokens, plain), MD.padding(tokens, sorted_)
+    print("padding before", before, "after", after, "texts", tokens.sum())
+    assert after < 0.2 * before
+    df = spark.createDataFrame(list(enumerate(texts)), "idx long, t string").repartition(3)
+    sizes = MD.Factory("sizes", lambda: lambda x, a, b: [f"{len((t or '').split())}" for t in x])
+    assert {r.idx: int(r.translation) for r in MD.translate(df, "t", "a", "b", translator=sizes).collect()} == dict(enumerate(tokens.tolist()))
