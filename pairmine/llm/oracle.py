@@ -205,5 +205,65 @@ FROM f LEFT JOIN cut USING (stratum)
 """
 
 
+OP11 = r"""
+WITH tbl AS (SELECT list(list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                                     lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
+             FROM (SELECT unnest(range(256))::BIGINT AS n)),
+d AS (SELECT row_number() OVER () AS rid, doc_id,
+             list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+      FROM documents, tbl),
+e AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a FROM d),
+f AS (SELECT rid, doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1]
+               ELSE w[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END) ELSE w END AS w FROM e),
+p AS (SELECT rid, unnest(w) AS x, unnest(range(len(w))) AS i FROM f),
+g AS (SELECT rid, i, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' '
+                       || lead(x, 4) OVER o || ' ' || lead(x, 5) OVER o AS gram
+      FROM p WINDOW o AS (PARTITION BY rid ORDER BY i)),
+m AS (SELECT l.rid, l.i, r.i - l.i AS q FROM g l JOIN g r ON l.rid = r.rid AND l.gram = r.gram AND l.i < r.i),
+isl AS (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM m),
+st AS (SELECT rid, q, min(i) AS s, count(*) + 5 + q AS len FROM isl GROUP BY rid, q, island),
+runs AS (SELECT rid, s, len, min(q) AS q FROM st WHERE len >= 12 AND len >= 2 * q GROUP BY rid, s, len),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY rid ORDER BY len DESC, s, q) = 1),
+agg AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + len)) AS i FROM runs),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY i) AS t FROM p ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s::BIGINT AS start, b.len::BIGINT AS length, b.q::BIGINT AS period,
+       (1000 * b.len // b.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM f LEFT JOIN agg USING (rid) LEFT JOIN best b USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+
+def op12_sql() -> str:
+    """64 dimensions: parts of four components a, b, c, d."""
+    def assigned(name, book):
+        far = " + ".join(f"(p.{x} - k.{x}) * (p.{x} - k.{x})" for x in "abcd")
+        return f"{name} AS MATERIALIZED (SELECT rid, part, min(({far}) * 64 + e) AS m FROM p JOIN {book} k USING (part) GROUP BY ALL)"
+
+    def updated(name, book, near):
+        mean = ", ".join(f"CASE WHEN n IS NULL THEN k.{x} ELSE ((s{x} - ((s{x} % n) + n) % n) // n)::BIGINT END AS {x}" for x in "abcd")
+        sums = ", ".join(f"sum({x}) AS s{x}" for x in "abcd")
+        return (f"{name} AS MATERIALIZED (SELECT part, e, {mean} FROM {book} k LEFT JOIN (SELECT part, m % 64 AS e, count(*) AS n, "
+                f"{sums} FROM p JOIN {near} USING (rid, part) GROUP BY ALL) USING (part, e))")
+    steps = ",\n".join([assigned("a0", "b0"), updated("b1", "b0", "a0"), assigned("a1", "b1"), updated("b2", "b1", "a1"),
+                        assigned("a2", "b2")])
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rid, part, v[4 * part + 1] AS a, v[4 * part + 2] AS b, v[4 * part + 3] AS c, v[4 * part + 4] AS d
+                   FROM v, (SELECT unnest(range(16)) AS part)),
+b0 AS MATERIALIZED (SELECT part, e, a, b, c, d FROM p JOIN
+       (SELECT rid, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM v QUALIFY e < 64) USING (rid)),
+{steps},
+r AS (SELECT rid, string_agg(printf('%02x', m % 64), '' ORDER BY part) AS code, sum(m // 64)::BIGINT AS error FROM a2 GROUP BY rid),
+sha AS (SELECT sha256(string_agg(a || ',' || b || ',' || c || ',' || d, ',' ORDER BY part, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM v JOIN r USING (rid), sha
+"""
+
+
 SQL = {"op2_license_scan": op2_sql(), "op4_quality_rules": op4_sql(), "op7_mix_sources": OP7,
-       "op10_suffix_array_dedup": OP10}
+       "op10_suffix_array_dedup": OP10, "op11_periodic_runs": OP11, "op12_vector_codes": op12_sql()}
