@@ -114,11 +114,15 @@ def rates(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed:
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
     """The mixed corpus: every row of ``docs`` (all its columns) repeated ``copies`` times.
 
-    Texts are not shuffled while the per-source table is within the broadcast bound. Rows of
-    groups that are alike are first counted by all their columns (pre-aggregated)."""
-    groups = _narrow(docs)
-    sized = groups.select("source", (F.col("size") * F.col("m")).alias("size"))
-    plan = staged(source_targets(sized, weights, max_repeat), "mixplan")
+    Texts are not shuffled while the per-source table is within the broadcast bound. Rows that are
+    alike are found by two hashes; only those are then counted by all their columns
+    (pre-aggregated)."""
+    alike_of = [F.col("doc_id"), F.col("doc_id").isNull(), F.col("source"), F.col("source").isNull(),
+                F.coalesce(F.col("text"), F.lit(""))]
+    hashes = {"_mix_a": F.xxhash64(*alike_of), "_mix_b": F.xxhash64(F.lit("second"), *alike_of)}
+    narrow = staged(docs.select("source", word_count(F.col("text")).alias("size"),
+                                *[h.alias(c) for c, h in hashes.items()]), "mix")
+    plan = staged(source_targets(narrow, weights, max_repeat), "mixplan")
     plan = checked_broadcast(plan.select(F.col("source").alias("_mix_source"), _rate(max_repeat).alias("_mix_rate")),
                              MAX_BROADCAST_SOURCES)
     of_source = F.col("source").eqNullSafe(F.col("_mix_source"))
@@ -130,13 +134,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: st
         return repeated(out, "_mix_copies", "_mix_copy").select(*columns)
 
     key = seed_text(F.col("doc_id"), F.col("text"))
-    alike = groups.filter("m > 1").select(F.col("key").alias("_mix_key"), F.col("h").alias("_mix_h")).distinct()
+    alike = staged(narrow.groupBy(*hashes).count().filter("count > 1").select(*hashes), "mixalike")
     if alike.isEmpty():
         return emitted(docs, F.lit(1), key)
-    keyed = docs.withColumn("_mix_key", key).withColumn("_mix_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    alike = checked_broadcast(staged(alike, "mixalike"), MAX_BROADCAST_SOURCES)
-    single = keyed.join(alike, ["_mix_key", "_mix_h"], "left_anti")
-    many = keyed.join(alike, ["_mix_key", "_mix_h"], "left_semi").groupBy("_mix_key", *columns).agg(F.count("*").alias("_mix_m"))
+    keyed = docs.withColumns(hashes).withColumn("_mix_key", key)
+    alike = checked_broadcast(alike, MAX_BROADCAST_SOURCES)
+    single = keyed.join(alike, list(hashes), "left_anti")
+    many = keyed.join(alike, list(hashes), "left_semi").groupBy("_mix_key", *columns).agg(F.count("*").alias("_mix_m"))
     # Rows of one id and text that differ elsewhere draw apart.
     apart = F.concat_ws(":", "_mix_key", F.xxhash64(*columns).cast("string"))
     return emitted(single, F.lit(1), F.col("_mix_key")).unionByName(emitted(many, F.col("_mix_m"), apart))
