@@ -16,7 +16,7 @@ Plan (blocked matrix product, no index object):
   ``row_number`` window of its own (planned as ``WindowGroupLimit``), and the two are put
   together by key. The true top-k of a source is always among the rows of its blocks.
 
-A NULL vector takes no part. A pair whose similarity is not finite is never a candidate,
+A NULL vector, and one of another length than most targets, takes no part. A pair whose similarity is not finite is never a candidate,
 and does not cost its source the finite ones. Work is O(S*T*d) as for any exact flat
 search. Similarities are rounded to 9 decimals before ranking, so that tile shapes (BLAS
 summation order) and duplicate vectors cannot change the order.
@@ -166,10 +166,14 @@ def exact_topk(src: DataFrame, tgt: DataFrame, k: int, *, src_id: str = "idx",
     want_ip, want_l2 = "ip" in by, "l2" in by
     s = src.select(F.col(src_id).cast("long").alias("id"), F.col(vec).alias("vec")).filter("vec is not null")
     t = tgt.select(F.col(tgt_id).cast("long").alias("id"), F.col(vec).alias("vec")).filter("vec is not null")
-    n_s, n_t = s.count() if n_src is None else n_src, t.count()
-    if n_s == 0 or n_t == 0 or k <= 0:
+    sizes = t.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    if sizes is None or k <= 0:
+        return spark.createDataFrame([], KNN_SCHEMA)
+    dim, n_t = sizes["dim"], sizes["count"]
+    s, t = (x.filter(F.size("vec") == dim) for x in (s, t))
+    n_s = s.count() if n_src is None else n_src
+    if n_s == 0:
         return spark.createDataFrame([], KNN_SCHEMA)
-    dim = int(t.select(F.size("vec")).first()[0])
     n_sb, n_tb = plan_blocks(n_s, n_t, dim, default_parallelism(spark))
     n_sb, n_tb = n_src_blocks or n_sb, n_tgt_blocks or n_tb
 

@@ -101,3 +101,12 @@ def test_mine_pairs_with_plugin_scorer(spark):
     assert [r.tgt_idx for r in fp] == [1, 1]
     m = res.metrics.collect()[0]
     assert m.total == 2 and m.successful == 2 and m.failed == 0
+
+
+def test_vectors_of_another_length_take_no_part(spark):
+    from pairmine.operators import knn
+    src = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0]), (2, None)], "idx long, vec array<float>")
+    tgt = spark.createDataFrame([(0, [0.5, 0.0]), (1, [0.1, 0.2]), (2, [9.0, 9.0, 9.0]), (3, [])], "idx long, vec array<float>")
+    out = knn.exact_topk(src, tgt, 5).collect()
+    assert sorted((r.src_idx, r.tgt_idx) for r in out) == [(0, 0), (0, 1)]
+    assert knn.exact_topk(src, tgt.filter("idx > 5"), 5).count() == 0
