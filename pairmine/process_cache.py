@@ -20,3 +20,13 @@ def process_cached(key: str, build: Callable[[], Any]) -> Any:
     if key not in store:
         store[key] = build()
     return store[key]
+
+
+def process_latest(slot: str, key: str, build: Callable[[], Any]) -> Any:
+    """Like ``process_cached``, but a slot holds the value of its latest key only: for values
+    of which a long-lived worker meets many, one after the other (models fitted per run)."""
+    store = sys.modules.setdefault(_NAME, types.ModuleType(_NAME)).__dict__
+    held = store.get(slot)
+    if held is None or held[0] != key:
+        held = store[slot] = (key, build())
+    return held[1]

@@ -232,3 +232,11 @@ def test_model_batches_by_length_waste_less_and_lose_nothing(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "idx long, t string").repartition(3)
     sizes = MD.Factory("sizes", lambda: lambda x, a, b: [f"{len((t or '').split())}" for t in x])
     assert {r.idx: int(r.translation) for r in MD.translate(df, "t", "a", "b", translator=sizes).collect()} == dict(enumerate(tokens.tolist()))
+
+
+def test_a_slot_keeps_the_latest_value_only():
+    from pairmine.process_cache import process_latest
+    built = []
+    for key in ("a", "a", "b", "a"):
+        assert process_latest("test-slot", key, lambda: built.append(key) or key.upper()) == key.upper()
+    assert built == ["a", "b", "a"]
