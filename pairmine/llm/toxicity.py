@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairmine.process_cache import process_cached
+from pairmine.process_cache import process_latest
 
 TRAIN_ROWS = 12_000     # labelled rows used for learning, at most
 FOLDS = 5               # crc32(doc_id) mod 5; fold 0 is held out
@@ -215,7 +215,7 @@ class Model:
 
         @F.pandas_udf("double")
         def toxicity(texts: pd.Series) -> pd.Series:
-            m = process_cached(key, lambda: Matcher(entries))
+            m = process_latest("toxicity-matcher", key, lambda: Matcher(entries))
             found = [m.features(t) for t in texts]
             if not found:
                 return pd.Series([], dtype=float)
