@@ -201,11 +201,13 @@ def test_a_killed_sweep_leaves_the_best_of_what_ran(spark, tmp_dir, monkeypatch)
     monkeypatch.setattr(SW, "run_sweep", real)
     best = IO.read_best_pairs(spark, f"{tmp_dir}/best")
     assert {r.experiment_id for r in best.collect()} == {2}
-    spark.createDataFrame([(3, "x", 0)], "experiment_id long, slice_run string, src_idx long").write.mode("append") \
-        .parquet(f"{tmp_dir}/pairs")         # pairs of a slice that died before its results
+    pairs = f"{tmp_dir}/pairs"             # pairs of a slice that died before its results
+    dead = spark.read.parquet(pairs).limit(1).withColumns({"experiment_id": F.lit(3).cast("long"), "slice_run": F.lit("x")})
+    dead.checkpoint(eager=True).write.mode("append").parquet(pairs)
     res = sweep_into(spark, tmp_dir, grid, quality=lambda d: F.lit(0.9), slice_rows=1)
     assert res.filter("status = 'completed'").count() == 4
-    assert SW.sweep_pairs(spark, f"{tmp_dir}/results", f"{tmp_dir}/pairs").filter("tgt_idx is null").count() == 0
+    kept = SW.sweep_pairs(spark, f"{tmp_dir}/results", pairs).groupBy("experiment_id").count().collect()
+    assert {r["experiment_id"]: r["count"] for r in kept} == {2: 4, 3: 4, 4: 4}
     assert {r.experiment_id for r in IO.read_best_pairs(spark, f"{tmp_dir}/best").collect()} == {2}   # a tie: the first
 
 
