@@ -11,6 +11,7 @@ its size, so it is broadcast to the encoder join.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,10 +126,15 @@ def padding_mask(arr: Column, pad: int = PAD) -> Column:
 
 def causal_mask(arr: Column, pad: int = PAD) -> Column:
     """The decoder mask row by row: (id != PAD) and column <= row. L x L, built only
-    on request."""
-    n = F.size(arr)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(
-        arr, lambda x, j: F.when((x != pad) & (j <= i), 1).otherwise(0)))
+    on request. (An array of one lets the rows' lambda hold the padding mask, which is made once.)"""
+    return F.element_at(F.transform(F.array(padding_mask(arr, pad)), lambda mask: F.transform(
+        F.sequence(F.lit(0), F.size(mask) - 1), lambda i: F.concat(
+            F.slice(mask, F.lit(1), i + 1), F.array_repeat(F.lit(0), F.size(mask) - i - 1)))), 1)
+
+
+def causal_mask_array(ids: np.ndarray, pad: int = PAD) -> np.ndarray:
+    """``causal_mask`` of one id sequence inside a task, as an L x L array of 0 and 1."""
+    return np.tril(np.broadcast_to((ids != pad).astype(np.uint8), (len(ids), len(ids))))
 
 
 def masks(df: DataFrame) -> DataFrame:

@@ -7,10 +7,15 @@ Positions follow (conv_id, turn).
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairmine.operators import trainprep as TP
+from pairmine.session import default_parallelism
 from pairmine.sources.dense_index import dense_index
 from pairmine.sources.tables import table
 
@@ -93,12 +98,30 @@ def q_masks(spark, sf_dir):
                     _ids(F.col("decoder_padding_mask")).alias("decoder_padding_mask"))
 
 
+def _written_masks(batches):
+    """Of each row of the decoder mask of (idx, decoder_input): idx, row, the number of ones and the
+    hash of its digits with spaces between. One pair's mask is held at a time."""
+    for b in batches:
+        for idx, ids in zip(b.column(0), b.column(1)):
+            mask = TP.causal_mask_array(np.array(ids.as_py(), np.int64))
+            n = len(mask)
+            digits = np.full((n, 2 * n), ord(" "), np.uint8)
+            digits[:, ::2] = mask + ord("0")
+            text = digits[:, :-1].tobytes()
+            md5 = [hashlib.md5(text[a:a + 2 * n - 1]).hexdigest() for a in range(0, len(text), 2 * n - 1)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([idx.as_py()] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)),
+                 pa.array(mask.sum(axis=1, dtype=np.int32)), pa.array(md5, pa.string())],
+                names=["idx", "row", "ones", "mask_md5"])
+
+
 def q_causal_mask(spark, sf_dir):
     """D7, the whole decoder mask of every pair at the full length: of each of its rows the
-    number of ones and the hash of the row written out."""
-    p = _packed(spark, sf_dir).select("idx", F.posexplode(TP.causal_mask(F.col("decoder_input"))).alias("row", "mask"))
-    ones = F.aggregate("mask", F.lit(0), lambda a, x: a + x)
-    return p.select("idx", "row", ones.alias("ones"), F.md5(_ids(F.col("mask"))).alias("mask_md5"))
+    number of ones and the hash of the row written out. The masks, far larger than the pairs, are
+    made where they are written out; the number of tasks must not follow the size of the pairs."""
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * default_parallelism(spark))
+    pairs = _packed(spark, sf_dir).select("idx", "decoder_input").repartition(parts, "idx")
+    return pairs.mapInArrow(_written_masks, "idx long, row int, ones int, mask_md5 string")
 
 
 def q_mask_labels(spark, sf_dir):

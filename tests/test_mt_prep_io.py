@@ -1,11 +1,14 @@
 """FX-9..FX-12: translation metrics, packing, splits, vocabulary, line readers, sinks."""
+import hashlib
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pairmine.operators import mt_metrics as MT
 from pairmine.operators import trainprep as TP
+from pairmine.plans import prep_queries as PQ
 from pairmine.sources import io as IO
 from pairmine.sources.dense_index import dense_index
 
@@ -175,3 +178,24 @@ def test_null_markers_are_dropped_from_pairs(spark, tmp_dir):
     from pairmine.sources import io as IO
     got = [(r.idx, r.s, r.t) for r in IO.read_pairs_csv(spark, path, "s", "t").orderBy("idx").collect()]
     assert got == [(0, "a", "b"), (1, "NAN", "none"), (2, 'a,"x"', "b")]
+
+
+def test_causal_mask_is_the_same_in_a_task_and_written_out(spark, tmp_dir):
+    rows = [(0, [2, 21, 0]), (1, [2, 5, 6, 7]), (2, [0])]
+    df = spark.createDataFrame(rows, "idx long, ids array<long>")
+    whole = {r.idx: r.m for r in df.select("idx", TP.causal_mask(F.col("ids")).alias("m")).collect()}
+    for idx, ids in rows:
+        assert whole[idx] == TP.causal_mask_array(np.array(ids)).tolist()
+        assert whole[idx] == [[int(x != 0 and j <= i) for j, x in enumerate(ids)] for i in range(len(ids))]
+    turns = [(c, t, ("user", "assistant")[t], " ".join("abcdefgh"[:c + t + 1])) for c in range(5) for t in range(2)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_dir}/conversations.parquet")
+    out = PQ.q_causal_mask(spark, tmp_dir)
+    # the masks are large, the pairs small: the tasks do not follow the pairs' size
+    assert out.rdd.getNumPartitions() >= 16
+    got = {(r.idx, r.row): (r.ones, r.mask_md5) for r in out.collect()}
+    packed = PQ._packed(spark, tmp_dir).collect()
+    assert len(got) == 5 * TP.SEQ_LEN and len(packed) == 5
+    for r in packed:
+        for i in (0, 1, TP.SEQ_LEN - 1):
+            row = [int(x != 0 and j <= i) for j, x in enumerate(r.decoder_input)]
+            assert got[r.idx, i] == (sum(row), hashlib.md5(" ".join(map(str, row)).encode()).hexdigest())
