@@ -5,18 +5,21 @@ Plan (blocked matrix product, no index object):
 
 * Both sides are hashed into blocks: ``sb = xxhash64(id) mod n_sb`` and
   ``tb = xxhash64(id) mod n_tb``. A block holds at most about ``BLOCK_BYTES`` of vectors;
-  beyond that the grid has about two block pairs per core, shaped so that the vectors sent
-  (each source to n_tb blocks, each target to n_sb) are fewest. ``cogroup`` on ``(sb, tb)``
-  brings one source and one target block together in one task.
+  beyond that the grid has a few block pairs per core, shaped so that the bytes sent (each
+  source to n_tb blocks, which all send lists back, each target to n_sb) are fewest.
+  ``cogroup`` on ``(sb, tb)`` brings one source and one target block together in one task.
 * In the task the product is computed in tiles of at most ``TILE_PAIRS`` pairs and the k
   best targets per source (ties: similarity, then the smaller target id) are kept as the
-  tiles go by, so memory follows the blocks and the tile, not their product. A task emits
-  at most ``2k`` rows per source; pairs are never materialised.
+  tiles go by, so memory follows the blocks and the tile, not their product. A single-precision
+  product with a proven error bound passes over the pairs that cannot enter a list; the others
+  are computed in double precision. A task emits at most ``2k`` rows per source; pairs are
+  never materialised.
 * With several target blocks each of the two lists is cut to k per source by a
   ``row_number`` window of its own (planned as ``WindowGroupLimit``), and the two are put
   together by key. The true top-k of a source is always among the rows of its blocks.
 
-A NULL vector, and one of another length than most targets, takes no part. A pair whose similarity is not finite is never a candidate,
+A NULL vector, one of another length than most targets, and one with a component that is null or
+not finite (it has no finite similarity) takes no part. A pair whose similarity is not finite is never a candidate,
 and does not cost its source the finite ones. Work is O(S*T*d) as for any exact flat
 search. Similarities are rounded to 9 decimals before ranking, so that tile shapes (BLAS
 summation order) and duplicate vectors cannot change the order.
@@ -40,6 +43,16 @@ BLOCK_BYTES = 64 * 1024 * 1024
 TILE_PAIRS = 2 * 1024 * 1024
 # A block pair below this many pairs is not worth a task of its own.
 MIN_TASK_PAIRS = 2 * 1024 * 1024
+# Pairs of a tile that are computed one by one, at once; with more than one in DENSE of a tile the
+# whole tile is computed.
+PAIRS_AT_ONCE = 1 << 16
+DENSE = 16
+# Squared lengths up to this can be multiplied in single precision.
+MAX_SINGLE = 1e30
+# Bytes of one row of a list on its way to the merge, about.
+RESULT_BYTES = 48
+# Block pairs per core; partitions that they are dealt to, per block pair (few share one).
+TASKS_PER_CORE, ROOM = 2, 4
 
 KNN_SCHEMA = ("src_idx long, tgt_idx long, dot double, sqd double, "
               "ip_rank int, l2_rank int")
@@ -71,57 +84,135 @@ def _select_topk(key: np.ndarray, tid: np.ndarray, k: int, ascending: bool):
 
 
 class _Best:
-    """The k best (row, target) pairs per source row over the tiles seen so far."""
-
-    def __init__(self, k: int, ascending: bool):
-        self.k, self.ascending = k, ascending
-        self.cols = None      # row, target id, dot, sqd
-
-    def add(self, key, tid, dot, sqd, row0):
-        r, c, _ = _select_topk(key, tid, self.k, self.ascending)
-        new = (r + row0, tid[c], dot[r, c], sqd[r, c])
-        if self.cols is not None:
-            new = tuple(np.concatenate(x) for x in zip(self.cols, new))
-        rows, ids, d, q = new
-        order = np.lexsort((ids, q if self.ascending else -d, rows))
+    """The k best (row, target) pairs per source row over the tiles seen so far.
+
+    Targets come in ascending order of their ids, so a pair that only equals a full list's last
+    one cannot enter it: ``limit`` is what a pair has to exceed. New pairs are gathered and
+    put in order from time to time."""
+
+    def __init__(self, n_rows: int, k: int, ascending: bool):
+        self.n_rows, self.k, self.ascending = n_rows, k, ascending
+        self.limit = np.full(n_rows, -np.inf)
+        self.held, self.n_new = [], 0
+
+    def value(self, dot, sqd):
+        return -sqd if self.ascending else dot
+
+    def add(self, rows, cols, dot, sqd):
+        """Pairs in ascending order of their target within a row, as far as they tie."""
+        value = self.value(dot, sqd)
+        with np.errstate(invalid="ignore"):
+            keep = np.isfinite(value) & (value > self.limit[rows])
+        if not keep.any():
+            return
+        self.held.append(tuple(x[keep] for x in (rows, cols, dot, sqd)))
+        self.n_new += int(keep.sum())
+        if 2 * self.n_new >= self.n_rows * self.k or len(self.held) == 1:
+            self.settle()
+
+    def settle(self):
+        if not self.held:
+            none = np.zeros(0, np.int64)
+            self.rank = none
+            return (none, none, np.zeros(0), np.zeros(0))
+        rows, cols, dot, sqd = (np.concatenate(x) for x in zip(*self.held))
+        order = np.argsort(-self.value(dot, sqd), kind="stable")
+        small = rows.astype(np.uint16) if self.n_rows <= 1 << 16 else rows
+        order = order[np.argsort(small[order], kind="stable")]
         rows = rows[order]
-        pos = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        order = order[pos < self.k]
-        self.cols = tuple(x[order] for x in new)
-        self.rank = pos[pos < self.k] + 1
+        count = np.bincount(rows, minlength=self.n_rows)
+        pos = np.arange(len(rows)) - (np.cumsum(count) - count)[rows]
+        keep = pos < self.k
+        order, self.rank = order[keep], pos[keep] + 1
+        best = (rows[keep], cols[order], dot[order], sqd[order])
+        last = self.rank == self.k
+        self.limit[best[0][last]] = self.value(best[2][last], best[3][last])
+        self.held, self.n_new = [best], 0
+        return best
+
+
+def _both_lists(sid, tid, lists: dict) -> pd.DataFrame:
+    """One row per pair of the given lists (rank column -> (rows, cols, dot, sqd), ranks)."""
+    if len(lists) == 2 and len(np.unique(tid)) == len(tid) and len(np.unique(sid)) == len(sid):
+        keys = [rows * len(tid) + cols for (rows, cols, _, _), _ in lists.values()]
+        every = np.unique(np.concatenate(keys))
+        dot, sqd = np.empty(len(every)), np.empty(len(every))
+        part = pd.DataFrame({"src_idx": sid[every // len(tid)], "tgt_idx": tid[every % len(tid)], "dot": dot, "sqd": sqd})
+        for key, (name, ((_, _, d, q), rank)) in zip(keys, lists.items()):
+            at = np.searchsorted(every, key)
+            dot[at], sqd[at] = d, q
+            ranks, missing = np.zeros(len(every), np.int32), np.ones(len(every), bool)
+            ranks[at], missing[at] = rank, False
+            part[name] = pd.arrays.IntegerArray(ranks, missing)
+        part["dot"], part["sqd"] = dot, sqd
+        return part
+    part = None             # ids that repeat meet each other's ranks
+    for name, ((rows, cols, d, q), rank) in lists.items():
+        f = pd.DataFrame({"src_idx": sid[rows], "tgt_idx": tid[cols], "dot": d, "sqd": q,
+                          name: pd.array(rank, dtype="Int32")})
+        part = f if part is None else part.merge(f, on=["src_idx", "tgt_idx", "dot", "sqd"], how="outer")
+    for name in ("ip_rank", "l2_rank"):
+        if name not in part:
+            part[name] = pd.array([None] * len(part), dtype="Int32")
+    return part
 
 
 def block_topk(sid, S, tid, T, k: int, want_ip: bool, want_l2: bool) -> pd.DataFrame:
-    """Top-k lists of one source block against one target block, tile by tile."""
-    s_sq, t_sq = (S * S).sum(axis=1), (T * T).sum(axis=1)
+    """Top-k lists of one source block against one target block, tile by tile.
+
+    A tile's product is taken in single precision first. Its error is bounded by the vectors'
+    lengths; a pair that cannot reach its source's list even so is passed over, and the others are
+    computed in double precision, so the lists are those of double precision throughout. (Lengths
+    that single precision cannot hold are multiplied in double precision from the start.)"""
+    fine = np.isfinite(S).all(axis=1)
+    sid, S = sid[fine], S[fine]
+    fine = np.isfinite(T).all(axis=1)
+    tid, T = tid[fine], T[fine]
+    cols = ["src_idx", "tgt_idx", "dot", "sqd", "ip_rank", "l2_rank"]
+    if not len(sid) or not len(tid) or k <= 0:
+        return pd.DataFrame({c: [] for c in cols})
+    by = np.argsort(tid, kind="stable")
+    tid, T = tid[by], T[by]
+    with np.errstate(over="ignore"):
+        s_sq, t_sq = (S * S).sum(axis=1), (T * T).sum(axis=1)
+        s_len, t_len = np.sqrt(s_sq), np.sqrt(t_sq.max())
+        rough = np.float32 if max(s_sq.max(), t_sq.max()) < MAX_SINGLE else np.float64
+        unit = (S.shape[1] + 8) * np.finfo(rough).eps
+        slack = {"ip_rank": np.nan_to_num(unit * s_len * t_len, nan=np.inf) + 10.0 ** -SIM_DECIMALS,
+                 "l2_rank": np.nan_to_num(unit * (s_len + t_len) ** 2, nan=np.inf) + 10.0 ** -SIM_DECIMALS}
+    s_rough, t_rough, t_half = S.astype(rough), T.astype(rough), (t_sq / 2).astype(rough)
     t_step = max(1, min(len(tid), TILE_PAIRS // max(1, min(len(sid), 1024))))
     s_step = max(1, TILE_PAIRS // t_step)
     frames = []
     for i in range(0, len(sid), s_step):
-        lists = {}
-        if want_ip:
-            lists["ip_rank"] = _Best(k, False)
-        if want_l2:
-            lists["l2_rank"] = _Best(k, True)
+        s, own_sq = S[i:i + s_step], s_sq[i:i + s_step]
+        lists = {name: _Best(len(s), k, name == "l2_rank")
+                 for name, wanted in (("ip_rank", want_ip), ("l2_rank", want_l2)) if wanted}
         for j in range(0, len(tid), t_step):
+            t, sq = T[j:j + t_step], t_sq[j:j + t_step]
             with np.errstate(invalid="ignore", over="ignore"):
-                dot = S[i:i + s_step] @ T[j:j + t_step].T
-                sqd = s_sq[i:i + s_step, None] + t_sq[None, j:j + t_step] - 2.0 * dot
-            sqd = np.round(np.maximum(sqd, 0.0), SIM_DECIMALS)
-            dot = np.round(dot, SIM_DECIMALS)
-            for name, best in lists.items():
-                best.add(sqd if best.ascending else dot, tid[j:j + t_step], dot, sqd, 0)
-        part = None
-        for name, best in lists.items():
-            rows, ids, d, q = best.cols
-            f = pd.DataFrame({"src_idx": sid[i + rows], "tgt_idx": ids, "dot": d, "sqd": q,
-                              name: pd.array(best.rank, dtype="Int32")})
-            part = f if part is None else part.merge(f, on=["src_idx", "tgt_idx", "dot", "sqd"], how="outer")
-        for name in ("ip_rank", "l2_rank"):
-            if name not in part:
-                part[name] = pd.array([None] * len(part), dtype="Int32")
-        frames.append(part)
-    cols = ["src_idx", "tgt_idx", "dot", "sqd", "ip_rank", "l2_rank"]
+                tile = s_rough[i:i + s_step] @ t_rough[j:j + t_step].T
+                exact = None
+                for name, best in lists.items():
+                    bound = best.limit if name == "ip_rank" else (own_sq + best.limit) / 2
+                    bound = (bound - slack[name][i:i + s_step]).astype(rough)
+                    value = tile if name == "ip_rank" else tile - t_half[j:j + t_step]
+                    may = np.flatnonzero((value >= bound[:, None]).ravel())
+                    if len(may) * DENSE > tile.size:
+                        if exact is None:
+                            dot = s @ t.T
+                            sqd = np.round(np.maximum(own_sq[:, None] + sq - 2.0 * dot, 0.0), SIM_DECIMALS)
+                            exact = np.round(dot, SIM_DECIMALS), sqd
+                        key = np.where(best.value(*exact) > best.limit[:, None], best.value(*exact), -np.inf)
+                        r, c, _ = _select_topk(key, tid[j:j + t_step], k, False)
+                        best.add(r, c + j, exact[0][r, c], exact[1][r, c])
+                        continue
+                    for lo in range(0, len(may), PAIRS_AT_ONCE):
+                        r, c = np.divmod(may[lo:lo + PAIRS_AT_ONCE], len(t))
+                        dot = np.einsum("ij,ij->i", s[r], t[c])
+                        sqd = np.round(np.maximum(own_sq[r] + sq[c] - 2.0 * dot, 0.0), SIM_DECIMALS)
+                        best.add(r, c + j, np.round(dot, SIM_DECIMALS), sqd)
+        frames.append(_both_lists(sid[i:i + s_step], tid, {name: (best.settle(), best.rank) for name, best in lists.items()}))
     return pd.concat(frames)[cols]
 
 
@@ -136,15 +227,17 @@ def _block_topk_fn(k: int, want_ip: bool, want_l2: bool):
     return fn
 
 
-def plan_blocks(n_s: int, n_t: int, dim: int, cores: int) -> tuple[int, int]:
+def plan_blocks(n_s: int, n_t: int, dim: int, cores: int, listed: int = 0) -> tuple[int, int]:
     """(source blocks, target blocks): blocks within BLOCK_BYTES and, if the work is worth
-    it, about two block pairs per core with the least replication."""
+    it, a few block pairs per core with the fewest bytes sent: vectors to the blocks, and
+    ``listed`` result rows of a source from each target block to the merge."""
     rows = max(1, BLOCK_BYTES // max(1, dim * 8))
     n_sb, n_tb = math.ceil(n_s / rows), math.ceil(n_t / rows)
-    tasks = min(2 * cores, math.ceil(n_s * n_t / MIN_TASK_PAIRS))
+    tasks = min(TASKS_PER_CORE * cores, math.ceil(n_s * n_t / MIN_TASK_PAIRS))
     if n_sb * n_tb < tasks:
-        # Rows sent are n_s * n_tb + n_t * n_sb: least when n_sb : n_tb = n_s : n_t.
-        n_sb = min(n_s, max(n_sb, round(math.sqrt(tasks * n_s / n_t))))
+        # Sent are n_s * n_tb * (vector + rows) + n_t * n_sb * vector bytes.
+        ratio = n_s * (dim * 8 + listed * RESULT_BYTES) / (n_t * dim * 8)
+        n_sb = min(n_s, max(n_sb, min(round(math.sqrt(tasks * ratio)), math.ceil(tasks / n_tb))))
         n_tb = min(n_t, max(n_tb, math.ceil(tasks / n_sb)))
     return n_sb, n_tb
 
@@ -166,21 +259,26 @@ def exact_topk(src: DataFrame, tgt: DataFrame, k: int, *, src_id: str = "idx",
     want_ip, want_l2 = "ip" in by, "l2" in by
     s = src.select(F.col(src_id).cast("long").alias("id"), F.col(vec).alias("vec")).filter("vec is not null")
     t = tgt.select(F.col(tgt_id).cast("long").alias("id"), F.col(vec).alias("vec")).filter("vec is not null")
-    sizes = t.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    # A vector with a component that is null or not finite has no finite similarity to any other.
+    finite = F.forall("vec", lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
+    sizes = (t.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("count"), F.count_if(finite).alias("usable"))
+             .orderBy(F.desc("count"), F.desc("dim")).first())
     if sizes is None or k <= 0:
         return spark.createDataFrame([], KNN_SCHEMA)
-    dim, n_t = sizes["dim"], sizes["count"]
-    s, t = (x.filter(F.size("vec") == dim) for x in (s, t))
+    dim, n_t = sizes["dim"], sizes["usable"]
+    s, t = (x.filter((F.size("vec") == dim) & finite) for x in (s, t))
     n_s = s.count() if n_src is None else n_src
-    if n_s == 0:
+    if n_s == 0 or n_t == 0:
         return spark.createDataFrame([], KNN_SCHEMA)
-    n_sb, n_tb = plan_blocks(n_s, n_t, dim, default_parallelism(spark))
+    n_sb, n_tb = plan_blocks(n_s, n_t, dim, default_parallelism(spark), min(k, n_t) * len(by))
     n_sb, n_tb = n_src_blocks or n_sb, n_tgt_blocks or n_tb
 
     s_rep = (s.withColumn("sb", F.pmod(F.xxhash64("id"), F.lit(n_sb)).cast("int"))
               .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(n_tb - 1)))))
     t_rep = (t.withColumn("tb", F.pmod(F.xxhash64("id"), F.lit(n_tb)).cast("int"))
               .withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(n_sb - 1)))))
+    # Block pairs are few and long: more partitions than pairs, so that hardly two share a task.
+    s_rep, t_rep = (x.repartition(ROOM * n_sb * n_tb, "sb", "tb") for x in (s_rep, t_rep))
     partial = (s_rep.groupBy("sb", "tb")
                .cogroup(t_rep.groupBy("sb", "tb"))
                .applyInPandas(_block_topk_fn(k, want_ip, want_l2), KNN_SCHEMA))

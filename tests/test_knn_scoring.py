@@ -110,3 +110,54 @@ def test_vectors_of_another_length_take_no_part(spark):
     out = knn.exact_topk(src, tgt, 5).collect()
     assert sorted((r.src_idx, r.tgt_idx) for r in out) == [(0, 0), (0, 1)]
     assert knn.exact_topk(src, tgt.filter("idx > 5"), 5).count() == 0
+
+
+def test_vectors_without_a_finite_similarity_are_not_compared(spark, monkeypatch):
+    """Broken vectors are dropped before the blocks: they cost no pair."""
+    from pairmine.operators import knn
+    nan, inf = float("nan"), float("inf")
+    seen, plan = [], knn.plan_blocks
+
+    def planned(n_s, n_t, *rest):
+        seen.append(n_t)
+        return plan(n_s, n_t, *rest)
+    monkeypatch.setattr(knn, "plan_blocks", planned)
+    bad = [(10, [nan, 1.0]), (11, [inf, 0.0]), (12, [-inf, nan]), (13, [None, 1.0]), (14, None)]
+    out = exact_topk(vecs(spark, TGT + bad), vecs(spark, TGT + bad), 3).collect()
+    assert seen == [len(TGT)] and {r.src_idx for r in out} == {r.tgt_idx for r in out} == set(range(5))
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-30, 1e18, 1e160])
+def test_lists_are_those_of_double_precision(monkeypatch, scale):
+    """Near ties that single precision cannot tell apart, and lengths that it cannot hold."""
+    from pairmine.operators import knn
+    rng = np.random.default_rng(5)
+    s = rng.normal(size=(40, 16))
+    t = rng.normal(size=(1, 16)) + rng.normal(size=(900, 16)) * 1e-7
+    t[rng.random(900) < 0.5] += rng.normal(size=16)
+    if scale < 1:
+        s = s / scale
+    t = t * scale
+    products = []
+    real = np.einsum
+    monkeypatch.setattr(np, "einsum", lambda *a: products.append(len(a[1])) or real(*a))
+    monkeypatch.setattr(knn, "TILE_PAIRS", 40 * 100)
+    got = knn.block_topk(np.arange(40), s, np.arange(900), t, 9, True, False)
+    D = np.round(real("ij,kj->ik", s, t), 9)
+    for i in range(40):
+        own = got[got.src_idx == i].sort_values("ip_rank").tgt_idx.to_numpy()
+        assert len(own) == 9
+        # equal up to what the last bit of a product may change
+        assert np.allclose(D[i, own], np.sort(D[i])[::-1][:9], rtol=1e-13, atol=2e-9)
+
+
+def test_most_pairs_of_a_large_block_are_passed_over(monkeypatch):
+    """Only pairs that may enter a list are computed in double precision, selected and sorted."""
+    from pairmine.operators import knn
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    taken, add = [], knn._Best.add
+    monkeypatch.setattr(knn._Best, "add", lambda self, rows, *rest: taken.append(len(rows)) or add(self, rows, *rest))
+    knn.block_topk(np.arange(1000), x[:1000], np.arange(20_000), x, 10, True, True)
+    assert sum(taken) < 0.02 * 2 * 1000 * 20_000
