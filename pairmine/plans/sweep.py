@@ -264,15 +264,37 @@ def top_for_configs(base: DataFrame, valid: DataFrame, blocks: int) -> DataFrame
     return out.withColumns({c: F.nullif(F.col(c), F.lit(NO_KEY)) for c in wide})
 
 
+class Searches:
+    """What runs over the same corpora share: the density, and the top-k lists by their k.
+
+    Both are staged when a run first asks for them, so that slices, their halves and configs of the
+    same ``search_k`` search once."""
+
+    def __init__(self, src_vec: DataFrame, tgt_vec: DataFrame, k_neighbors: int = 20):
+        self.src_vec, self.tgt_vec, self.k_neighbors = src_vec, tgt_vec, k_neighbors
+        self.lists: dict[int, DataFrame] = {}
+        self.density: DataFrame | None = None
+
+    def staged(self, k: int) -> tuple[DataFrame, DataFrame]:
+        stage_root(self.src_vec.sparkSession)
+        if k not in self.lists:
+            self.lists[k] = exact_topk(self.src_vec, self.tgt_vec, k, by=("ip", "l2")).checkpoint(eager=True)
+        if self.density is None:
+            self.density = SC.density_stats(self.tgt_vec, self.k_neighbors).checkpoint(eager=True)
+        return self.lists[k], self.density
+
+
 def run_sweep(grid: DataFrame, src_vec: DataFrame, tgt_vec: DataFrame, src_attrs: DataFrame,
               tgt_attrs: DataFrame, *, quality_expr=None, scorer=None, k_neighbors: int = 20,
-              materialize: bool = True, scored_before: DataFrame | None = None) -> SweepResult:
+              materialize: bool = True, scored_before: DataFrame | None = None,
+              searches: Searches | None = None) -> SweepResult:
     """X4 + X5 + J13: every config of ``grid`` over the same corpora, as one job.
 
     A config with a missing parameter, or without any candidate left after its gates, is a
     ``failed`` row with its parameters and an ``error``; it does not touch the others.
     With a plug-in ``scorer`` every distinct surviving pair is scored once and staged;
-    ``scored_before`` resumes from an earlier scored table."""
+    ``scored_before`` resumes from an earlier scored table. ``searches`` (of the same corpora and
+    ``k_neighbors``) keeps what several runs share."""
     if quality_expr is None and scorer is None:
         raise ValueError("a quality model (quality_expr or scorer) is required")
     spark = grid.sparkSession
@@ -280,8 +302,11 @@ def run_sweep(grid: DataFrame, src_vec: DataFrame, tgt_vec: DataFrame, src_attrs
     valid = g.filter("error is null").drop("error")
     k_max = int(valid.agg(F.max("search_k")).first()[0] or 0)
 
-    cands = exact_topk(src_vec, tgt_vec, k_max, by=("ip", "l2"))
-    dens = SC.density_stats(tgt_vec, k_neighbors)
+    if searches is not None and k_max > 0:
+        cands, dens = searches.staged(k_max)
+    else:
+        cands = exact_topk(src_vec, tgt_vec, k_max, by=("ip", "l2"))
+        dens = SC.density_stats(tgt_vec, k_neighbors)
 
     sa = M.narrow_attrs(src_attrs, "src_idx", "src_")
     ta = M.narrow_attrs(tgt_attrs, "tgt_idx", "tgt_")
@@ -349,7 +374,7 @@ def run_sweep_to(grid: DataFrame, results_dir: str, pairs_dir: str, *args, slice
     Pending configs (no completed result in ``results_dir``) run in slices of at most
     ``slice_rows`` by experiment id, and a slice's pairs and results are appended when it is done
     (pairs first: what has no result row is not read), so a late failure costs one slice. A
-    slice that fails is cut in two and each half run again, until a config that fails for
+    slice that fails is cut in two and each half run again (over the same staged lists), until a config that fails for
     itself stands alone: it alone becomes a ``failed`` row with its error. With ``best_dir``
     the pairs of the best experiment so far are published there after each slice that beats
     it, for ``io.read_best_pairs`` at any time. Returns the results; ``sweep_pairs`` reads
@@ -360,6 +385,7 @@ def run_sweep_to(grid: DataFrame, results_dir: str, pairs_dir: str, *args, slice
     stage_root(spark)
     ids = grid.select("experiment_id").distinct().orderBy("experiment_id").checkpoint(eager=True)
     n_sources = args[0].count()
+    searches = Searches(args[0], args[1], kw.get("k_neighbors", 20))
 
     def keep(results: DataFrame, pairs: DataFrame | None) -> None:
         run = uuid.uuid4().hex
@@ -370,7 +396,7 @@ def run_sweep_to(grid: DataFrame, results_dir: str, pairs_dir: str, *args, slice
     def run(part: list[int]) -> None:
         configs = grid.filter(F.col("experiment_id").isin(part))
         try:
-            res = run_sweep(configs, *args, **kw)
+            res = run_sweep(configs, *args, searches=searches, **kw)
             keep(res.results, res.final_pairs)
         except Exception as e:  # noqa: BLE001 - one bad config must not stop the others
             if len(part) == 1:

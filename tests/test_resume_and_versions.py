@@ -242,3 +242,21 @@ def test_a_slot_keeps_the_latest_value_only():
     for key in ("a", "a", "b", "a"):
         assert process_latest("test-slot", key, lambda: built.append(key) or key.upper()) == key.upper()
     assert built == ["a", "b", "a"]
+
+
+def test_slices_and_halves_search_once(spark, monkeypatch, tmp_dir):
+    """Slices and the halves of a failing slice read the same staged lists and density."""
+    from tests.test_scale_and_resume import _grid, _sweep_inputs
+    calls, real = [], SW.exact_topk
+    monkeypatch.setattr(SW, "exact_topk", lambda *a, **kw: calls.append(a[2]) or real(*a, **kw))
+    dens, density = [], SW.SC.density_stats
+    monkeypatch.setattr(SW.SC, "density_stats", lambda *a, **kw: dens.append(1) or density(*a, **kw))
+    src, tgt, sa, ta = _sweep_inputs(spark)
+    grid = _grid(spark, 4)
+    SW.run_sweep_to(grid, f"{tmp_dir}/results", f"{tmp_dir}/pairs", src, tgt, sa, ta, slice_rows=1,
+                    quality_expr=lambda d: F.lit(1.0))
+    k = len({r.search_k for r in grid.select("search_k").collect()})
+    assert len(calls) == k and len(dens) == 1
+    alone = {r.experiment_id: r.weighted_score for r in SW.run_sweep(grid, src, tgt, sa, ta, quality_expr=lambda d: F.lit(1.0)).results.collect()}
+    kept = {r.experiment_id: r.weighted_score for r in IO.read_results(spark, f"{tmp_dir}/results").collect()}
+    assert alone == pytest.approx(kept)
