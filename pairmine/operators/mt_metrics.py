@@ -232,25 +232,31 @@ def stat_columns(kinds) -> list[str]:
 
 def _short_stats(ev: DataFrame, kinds) -> DataFrame:
     names = stat_columns(kinds)
-    lowered = [F.lower(c).alias(f"{c}_low") for c in ("_hyp", "_ref")] if "t" in kinds else []
-    src = ev.select("row_id", "_blank", "_long", "_hyp", "_ref", *lowered)
+    # Only texts that are counted here are sent: those of short rows that have a score, as they are for
+    # n-grams, lowered for METEOR. Blank rows have counts of 0.
+    sent = [(c, F.col(c)) for c in ("_hyp", "_ref") if set(kinds) != {"t"}]
+    sent += [(f"{c}_low", F.lower(c)) for c in ("_hyp", "_ref") if "t" in kinds]
+    src = ev.select("row_id", "_blank", "_long", *[F.when(~F.col("_long") & ~F.col("_blank"), x).alias(c) for c, x in sent])
     id_type = ev.schema["row_id"].dataType.simpleString()
 
     def run(batches):
         split = {"w": _words_13a(), "c": lambda x: "".join(x.split()), "p": _words_pp, "t": str.split}
         for whole in batches:
-            # Rows are taken together until their texts hold enough bytes.
-            whole = whole.filter(pc.invert(whole.column("_long")))
+            # Rows are taken together until their texts hold enough bytes; no more is copied at once.
             size = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                        for c in whole.columns[3:5])
             block = np.cumsum(size) // BLOCK_BYTES
             cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
             for lo, hi in zip(cuts, [*cuts[1:], whole.num_rows]):
-                b, n_rows = whole.slice(int(lo), int(hi - lo)), int(hi - lo)
+                b = whole.slice(int(lo), int(hi - lo))
+                b = b.filter(pc.invert(b.column(2)))
+                n_rows = b.num_rows
+                if not n_rows:
+                    continue
                 texts = [c.fill_null("").to_pylist() for c in b.columns[3:]]
                 cols = {}
                 for k in kinds:
-                    both = texts[2] + texts[3] if k == "t" else texts[0] + texts[1]
+                    both = texts[-2] + texts[-1] if k == "t" else texts[0] + texts[1]
                     unit, row, side, end, sizes = _sides(both, n_rows, k, split[k])
                     if k == "t":
                         cols["t_matches"], cols["t_chunks"] = count_alignment(unit, row, side, end, n_rows)

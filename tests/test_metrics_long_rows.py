@@ -66,3 +66,20 @@ def test_one_text_of_five_million_characters_spreads_over_many_tasks(spark):
     assert sum(per_task) == 2 * 4_000_000 * 6 + 18 - 30
     got = MT.metric_rows(df, ["bleu", "meteor"]).first()
     assert got.bleu == pytest.approx(100.0, abs=0.01) and got.meteor == pytest.approx(1.0, abs=0.01)
+
+
+def test_texts_that_are_not_counted_in_memory_are_not_sent(spark, monkeypatch):
+    """Texts of blank rows and of long ones stay out of the short rows' pass; scores are the same."""
+    big = "x " * (MT.LONG_CHARS // 2 + 1)
+    df = spark.createDataFrame([(1, "a b c d", "a b c e"), (2, "secret", " \n"), (3, None, "secret"), (4, big, "x x")],
+                               "row_id long, prediction string, reference string")
+    sent, real = [], type(df).mapInArrow
+
+    def spied(self, fn, schema, *a, **kw):
+        if "_hyp_low" in self.columns:
+            sent.extend(self.collect())
+        return real(self, fn, schema, *a, **kw)
+    monkeypatch.setattr(type(df), "mapInArrow", spied)
+    got = {r.row_id: (r.bleu, r.meteor) for r in MT.metric_rows(df, ["bleu", "meteor"]).collect()}
+    assert {r.row_id for r in sent if any(x is not None for x in r[3:])} == {1}
+    assert got[2] == got[3] == (None, None) and got[1][1] > 0 and got[4][1] > 0
