@@ -3,8 +3,12 @@
 1. Texts are cut into words (the matches of the tokenizer's pattern). The distinct words of a
    block of about ``BLOCK_CHARS`` characters that the worker has not seen yet are replayed
    together, ``REPLAY_WORDS`` at a time.
-2. Replay: an inverted index leads from each pair of tokens to the word positions where it
-   stands, over all words together. The pairs present are taken in rank order, each is
+2. Replay of words of up to ``SHORT`` bytes: words of like length are the rows of a matrix of
+   tokens, next to one of their pairs' ranks. In a round every row makes its leftmost merge of
+   lowest rank, all rows at once, and the two pairs that it touches are looked up; rows without a
+   merge leave.
+   Replay of longer words: an inverted index leads from each pair of tokens to the word positions
+   where it stands, over all words together. The pairs present are taken in rank order, each is
    applied at all its positions, and a merge touches its two neighbours only: their pairs
    are looked up and entered in the index.
 3. A document's ids are those of its words. Ids of words seen before are remembered, up to
@@ -12,7 +16,7 @@
 
 The merge rule is that of a rank table: of all neighbours in a word, those whose joined bytes have
 the lowest rank merge first, the leftmost first among equals. Words are independent, so
-replaying by rank over many words is the same as word by word; where a merge makes a pair of a
+replaying by rank over many words is the same as word by word; in the index, where a merge makes a pair of a
 rank not above its own, that pair goes first and the rest of the rank's positions wait.
 
 Nothing is shuffled and no stage is kept: a lost executor costs the tasks it ran. Memory
@@ -40,7 +44,10 @@ from pairmine.process_cache import process_cached
 
 RANKS = "byte_bpe_50k.tiktoken"
 BLOCK_CHARS = 1 << 20       # characters of the documents whose words are replayed together
-REPLAY_WORDS = 20_000       # words of one index; more only make it too large for the processor's cache
+REPLAY_WORDS = 20_000       # words of one replay; more only make it too large for the processor's cache
+SHORT = 32                  # bytes of a word up to which it is replayed in a matrix, whose work is their square
+ROWS = 4096                 # words of one matrix
+DECODE_IDS = 1 << 18        # ids whose bytes are gathered at once
 CACHE_WORDS = 300_000       # words whose ids a worker remembers
 
 
@@ -61,6 +68,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+NO_RANK = np.iinfo(np.int64).max
+
+
 class Merges:
     """The rank table with what a replay looks up."""
 
@@ -74,25 +84,91 @@ class Merges:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << 32 | right] = rank
+        # The same as sorted arrays, for many lookups at once.
+        keys = np.fromiter(self.pairs.keys(), np.int64, len(self.pairs))
+        by = np.argsort(keys)
+        self.pair_keys = np.append(keys[by], np.iinfo(np.int64).max)
+        self.pair_ranks = np.append(np.fromiter(self.pairs.values(), np.int64, len(keys))[by], NO_RANK)
         # The same for pairs of single bytes, as a table (-1: no token).
         self.byte_pairs = np.full(1 << 16, -1, np.int64)
         for token, rank in ranks.items():
             if len(token) == 2:
                 self.byte_pairs[token[0] << 8 | token[1]] = rank
 
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of tokens (NO_RANK: the two do not merge)."""
+        key = left << 32 | right
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NO_RANK)
+
 
 def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
-    """ids of each word, by replaying merges in rank order over all words together."""
+    """ids of each word, by replaying merges over many words together."""
     out: list = [None] * len(words)
-    open_ = []
+    short, long = [], []
     for k, w in enumerate(words):
         whole = merges.ranks.get(w)
         if whole is not None or not w:
             out[k] = [whole] if w else []
         else:
-            open_.append(k)
-    if not open_:
-        return out
+            (short if len(w) <= SHORT else long).append(k)
+    short.sort(key=lambda k: len(words[k]))
+    for lo in range(0, len(short), ROWS):
+        part = short[lo:lo + ROWS]
+        for k, ids in zip(part, replay_matrix([words[k] for k in part], merges)):
+            out[k] = ids
+    if long:
+        for k, ids in zip(long, replay_index([words[k] for k in long], merges)):
+            out[k] = ids
+    return out
+
+
+def replay_matrix(words: list[bytes], merges: Merges) -> list[list[int]]:
+    """ids of each (short, not empty) word: one merge of every word in a round."""
+    size = np.array([len(w) for w in words])
+    width = int(size.max())
+    inside = np.arange(width) < size[:, None]
+    raw = np.zeros((len(words), width), np.int64)
+    raw[inside] = np.frombuffer(b"".join(words), np.uint8)
+    token = merges.byte[raw]
+    # rank[:, i]: of the tokens i and i + 1; the last column and those beyond a word have none.
+    rank = np.full((len(words), width), NO_RANK)
+    first = merges.byte_pairs[raw[:, :-1] << 8 | raw[:, 1:]]
+    rank[:, :-1] = np.where((first >= 0) & inside[:, 1:], first, NO_RANK)
+    done, left, own = np.zeros((len(words), width), np.int64), size.copy(), np.arange(len(words))
+    place = np.arange(width)
+    while len(own):
+        at = rank.argmin(axis=1)
+        lowest = rank[np.arange(len(own)), at]
+        goes = lowest < NO_RANK
+        if not goes.all():
+            done[own[~goes]] = token[~goes]
+            own, token, rank, at, lowest = (x[goes] for x in (own, token, rank, at, lowest))
+            if not len(own):
+                break
+        row = np.arange(len(own))
+        # The token at ``at`` is the merged one; all after its right part move up by one.
+        after = place[None, :-1] + (place[None, :-1] > at[:, None])
+        token[:, :-1] = np.take_along_axis(token, after, axis=1)
+        after = place[None, :-1] + (place[None, :-1] >= at[:, None])
+        rank[:, :-1] = np.take_along_axis(rank, after, axis=1)
+        rank[:, -1] = NO_RANK
+        token[row, at] = lowest
+        left[own] -= 1
+        has = at + 1 < left[own]
+        rank[row[has], at[has]] = merges.rank_of(lowest[has], token[row[has], at[has] + 1])
+        rank[row[~has], at[~has]] = NO_RANK
+        has = at > 0
+        rank[row[has], at[has] - 1] = merges.rank_of(token[row[has], at[has] - 1], lowest[has])
+    ids = done[place < left[:, None]].tolist()
+    ends = np.cumsum(left).tolist()
+    return [ids[a:z] for a, z in zip([0, *ends], ends)]
+
+
+def replay_index(words: list[bytes], merges: Merges) -> list[list[int]]:
+    """ids of each (not empty) word, by replaying merges in rank order over all words together."""
+    out: list = [None] * len(words)
+    open_ = range(len(words))
     # All open words one after the other; -1 in ``token``: merged away; neighbours end at the
     # word's edges (-1).
     size = np.array([len(words[k]) for k in open_])
@@ -181,10 +257,35 @@ class Decoder:
     """Bytes that ids stand for."""
 
     def __init__(self, path: str):
-        self.token = {rank: token for token, rank in load_ranks(path).items()}
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+        ranks = load_ranks(path)
+        # The tokens' bytes one after the other, and where those of an id begin (size -1: no token).
+        self.pool = np.frombuffer(b"".join(ranks), np.uint8)
+        size = np.array([len(token) for token in ranks], np.int64)
+        of = np.array(list(ranks.values()), np.int64)
+        self.begin, self.size = np.zeros(of.max() + 1, np.int64), np.full(of.max() + 1, -1, np.int64)
+        self.begin[of], self.size[of] = np.cumsum(size) - size, size
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all bytes, how many each id gives)."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size) or self.size[ids].min() < 0):
+            raise KeyError("an id without a token")
+        size, out = self.size[ids], []
+        for lo in range(0, len(ids), DECODE_IDS):
+            own = size[lo:lo + DECODE_IDS]
+            ends = np.cumsum(own)
+            at = np.repeat(self.begin[ids[lo:lo + DECODE_IDS]] - (ends - own), own)
+            at += np.arange(len(at))
+            out.append(self.pool[at])
+        return np.concatenate(out) if out else np.zeros(0, np.uint8), size
+
+    def column(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Binary column of the texts whose ids lie between neighbours of ``ends``."""
+        data, size = self.decode(ids)
+        where = np.concatenate(([0], np.cumsum(size)))[ends]
+        if where[-1] - where[0] > np.iinfo(np.int32).max:
+            raise ValueError("more decoded bytes than a column holds")
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1,
+                                     [None, pa.py_buffer(where.astype(np.int32)), pa.py_buffer(data)])
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
@@ -203,7 +304,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             flat = np.frombuffer(b"".join(data), np.int32)
             cols = {"doc_id": pa.array(ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
             if decoder:
-                cols["decoded"] = pa.array([decoder.decode(flat[a:z].tolist()) for a, z in zip(ends, ends[1:])], pa.binary())
+                cols["decoded"] = decoder.column(flat, ends)
             return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
         ids, texts, held = [], [], 0
         for b in batches:
@@ -230,7 +331,11 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                data = pa.array([decoder.decode(x.as_py()) for x in b.column(1)], pa.binary())
+                ids = b.column(1)
+                if ids.null_count:
+                    raise ValueError("a row without ids")
+                ends = ids.offsets.to_numpy()
+                data = decoder.column(ids.flatten().to_numpy(), ends - ends[0])
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), data], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
