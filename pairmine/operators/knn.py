@@ -15,8 +15,8 @@ Plan (blocked matrix product, no index object):
   are computed in double precision. A task emits at most ``2k`` rows per source; pairs are
   never materialised.
 * With several target blocks each of the two lists is cut to k per source by a
-  ``row_number`` window of its own (planned as ``WindowGroupLimit``), and the two are put
-  together by key. The true top-k of a source is always among the rows of its blocks.
+  ``row_number`` window of its own over one exchange by source, so that the blocks are computed
+  once. The true top-k of a source is always among the rows of its blocks.
 
 A NULL vector, one of another length than most targets, and one with a component that is null or
 not finite (it has no finite similarity) takes no part. A pair whose similarity is not finite is never a candidate,
@@ -87,48 +87,72 @@ class _Best:
     """The k best (row, target) pairs per source row over the tiles seen so far.
 
     Targets come in ascending order of their ids, so a pair that only equals a full list's last
-    one cannot enter it: ``limit`` is what a pair has to exceed. New pairs are gathered and
-    put in order from time to time."""
+    one cannot enter it: ``limit`` is what a pair has to exceed. A row of the matrices holds a
+    source's pairs in the order they came, with room for as many new ones; when it is full, the
+    k best stay (of equal ones the first), and only the last list is put in order."""
 
     def __init__(self, n_rows: int, k: int, ascending: bool):
         self.n_rows, self.k, self.ascending = n_rows, k, ascending
         self.limit = np.full(n_rows, -np.inf)
-        self.held, self.n_new = [], 0
+        self.fill = np.zeros(n_rows, np.int64)
+        self.value_of = np.full((n_rows, 2 * k), -np.inf)
+        self.other, self.col = np.zeros((n_rows, 2 * k)), np.zeros((n_rows, 2 * k), np.int64)
 
     def value(self, dot, sqd):
         return -sqd if self.ascending else dot
 
     def add(self, rows, cols, dot, sqd):
-        """Pairs in ascending order of their target within a row, as far as they tie."""
+        """Pairs in ascending order of their row and, as far as they tie, of their target."""
         value = self.value(dot, sqd)
         with np.errstate(invalid="ignore"):
             keep = np.isfinite(value) & (value > self.limit[rows])
         if not keep.any():
             return
-        self.held.append(tuple(x[keep] for x in (rows, cols, dot, sqd)))
-        self.n_new += int(keep.sum())
-        if 2 * self.n_new >= self.n_rows * self.k or len(self.held) == 1:
+        rows, cols, value, other = rows[keep], cols[keep], value[keep], (dot if self.ascending else sqd)[keep]
+        count = np.bincount(rows, minlength=self.n_rows)
+        if (self.fill + count).max() > self.value_of.shape[1]:
+            self.settle()
+            more = (self.fill + count).max() - self.value_of.shape[1]
+            if more > 0:
+                self.value_of = np.pad(self.value_of, ((0, 0), (0, more)), constant_values=-np.inf)
+                self.other, self.col = (np.pad(x, ((0, 0), (0, more))) for x in (self.other, self.col))
+        at = self.fill[rows] + np.arange(len(rows)) - (np.cumsum(count) - count)[rows]
+        self.value_of[rows, at], self.other[rows, at], self.col[rows, at] = value, other, cols
+        self.fill += count
+        # New limits are worth their cost once lists fill up for the first time.
+        if ((self.fill >= self.k) & (self.limit == -np.inf)).any():
             self.settle()
 
     def settle(self):
-        if not self.held:
-            none = np.zeros(0, np.int64)
-            self.rank = none
-            return (none, none, np.zeros(0), np.zeros(0))
-        rows, cols, dot, sqd = (np.concatenate(x) for x in zip(*self.held))
-        order = np.argsort(-self.value(dot, sqd), kind="stable")
-        small = rows.astype(np.uint16) if self.n_rows <= 1 << 16 else rows
-        order = order[np.argsort(small[order], kind="stable")]
-        rows = rows[order]
-        count = np.bincount(rows, minlength=self.n_rows)
-        pos = np.arange(len(rows)) - (np.cumsum(count) - count)[rows]
-        keep = pos < self.k
-        order, self.rank = order[keep], pos[keep] + 1
-        best = (rows[keep], cols[order], dot[order], sqd[order])
-        last = self.rank == self.k
-        self.limit[best[0][last]] = self.value(best[2][last], best[3][last])
-        self.held, self.n_new = [best], 0
-        return best
+        k, wide = self.k, int(self.fill.max(initial=0))
+        full = np.flatnonzero(self.fill >= k)
+        if not len(full):
+            return
+        value = self.value_of[full, :wide]
+        last = value.min(axis=1) if wide == k else np.partition(value, wide - k, axis=1)[:, wide - k]
+        self.limit[full] = last
+        over = self.fill[full] > k
+        full, value, last = full[over], value[over], last[over, None]
+        if not len(full):
+            return
+        above, equal = value > last, value == last
+        room = k - above.sum(axis=1, keepdims=True)
+        keep = above | (equal & (np.cumsum(equal, axis=1) <= room))
+        for x, empty in ((self.value_of, -np.inf), (self.other, 0), (self.col, 0)):
+            kept = x[full, :wide][keep].reshape(len(full), k)
+            x[full] = empty
+            x[full, :k] = kept
+        self.fill[full] = k
+
+    def lists(self):
+        """((rows, cols, dot, sqd), ranks), row by row and best first."""
+        self.settle()
+        wide = int(self.fill.max(initial=0))
+        order = np.argsort(-self.value_of[:, :wide], axis=1, kind="stable")
+        rows, rank = np.nonzero(np.arange(wide) < self.fill[:, None])
+        at = (rows, order[rows, rank])
+        value, other = self.value_of[at], self.other[at]
+        return (rows, self.col[at], *((other, -value) if self.ascending else (value, other))), rank + 1
 
 
 def _both_lists(sid, tid, lists: dict) -> pd.DataFrame:
@@ -189,33 +213,57 @@ def block_topk(sid, S, tid, T, k: int, want_ip: bool, want_l2: bool) -> pd.DataF
         lists = {name: _Best(len(s), k, name == "l2_rank")
                  for name, wanted in (("ip_rank", want_ip), ("l2_rank", want_l2)) if wanted}
         for j in range(0, len(tid), t_step):
-            t, sq = T[j:j + t_step], t_sq[j:j + t_step]
+            t, sq, half = T[j:j + t_step], t_sq[j:j + t_step], t_half[j:j + t_step]
             with np.errstate(invalid="ignore", over="ignore"):
                 tile = s_rough[i:i + s_step] @ t_rough[j:j + t_step].T
-                exact = None
+                exact, bounds = None, {}
                 for name, best in lists.items():
                     bound = best.limit if name == "ip_rank" else (own_sq + best.limit) / 2
-                    bound = (bound - slack[name][i:i + s_step]).astype(rough)
-                    value = tile if name == "ip_rank" else tile - t_half[j:j + t_step]
-                    may = np.flatnonzero((value >= bound[:, None]).ravel())
-                    if len(may) * DENSE > tile.size:
-                        if exact is None:
-                            dot = s @ t.T
-                            sqd = np.round(np.maximum(own_sq[:, None] + sq - 2.0 * dot, 0.0), SIM_DECIMALS)
-                            exact = np.round(dot, SIM_DECIMALS), sqd
+                    bound = bound - slack[name][i:i + s_step]
+                    open_ = np.flatnonzero(best.limit == -np.inf)
+                    if len(open_) and len(t) > k and rough is np.float32:
+                        # k pairs of the tile are at least this good, whatever the error of one
+                        value = tile[open_] if name == "ip_rank" else tile[open_] - half
+                        bound[open_] = np.partition(value, len(t) - k, axis=1)[:, len(t) - k] - 2 * slack[name][i:i + s_step][open_]
+                    bounds[name] = bound
+                # Lowest product with which a pair may enter any list.
+                least = np.minimum.reduce([x if name == "ip_rank" else x + float(half.min()) for name, x in bounds.items()])
+                may = _places(tile, least.astype(rough))
+                if len(may) * DENSE > tile.size and "l2_rank" in lists:     # lengths that differ: each list for itself
+                    hit = (tile - half) >= bounds["l2_rank"].astype(rough)[:, None]
+                    if "ip_rank" in lists:
+                        hit |= tile >= bounds["ip_rank"].astype(rough)[:, None]
+                    may = np.flatnonzero(hit.ravel())
+                if len(may) * DENSE > tile.size:
+                    dot = s @ t.T
+                    sqd = np.round(np.maximum(own_sq[:, None] + sq - 2.0 * dot, 0.0), SIM_DECIMALS)
+                    exact = np.round(dot, SIM_DECIMALS), sqd
+                    for best in lists.values():
                         key = np.where(best.value(*exact) > best.limit[:, None], best.value(*exact), -np.inf)
                         r, c, _ = _select_topk(key, tid[j:j + t_step], k, False)
                         best.add(r, c + j, exact[0][r, c], exact[1][r, c])
-                        continue
-                    for lo in range(0, len(may), PAIRS_AT_ONCE):
-                        r, c = np.divmod(may[lo:lo + PAIRS_AT_ONCE], len(t))
-                        dot = np.einsum("ij,ij->i", s[r], t[c])
-                        sqd = np.round(np.maximum(own_sq[r] + sq[c] - 2.0 * dot, 0.0), SIM_DECIMALS)
-                        best.add(r, c + j, np.round(dot, SIM_DECIMALS), sqd)
-        frames.append(_both_lists(sid[i:i + s_step], tid, {name: (best.settle(), best.rank) for name, best in lists.items()}))
+                    continue
+                for lo in range(0, len(may), PAIRS_AT_ONCE):
+                    r, c = np.divmod(may[lo:lo + PAIRS_AT_ONCE], len(t))
+                    dot = np.einsum("ij,ij->i", s[r], t[c])
+                    sqd = np.round(np.maximum(own_sq[r] + sq[c] - 2.0 * dot, 0.0), SIM_DECIMALS)
+                    dot = np.round(dot, SIM_DECIMALS)
+                    for best in lists.values():
+                        best.add(r, c + j, dot, sqd)
+        frames.append(_both_lists(sid[i:i + s_step], tid, {name: best.lists() for name, best in lists.items()}))
     return pd.concat(frames)[cols]
 
 
+def _places(tile: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Places (flat, ascending) of a tile where it reaches its row's ``least``. They are few: eight
+    places are passed over at a time."""
+    hit = np.zeros(-(-tile.size // 8) * 8, bool)
+    np.greater_equal(tile, least[:, None], out=hit[:tile.size].reshape(tile.shape))
+    eights = np.flatnonzero(hit.view(np.uint64))
+    at, within = np.nonzero(hit.reshape(-1, 8)[eights])
+    return eights[at] * 8 + within
+
+
 def _block_topk_fn(k: int, want_ip: bool, want_l2: bool):
     def fn(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -284,17 +332,17 @@ def exact_topk(src: DataFrame, tgt: DataFrame, k: int, *, src_id: str = "idx",
                .applyInPandas(_block_topk_fn(k, want_ip, want_l2), KNN_SCHEMA))
     if n_tb == 1:
         return partial
-    w = Window.partitionBy("src_idx")
-    lists = []
-    for name, order in (("ip_rank", [F.desc("dot"), F.asc("tgt_idx")]), ("l2_rank", [F.asc("sqd"), F.asc("tgt_idx")])):
+    # Both lists are cut over one exchange: a branch of its own for each would compute the blocks twice.
+    partial = partial.repartition("src_idx")
+    for name, order in (("ip_rank", F.desc("dot")), ("l2_rank", F.asc("sqd"))):
         if name[:2] in by:
-            best = partial.filter(F.col(name).isNotNull()).withColumn(name, F.row_number().over(w.orderBy(*order)))
-            others = {c: F.lit(None).cast("int") for c in ("ip_rank", "l2_rank") if c != name}
-            lists.append(best.filter(F.col(name) <= k).withColumns(others)
-                         .select("src_idx", "tgt_idx", "dot", "sqd", "ip_rank", "l2_rank"))
-    if len(lists) == 1:
-        return lists[0]
-    return (lists[0].unionByName(lists[1]).groupBy("src_idx", "tgt_idx")
+            w = Window.partitionBy("src_idx").orderBy(F.col(name).isNull(), order, F.asc("tgt_idx"))
+            place = F.when(F.col(name).isNotNull(), F.row_number().over(w))
+            partial = partial.withColumn(name, F.when(place <= k, place))
+    partial = partial.filter("ip_rank is not null or l2_rank is not null")
+    if len(by) == 1:
+        return partial
+    return (partial.groupBy("src_idx", "tgt_idx")
             .agg(*[F.max(c).alias(c) for c in ("dot", "sqd", "ip_rank", "l2_rank")]))
 
 

@@ -161,3 +161,42 @@ def test_most_pairs_of_a_large_block_are_passed_over(monkeypatch):
     monkeypatch.setattr(knn._Best, "add", lambda self, rows, *rest: taken.append(len(rows)) or add(self, rows, *rest))
     knn.block_topk(np.arange(1000), x[:1000], np.arange(20_000), x, 10, True, True)
     assert sum(taken) < 0.02 * 2 * 1000 * 20_000
+
+
+def test_no_tile_is_selected_whole(monkeypatch):
+    """The first tile, whose lists are still empty, is passed over by its own k-th best; vectors of
+    very different lengths are held to each list's bound."""
+    from pairmine.operators import knn
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(9000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[4000::50] *= 0.01
+    monkeypatch.setattr(knn, "_select_topk", lambda *_: 1 / 0)
+    monkeypatch.setattr(knn, "TILE_PAIRS", 50 * 3000)
+    got = knn.block_topk(np.arange(50), x[:50], np.arange(9000), x, 12, True, True)
+    D = np.round(x[:50] @ x.T, 9)
+    Q = np.round(((x[:50, None] - x[None]) ** 2).sum(-1), 9)
+    for i in range(50):
+        own = got[got.src_idx == i]
+        ip, l2 = (own[own[c].notna()].sort_values(c) for c in ("ip_rank", "l2_rank"))
+        assert ip.tgt_idx.tolist() == np.argsort(-D[i], kind="stable")[:12].tolist()
+        assert l2.tgt_idx.tolist() == np.argsort(Q[i], kind="stable")[:12].tolist()
+
+
+def test_places_of_a_tile_that_does_not_fill_its_eights():
+    from pairmine.operators import knn
+    rng = np.random.default_rng(9)
+    for shape in ((1, 1), (3, 5), (7, 16), (20, 333)):
+        tile, least = rng.random(shape, np.float32), rng.random(shape[0]).astype(np.float32)
+        assert knn._places(tile, least).tolist() == np.flatnonzero((tile >= least[:, None]).ravel()).tolist()
+
+
+def test_the_blocks_of_a_join_are_computed_once(spark):
+    """Both lists are merged over one exchange; ids that repeat meet as before."""
+    src, tgt = vecs(spark, [(i, [1.0, float(i)]) for i in range(6)]), vecs(spark, TGT + [(4, [0.1, 0.2])])
+    joined = exact_topk(src, tgt, 3, n_tgt_blocks=3, n_src_blocks=2)
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInPandas") == 1
+    rows = joined.collect()
+    for i in range(6):
+        own = [r for r in rows if r.src_idx == i]
+        assert sorted(r.ip_rank for r in own if r.ip_rank) == sorted(r.l2_rank for r in own if r.l2_rank) == [1, 2, 3]
