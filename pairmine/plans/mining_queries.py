@@ -19,6 +19,7 @@ from pairmine.operators import scoring as SC
 from pairmine.operators import selection as SEL
 from pairmine.operators.knn import knn_inner_product, knn_l2
 from pairmine.plans import mining as M
+from pairmine.session import stage_root
 from pairmine.sources.tables import corpora
 
 # Query parameters.
@@ -38,25 +39,37 @@ def _quality_expr(df: DataFrame):
     return Q.stub_quality(F.col("cosine_score"), F.col("src_label"), F.col("tgt_label"))
 
 
-def _ranked(spark, sf_dir, cfg=DEMO) -> tuple:
+def _ranked(spark, sf_dir, cfg=DEMO, density=None) -> tuple:
+    """``density``: of the same targets and ``k_neighbors``, for runs that share it."""
     c = corpora(spark, sf_dir)
     p = SC.Params.literal(cfg)
     adaptive_on = not (cfg.base_weight == 1.0 and cfg.z_weight == 0.0)
     density_on = not (cfg.sparse_bonus == 0.0 and cfg.crowded_penalty == 0.0)
     cands = M.candidate_table(c.src_vec, c.tgt_vec, cfg.search_k)
-    dens = SC.density_stats(c.tgt_vec, cfg.k_neighbors) if density_on else None
-    ranked = M.rank_candidates(cands, dens, p, adaptive=adaptive_on, use_density=density_on)
+    if density_on and density is None:
+        density = SC.density_stats(c.tgt_vec, cfg.k_neighbors)
+    ranked = M.rank_candidates(cands, density, p, adaptive=adaptive_on, use_density=density_on)
     return c, ranked
 
 
-def _scored(spark, sf_dir, cfg=DEMO):
-    c, ranked = _ranked(spark, sf_dir, cfg)
+def _shared_density(spark, sf_dir) -> DataFrame:
+    """The targets' density, staged: a narrow and a wide run look up the same."""
+    stage_root(spark)
+    return SC.density_stats(corpora(spark, sf_dir).tgt_vec, DEMO.k_neighbors).checkpoint(eager=True)
+
+
+def _scored(spark, sf_dir, cfg=DEMO, density=None):
+    c, ranked = _ranked(spark, sf_dir, cfg, density)
     wt = M.attach_keys(ranked, c.src_attrs, c.tgt_attrs)
     return c, wt.withColumn("quality", _quality_expr(wt))
 
 
-def _final(spark, sf_dir, cfg=DEMO):
-    c, scored = _scored(spark, sf_dir, cfg)
+def _final(spark, sf_dir, cfg=DEMO, density=None, staged: bool = False):
+    """``staged``: for a caller that reads the scored rows as well, which would be made twice."""
+    c, scored = _scored(spark, sf_dir, cfg, density)
+    if staged:
+        stage_root(spark)
+        scored = scored.checkpoint(eager=True)
     return c, scored, SEL.best_per_source(scored, cfg.quality_threshold)
 
 
@@ -147,14 +160,15 @@ def q_missing_sources(spark, sf_dir):
 
 
 def q_failure_reasons(spark, sf_dir):
-    _, scored, fp = _final(spark, sf_dir)
+    _, scored, fp = _final(spark, sf_dir, staged=True)
     return rounded(SEL.failure_reasons(scored, fp))
 
 
 def _scored_narrow_and_wide(spark, sf_dir):
     """Pairs scored by an earlier run with search_k 20 and the top-N of a run with 100."""
-    _, narrow = _ranked(spark, sf_dir, DEMO)
-    _, wide = _ranked(spark, sf_dir, replace(DEMO, search_k=WIDE_K))
+    density = _shared_density(spark, sf_dir)
+    _, narrow = _ranked(spark, sf_dir, DEMO, density)
+    _, wide = _ranked(spark, sf_dir, replace(DEMO, search_k=WIDE_K), density)
     return narrow, wide
 
 
@@ -172,8 +186,9 @@ def q_candidate_coverage(spark, sf_dir):
 
 def q_covered_sources(spark, sf_dir):
     """Sources with a pair above the gate in the narrow run or in the wide one."""
-    _, _, a = _final(spark, sf_dir)
-    _, _, b = _final(spark, sf_dir, replace(DEMO, search_k=WIDE_K))
+    density = _shared_density(spark, sf_dir)
+    _, _, a = _final(spark, sf_dir, density=density)
+    _, _, b = _final(spark, sf_dir, replace(DEMO, search_k=WIDE_K), density)
     return SEL.covered_sources(a, b)
 
 

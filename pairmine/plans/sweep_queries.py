@@ -52,10 +52,12 @@ def sweep_grid(spark) -> DataFrame:
     return SW.grid_minimal(spark).unionByName(SW.grid_baseline(spark)).unionByName(failing_grid(spark))
 
 
-def _sweep(spark, sf_dir, grid=None) -> SW.SweepResult:
+def _sweep(spark, sf_dir, grid=None, staged: bool = False) -> SW.SweepResult:
+    """``staged``: for a caller that reads results and pairs, each of which would search anew."""
     c = corpora(spark, sf_dir)
     return SW.run_sweep(grid if grid is not None else sweep_grid(spark), c.src_vec, c.tgt_vec,
-                        c.src_attrs, c.tgt_attrs, quality_expr=_quality_expr, materialize=False)
+                        c.src_attrs, c.tgt_attrs, quality_expr=_quality_expr, materialize=False,
+                        searches=SW.Searches(c.src_vec, c.tgt_vec) if staged else None)
 
 
 def q_run_sweep(spark, sf_dir):
@@ -64,7 +66,7 @@ def q_run_sweep(spark, sf_dir):
 
 def q_sweep_best_pairs(spark, sf_dir):
     """K4: the pairs of the best run, taken from the sweep (no rerun)."""
-    res = _sweep(spark, sf_dir)
+    res = _sweep(spark, sf_dir, staged=True)
     cols = ["experiment_id", "src_idx", "tgt_idx", "pre_rank", "final_score", "quality", "margin"]
     return rounded(SW.best_pairs(res).select(*cols))
 

@@ -200,3 +200,17 @@ def test_the_blocks_of_a_join_are_computed_once(spark):
     for i in range(6):
         own = [r for r in rows if r.src_idx == i]
         assert sorted(r.ip_rank for r in own if r.ip_rank) == sorted(r.l2_rank for r in own if r.l2_rank) == [1, 2, 3]
+
+
+def test_runs_of_one_query_share_what_they_search(spark, monkeypatch):
+    """failure_reasons makes its scored rows once, covered_sources one density, and
+    sweep_best_pairs one search for results and pairs."""
+    from pairmine.plans import mining_queries as MQ
+    from pairmine.plans import sweep_queries as SQ
+    sf = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInPandas")
+    asked, real = [], SC.density_stats
+    monkeypatch.setattr(SC, "density_stats", lambda *a, **kw: asked.append(1) or real(*a, **kw))
+    assert plan(MQ.q_failure_reasons(spark, sf)) == 0 and len(asked) == 1
+    assert plan(MQ.q_covered_sources(spark, sf)) == 2 and len(asked) == 2
+    assert plan(SQ.q_sweep_best_pairs(spark, sf)) == 2 and len(asked) == 3      # the scoring passes only
