@@ -56,9 +56,9 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 # Units that n-grams are made of: name -> longest n-gram.
 UNITS = {"w": BLEU_ORDER, "c": CHRF_CHAR_ORDER, "p": CHRF_WORD_ORDER}
-LONG_CHARS = 1 << 16         # characters of a row's two texts that one task counts in memory
+LONG_CHARS = 1 << 19         # characters of a row's two texts that one task counts in memory
 SEGMENT_UNITS = 1 << 14      # units of a longer row that one task counts
-BLOCK_BYTES = 1 << 20        # bytes of the short rows' texts counted in one go
+BLOCK_BYTES = 1 << 17        # bytes of the short rows' texts counted in one go
 
 
 def tokenize_13a(text: Column) -> Column:
@@ -96,13 +96,21 @@ def eval_frame(df: DataFrame, hyp: str = "prediction", ref: str = "reference",
     tasks per core): texts differ a lot in length, and the work grows after this point, so
     the input size must not let adaptive execution coalesce it into a few tasks.
     """
+    out = df.select("row_id", F.col(hyp).alias("_hyp"), F.col(ref).alias("_ref"), *_marks(hyp, ref))
+    return _dealt(out, num_partitions)
+
+
+def _marks(hyp: str, ref: str) -> list[Column]:
     size = F.coalesce(F.length(hyp), F.lit(0)) + F.coalesce(F.length(ref), F.lit(0))
-    out = df.select("row_id", F.col(hyp).alias("_hyp"), F.col(ref).alias("_ref"), (size > LONG_CHARS).alias("_long"),
-                    (F.col(ref).isNull() | (py_strip(F.col(ref)) == "") | F.col(hyp).isNull()).alias("_blank"))
-    spark = df.sparkSession
+    return [(size > LONG_CHARS).alias("_long"),
+            (F.col(ref).isNull() | (py_strip(F.col(ref)) == "") | F.col(hyp).isNull()).alias("_blank")]
+
+
+def _dealt(rows: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    spark = rows.sparkSession
     n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                               4 * spark.sparkContext.defaultParallelism)
-    return out.repartition(n, "row_id")
+    return rows.repartition(n, "row_id")
 
 
 def _units(kind: str, text: Column) -> Column:
@@ -124,19 +132,35 @@ def _shifted(arr: Column, k: int) -> Column:
 # ---- short rows: counted in memory, many rows together
 
 def _words_13a():
-    """``tokenize_13a`` of one text."""
+    """``tokenize_13a`` of one text. The passes whose matches cannot overlap are made by plain
+    replacement: the first class one character at a time; a point or comma without another one
+    beside it is set apart unless it stands between digits; a dash is, after a digit."""
     import re
 
     steps = [(re.compile(p).sub, r.replace("$", "\\")) for p, r in REGEX_13A]
+    first = re.compile(REGEX_13A[0][0])
+    apart = [(c, f" {c} ") for c in map(chr, range(128)) if first.match(c)]
+    pairs = [a + b for a in ".," for b in ".,"]
+    number = re.compile(r"[.,](?<=[0-9].)(?=[0-9])").search
+    edge = re.compile(r"[.,](?:(?<![0-9].)|(?![0-9]))").sub
+    dash = re.compile(r"-(?<=[0-9]-)").sub
 
     def split(text):
         text = text.rstrip()
         for a, b in REPLACED_13A + ENTITIES_13A:
             text = text.replace(a, b)
         text = f" {text} "
-        for sub, r in steps:
-            text = sub(r, text)
-        return text.split()
+        for c, r in apart:
+            if c in text:
+                text = text.replace(c, r)
+        if any(p in text for p in pairs):
+            for sub, r in steps[1:3]:
+                text = sub(r, text)
+        elif number(text):
+            text = edge(r" \g<0> ", text)
+        else:
+            text = text.replace(".", " . ").replace(",", " , ")
+        return dash(" - ", text).split()
     return split
 
 
@@ -154,9 +178,9 @@ def _words_pp(text):
 
 
 def _sides(texts, n: int, kind: str, split):
-    """(unit, row, side, end, (hypothesis sizes, reference sizes)) of ``n`` hypotheses and then
-    ``n`` references: both sides' units as numbers, one text after the other; ``end`` is the end
-    of a unit's own text. str.split() and its white space are those of ``py_split``."""
+    """(unit, row, side, end, sizes of each side) of ``n`` hypotheses (of each system, if there are
+    more) and then ``n`` references: the sides' units as numbers, one text after the other;
+    ``end`` is the end of a unit's own text. str.split() and its white space are those of ``py_split``."""
     texts = list(map(split, texts))
     if kind == "c":
         unit = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -164,35 +188,94 @@ def _sides(texts, n: int, kind: str, split):
         number: dict[str, int] = defaultdict()
         number.default_factory = number.__len__
         unit = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64)
-    size = np.fromiter(map(len, texts), np.int64, 2 * n)
-    row = np.repeat(np.concatenate([np.arange(n), np.arange(n)]), size)
-    side = np.repeat(np.repeat([0, 1], n), size)
-    return unit, row, side, np.repeat(np.cumsum(size), size), (size[:n], size[n:])
+    sides = len(texts) // n
+    size = np.fromiter(map(len, texts), np.int64, sides * n)
+    row = np.repeat(np.tile(np.arange(n), sides), size)
+    side = np.repeat(np.repeat(np.arange(sides), n), size)
+    return unit, row, side, np.repeat(np.cumsum(size), size), tuple(size.reshape(sides, n))
 
 
 def count_matches(unit, row, side, end, n_rows: int, max_n: int) -> np.ndarray:
-    """Clipped matches (order, row): for every n-gram of a row the lesser of its two counts.
+    """Clipped matches (order, row): for every n-gram of a row the lesser of its two counts."""
+    return count_system_matches(unit, row, side, end, n_rows, max_n, 1)[0]
+
 
-    An n-gram that one side lacks cannot grow into one that both have, so only the common
-    ones go on to the next order."""
-    out = np.zeros((max_n, n_rows), np.int64)
+def count_system_matches(unit, row, side, end, n_rows: int, max_n: int, systems: int) -> np.ndarray:
+    """Clipped matches (system, order, row) of the hypotheses on sides 0, 1, ... with the
+    references, the last side.
+
+    A sort key holds an n-gram's row (later: the number of its first units) and as many units as
+    fit, above its side. In sorted keys the n-grams of every order are runs of equal beginnings,
+    so one sort serves all orders that fit. An n-gram that the references or all hypotheses lack
+    cannot grow into one that counts, so only the others go on to the next key."""
+    out = np.zeros((systems, max_n, n_rows), np.int64)
     if not len(unit):
         return out
-    width = int(unit.max()) + 1
-    at, prefix = np.arange(len(unit)), row
-    for n in range(max_n):
-        inside = at + n < end[at]
-        at, prefix = at[inside], prefix[inside]
-        if not len(at):
+    width = 63 // (systems + 1)     # bits of a count: those of all sides are one number
+    if systems > 1 and len(unit) >> width:
+        for s in range(systems):
+            of = (side == s) | (side == systems)
+            out[s] = count_matches(unit[of], row[of], side[of] // systems, end[of], n_rows, max_n)
+        return out
+    one = np.int64(1) << width * np.arange(systems + 1)
+    # Units from 1 on; max_n - 1 zeros after each text stand for its end.
+    seen = np.zeros(int(unit.max()) + 1, np.int64)
+    seen[unit] = 1
+    code = np.cumsum(seen)
+    bits = int(code[-1]).bit_length()
+    text = np.cumsum(np.append(False, end[1:] != end[:-1]))
+    at = np.arange(len(unit)) + text * (max_n - 1)
+    units = np.zeros(int(at[-1]) + max_n, np.int64)
+    units[at] = code[unit]
+    side_bits, at_bits = systems.bit_length(), int(at[-1]).bit_length()
+    prefix, rows, done = row, np.arange(n_rows), 0
+    while done < max_n and len(at):
+        free = 63 - len(rows).bit_length() - side_bits
+        take = min(max_n - done, free // bits)
+        low = 0
+        if done + take < max_n:     # the places are needed again
+            low, take = at_bits, (free - at_bits) // bits
+        if take <= 0:               # a unit does not fit beside the others: pairs get numbers first
+            prefix, new = np.unique(np.stack([prefix, units[at + done]]), axis=1, return_inverse=True)
+            units_at, rows, prefix, take, shift = prefix[1], rows[prefix[0]], new.reshape(-1), 1, 0
+        else:
+            units_at, shift = None, bits
+        key = prefix
+        if units_at is None:
+            gram = units[done:len(units) - max_n + done + 1].copy()
+            for k in range(done + 1, done + take):
+                gram <<= bits
+                gram |= units[k:len(gram) + k]
+            key = prefix << bits * take | gram[at]
+        key = (key << side_bits | side) << low
+        if low:
+            key |= at
+        key.sort()
+        # Runs of the longest n-grams with their counts, then of the beginnings of those.
+        first = np.searchsorted(rows, np.arange(n_rows + 1))      # a row's first prefix
+        head = key >> low + side_bits
+        count = one[key >> low & (1 << side_bits) - 1]
+        for k in range(take, 0, -1):
+            begin = np.flatnonzero(np.append(True, head[1:] != head[:-1]))
+            count = np.cumsum(count)[np.append(begin[1:], len(head)) - 1]
+            count[1:] -= count[:-1].copy()
+            head = head[begin]
+            real = head & (1 << bits) - 1 > 0 if units_at is None else units_at[head] > 0
+            refs = (count >> width * systems) * real        # n-grams over a text's end are none
+            bound = np.searchsorted(head, first << shift * k)
+            for s in range(systems):
+                common = np.minimum(count >> width * s & (1 << width) - 1, refs)
+                out[s, done + k - 1] = np.diff(np.append(0, np.cumsum(common))[bound])
+            if k == take and done + take < max_n:
+                both = np.flatnonzero((refs > 0) & (count & (1 << width * systems) - 1 > 0))
+                size, kept = np.diff(np.append(begin, len(key)))[both], rows[head[both] >> shift * k]
+                again = key[np.repeat(begin[both] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            head = head >> shift
+        done += take
+        if done == max_n:
             break
-        gram, number = np.unique(prefix * width + unit[at + n], return_inverse=True)
-        counts = np.bincount(2 * number + side[at], minlength=2 * len(gram)).reshape(-1, 2)
-        common = counts.min(axis=1)
-        of = np.empty(len(gram), np.int64)
-        of[number] = row[at]
-        np.add.at(out[n], of, common)
-        keep = common[number] > 0
-        at, prefix = at[keep], number[keep]
+        at, side = again & (1 << low) - 1, again >> low & (1 << side_bits) - 1
+        prefix, rows = np.repeat(np.arange(len(both)), size), kept
     return out
 
 
@@ -230,6 +313,15 @@ def stat_columns(kinds) -> list[str]:
     return out
 
 
+def _blocks(whole, texts):
+    """The batch's rows, taken together until their texts hold enough bytes; no more is copied at once."""
+    size = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts)
+    block = np.cumsum(size) // BLOCK_BYTES
+    cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+    for lo, hi in zip(cuts, [*cuts[1:], whole.num_rows]):
+        yield whole.slice(int(lo), int(hi - lo))
+
+
 def _short_stats(ev: DataFrame, kinds) -> DataFrame:
     names = stat_columns(kinds)
     # Only texts that are counted here are sent: those of short rows that have a score, as they are for
@@ -242,13 +334,7 @@ def _short_stats(ev: DataFrame, kinds) -> DataFrame:
     def run(batches):
         split = {"w": _words_13a(), "c": lambda x: "".join(x.split()), "p": _words_pp, "t": str.split}
         for whole in batches:
-            # Rows are taken together until their texts hold enough bytes; no more is copied at once.
-            size = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                       for c in whole.columns[3:5])
-            block = np.cumsum(size) // BLOCK_BYTES
-            cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
-            for lo, hi in zip(cuts, [*cuts[1:], whole.num_rows]):
-                b = whole.slice(int(lo), int(hi - lo))
+            for b in _blocks(whole, whole.columns[3:5]):
                 b = b.filter(pc.invert(b.column(2)))
                 n_rows = b.num_rows
                 if not n_rows:
@@ -364,6 +450,88 @@ def unit_stats(ev: DataFrame, kinds) -> DataFrame:
     return _short_stats(ev, kinds).unionByName(_long_stats(ev, kinds))
 
 
+# ---- several systems with the same references: counted together
+
+class CountedSystem:
+    """One system's rows in the counts that ``count_systems`` made; stands for its evaluation table."""
+
+    def __init__(self, counted: DataFrame, system: int, kinds):
+        self.counted, self.system, self.kinds = counted, system, kinds
+
+    def stats(self, kinds) -> DataFrame:
+        """``unit_stats`` of this system's rows."""
+        if not set(kinds) <= set(self.kinds):
+            raise ValueError(f"counted are {self.kinds}, not {kinds}")
+        i = self.system
+        rows = self.counted.filter(F.col(f"_own{i}"))
+        counts = []
+        for k in kinds:
+            for n in range(1, UNITS[k] + 1):
+                counts.append(F.col(f"{k}m{n}_{i}").cast("double").alias(f"{k}m{n}"))
+                for x, size in (("h", f"{k}_{i}"), ("r", f"{k}_ref")):
+                    counts.append(F.greatest(F.col(size) - (n - 1), F.lit(0)).cast("double").alias(f"{k}{x}{n}"))
+        short = rows.filter(~F.col(f"_long{i}")).select("row_id", F.col(f"_blank{i}").alias("_blank"), *counts)
+        long = rows.filter(F.col(f"_long{i}")).select(
+            "row_id", F.col(f"_hyp{i}").alias("_hyp"), "_ref", F.col(f"_long{i}").alias("_long"),
+            F.col(f"_blank{i}").alias("_blank"))
+        return short.unionByName(_long_stats(long, kinds))
+
+
+def count_systems(df: DataFrame, metrics, hyps, ref: str = "reference", own=None) -> list[CountedSystem]:
+    """The counts of the named n-gram metrics for several systems (columns ``hyps``) with one reference,
+    from one pass over the texts: each text is sent, split and numbered once. ``own``: for each
+    system the rows that are its rows (all). Checkpointed; long rows keep their texts there."""
+    kinds = list(dict.fromkeys(k for m in metrics for k in METRICS[m][0]))
+    cols = ["row_id", F.col(ref).alias("_ref"), *[F.col(h).alias(f"_hyp{i}") for i, h in enumerate(hyps)]]
+    for i, h in enumerate(hyps):
+        cols += [c.alias(f"{name}{i}") for name, c in zip(("_long", "_blank"), _marks(h, ref))]
+        cols.append((own[i] if own else F.lit(True)).alias(f"_own{i}"))
+    ev = _dealt(df.select(*cols))
+    systems = range(len(hyps))
+    flags = [f"{x}{i}" for i in systems for x in ("_long", "_blank", "_own")]
+    texts = [*[f"_hyp{i}" for i in systems], "_ref"]
+    # A blank row's text is not sent.
+    used = {f"_hyp{i}": ~F.col(f"_blank{i}") for i in systems}
+    used["_ref"] = ~F.expr(" and ".join(f"_blank{i}" for i in systems))
+    ev = ev.select("row_id", *flags, *[F.when(used[c], F.col(c)).alias(c) for c in texts])
+    names = [x for k in kinds for x in [f"{k}_ref", *[y for i in systems for y in [
+        f"{k}_{i}", *[f"{k}m{n}_{i}" for n in range(1, UNITS[k] + 1)]]]]]
+    n_flags = len(flags)
+
+    def run(batches):
+        split = {"w": _words_13a(), "c": lambda x: "".join(x.split()), "p": _words_pp}
+        for whole in batches:
+            for b in _blocks(whole, whole.columns[1 + n_flags:]):
+                n_rows = b.num_rows
+                if not n_rows:
+                    continue
+                long = [b.column(f"_long{i}").to_numpy(zero_copy_only=False).astype(bool) for i in systems]
+                some = np.logical_or.reduce(long)
+                sent = [b.column(c).to_pylist() for c in texts]
+                # A long hypothesis is not counted here, nor is a reference of long ones only.
+                both = [x if x is not None and not skip else "" for c, flag in zip(sent, [*long, np.logical_and.reduce(long)])
+                        for x, skip in zip(c, flag)]
+                out = {}
+                for k in kinds:
+                    unit, row, side, end, sizes = _sides(both, n_rows, k, split[k])
+                    m = count_system_matches(unit, row, side, end, n_rows, UNITS[k], len(hyps))
+                    out[f"{k}_ref"] = sizes[-1]
+                    for i in systems:
+                        out[f"{k}_{i}"] = sizes[i]
+                        for n in range(1, UNITS[k] + 1):
+                            out[f"{k}m{n}_{i}"] = m[i, n - 1]
+                kept = [pa.array([x if k else None for x, k in zip(c, some)], pa.string()) for c in sent]
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns[:1 + n_flags], *kept, *[pa.array(out[c].astype(np.int32)) for c in names]],
+                    names=["row_id", *flags, *texts, *names])
+
+    id_type = ev.schema["row_id"].dataType.simpleString()
+    counted = ev.mapInArrow(run, f"row_id {id_type}, " + ", ".join(
+        [*[f"{c} boolean" for c in flags], *[f"{c} string" for c in texts], *[f"{c} int" for c in names]]))
+    counted = counted.checkpoint(eager=True)
+    return [CountedSystem(counted, i, kinds) for i in systems]
+
+
 def _summed(stats: DataFrame) -> DataFrame:
     return stats.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in stats.columns if c not in ("row_id", "_blank")])
 
@@ -429,11 +597,12 @@ METRICS = {
 
 
 def metric_rows(df: DataFrame, metrics, hyp: str = "prediction", ref: str = "reference") -> DataFrame:
-    """``row_id`` and the named metrics, all of them from one pass over the texts."""
-    ev = eval_frame(df, hyp, ref)
+    """``row_id`` and the named metrics, all of them from one pass over the texts. ``df`` is an
+    evaluation table, here and in the functions for one metric, or a system that ``count_systems`` counted."""
     kinds = list(dict.fromkeys(k for m in metrics for k in METRICS[m][0]))
+    stats = df.stats(kinds) if isinstance(df, CountedSystem) else unit_stats(eval_frame(df, hyp, ref), kinds)
     score = lambda m: F.when(~F.col("_blank"), F.coalesce(METRICS[m][1](), F.lit(0.0))).alias(m)
-    return unit_stats(ev, kinds).select("row_id", *[score(m) for m in metrics])
+    return stats.select("row_id", *[score(m) for m in metrics])
 
 
 def bleu_rows(df: DataFrame, hyp: str = "prediction", ref: str = "reference") -> DataFrame:

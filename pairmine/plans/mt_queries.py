@@ -8,7 +8,7 @@ against the same references.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairmine.operators import mt_metrics as MT
@@ -59,11 +59,15 @@ def q_metric_means(spark, sf_dir):
 
 
 def q_compare_runs(spark, sf_dir):
-    """System A (the previous document) vs system B (the one before), same rows."""
-    a = eval_rows(spark, sf_dir, 1)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    b = (a.select("row_id", "reference")
-          .join(docs.select((F.col("doc_id") + 1).alias("row_id"), F.col("text").alias("prediction")), "row_id"))
+    """System A (the previous document) vs system B (the one before), same rows. Both systems
+    are counted in one pass. Where an id of B's predictions repeats, A's row stands beside each of
+    them; one of these is A's own."""
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("row_id"),
+                                                    F.col("text").alias("prediction_b"))
+    one_of = F.row_number().over(Window.partitionBy("row_id").orderBy("row_id"))
+    both = eval_rows(spark, sf_dir, 1).join(docs.withColumn("_of", one_of), "row_id")
+    a, b = MT.count_systems(both, ["bleu", "chrf"], ["prediction", "prediction_b"],
+                            own=[F.col("_of") == 1, F.lit(True)])
     ca = MT.bleu_rows(a).join(MT.chrf_rows(a), "row_id")
     cb = MT.bleu_rows(b).join(MT.chrf_rows(b), "row_id")
     return rounded(MT.compare_runs(ca, cb, ["bleu", "chrf"]))

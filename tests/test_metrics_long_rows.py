@@ -83,3 +83,53 @@ def test_texts_that_are_not_counted_in_memory_are_not_sent(spark, monkeypatch):
     got = {r.row_id: (r.bleu, r.meteor) for r in MT.metric_rows(df, ["bleu", "meteor"]).collect()}
     assert {r.row_id for r in sent if any(x is not None for x in r[3:])} == {1}
     assert got[2] == got[3] == (None, None) and got[1][1] > 0 and got[4][1] > 0
+
+
+def test_several_systems_are_counted_like_each_alone():
+    import numpy as np
+    rnd = random.Random(4)
+    for letters, n, longest in (("abc", 40, 30), ("".join(map(chr, range(0x4e00, 0x4e00 + 3000))) + "😀", 30, 200)):
+        sides = [["".join(rnd.choice(letters) for _ in range(rnd.randint(0, longest))) for _ in range(n)] for _ in range(3)]
+        sides[0][0] = sides[2][0] = sides[2][0] + "xyz" * 9
+        got = MT.count_system_matches(*MT._sides(sum(sides, []), n, "c", lambda x: x)[:4], n, 6, 2)
+        for s in (0, 1):
+            for i in range(n):
+                for k in range(1, 7):
+                    x, y = (Counter(t[j:j + k] for j in range(len(t) - k + 1)) for t in (sides[s][i], sides[2][i]))
+                    assert got[s, k - 1, i] == sum((x & y).values())
+    # Units too wide for one key with others.
+    unit, end = np.array([0, 1 << 24, 5, 0, 1 << 24, 5, 7]), np.array([3, 3, 3, 7, 7, 7, 7])
+    side = np.array([0, 0, 0, 1, 1, 1, 1])
+    assert MT.count_matches(unit, side * 0, side, end, 1, 3)[:, 0].tolist() == [3, 2, 1]
+
+
+def test_13a_words_of_odd_marks(spark):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("a1.,-. \n&quot;<>é9!'(中{|~") for _ in range(rnd.randint(0, 12))) for _ in range(3000)]
+    split = MT._words_13a()
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, x string").select("i", MT.tokenize_13a(F.col("x")).alias("w"))
+    assert {r.i: r.w for r in df.collect()} == {i: split(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("long_chars", [None, 90])
+def test_compare_runs_reads_the_texts_once(spark, tmp_dir, monkeypatch, long_chars):
+    """Both systems come from one pass over the texts; ids that repeat and null texts give the
+    rows that each system's own evaluation gives."""
+    from pairmine.plans import mt_queries as Q
+
+    docs = [(i, hyp, "en") for i, hyp, _ in rows(30, seed=6)] + [(None, "a b", "en")]
+    if long_chars is None:
+        docs += [(9, "the cat Dog's 3.14 x", "en"), (9, "a cat", "fr"), (11, None, "en"), (12, "the cat", "en")]
+    else:
+        monkeypatch.setattr(MT, "LONG_CHARS", long_chars)
+    path = str(tmp_dir) + f"/runs{long_chars}"
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{path}/documents.parquet")
+    got = Q.q_compare_runs(spark, path)
+    assert "documents.parquet" not in got._jdf.queryExecution().toString()
+    a = Q.eval_rows(spark, path, 1)
+    t = spark.read.parquet(f"{path}/documents.parquet")
+    b = a.select("row_id", "reference").join(
+        t.select((F.col("doc_id") + 1).alias("row_id"), F.col("text").alias("prediction")), "row_id")
+    want = Q.rounded(MT.compare_runs(*[MT.bleu_rows(x).join(MT.chrf_rows(x), "row_id") for x in (a, b)], ["bleu", "chrf"]))
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())) and got.count() >= 26
+    assert got.schema == want.schema
