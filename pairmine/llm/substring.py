@@ -17,14 +17,19 @@ at that depth:
 * Ties. Where one gram occurs in several documents with different surroundings (the ends
   of a shared passage), rank alone does not decide. Two such runs share a window only if
   the bytes on one side of the gram, over half of what a window holds beside it, are
-  equal; hashes of both sides travel with a sample, and the few runs that agree on one
-  are split into their windows, which are ranked in a second round of the same kind.
+  equal; hashes of both sides travel with a sample. The bytes of the few runs that agree on
+  one are brought together by their gram in a second round, which ranks their windows.
 
 Copies are pre-aggregated: of the samples of one rank a task sends only those of its
 smallest document, the others are known to repeat it. Grams that a sample of the corpus
 shows to be very common go to the second form (single windows) at once, which spreads
 them over all buckets. Equality means equal 96-bit hashes (two independent ones).
 
+Disk. What is shuffled and staged is packed (``_Packed``): sorted columns as differences, byte
+by byte, compressed; about 18 bytes a sample and 4 a run, however many buckets there are. Runs meet
+their texts in as many parts as there are shuffle partitions, by a hash of (doc_id, key). A text
+whose doc_id no other text has gets the key 0. Shuffles are dropped once their stage is written.
+
 Edge cases: null text is empty; texts under ``min_len`` bytes lose nothing; rows that
 share a doc_id never remove each other's bytes (neither is smaller); rows with a null
 doc_id neither remove nor lose bytes; an empty table gives an empty result; a text of
@@ -45,13 +50,12 @@ from pairmine.llm.common import shuffle_parts, staged
 MIN_LEN = 50
 GRAM = 20                  # bytes of a cover sample's string
 SLICE = 1 << 19            # window starts hashed at a time
-FLUSH = 1 << 20            # samples a task holds before it sends them
+FLUSH = 3 << 18            # samples a task holds before it sends them
 SUB_BUCKETS = 8            # buckets per shuffle partition in the first round, resolved one at a time
+SHARED_IDS = 100_000       # so many ids that several texts share are broadcast
 HOT_BUCKETS = 2            # a gram that alone would fill so many average buckets counts as hot
 HOT_SAMPLE_ROWS = 20_000   # about so many documents are sampled to find hot grams
 
-_ITEM = np.dtype([("h", "<u4"), ("h2", "<u2"), ("c", "<u4"), ("c2", "<u2"), ("doc", "<u2"),
-                  ("left", "<u2"), ("right", "<u2"), ("lo", "<u4"), ("n", "u1")])
 _M = (1 << 64) - 1
 
 
@@ -155,7 +159,7 @@ class Sampler:
             left, right = o - self.half, o + self.gram
             left = self._side(p2, left, left >= begin[lo])
             right = self._side(p2, right, right + self.half <= end[lo])
-            yield g[o], c, doc[lo], left, right, at[lo], hi - lo + 1, (p1, p2, a)
+            yield g[o], c, doc[lo], left, right, at[lo], hi - lo + 1, (p1, p2, a, o)
 
     def _side(self, prefix, start, inside):
         """16-bit hash of the ``half`` bytes from ``start`` on; 0 where the text part ends."""
@@ -164,7 +168,7 @@ class Sampler:
 
     def windows(self, hashes, pick, n):
         """Both hashes, the picked row and the shift of each single window of the rows in ``pick``."""
-        p1, p2, a = hashes
+        p1, p2, a, _ = hashes
         n = n[pick]
         row = np.repeat(pick, n)
         shift = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -181,91 +185,198 @@ def _runs_of(*cols):
     return new
 
 
+def _spans(*cols):
+    """(start, end) of the runs of equal values in sorted columns."""
+    at = np.flatnonzero(_runs_of(*cols)) if len(cols[0]) else np.zeros(0, np.int64)
+    return at, np.append(at[1:], len(cols[0]))
+
+
+class _Packed:
+    """Columns of whole numbers as packed blobs: the bytes of each place together (those of small
+    numbers are zero), compressed. ``delta`` columns (sorted) are kept as differences from
+    the row before, ``low`` columns as those from the blob's least value."""
+
+    def __init__(self, delta: tuple = (), low: tuple = (), **widths: int):
+        self.widths, self.delta, self.low = widths, delta, low
+        self.size = sum(widths.values())
+
+    def pack(self, cols: dict, start, end):
+        """The blob of each range of rows."""
+        mat, at = np.empty((self.size, len(next(iter(cols.values())))), np.uint8), 0
+        rows, least = np.repeat(np.arange(len(start)), end - start), {}
+        for name, width in self.widths.items():
+            x = cols[name].astype(np.int64)
+            if name in self.delta:
+                d = x.copy()
+                d[1:] -= x[:-1]
+                d[start] = x[start]
+                x = d
+            elif name in self.low:
+                least[name] = np.minimum.reduceat(x, start)
+                x = x - least[name][rows]
+            mat[at:at + width] = x.view(np.uint8).reshape(-1, 8)[:, :width].T
+            at += width
+        heads = np.stack([end - start, *[least[n] for n in self.low]], axis=1).astype(np.int64)
+        codec = pa.Codec("zstd", compression_level=1)
+        for a, z, head in zip(start, end, heads):
+            yield head.tobytes() + codec.compress(mat[:, a:z].tobytes(), asbytes=True)
+
+    def unpack(self, blobs: list) -> dict:
+        """The rows of all blobs, one blob's after the other's."""
+        codec, n_head, parts = pa.Codec("zstd"), 8 * (1 + len(self.low)), []
+        for blob in blobs:
+            n, *least = np.frombuffer(blob, np.int64, 1 + len(self.low)).tolist()
+            mat = codec.decompress(memoryview(blob)[n_head:], n * self.size)
+            mat, at, cols = np.frombuffer(mat, np.uint8).reshape(self.size, n), 0, {}
+            for name, width in self.widths.items():
+                x = np.zeros((n, 8), np.uint8)
+                x[:, :width] = mat[at:at + width].T
+                cols[name] = x.view(np.int64).reshape(-1)
+                at += width
+                if name in self.delta:
+                    cols[name] = np.cumsum(cols[name])
+                elif name in self.low:
+                    cols[name] += least[self.low.index(name)]
+            parts.append(cols)
+        return {name: np.concatenate([x[name] for x in parts]) for name in self.widths}
+
+
+_SAMPLES = _Packed(("h",), ("id",), h=6, c=6, left=2, right=2, lo=6, n=1, id=8, key=8)
+_CONTEXTS = _Packed((), ("id",), lo=6, n=1, gram=1, id=8, key=8)
+_RUNS = _Packed(("id",), (), id=8, key=8, lo=6, n=6)
+
+
+def doc_part(doc_id, key, parts: int) -> np.ndarray:
+    """``pmod(xxhash64(doc_id, key), parts)`` of Spark."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
+                                                0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x, k):
+        return x << np.uint64(k) | x >> np.uint64(64 - k)
+
+    h = np.full(len(doc_id), 42, np.uint64)
+    for col in (doc_id, key):
+        h = (h + p5 + np.uint64(8)) ^ turned(col.astype(np.int64).view(np.uint64) * p2, 31) * p1
+        h = turned(h, 27) * p1 + p4
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        h = h ^ h >> np.uint64(32)
+    return h.view(np.int64) % parts
+
+
+class _RunBox:
+    """Runs of one kind and one task, packed by the part of their documents."""
+
+    def __init__(self, kind: int, parts: int):
+        self.kind, self.n_parts, self.runs, self.count = kind, parts, [], 0
+
+    def add(self, doc_id, key, lo, n):
+        self.runs.append((doc_id, key, lo, n))
+        self.count += len(lo)
+
+    def full(self) -> bool:
+        return self.count >= FLUSH
+
+    def flush(self):
+        """(kind, part, blob)"""
+        if not self.count:
+            return
+        cols = [np.concatenate(x) for x in zip(*self.runs)]
+        self.runs, self.count = [], 0
+        doc_id, key, lo, n = _joined(*cols) if self.kind == REPEATED else cols
+        part = doc_part(doc_id, key, self.n_parts)
+        order = np.lexsort((lo, key, doc_id, part))
+        part = part[order]
+        at, end = _spans(part)
+        cols = {"id": doc_id[order], "key": key[order], "lo": lo[order], "n": n[order]}
+        for p, blob in zip(part[at].tolist(), _RUNS.pack(cols, at, end)):
+            yield self.kind, p, blob
+
+
+REPEATED, OPEN = 1, 2        # kinds of runs: repeat a smaller document, undecided
+
+
 class _Outbox:
     """Samples of one task, pre-aggregated and dealt to buckets as packed records."""
 
-    def __init__(self, buckets: int):
+    def __init__(self, buckets: int, parts: int):
         self.buckets, self.parts, self.count = buckets, [], 0
         self.docs: list[tuple[int, int]] = []
+        self.known = _RunBox(REPEATED, parts)
 
     def doc(self, doc_id: int, key: int) -> int:
         self.docs.append((doc_id, key))
         return len(self.docs) - 1
 
     def add(self, h, c, doc, left, right, lo, n):
-        self.parts.append((h, c, doc, left, right, lo, n))
+        self.parts.append(((h >> np.uint64(16)).astype(np.int64), (c >> np.uint64(16)).astype(np.int64), doc.astype(np.int32),
+                           left.astype(np.uint16), right.astype(np.uint16), lo, n.astype(np.uint8)))
         self.count += len(h)
 
     def full(self, more: int) -> bool:
         return self.count >= FLUSH or len(self.docs) + more > 65535
 
     def flush(self):
-        if not self.parts:
-            return
-        h, c, doc, left, right, lo, n = (np.concatenate(x) for x in zip(*self.parts))
+        """(bucket, part, blob): samples (part -1), and runs that are known to repeat."""
         docs = np.array(self.docs, dtype=np.int64).reshape(-1, 2)
-        self.parts, self.count, self.docs = [], 0, []
-        h, c = h >> np.uint64(16), c >> np.uint64(16)
+        parts, self.parts, self.count, self.docs = self.parts, [], 0, []
+        if not parts:
+            return
+        h, c, doc, left, right, lo, n = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        # h and its bucket as one number; samples of one h stand together in their bucket.
+        size = (1 << 48) // self.buckets + 1
+        h = h % self.buckets * size + h // self.buckets
+        order = np.lexsort((docs[doc, 0], c, h))
+        h, c, doc = h[order], c[order], doc[order]
         ids = docs[doc, 0]
-        order = np.lexsort((ids, c, h))
-        h, c, doc, left, right, lo, n, ids = (x[order] for x in (h, c, doc, left, right, lo, n, ids))
         new = _runs_of(h, c)
-        least = ids[np.nonzero(new)[0]][np.cumsum(new) - 1]
-        known = ids > least          # repeats a smaller document of this task
-        bucket = (h % np.uint64(self.buckets)).astype(np.int64)
+        known = ids > ids[np.nonzero(new)[0]][np.cumsum(new) - 1]     # repeats a smaller document of this task
         if known.any():
-            rec = np.empty(int(known.sum()), np.dtype([("id", "<i8"), ("key", "<i8"), ("lo", "<i8"), ("n", "<i4")]))
-            rec["id"], rec["key"] = docs[doc[known], 0], docs[doc[known], 1]
-            rec["lo"], rec["n"] = lo[known], n[known]
-            rec = _joined(rec)
-            share = max(1, -(-len(rec) // 8))
-            for i, a in enumerate(range(0, len(rec), share)):
-                yield int(bucket[(i * 7919) % len(bucket)]), b"", rec[a:a + share].tobytes()
-        keep = ~known
-        order = np.nonzero(keep)[0]
-        order = order[np.argsort(bucket[order], kind="stable")]
-        item = np.empty(len(order), _ITEM)
-        item["h"], item["h2"] = h[order] >> np.uint64(16), h[order] & np.uint64(0xFFFF)
-        item["c"], item["c2"] = c[order] >> np.uint64(16), c[order] & np.uint64(0xFFFF)
-        item["left"], item["right"], item["lo"], item["n"] = left[order], right[order], lo[order], n[order]
-        bucket, doc = bucket[order], doc[order]
-        at = np.nonzero(_runs_of(bucket))[0] if len(order) else []
-        for a, z in zip(at, np.append(at[1:], len(order))):
-            used, item["doc"][a:z] = np.unique(doc[a:z], return_inverse=True)
-            yield int(bucket[a]), docs[used].tobytes(), item[a:z].tobytes()
-
-
-def _joined(rec):
+            self.known.add(ids[known], docs[doc[known], 1], lo[order[known]], n[order[known]].astype(np.int64))
+            for _, part, blob in self.known.flush():
+                yield part % self.buckets, part, blob
+            h, c, doc, ids, order = (x[~known] for x in (h, c, doc, ids, order))
+        bucket = h // size
+        at, end = _spans(bucket)
+        cols = {"h": h - bucket * size, "c": c, "left": left[order], "right": right[order],
+                "lo": lo[order], "n": n[order], "id": ids, "key": docs[doc, 1]}
+        for b, blob in zip(bucket[at].tolist(), _SAMPLES.pack(cols, at, end)):
+            yield b, -1, blob
+
+
+def _joined(doc_id, key, lo, n):
     """Window runs of the same text that touch, as one run."""
-    rec = rec[np.lexsort((rec["lo"], rec["key"], rec["id"]))]
-    end = rec["lo"] + rec["n"]
-    new = _runs_of(rec["id"], rec["key"])
-    new[1:] |= rec["lo"][1:] > end[:-1]
+    order = np.lexsort((lo, key, doc_id))
+    doc_id, key, lo, end = doc_id[order], key[order], lo[order], (lo + n)[order]
+    new = _runs_of(doc_id, key)
+    new[1:] |= lo[1:] > end[:-1]
     at = np.nonzero(new)[0]
-    out = rec[at].copy()
-    out["n"] = np.maximum.reduceat(end, at) - out["lo"] if len(at) else out["n"]
-    return out
+    return doc_id[at], key[at], lo[at], np.maximum.reduceat(end, at) - lo[at]
 
 
-_SENT = "bucket int, docs binary, items binary"
-_FOUND = "kind int, doc_id long, key long, lo long, n int"
+_SENT = "bucket int, part int, items binary"
+_SENT_CONTEXTS = "bucket int, items binary, text binary"
+_FOUND = "kind int, part int, items binary"
+_MEETING = "part int, kind int, doc_id long, key long, data binary"
 
 
-def _batch(rows):
-    cols = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()),
-                                       pa.array(cols[2], pa.binary())], names=["bucket", "docs", "items"])
+def _rows(rows, schema: str):
+    """One record batch of the rows."""
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows), types)], names=list(names))
 
 
-def _send_samples(min_len, gram, buckets, hot):
+def _send_samples(min_len, gram, buckets, parts, hot):
     def run(batches):
-        sampler, box = Sampler(min_len, gram), _Outbox(buckets)
+        sampler, box = Sampler(min_len, gram), _Outbox(buckets, parts)
         common = np.array(sorted(hot), dtype=np.uint64)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 sl = b.slice(at, 512)
                 if box.full(sl.num_rows):
-                    yield from (_batch([r]) for r in box.flush())
+                    yield from (_rows([r], _SENT) for r in box.flush())
                 ids, keys, texts = (sl.column(i).to_pylist() for i in range(3))
                 base = len(box.docs)
                 for i, k in zip(ids, keys):
@@ -280,62 +391,39 @@ def _send_samples(min_len, gram, buckets, hot):
                             box.add(w1, w2, base + doc[row], none, none, lo[row] + shift, np.ones(len(row), np.int64))
                             h, c, doc, left, right, lo, n = (x[~is_hot] for x in (h, c, doc, left, right, lo, n))
                     box.add(h, c, base + doc, left, right, lo, n)
-        yield from (_batch([r]) for r in box.flush())
+        yield from (_rows([r], _SENT) for r in box.flush())
 
     return run
 
 
-def _send_windows(min_len, gram, buckets):
-    """Single windows of the runs that were left undecided."""
-
-    def run(batches):
-        sampler, box = Sampler(min_len, gram), _Outbox(buckets)
-        for b in batches:
-            for doc_id, key, text, runs in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if box.full(1):
-                    yield from (_batch([r]) for r in box.flush())
-                k = box.doc(doc_id, key)
-                for run_ in runs:
-                    lo, n = run_["lo"], run_["n"]
-                    data = np.frombuffer(text[lo:lo + n + min_len - 1], np.uint8)
-                    w = np.arange(n)
-                    box.add(sampler.first.at(sampler.first.prefix(data), w, min_len),
-                            sampler.second.at(sampler.second.prefix(data), w, min_len),
-                            np.full(n, k), np.zeros(n, np.uint64), np.zeros(n, np.uint64), lo + w, np.ones(n, np.int64))
-        yield from (_batch([r]) for r in box.flush())
-
-    return run
+def _buckets(batches, columns: int):
+    """Rows sorted by bucket: the columns after it of each bucket, as lists."""
+    bucket, held = None, []
+    for b in batches:
+        for k, *x in zip(*(b.column(i).to_pylist() for i in range(columns))):
+            if k != bucket and held:
+                yield list(zip(*held))
+                held = []
+            bucket = k
+            held.append(x)
+    if held:
+        yield list(zip(*held))
 
 
-def _resolve(batches):
+def _resolve(parts: int):
     """Rows sorted by bucket. Sorts one bucket at a time and yields the window runs that
-    repeat a smaller document (kind 1) and the undecided ones (kind 2)."""
-
-    def out(kind, doc_id, key, lo, n):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(lo), kind, np.int32)), pa.array(doc_id), pa.array(key),
-             pa.array(lo.astype(np.int64)), pa.array(n.astype(np.int32))],
-            names=["kind", "doc_id", "key", "lo", "n"])
-
-    def settle(blobs):
-        docs = [np.frombuffer(d, "<i8").reshape(-1, 2) for d, _ in blobs]
-        items = [np.frombuffer(x, _ITEM) for _, x in blobs]
-        shift = np.cumsum([0] + [len(d) for d in docs])[:-1]
-        docs = np.concatenate(docs)
-        doc = np.concatenate([x["doc"].astype(np.int64) + s for x, s in zip(items, shift)])
-        x = np.concatenate(items)
-        h = x["h"].astype(np.uint64) << np.uint64(16) | x["h2"]
-        c = x["c"].astype(np.uint64) << np.uint64(16) | x["c2"]
-        ids = docs[doc, 0]
-        order = np.lexsort((ids, c, h))
-        h, c, ids, doc, x = h[order], c[order], ids[order], doc[order], x[order]
-        new = _runs_of(h, c)
+    repeat a smaller document and the undecided ones."""
+
+    def settle(blobs, repeated, undecided):
+        x = _SAMPLES.unpack(blobs)
+        order = np.lexsort((x["id"], x["c"], x["h"]))
+        x = {name: col[order] for name, col in x.items()}
+        h, ids = x["h"], x["id"]
+        new = _runs_of(h, x["c"])
         at = np.nonzero(new)[0]
         group = np.cumsum(new) - 1
         repeat = ids > ids[at][group]
-        if repeat.any():
-            d = doc[repeat]
-            yield out(1, docs[d, 0], docs[d, 1], x["lo"][repeat], x["n"][repeat])
+        repeated.add(*(x[name][repeat] for name in ("id", "key", "lo", "n")))
         # First runs of a rank stay open if another rank of their gram, in another document,
         # agrees with them on one side.
         first = np.nonzero(~repeat)[0]
@@ -353,30 +441,138 @@ def _resolve(batches):
             ranks = np.add.reduceat((new_side | _runs_of(group[i])).astype(np.int64), sat)
             low, high = np.minimum.reduceat(ids[i], sat), np.maximum.reduceat(ids[i], sat)
             open_[order] |= ((ranks > 1) & (low < high))[which]
-        open_ = first[open_]
-        if open_.size:
-            d = doc[open_]
-            yield out(2, docs[d, 0], docs[d, 1], x["lo"][open_], x["n"][open_])
+        undecided.add(*(x[name][first[open_]] for name in ("id", "key", "lo", "n")))
 
-    bucket, blobs = None, []
+    def run(batches):
+        boxes = _RunBox(REPEATED, parts), _RunBox(OPEN, parts)
+        for kinds, blobs in _buckets(batches, 3):
+            for part, blob in zip(kinds, blobs):
+                if part >= 0:               # runs a task already knew to repeat
+                    yield _rows([(REPEATED, part, blob)], _FOUND)
+            samples = [blob for part, blob in zip(kinds, blobs) if part < 0]
+            if samples:
+                settle(samples, *boxes)
+            for box in boxes:
+                if box.full():
+                    yield from (_rows([r], _FOUND) for r in box.flush())
+        for box in boxes:
+            yield from (_rows([r], _FOUND) for r in box.flush())
+
+    return run
+
+
+def _met(batches):
+    """Rows sorted by part and kind: each document's (row in its batch, lo, n of its runs or None)."""
+    part, blobs, runs = None, [], {}
     for b in batches:
-        for k, d, x in zip(*(b.column(i).to_pylist() for i in range(3))):
-            if not d:       # runs a task already knew to repeat
-                r = np.frombuffer(x, np.dtype([("id", "<i8"), ("key", "<i8"), ("lo", "<i8"), ("n", "<i4")]))
-                yield out(1, r["id"].copy(), r["key"].copy(), r["lo"].copy(), r["n"].copy())
+        out = []
+        for row, (p, kind, doc_id, key) in enumerate(zip(*(b.column(i).to_pylist() for i in range(4)))):
+            if p != part:
+                part, blobs, runs = p, [], {}
+            if kind == 0:
+                blobs.append(b.column(4)[row].as_py())
                 continue
-            if k != bucket and blobs:
-                yield from settle(blobs)
-                blobs = []
-            bucket = k
-            blobs.append((d, x))
-    if blobs:
-        yield from settle(blobs)
+            if blobs:
+                x = _RUNS.unpack(blobs)
+                order = np.lexsort((x["lo"], x["key"], x["id"]))
+                x, blobs = {name: col[order] for name, col in x.items()}, []
+                runs = {(x["id"][a], x["key"][a]): (x["lo"][a:z], x["n"][a:z]) for a, z in zip(*_spans(x["id"], x["key"]))}
+            out.append((row, *runs.get((doc_id, key), (None, None))))
+        yield b, out
+
+
+def _meeting(docs: DataFrame, found: DataFrame, parts: int) -> DataFrame:
+    """The packed runs (kind 0) and then the documents (kind 1) of each part, in one task."""
+    runs = found.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"),
+                        F.lit(None).cast("long").alias("key"), F.col("items").alias("data"))
+    part = F.pmod(F.xxhash64("doc_id", "key"), F.lit(parts)).cast("int").alias("part")
+    docs = docs.select(part, F.lit(1).alias("kind"), "doc_id", "key", "data")
+    return runs.unionByName(docs).repartitionById(parts, "part").sortWithinPartitions("part", "kind")
+
+
+def _send_contexts(min_len, gram, buckets):
+    """The bytes of the runs that were left undecided, dealt out by their gram."""
+
+    def flush(sampler, docs, texts, lo):
+        rows = [(doc, o - a, n, g) for g, _, doc, _, _, _, n, (_, _, a, o) in sampler.samples(texts)]
+        doc, at, n, g = (np.concatenate(x) for x in zip(*((d, o, n, h) for d, o, n, h in rows)))
+        bucket = (g % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((g, bucket))
+        doc, at, n, bucket = doc[order], at[order], n[order], bucket[order]
+        docs, lo = np.array(docs, np.int64).reshape(-1, 2), np.array(lo, np.int64)
+        cols = {"lo": lo[doc], "n": n, "gram": at, "id": docs[doc, 0], "key": docs[doc, 1]}
+        start, end = _spans(bucket)
+        codec = pa.Codec("zstd", compression_level=1)
+        for a, z, blob in zip(start, end, _CONTEXTS.pack(cols, start, end)):
+            data = b"".join(texts[i] for i in doc[a:z])
+            yield _rows([(int(bucket[a]), blob, codec.compress(data, asbytes=True))], _SENT_CONTEXTS)
+
+    def run(batches):
+        sampler, docs, texts, los = Sampler(min_len, gram), [], [], []
+        for b, found in _met(batches):
+            for row, lo, n in found:
+                if lo is None:
+                    continue
+                doc_id, key, data = (b.column(i)[row].as_py() for i in (2, 3, 4))
+                for at, count in zip(lo.tolist(), n.tolist()):
+                    docs.append((doc_id, key))
+                    texts.append(data[at:at + count + min_len - 1])
+                    los.append(at)
+                if len(texts) >= FLUSH // 4:
+                    yield from flush(sampler, docs, texts, los)
+                    docs, texts, los = [], [], []
+        if texts:
+            yield from flush(sampler, docs, texts, los)
+
+    return run
 
 
-def _ranked(sent: DataFrame, parts: int, tag: str) -> DataFrame:
+def _resolve_contexts(min_len, gram, parts):
+    """Rows sorted by bucket: ranks the single windows of the undecided runs of a bucket, those at
+    one distance from their gram at a time, and yields those that repeat a smaller document."""
+
+    def run(batches):
+        sampler, box = Sampler(min_len, gram), _RunBox(REPEATED, parts)
+        codec = pa.Codec("zstd")
+        for items, texts in _buckets(batches, 3):
+            cols, grams = [], []
+            for blob, text in zip(items, texts):
+                x = _CONTEXTS.unpack([blob])
+                size = x["n"] + min_len - 1
+                data = np.frombuffer(codec.decompress(text, int(size.sum())), np.uint8)
+                begin = np.cumsum(size) - size
+                # Whole contexts, as many at a time as the hashes reach.
+                cut, z = 0, 0
+                while cut < len(size):
+                    z = max(cut + 1, int(np.searchsorted(begin + size, begin[cut] + sampler.size - 1, "right")))
+                    part = data[begin[cut]:begin[z - 1] + size[z - 1]]
+                    hashes = (sampler.first.prefix(part), sampler.second.prefix(part), begin[cut:z] - begin[cut], None)
+                    w1, w2, row, shift = sampler.windows(hashes, np.arange(z - cut), x["n"][cut:z])
+                    grams.append((w1, w2, row + cut + sum(len(c["n"]) for c in cols), shift, x["gram"][cut:z][row] - shift))
+                    cut = z
+                cols.append(x)
+            x = {name: np.concatenate([c[name] for c in cols]) for name in cols[0]}
+            w1, w2, row, shift, at = (np.concatenate(y) for y in zip(*grams))
+            by = np.argsort(at, kind="stable")
+            for a, z in zip(*_spans(at[by])):
+                i = by[a:z]
+                ids = x["id"][row[i]]
+                order = np.lexsort((ids, w2[i], w1[i]))
+                i, ids = i[order], ids[order]
+                new = _runs_of(w1[i], w2[i])
+                repeat = ids > ids[new][np.cumsum(new) - 1]
+                r = row[i][repeat]
+                box.add(ids[repeat], x["key"][r], x["lo"][r] + shift[i][repeat], np.ones(len(r), np.int64))
+            if box.full():
+                yield from (_rows([r], _FOUND) for r in box.flush())
+        yield from (_rows([r], _FOUND) for r in box.flush())
+
+    return run
+
+
+def _ranked(sent: DataFrame, parts: int, resolve, tag: str) -> DataFrame:
     dealt = sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return staged(dealt.mapInArrow(_resolve, _FOUND), tag)
+    return staged(dealt.mapInArrow(resolve, _FOUND), tag, drop_shuffles=True)
 
 
 def _hot_grams(docs: DataFrame, min_len: int, gram: int, buckets: int) -> list[int]:
@@ -403,38 +599,50 @@ def _hot_grams(docs: DataFrame, min_len: int, gram: int, buckets: int) -> list[i
     return [r["h"] & _M for r in top]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, data) with the ``key`` that tells texts of one doc_id apart: a hash, or 0
+    where the doc_id has no other text."""
+    key = F.xxhash64("data")
+    of_id = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("z"))
+    shared = staged(of_id.filter("a <> z").select(F.col("doc_id").alias("_shared")), "ids", drop_shuffles=True)
+    n = shared.limit(SHARED_IDS + 1).count()
+    if 0 < n <= SHARED_IDS:
+        docs = docs.join(F.broadcast(shared), F.col("doc_id") == F.col("_shared"), "left")
+        key = F.when(F.col("doc_id").isNull() | F.col("_shared").isNotNull(), key).otherwise(F.lit(0))
+    elif n == 0:
+        key = F.when(F.col("doc_id").isNull(), key).otherwise(F.lit(0))
+    return docs.select("doc_id", key.cast("long").alias("key"), "data")
+
+
 def repeated_runs(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM) -> DataFrame:
-    """(doc_id, key, lo, n): runs of n window starts whose min_len-byte string also starts
-    in a document with a smaller doc_id. ``docs``: doc_id, key, data (non-null)."""
+    """(part, items): packed runs (``_RUNS``) of n window starts whose min_len-byte string also
+    starts in a document with a smaller doc_id. ``docs``: doc_id, key, data (non-null)."""
     parts = shuffle_parts(docs.sparkSession)
     buckets = parts * SUB_BUCKETS
     docs = docs.filter("doc_id is not null")
     hot = _hot_grams(docs, min_len, gram, buckets)
-    first = _ranked(docs.mapInArrow(_send_samples(min_len, gram, buckets, hot), _SENT), parts, "ranks")
-    open_ = (first.filter("kind = 2").groupBy("doc_id", "key")
-             .agg(F.collect_list(F.struct("lo", "n")).alias("runs")))
-    again = docs.join(open_, ["doc_id", "key"]).select("doc_id", "key", "data", "runs")
-    second = _ranked(again.mapInArrow(_send_windows(min_len, gram, parts), _SENT), parts, "ties")
-    return first.filter("kind = 1").unionByName(second.filter("kind = 1")).select("doc_id", "key", "lo", "n")
+    first = _ranked(docs.mapInArrow(_send_samples(min_len, gram, buckets, parts, hot), _SENT), parts, _resolve(parts), "ranks")
+    open_ = _meeting(docs, first.filter(F.col("kind") == OPEN), parts)
+    second = _ranked(open_.mapInArrow(_send_contexts(min_len, gram, buckets), _SENT_CONTEXTS), parts,
+                     _resolve_contexts(min_len, gram, parts), "ties")
+    return first.filter(F.col("kind") == REPEATED).unionByName(second).select("part", "items")
 
 
 def dedup(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) for every row."""
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), data.alias("data"))
-    docs = docs.withColumn("key", F.xxhash64("data")).select("doc_id", "key", "data")
-    runs = (repeated_runs(docs, min_len, gram).groupBy("doc_id", "key")
-            .agg(F.collect_list(F.struct("lo", "n")).alias("runs")))
-    every = docs.join(runs, ["doc_id", "key"], "left").select("doc_id", "data", "runs")
+    docs = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), data.alias("data")))
+    every = _meeting(docs, repeated_runs(docs, min_len, gram), shuffle_parts(docs.sparkSession))
 
     def run(batches):
-        for b in batches:
+        for b, found in _met(batches):
             rows = []
-            for doc_id, text, found in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for row, los, ns in found:
+                doc_id, text = b.column(2)[row].as_py(), b.column(4)[row].as_py()
                 kept, at, removed, spans = [], 0, 0, 0
-                if found:
+                if los is not None:
                     end = -1
-                    for lo, hi in sorted((r["lo"], r["lo"] + r["n"] - 1 + min_len) for r in found):
+                    for lo, hi in zip(los.tolist(), (los + ns - 1 + min_len).tolist()):
                         if lo > end:
                             if end >= 0:
                                 removed += end - begin

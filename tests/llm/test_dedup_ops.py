@@ -1,9 +1,11 @@
 """op1 SimHash near-dedup and op10 substring dedup against brute force."""
 
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairmine.llm import simhash, substring
 from tests.llm import util
@@ -117,3 +119,59 @@ def test_substring_dedup_returns_the_kept_text(spark):
     rows = [(1, "first " + passage, None, None, None), (2, passage + " second", None, None, None)]
     kept = {r["doc_id"]: bytes(r["kept"]).decode() for r in substring.dedup(util.frame(spark, rows), with_text=True).collect()}
     assert kept == {1: "first " + passage, 2: " second"}
+
+
+def test_samples_take_as_little_room_in_many_buckets_as_in_few():
+    """A bucket that gets few samples of a task does not make each of them larger."""
+    rnd = np.random.default_rng(3)
+    n, docs = 40_000, 500
+    h, c = (rnd.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) for _ in range(2))
+    doc = np.sort(rnd.integers(0, docs, n))
+    around = rnd.integers(1, 1 << 16, (2, n)).astype(np.uint64)
+    lo, length = rnd.integers(0, 8000, n), rnd.integers(1, 32, n)
+    for buckets in (8, 256, 2048):
+        box = substring._Outbox(buckets, 16)
+        for i in range(docs):
+            box.doc(10_000 + i, 0)
+        box.add(h, c, doc, *around, lo, length)
+        sent = list(box.flush())
+        assert sum(len(blob) for *_, blob in sent) < 26 * n
+        x = substring._SAMPLES.unpack([blob for *_, blob in sent])
+        got = sorted(zip((x["h"] * buckets + np.repeat([b for b, *_ in sent], [len(substring._SAMPLES.unpack([z])["h"]) for *_, z in sent])).tolist(),
+                         x["c"].tolist(), x["id"].tolist(), x["lo"].tolist(), x["n"].tolist(), x["left"].tolist(), x["right"].tolist()))
+        want = sorted(zip((h >> np.uint64(16)).tolist(), (c >> np.uint64(16)).tolist(), (10_000 + doc).tolist(), lo.tolist(),
+                          length.tolist(), *around.tolist()))
+        assert got == want
+
+
+def test_runs_and_documents_are_dealt_to_the_same_parts(spark):
+    rows = [(i * i - 50, k) for i in range(40) for k in (0, -(1 << 60) + i, (1 << 62) + i)]
+    df = spark.createDataFrame(rows, "doc_id long, key long")
+    want = [r[0] for r in df.select(F.expr("pmod(xxhash64(doc_id, key), 37)")).collect()]
+    assert substring.doc_part(*np.array(rows, np.int64).T, 37).tolist() == want
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_substring_dedup_of_ids_that_several_texts_share(spark, monkeypatch, most):
+    monkeypatch.setattr(substring, "SHARED_IDS", most)
+    rnd = random.Random(8)
+    part = ["".join(rnd.choice("abcdefgh ") for _ in range(90)) for _ in range(6)]
+    rows = [(rnd.choice([1, 2, 3, 4, -7, 1 << 40, None]), "".join(rnd.choice(part) for _ in range(rnd.randint(0, 4))),
+             None, None, None) for _ in range(80)]
+    out = substring.dedup(util.frame(spark, rows))
+    assert util.got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == util.substring_dedup(rows)
+
+
+def test_shuffles_of_a_stage_leave_the_disk(spark):
+    from pairmine.llm.common import DROP_SHUFFLES, staged
+
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {x for x in blocks.mkString("|").split("|") if x.startswith("shuffle_")}
+
+    before = shuffles()
+    default = spark.conf.get(DROP_SHUFFLES)
+    out = staged(spark.range(1000).repartition(7, "id"), "test", drop_shuffles=True)
+    time.sleep(1)
+    assert not shuffles() - before and spark.conf.get(DROP_SHUFFLES) == default
+    assert out.count() == 1000
