@@ -140,23 +140,25 @@ def _words_13a():
     steps = [(re.compile(p).sub, r.replace("$", "\\")) for p, r in REGEX_13A]
     first = re.compile(REGEX_13A[0][0])
     apart = [(c, f" {c} ") for c in map(chr, range(128)) if first.match(c)]
-    pairs = [a + b for a in ".," for b in ".,"]
-    number = re.compile(r"[.,](?<=[0-9].)(?=[0-9])").search
+    beside = re.compile(r"[.,](?:([.,])|(?<=[0-9].)[0-9])")       # another mark, or digits on both sides
     edge = re.compile(r"[.,](?:(?<![0-9].)|(?![0-9]))").sub
     dash = re.compile(r"-(?<=[0-9]-)").sub
 
     def split(text):
         text = text.rstrip()
-        for a, b in REPLACED_13A + ENTITIES_13A:
+        for a, b in REPLACED_13A if "\n" in text or "<" in text else ():
+            text = text.replace(a, b)
+        for a, b in ENTITIES_13A if "&" in text else ():
             text = text.replace(a, b)
         text = f" {text} "
         for c, r in apart:
             if c in text:
                 text = text.replace(c, r)
-        if any(p in text for p in pairs):
+        found = beside.search(text)
+        if found and (found[1] or any(m[1] for m in beside.finditer(text))):
             for sub, r in steps[1:3]:
                 text = sub(r, text)
-        elif number(text):
+        elif found:
             text = edge(r" \g<0> ", text)
         else:
             text = text.replace(".", " . ").replace(",", " , ")
@@ -177,19 +179,30 @@ def _words_pp(text):
     return out
 
 
+_WHITE = np.array([chr(c).isspace() for c in range(0x3002)])       # white space of str.split()
+
+
 def _sides(texts, n: int, kind: str, split):
     """(unit, row, side, end, sizes of each side) of ``n`` hypotheses (of each system, if there are
     more) and then ``n`` references: the sides' units as numbers, one text after the other;
     ``end`` is the end of a unit's own text. str.split() and its white space are those of ``py_split``."""
-    texts = list(map(split, texts))
-    if kind == "c":
+    if split is None:           # characters without white space
+        unit = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        white = _WHITE[np.minimum(unit, len(_WHITE) - 1)]
+        unit = unit[~white].astype(np.int64)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        size -= np.diff(np.searchsorted(np.flatnonzero(white), np.cumsum(size)), prepend=0)
+    elif kind == "c":
+        texts = list(map(split, texts))
         unit = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
     else:
+        texts = list(map(split, texts))
         number: dict[str, int] = defaultdict()
         number.default_factory = number.__len__
         unit = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
     sides = len(texts) // n
-    size = np.fromiter(map(len, texts), np.int64, sides * n)
     row = np.repeat(np.tile(np.arange(n), sides), size)
     side = np.repeat(np.repeat(np.arange(sides), n), size)
     return unit, row, side, np.repeat(np.cumsum(size), size), tuple(size.reshape(sides, n))
@@ -223,8 +236,8 @@ def count_system_matches(unit, row, side, end, n_rows: int, max_n: int, systems:
     seen[unit] = 1
     code = np.cumsum(seen)
     bits = int(code[-1]).bit_length()
-    text = np.cumsum(np.append(False, end[1:] != end[:-1]))
-    at = np.arange(len(unit)) + text * (max_n - 1)
+    ends = np.append(np.flatnonzero(end[1:] != end[:-1]) + 1, len(unit))
+    at = np.arange(len(unit)) + np.repeat(np.arange(len(ends)) * (max_n - 1), np.diff(ends, prepend=0))
     units = np.zeros(int(at[-1]) + max_n, np.int64)
     units[at] = code[unit]
     side_bits, at_bits = systems.bit_length(), int(at[-1]).bit_length()
@@ -256,20 +269,20 @@ def count_system_matches(unit, row, side, end, n_rows: int, max_n: int, systems:
         head = key >> low + side_bits
         count = one[key >> low & (1 << side_bits) - 1]
         for k in range(take, 0, -1):
-            begin = np.flatnonzero(np.append(True, head[1:] != head[:-1]))
-            count = np.cumsum(count)[np.append(begin[1:], len(head)) - 1]
-            count[1:] -= count[:-1].copy()
-            head = head[begin]
+            ends = np.append(np.flatnonzero(head[1:] != head[:-1]), len(head) - 1)
+            count = np.diff(np.cumsum(count)[ends], prepend=0)
+            head = head[ends]
             real = head & (1 << bits) - 1 > 0 if units_at is None else units_at[head] > 0
             refs = (count >> width * systems) * real        # n-grams over a text's end are none
             bound = np.searchsorted(head, first << shift * k)
+            has = np.flatnonzero(bound[1:] > bound[:-1])
             for s in range(systems):
                 common = np.minimum(count >> width * s & (1 << width) - 1, refs)
-                out[s, done + k - 1] = np.diff(np.append(0, np.cumsum(common))[bound])
+                out[s, done + k - 1, has] = np.add.reduceat(common, bound[has])
             if k == take and done + take < max_n:
                 both = np.flatnonzero((refs > 0) & (count & (1 << width * systems) - 1 > 0))
-                size, kept = np.diff(np.append(begin, len(key)))[both], rows[head[both] >> shift * k]
-                again = key[np.repeat(begin[both] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                size, kept = np.diff(ends, prepend=-1)[both], rows[head[both] >> shift * k]
+                again = key[np.repeat(ends[both] + 1 - np.cumsum(size), size) + np.arange(size.sum())]
             head = head >> shift
         done += take
         if done == max_n:
@@ -332,7 +345,7 @@ def _short_stats(ev: DataFrame, kinds) -> DataFrame:
     id_type = ev.schema["row_id"].dataType.simpleString()
 
     def run(batches):
-        split = {"w": _words_13a(), "c": lambda x: "".join(x.split()), "p": _words_pp, "t": str.split}
+        split = {"w": _words_13a(), "c": None, "p": _words_pp, "t": str.split}
         for whole in batches:
             for b in _blocks(whole, whole.columns[3:5]):
                 b = b.filter(pc.invert(b.column(2)))
@@ -499,7 +512,7 @@ def count_systems(df: DataFrame, metrics, hyps, ref: str = "reference", own=None
     n_flags = len(flags)
 
     def run(batches):
-        split = {"w": _words_13a(), "c": lambda x: "".join(x.split()), "p": _words_pp}
+        split = {"w": _words_13a(), "c": None, "p": _words_pp}
         for whole in batches:
             for b in _blocks(whole, whole.columns[1 + n_flags:]):
                 n_rows = b.num_rows
