@@ -468,8 +468,8 @@ def unit_stats(ev: DataFrame, kinds) -> DataFrame:
 class CountedSystem:
     """One system's rows in the counts that ``count_systems`` made; stands for its evaluation table."""
 
-    def __init__(self, counted: DataFrame, system: int, kinds):
-        self.counted, self.system, self.kinds = counted, system, kinds
+    def __init__(self, counted: DataFrame, system: int, kinds, any_long: bool):
+        self.counted, self.system, self.kinds, self.any_long = counted, system, kinds, any_long
 
     def stats(self, kinds) -> DataFrame:
         """``unit_stats`` of this system's rows."""
@@ -484,6 +484,8 @@ class CountedSystem:
                 for x, size in (("h", f"{k}_{i}"), ("r", f"{k}_ref")):
                     counts.append(F.greatest(F.col(size) - (n - 1), F.lit(0)).cast("double").alias(f"{k}{x}{n}"))
         short = rows.filter(~F.col(f"_long{i}")).select("row_id", F.col(f"_blank{i}").alias("_blank"), *counts)
+        if not self.any_long:
+            return short
         long = rows.filter(F.col(f"_long{i}")).select(
             "row_id", F.col(f"_hyp{i}").alias("_hyp"), "_ref", F.col(f"_long{i}").alias("_long"),
             F.col(f"_blank{i}").alias("_blank"))
@@ -542,7 +544,8 @@ def count_systems(df: DataFrame, metrics, hyps, ref: str = "reference", own=None
     counted = ev.mapInArrow(run, f"row_id {id_type}, " + ", ".join(
         [*[f"{c} boolean" for c in flags], *[f"{c} string" for c in texts], *[f"{c} int" for c in names]]))
     counted = counted.checkpoint(eager=True)
-    return [CountedSystem(counted, i, kinds) for i in systems]
+    any_long = [bool(counted.filter(F.col(f"_long{i}")).limit(1).count()) for i in systems]
+    return [CountedSystem(counted, i, kinds, any_long[i]) for i in systems]
 
 
 def _summed(stats: DataFrame) -> DataFrame:
